@@ -30,4 +30,5 @@ def load_all() -> None:
     # Importing the modules fills the registry.
     from cohortlens.plans import (  # noqa: F401
         q_features,
+        q_stats,
     )
