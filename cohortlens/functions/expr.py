@@ -91,3 +91,17 @@ def null_or_nan(c: str | Column, numeric: bool) -> Column:
 
 def array_of(cols: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
+
+
+def round_half_up(x: Column, digits: int = 4) -> Column:
+    """``floor(x·10^d + 0.5) / 10^d`` in IEEE doubles.
+
+    Spark's ``round`` rounds the shortest decimal string of a double, DuckDB
+    rounds the binary value, so ties differ. This formula is evaluated the same
+    way on both sides (see ``r4``), so outputs are bit-identical.
+    """
+
+    x = x.cast("double")
+    scale = float(10**digits)
+    bad = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    return F.when(bad, x).otherwise(F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale))

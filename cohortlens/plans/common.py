@@ -6,26 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.expr import round_half_up  # noqa: F401
 from cohortlens.operators.features import build_customer_features
 from cohortlens.sources.profile import PROFILE_SQL, load_profile
 
 R = 4  # decimals for doubles in registered query outputs
 
 
-def round_half_up(x: Column, digits: int = R) -> Column:
-    """``floor(x·10^d + 0.5) / 10^d`` in IEEE doubles.
-
-    Spark's ``round`` rounds the shortest decimal string of a double, DuckDB
-    rounds the binary value, so ties differ. This formula is evaluated the same
-    way on both sides (see ``r4``), so outputs are bit-identical.
-    """
-
-    x = x.cast("double")
-    scale = float(10**digits)
-    bad = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    return F.when(bad, x).otherwise(F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale))
-
-
 def rounded(df: DataFrame, digits: int = R) -> DataFrame:
     """Round every double column (and doubles inside arrays) for stable hashing."""
 

@@ -31,4 +31,5 @@ def load_all() -> None:
     from cohortlens.plans import (  # noqa: F401
         q_features,
         q_stats,
+        q_segments,
     )
