@@ -176,3 +176,33 @@ def assign_by_profile(centers_scaled: list[list[float]], features: list[str]) ->
     for c in sorted(free):
         mapping[c] = 3
     return mapping
+
+
+def fit_personas(profile: DataFrame, k: int = 4, by_label: bool = False, n_init: int = catalog.KMEANS_RESTARTS,
+                 seed: int = catalog.SEED) -> DataFrame:
+    """E2 → E15-E17 → M1 (population std) → M3 k-means on the six persona
+    columns → P13 persona attachment.
+
+    Persona mapping: by default by profile (greedy on the scaled centers,
+    see ``assign_by_profile``); ``by_label=True`` keeps the raw-label rule.
+    k > 4 is an error (the catalog has four personas).
+    """
+
+    from cohortlens.operators.cluster import kmeans_fit
+    from cohortlens.operators.features import persona_features
+    from cohortlens.operators.scaling import standardize
+
+    if k > len(catalog.PERSONAS):
+        raise ValueError(f"the persona catalog has {len(catalog.PERSONAS)} entries; k={k} is not mappable")
+    cols = catalog.PERSONA_CLUSTER_FEATURES
+    pf = persona_features(profile)
+    z = standardize(pf, cols, prefix="z_")
+    zcols = [f"z_{c}" for c in cols]
+    res = kmeans_fit(z, zcols, k, seed=seed, n_init=n_init, rank_by="z_PURCHASES")
+    if by_label:
+        mapping = {i: i for i in range(k)}
+    else:
+        mapping = assign_by_profile(res.centers, list(cols))
+    m = F.create_map(*[x for a, b in mapping.items() for x in (F.lit(a), F.lit(b))])
+    labels = res.labels.select("CUST_ID", F.element_at(m, F.col("cluster_label")).cast("int").alias(LABEL))
+    return attach_personas(pf.join(labels, "CUST_ID"), LABEL)

@@ -32,4 +32,5 @@ def load_all() -> None:
         q_features,
         q_stats,
         q_segments,
+        q_cluster,
     )
