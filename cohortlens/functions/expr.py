@@ -49,7 +49,7 @@ def clip_upper(x: str | Column, upper: float = 1.0) -> Column:
 def coerce_number(x: str | Column) -> Column:
     """Coerce to double; unparsable, NULL or NaN → 0.0."""
 
-    v = F.try_cast(col(x).cast("string"), "double") if not isinstance(x, Column) else F.try_cast(x.cast("string"), "double")
+    v = col(x).cast("string").try_cast("double")
     return F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(0.0))
 
 
@@ -57,7 +57,7 @@ def clamp(x: str | Column, default: float, lo: float, hi: float, as_int: bool =
     """Parse, default on failure, then clamp into [lo, hi]."""
 
     target = "bigint" if as_int else "double"
-    v = F.coalesce(F.try_cast(col(x).cast("string"), target), F.lit(default).cast(target))
+    v = F.coalesce(col(x).cast("string").try_cast(target), F.lit(default).cast(target))
     return F.least(F.greatest(v, F.lit(lo).cast(target)), F.lit(hi).cast(target))
 
 

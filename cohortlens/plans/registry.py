@@ -33,4 +33,6 @@ def load_all() -> None:
         q_stats,
         q_segments,
         q_cluster,
+        q_text,
+        q_log,
     )
