@@ -56,11 +56,14 @@ def exact_quantiles(
     direct_limit: int = 2_000_000,
     bins: int = 4096,
     max_rounds: int = 64,
+    max_group_rows: int | None = None,
 ) -> dict[tuple, float | None]:
     """Return ``{(group_tuple, column, p): value}``; empty groups give ``None``.
 
     ``by`` must be a low-cardinality key (cluster labels); the group count is
-    checked against ``MAX_TARGETS``.
+    checked against ``MAX_TARGETS``. ``max_group_rows`` is a known upper
+    bound on the rows of any group (e.g. the table's row count); when it is
+    within ``direct_limit`` the statistics pass is skipped.
     """
 
     by = list(by)
@@ -69,6 +72,14 @@ def exact_quantiles(
     if not columns:
         return {}
     long = _long(df, columns, by)
+    if max_group_rows is not None and max_group_rows <= direct_limit:
+        res = long.groupBy(*by, "column").agg(F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()
+        out = {}
+        for r in res:
+            g = tuple(r[b] for b in by)
+            for p, v in zip(probs, r["q"]):
+                out[(g, r["column"], p)] = float(v) if v is not None else None
+        return out
     stats = long.groupBy(*by, "column").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
     if len(stats) * len(probs) * 2 > MAX_TARGETS:
         raise ValueError("too many quantile groups; group by a low-cardinality key")

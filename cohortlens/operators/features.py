@@ -60,12 +60,13 @@ def impute_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         return df
     float_cols = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     miss = df.agg(
-        *[F.count_if(F.col(c).isNull() | (F.isnan(c) if c in float_cols else F.lit(False))).alias(c) for c in cols]
+        F.count(F.lit(1)).alias("__rows"),
+        *[F.count_if(F.col(c).isNull() | (F.isnan(c) if c in float_cols else F.lit(False))).alias(c) for c in cols],
     ).first()
     todo = [c for c in cols if miss[c]]
     if not todo:
         return df
-    med = medians(df, todo)
+    med = medians(df, todo, max_group_rows=miss["__rows"])
     out = []
     for f in df.schema.fields:
         c = f.name

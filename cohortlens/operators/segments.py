@@ -62,8 +62,9 @@ def cluster_profile(labelled: DataFrame) -> DataFrame:
 
     sizes = {r[LABEL]: r["customer_count"] for r in cluster_sizes(labelled).collect()}
     _check_k(len(sizes))
-    med = exact_quantiles(labelled, list(PROFILE_MEDIANS), [0.5], by=[LABEL])
-    q33 = exact_quantiles(labelled, ["transaction_frequency_per_month"], [catalog.TIER_LOW_QUANTILE], by=[LABEL])
+    biggest = max(sizes.values(), default=0)
+    med = exact_quantiles(labelled, list(PROFILE_MEDIANS), [0.5], by=[LABEL], max_group_rows=biggest)
+    q33 = exact_quantiles(labelled, ["transaction_frequency_per_month"], [catalog.TIER_LOW_QUANTILE], by=[LABEL], max_group_rows=biggest)
     rows = []
     for label in sorted(sizes):
         g = (label,)

@@ -193,14 +193,16 @@ def requested_filters(norm: Column) -> Column:
 
 # ---------------------------------------------------------------- T1 / T2 TF-IDF router
 def terms(norm: Column, stop: list[str] = ENGLISH) -> Column:
-    """Uni- and bigrams after stop-word removal (token pattern ``\\b\\w\\w+\\b``)."""
+    """Uni- and bigrams after stop-word removal (token pattern ``\\b\\w\\w+\\b``).
 
-    toks = F.filter(F.regexp_extract_all(norm, F.lit(TOKEN_RE), 0), lambda x: ~F.array_contains(_arr(stop), x))
-    bigrams = F.when(
-        F.size(toks) >= 2,
-        F.transform(F.sequence(F.lit(1), F.size(toks) - 1), lambda i: F.concat(F.element_at(toks, i), F.lit(" "), F.element_at(toks, i + 1))),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(toks, bigrams)
+    Bigrams pair the token array with itself shifted by one (``zip_with``);
+    higher-order-function arguments are evaluated once per row, so the regex
+    runs once per text. Use it directly inside ``explode`` (the generator's
+    input is evaluated once per input row)."""
+
+    toks = F.filter(F.regexp_extract_all(norm, F.lit(TOKEN_RE), 0), lambda x: ~F.array_contains(F.lit(stop), x))
+    pairs = F.zip_with(toks, F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(toks, F.filter(pairs, lambda x: x.isNotNull()))
 
 
 def _examples(spark: SparkSession) -> DataFrame:
@@ -212,12 +214,24 @@ def _examples(spark: SparkSession) -> DataFrame:
     return df.withColumn("example", normalize_query(F.col("phrase")))
 
 
+_MODELS: dict = {}
+
+
 def fit_tfidf(spark: SparkSession, stop: list[str] = ENGLISH):
     """Vocabulary + smooth idf, unit example vectors, class centroids.
 
-    All three are small (bounded by the fixed example phrases) and broadcast.
+    All three are small (bounded by the fixed example phrases) and broadcast;
+    the fitted model is kept for the session.
     """
 
+    key = (spark.sparkContext.applicationId, tuple(stop))
+    if key not in _MODELS:
+        _MODELS[key] = _fit_tfidf(spark, stop)
+    return _MODELS[key]
+
+
+def _fit_tfidf(spark: SparkSession, stop: list[str]):
+
     ex = _examples(spark)
     n = ex.count()
     tf = ex.select("cat_order", "category", "ex_idx", "example", F.explode(terms(F.col("example"), stop)).alias("term")) \

@@ -27,8 +27,26 @@ def rounded(df: DataFrame, digits: int = R) -> DataFrame:
     return df.select(*out)
 
 
+def profile(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The derived customer profile, materialised once per session."""
+
+    from cohortlens.session import materialize
+
+    return materialize(load_profile(spark, sf_dir, keep), "profile", (sf_dir, keep))
+
+
 def features(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return build_customer_features(load_profile(spark, sf_dir, keep), keep)
+    """The feature table (E1, E3-E14), materialised once per session."""
+
+    from cohortlens.session import materialize
+
+    key = (sf_dir, keep)
+    from cohortlens.session import _MATERIALIZED
+
+    mk = (spark.sparkContext.applicationId, "features", key)
+    if mk in _MATERIALIZED:
+        return _MATERIALIZED[mk]
+    return materialize(build_customer_features(profile(spark, sf_dir, keep), keep), "features", key)
 
 
 def fixed_label(id_col: str = "CUST_ID", k: int = 3) -> Column:

@@ -12,8 +12,8 @@ from cohortlens.operators.features import persona_features, to_matrix
 from cohortlens.operators.registry import segment
 from cohortlens.plans.common import FEATURE_NAMES, features, fixed_label, r4, rounded
 from cohortlens.plans.q_segments import LAB_CTE, _MAT
+from cohortlens.plans.common import profile
 from cohortlens.plans.registry import register
-from cohortlens.sources.profile import load_profile
 
 MATRIX_COLS = ["TENURE", *FEATURE_NAMES]
 P_ = len(MATRIX_COLS)
@@ -98,7 +98,7 @@ def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persona path."""
 
-    wp = P.fit_personas(load_profile(spark, sf_dir))
+    wp = P.fit_personas(profile(spark, sf_dir))
     return wp.select("CUST_ID", "cluster", "persona", "recommended_product")
 
 
@@ -106,7 +106,7 @@ def kmeans_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def persona_fit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M15 + A15 on the fitted persona clusters."""
 
-    return P.persona_summary(P.fit_personas(load_profile(spark, sf_dir)))
+    return P.persona_summary(P.fit_personas(profile(spark, sf_dir)))
 
 
 @register("segment_quality")

@@ -10,8 +10,8 @@ from cohortlens.functions.quantile import exact_quantiles
 from cohortlens.operators.features import missing_required, persona_features
 from cohortlens.operators.scaling import standardize
 from cohortlens.plans.common import FEATURE_NAMES, FEATURES_CTE, PROFILE_SQL, features, r4, rounded
+from cohortlens.plans.common import profile
 from cohortlens.plans.registry import register
-from cohortlens.sources.profile import load_profile
 
 
 # -- feature_table: the 13-column feature table (E1, E3-E14) ------------------
@@ -73,7 +73,7 @@ _PROFILE_NUMERIC = catalog.REQUIRED_COLUMNS[1:]
     + " INTO NAME column_name VALUE median_value)",
 )
 def impute_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prof = load_profile(spark, sf_dir)
+    prof = profile(spark, sf_dir)
     q = exact_quantiles(prof, _PROFILE_NUMERIC, [0.5])
     rows = [(c, q[((), c, 0.5)]) for c in _PROFILE_NUMERIC]
     return rounded(spark.createDataFrame(rows, "column_name string, median_value double"))
@@ -85,7 +85,7 @@ def impute_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT 18 AS n_required, 0 AS n_missing, '' AS missing_columns",
 )
 def required_columns_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prof = load_profile(spark, sf_dir)
+    prof = profile(spark, sf_dir)
     miss = missing_required(prof)
     return spark.createDataFrame(
         [(len(catalog.REQUIRED_COLUMNS), len(miss), ",".join(miss))], "n_required int, n_missing int, missing_columns string"
@@ -123,7 +123,7 @@ PERSONA_OUT = ["BALANCE", "PURCHASES", "CASH_ADVANCE", "CREDIT_LIMIT", "MINIMUM_
     PERSONA_CTE + "SELECT CUST_ID, " + ", ".join(f"{r4(c)} AS {c}" for c in PERSONA_OUT) + " FROM pf",
 )
 def persona_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pf = persona_features(load_profile(spark, sf_dir))
+    pf = persona_features(profile(spark, sf_dir))
     return rounded(pf.select("CUST_ID", *PERSONA_OUT))
 
 
@@ -141,6 +141,6 @@ def persona_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM pf, st",
 )
 def standardize_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pf = persona_features(load_profile(spark, sf_dir))
+    pf = persona_features(profile(spark, sf_dir))
     z = standardize(pf, catalog.PERSONA_CLUSTER_FEATURES, prefix="z_")
     return rounded(z.select("CUST_ID", *[f"z_{c}" for c in catalog.PERSONA_CLUSTER_FEATURES]))

@@ -16,8 +16,8 @@ from cohortlens.operators import segments as S
 from cohortlens.operators.features import persona_features, to_matrix
 from cohortlens.plans.common import FEATURE_NAMES, FEATURES_CTE, features, fixed_label, r4, rounded
 from cohortlens.plans.q_features import PERSONA_CTE
+from cohortlens.plans.common import profile
 from cohortlens.plans.registry import register
-from cohortlens.sources.profile import load_profile
 
 MATRIX_COLS = ["TENURE", *FEATURE_NAMES]
 LAB = "cluster_label"
@@ -268,7 +268,7 @@ PERSONA_JOIN_CTE = PERSONA_LAB_CTE + ", " + _CAT_SQL + ", wp AS (SELECT pl.*, pe
 
 
 def with_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pf = persona_features(load_profile(spark, sf_dir)).withColumn("cluster", fixed_label("CUST_ID", 4))
+    pf = persona_features(profile(spark, sf_dir)).withColumn("cluster", fixed_label("CUST_ID", 4))
     return P.attach_personas(pf, "cluster")
 
 

@@ -12,8 +12,8 @@ from cohortlens.operators import stats
 from cohortlens.operators.features import to_matrix
 from cohortlens.operators.lookup import lookup
 from cohortlens.plans.common import FEATURE_NAMES, FEATURES_CTE, PROFILE_SQL, features, r4, rounded
+from cohortlens.plans.common import profile
 from cohortlens.plans.registry import register
-from cohortlens.sources.profile import load_profile
 from cohortlens.sources.tables import preview, table
 
 PROFILE_CTE = "WITH " + PROFILE_SQL
@@ -25,7 +25,7 @@ MATRIX_COLS = ["TENURE", *FEATURE_NAMES]
 # -- dataset_shape (A1) -----------------------------------------------------------
 @register("dataset_shape", PROFILE_CTE + "SELECT count(*) AS row_count, 18 AS column_count FROM profile")
 def dataset_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.shape(load_profile(spark, sf_dir))
+    return stats.shape(profile(spark, sf_dir))
 
 
 # -- missing_profile (A2, A3) ---------------------------------------------------
@@ -44,7 +44,7 @@ _MISSING_SQL = (
 
 @register("missing_profile", _MISSING_SQL)
 def missing_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.missing_profile(load_profile(spark, sf_dir)))
+    return rounded(stats.missing_profile(profile(spark, sf_dir)))
 
 
 @register(
@@ -52,7 +52,7 @@ def missing_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT * FROM (" + _MISSING_SQL + ") ORDER BY missing_count DESC, position ASC LIMIT 3",
 )
 def top_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.top_missing(load_profile(spark, sf_dir), 3))
+    return rounded(stats.top_missing(profile(spark, sf_dir), 3))
 
 
 # -- numeric_describe (A4) ------------------------------------------------------
@@ -69,7 +69,7 @@ def top_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f"{r4('quantile_cont(v, 0.75)')} AS q75, {r4('max(v)')} AS max FROM long GROUP BY column_name",
 )
 def numeric_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.numeric_describe(load_profile(spark, sf_dir)))
+    return rounded(stats.numeric_describe(profile(spark, sf_dir)))
 
 
 # -- categorical_summary (A5) on the raw customer table -------------------------
@@ -107,7 +107,7 @@ def _corr_sql() -> str:
 
 @register("correlation_long", _corr_sql())
 def correlation_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.correlation_long(load_profile(spark, sf_dir), NUMERIC_PROFILE))
+    return rounded(stats.correlation_long(profile(spark, sf_dir), NUMERIC_PROFILE))
 
 
 # -- tier_thresholds (A9) -------------------------------------------------------
@@ -182,7 +182,7 @@ def _ident_sql() -> str:
 
 @register("identifier_uniqueness", _ident_sql())
 def identifier_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.identifier_candidates(load_profile(spark, sf_dir)))
+    return rounded(stats.identifier_candidates(profile(spark, sf_dir)))
 
 
 # -- lookup_top_n (P5 + W1) ---------------------------------------------------------
@@ -192,7 +192,7 @@ def identifier_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ORDER BY PURCHASES DESC, CUST_ID LIMIT 10",
 )
 def lookup_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prof = load_profile(spark, sf_dir)
+    prof = profile(spark, sf_dir)
     return rounded(lookup(prof, ["CUST_ID", "PURCHASES", "BALANCE", "AGE"], top_n=10, tiebreak="CUST_ID"))
 
 
@@ -205,10 +205,10 @@ def lookup_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM profile ORDER BY CUST_ID LIMIT 5",
 )
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(preview(load_profile(spark, sf_dir), 5, "CUST_ID"))
+    return rounded(preview(profile(spark, sf_dir), 5, "CUST_ID"))
 
 
 # -- dataset_report (D2, S12): tidy report rows -------------------------------------
 @register("dataset_report")
 def dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.dataset_report(load_profile(spark, sf_dir)))
+    return rounded(stats.dataset_report(profile(spark, sf_dir)))

@@ -52,3 +52,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+_MATERIALIZED: dict[tuple, object] = {}
+
+
+def materialize(df, name: str, key: tuple | None = None):
+    """Write ``df`` as a parquet table under the shared checkpoint folder and
+    read it back: cuts lineage, survives executor loss, and keeps column
+    pruning and predicate pushdown (unlike an RDD checkpoint). With ``key``,
+    the table is reused for the rest of the session."""
+
+    import uuid
+
+    spark = df.sparkSession
+    memo_key = (spark.sparkContext.applicationId, name, key) if key is not None else None
+    if memo_key is not None and memo_key in _MATERIALIZED:
+        return _MATERIALIZED[memo_key]
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/cohortlens-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    out = spark.read.parquet(path)
+    if memo_key is not None:
+        _MATERIALIZED[memo_key] = out
+    return out
