@@ -35,4 +35,5 @@ def load_all() -> None:
         q_cluster,
         q_text,
         q_log,
+        q_stream,
     )
