@@ -122,3 +122,17 @@ def r4(expr: str, digits: int = R) -> str:
 
     scale = f"{float(10**digits)}"
     return f"(floor(CAST({expr} AS DOUBLE) * {scale} + 0.5) / {scale} + 0.0)"
+
+
+def kmeans_labels(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """The fitted k-means segments of the feature table (CUST_ID, cluster_label),
+    materialised once per session (M2 + M10)."""
+
+    from cohortlens.operators.registry import segment
+    from cohortlens.session import _MATERIALIZED, materialize
+
+    mk = (spark.sparkContext.applicationId, "kmeans_labels", (sf_dir, k))
+    if mk in _MATERIALIZED:
+        return _MATERIALIZED[mk]
+    res = segment(features(spark, sf_dir), algorithm="kmeans", params={"n_clusters": k})
+    return materialize(res.labels, "kmeans_labels", (sf_dir, k))

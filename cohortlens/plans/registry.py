@@ -36,4 +36,5 @@ def load_all() -> None:
         q_text,
         q_log,
         q_stream,
+        q_explain,
     )
