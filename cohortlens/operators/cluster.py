@@ -77,7 +77,7 @@ def kmeans_fit(
     tol: float = 1e-4,
     rank_by: str | None = None,
     partitions: int | None = None,
-    parallel_restarts: int = 5,
+    parallel_restarts: int = 16,
 ) -> KMeansResult:
     """M2/M3: best of ``n_init`` MLlib fits (seeds seed…seed+n_init−1), labels
     renumbered by the ``rank_by`` center (default: first column) descending.

@@ -27,26 +27,32 @@ def rounded(df: DataFrame, digits: int = R) -> DataFrame:
     return df.select(*out)
 
 
+CARRY = ("c_mktsegment",)  # customer columns carried through the materialised tables
+
+
 def profile(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The derived customer profile, materialised once per session."""
+    """The derived customer profile, materialised once per session (with the
+    carried customer columns); each caller sees the 18 columns plus ``keep``."""
 
+    from cohortlens import catalog
     from cohortlens.session import materialize
 
-    return materialize(load_profile(spark, sf_dir, keep), "profile", (sf_dir, keep))
+    full = materialize(load_profile(spark, sf_dir, CARRY), "profile", (sf_dir, CARRY))
+    return full.select(*catalog.REQUIRED_COLUMNS, *keep)
 
 
 def features(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The feature table (E1, E3-E14), materialised once per session."""
 
-    from cohortlens.session import materialize
-
-    key = (sf_dir, keep)
-    from cohortlens.session import _MATERIALIZED
+    from cohortlens import catalog
+    from cohortlens.session import _MATERIALIZED, materialize
 
-    mk = (spark.sparkContext.applicationId, "features", key)
+    mk = (spark.sparkContext.applicationId, "features", (sf_dir, CARRY))
     if mk in _MATERIALIZED:
-        return _MATERIALIZED[mk]
-    return materialize(build_customer_features(profile(spark, sf_dir, keep), keep), "features", key)
+        full = _MATERIALIZED[mk]
+    else:
+        full = materialize(build_customer_features(profile(spark, sf_dir, CARRY), CARRY), "features", (sf_dir, CARRY))
+    return full.select("CUST_ID", *keep, *catalog.FEATURE_COLUMNS)
 
 
 def fixed_label(id_col: str = "CUST_ID", k: int = 3) -> Column:
