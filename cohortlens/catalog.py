@@ -312,3 +312,24 @@ AMBIGUITY_QUESTIONS = {
 
 # English stop words used by the TF-IDF routing vectors (Spark ML's English list
 # is the default; see README for the deviation).
+
+# Seeded synthetic profile generator ranges (column, low, high, integer?).
+SYNTHETIC_RANGES = [
+    ("BALANCE", 0, 5000, False),
+    ("BALANCE_FREQUENCY", 0, 1, False),
+    ("PURCHASES", 0, 3000, False),
+    ("ONEOFF_PURCHASES", 0, 1500, False),
+    ("INSTALLMENTS_PURCHASES", 0, 1500, False),
+    ("CASH_ADVANCE", 0, 1000, False),
+    ("PURCHASES_FREQUENCY", 0, 1, False),
+    ("ONEOFF_PURCHASES_FREQUENCY", 0, 1, False),
+    ("PURCHASES_INSTALLMENTS_FREQUENCY", 0, 1, False),
+    ("CASH_ADVANCE_FREQUENCY", 0, 1, False),
+    ("CASH_ADVANCE_TRX", 0, 9, True),
+    ("PURCHASES_TRX", 1, 29, True),
+    ("CREDIT_LIMIT", 1000, 15000, False),
+    ("PAYMENTS", 0, 2000, False),
+    ("MINIMUM_PAYMENTS", 0, 500, False),
+    ("PRC_FULL_PAYMENT", 0, 1, False),
+    ("TENURE", 6, 47, True),
+]

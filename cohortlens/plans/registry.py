@@ -37,4 +37,5 @@ def load_all() -> None:
         q_log,
         q_stream,
         q_explain,
+        q_views,
     )
