@@ -114,6 +114,8 @@ def kmeans_fit(
     relabel = {old: new for new, old in enumerate(order)}
     mapping = F.create_map(*[x for old, new in relabel.items() for x in (F.lit(old), F.lit(new))])
     labels = model.transform(data).select(id_col, F.element_at(mapping, F.col("prediction")).cast("int").alias(LABEL))
+    # restarts are done: release the cache; labels recompute the deterministic input on demand
+    data.unpersist()
     return KMeansResult(labels=labels, centers=[centers[i] for i in order], cost=cost, seed=s, costs=costs)
 
 

@@ -56,8 +56,7 @@ def top_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- numeric_describe (A4) ------------------------------------------------------
-@register(
-    "numeric_describe",
+_NUMERIC_DESCRIBE_SQL = (
     PROFILE_CTE
     + ", long AS (SELECT * FROM (UNPIVOT (SELECT "
     + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC_PROFILE)
@@ -66,8 +65,11 @@ def top_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " INTO NAME column_name VALUE v)) SELECT column_name, count(v) AS count, "
     + f"{r4('avg(v)')} AS mean, {r4('stddev_samp(v)')} AS std, {r4('min(v)')} AS min, "
     + f"{r4('quantile_cont(v, 0.25)')} AS q25, {r4('quantile_cont(v, 0.5)')} AS q50, "
-    + f"{r4('quantile_cont(v, 0.75)')} AS q75, {r4('max(v)')} AS max FROM long GROUP BY column_name",
+    + f"{r4('quantile_cont(v, 0.75)')} AS q75, {r4('max(v)')} AS max FROM long GROUP BY column_name"
 )
+
+
+@register("numeric_describe", _NUMERIC_DESCRIBE_SQL)
 def numeric_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.numeric_describe(profile(spark, sf_dir)))
 
@@ -209,6 +211,27 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- dataset_report (D2, S12): tidy report rows -------------------------------------
-@register("dataset_report")
+def _report_sql() -> str:
+    desc = _NUMERIC_DESCRIBE_SQL
+    metrics = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    num = " UNION ALL ".join(
+        f"SELECT 'numeric' AS section, column_name, '{m}' AS metric, {r4(f'd.{m}')} AS value, CAST(NULL AS VARCHAR) AS text FROM ({desc}) d WHERE d.{m} IS NOT NULL"
+        for m in metrics
+    )
+    return f"""SELECT 'shape' AS section, CAST(NULL AS VARCHAR) AS column_name, 'row_count' AS metric, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text
+FROM ({PROFILE_CTE} SELECT * FROM profile) p
+UNION ALL SELECT 'shape', NULL, 'column_count', 18.0, NULL
+UNION ALL SELECT 'missing', column_name, 'missing_count', CAST(missing_count AS DOUBLE), NULL FROM ({_MISSING_SQL}) m
+UNION ALL SELECT 'missing', column_name, 'missing_percent', missing_percent, NULL FROM ({_MISSING_SQL}) m
+UNION ALL {num}
+UNION ALL SELECT 'categorical', 'CUST_ID', 'unique', CAST(count(DISTINCT CUST_ID) + max(CASE WHEN CUST_ID IS NULL THEN 1 ELSE 0 END) AS DOUBLE), NULL FROM ({PROFILE_CTE} SELECT * FROM profile) p
+UNION ALL SELECT 'categorical', 'CUST_ID', 'top', NULL, (SELECT CUST_ID FROM ({PROFILE_CTE} SELECT CUST_ID, count(*) AS c FROM profile GROUP BY CUST_ID) ORDER BY c DESC, CUST_ID LIMIT 1)
+UNION ALL SELECT 'categorical', 'CUST_ID', 'frequency', (SELECT CAST(max(c) AS DOUBLE) FROM ({PROFILE_CTE} SELECT count(*) AS c FROM profile GROUP BY CUST_ID)), NULL
+UNION ALL SELECT 'identifiers', NULL, 'customer_identifier', NULL, 'CUST_ID'
+UNION ALL SELECT 'identifiers', NULL, 'transaction_identifier', NULL, NULL
+UNION ALL SELECT 'notes', NULL, 'note', NULL, 'Dataset is customer-level, so no transaction identifier was detected.'"""
+
+
+@register("dataset_report", _report_sql())
 def dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.dataset_report(profile(spark, sf_dir)))

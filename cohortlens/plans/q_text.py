@@ -279,7 +279,41 @@ def ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- request_context (T13, T5, T12) -------------------------------------------------------------------
-@register("request_context")
+def _context_sql() -> str:
+    t = tokens_sql("nq")
+    kw = sorted(set(catalog.SEGMENTATION_KEYWORDS + catalog.BUSINESS_INTENT_KEYWORDS + catalog.DESCRIPTIVE_KEYWORDS))
+    gen = _list(catalog.GENERIC_INTENT_TOKENS)
+    et = tokens_sql(norm_sql("matched_example"))
+    overlap = f"len(list_intersect(list_filter({t}, lambda x: NOT list_contains({gen}, x)), list_filter({et}, lambda x: NOT list_contains({gen}, x)))) > 0"
+    sig = f"({overlap_sql(t, kw)} OR {contains_any_sql('nq', catalog.BUSINESS_INTENT_PHRASES)} OR (similarity_score >= {catalog.SEMANTIC_SIMILARITY_THRESHOLD} AND {overlap}))"
+    seg_tools = "|".join([catalog.TOOL_FEATURE_ENGINEERING, catalog.TOOL_SEGMENTATION, catalog.TOOL_RECOMMENDATION])
+    return (
+        TFIDF_CTE
+        + f""", c1 AS (SELECT *, {t} AS t, {_intent_sql()} AS intent, {_kw_sql(t)} AS keyword_intent, {sig} AS sig,
+                 {unsupported_sql(t)} AS unsup, {n_clusters_sql('nq')} AS n_clusters FROM sem),
+c2 AS (SELECT *, CASE WHEN intent = 'explanation' OR keyword_intent = 'explanation_only' THEN 'explanation_only'
+                      WHEN intent = 'descriptive' OR keyword_intent = 'eda_only' THEN 'eda_only'
+                      WHEN intent = 'segmentation' THEN 'full_workflow' ELSE 'eda_only' END AS workflow FROM c1)
+SELECT request_id, nq AS normalized_query, intent, category, similarity_score, matched_example, workflow,
+  CASE workflow WHEN 'explanation_only' THEN '' WHEN 'full_workflow' THEN {_q('|'.join(catalog.STEPS_SEGMENTATION))}
+       ELSE {_q('|'.join(catalog.STEPS_DESCRIPTIVE))} END AS steps,
+  CASE intent WHEN 'segmentation' THEN {_q(seg_tools)}
+       WHEN 'explanation' THEN CASE WHEN regexp_matches(raw_query, '(?i)\bC\d{{4,}}\b') THEN {_q(catalog.TOOL_CUSTOMER_LOOKUP)}
+                                    ELSE {_q(catalog.TOOL_SEGMENT_EXPLAINER)} END
+       ELSE {_q(catalog.TOOL_EDA)} END AS tools,
+  n_clusters, CASE WHEN {contains_any_sql('nq', catalog.CHART_WORDS)} THEN 'chart' ELSE 'table' END AS output_format,
+  {_entities_sql('nq')} AS entities, array_to_string(unsup, '|') AS unsupported_filters,
+  upper(nullif(regexp_extract(raw_query, '(?i)\b(C\d{{4,}})\b', 1), '')) AS customer_id, keyword_intent,
+  {_persona_sql('raw_query')} AS target_persona,
+  CASE WHEN len(t) < 3 AND NOT sig THEN 'query_too_vague'
+       WHEN len(unsup) > 0 AND NOT (sig OR n_clusters IS NOT NULL) THEN 'unsupported_filters_only'
+       WHEN NOT {overlap_sql('t', catalog.RULE_ENGINE_TIER_NAMES)} AND NOT regexp_matches(nq, '\d') AND {contains_any_sql('nq', catalog.THRESHOLD_PHRASES)}
+       THEN 'threshold_ambiguity' END AS clarification
+FROM c2"""
+    )
+
+
+@register("request_context", _context_sql())
 def request_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = X.build_context(requests(spark, sf_dir), "request_id", "query_text", DATASET_COLUMNS)
     return ctx.select(
