@@ -100,13 +100,18 @@ def log_reuse(requests: DataFrame, log: DataFrame, text_col: str = "query_text",
     )
 
 
-def append_log(rows: DataFrame, path: str, partition_by: str = "created_date") -> None:
+def append_log(rows: DataFrame, path: str, partition_by: str = "created_date") -> str | None:
     """Append log rows to a date-partitioned table (created on first write).
 
-    Writers never fail the caller: errors are returned as a string."""
+    Fire-and-forget like the reference: a failed write never fails the caller;
+    the error is returned as a string (None on success)."""
 
-    out = rows.withColumn(partition_by, F.substring("created_at", 1, 10))
-    out.write.mode("append").partitionBy(partition_by).parquet(path)
+    try:
+        out = rows.withColumn(partition_by, F.substring("created_at", 1, 10))
+        out.write.mode("append").partitionBy(partition_by).parquet(path)
+        return None
+    except Exception as err:  # noqa: BLE001
+        return f"{type(err).__name__}: {err}"
 
 
 def live_node_state(events: DataFrame) -> DataFrame:
@@ -117,3 +122,26 @@ def live_node_state(events: DataFrame) -> DataFrame:
         F.max_by(F.col("duration_ms"), F.struct("ts", "event_id")).alias("duration_ms"),
         F.count(F.lit(1)).alias("n_events"),
     )
+
+
+def log_record(spark, query_text: str, response: dict, graph: list | None = None, algorithm: str | None = None,
+               node_summary: dict | None = None, explanation_summary: dict | None = None, dataset_id: str = "customers",
+               record_id: int | None = None) -> DataFrame:
+    """L2: one log row (JSON text columns, ISO-8601 UTC time), ready for
+    ``append_log``. Failed runs are logged the same way with an error response."""
+
+    import datetime as _dt
+    import json
+
+    from cohortlens.operators.text import normalize_log_key
+
+    now = _dt.datetime.now(_dt.timezone.utc).isoformat()
+    rid = record_id if record_id is not None else int(_dt.datetime.now(_dt.timezone.utc).timestamp() * 1e6)
+    row = [(rid, query_text, dataset_id, json.dumps(graph) if graph else None, algorithm,
+            json.dumps(node_summary) if node_summary else None, json.dumps(explanation_summary) if explanation_summary else None,
+            json.dumps(response, default=str), now)]
+    df = spark.createDataFrame(row, "id long, query_text string, dataset_id string, execution_graph_summary string, chosen_algorithm string, "
+                                    "node_outputs_summary string, explanation_summary string, response_json string, created_at string")
+    return df.select("id", "query_text", normalize_log_key(F.col("query_text")).alias("query_text_normalized"), "dataset_id",
+                     "execution_graph_summary", "chosen_algorithm", "node_outputs_summary", "explanation_summary",
+                     "response_json", "created_at")

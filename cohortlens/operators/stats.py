@@ -114,10 +114,20 @@ def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
     )
 
 
-def uniqueness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Distinct values (NULL counted) ÷ rows, per column."""
+def uniqueness(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Distinct values (NULL counted) ÷ rows, per column.
+
+    ``approx=True`` uses one HyperLogLog++ pass (``approx_count_distinct``),
+    enough for the 0.9 identifier threshold on very wide/large tables."""
 
     cols = list(cols) if cols is not None else df.columns
+    if approx:
+        row = df.agg(F.count(F.lit(1)).alias("__n"), *[
+            (F.approx_count_distinct(F.col(c), rsd) + F.max(F.col(c).isNull().cast("int"))).alias(f"d{i}") for i, c in enumerate(cols)
+        ])
+        entries = [F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").cast("long").alias("n_distinct")) for i, c in enumerate(cols)]
+        return row.select("__n", F.inline(F.array(*entries))).select(
+            "column_name", "n_distinct", (F.col("n_distinct") / F.greatest(F.col("__n"), F.lit(1))).alias("uniqueness_ratio"))
     vc = value_counts(df, cols)
     n = df.agg(F.count(F.lit(1)).alias("n_rows"))
     per = vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))

@@ -77,3 +77,15 @@ def synthetic_profile(spark: SparkSession, rows: int = 120, seed: int = catalog.
         else:
             out.append((F.lit(float(lo)) + u * F.lit(float(hi - lo))).alias(col))
     return base.select(*out)
+
+
+def resolve_dataset(spark: SparkSession, root: str, dataset_id: str | None) -> str:
+    """Dataset id → published folder; unknown id → KeyError (a 400 upstream)."""
+
+    if not dataset_id:
+        raise KeyError("dataset id required")
+    path = f"{root.rstrip('/')}/{dataset_id}"
+    fs, p, _ = _fs(spark, path)
+    if not fs.exists(p):
+        raise KeyError(f"Dataset '{dataset_id}' not found")
+    return path

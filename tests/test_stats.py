@@ -38,3 +38,11 @@ def test_identifier_detection(spark):
     assert stats.identify_identifiers(df) == ("CUST_ID", "txn_id")
     df2 = spark.createDataFrame([(1, 1), (2, 1)], "row_id int, other int")
     assert stats.identify_identifiers(df2) == ("row_id", None)
+
+
+def test_uniqueness_exact_and_approx(spark):
+    df = spark.createDataFrame([(i, i % 3, None if i % 2 else "x") for i in range(100)], "a int, b int, c string")
+    exact = {r.column_name: r.n_distinct for r in stats.uniqueness(df).collect()}
+    approx = {r.column_name: r.n_distinct for r in stats.uniqueness(df, approx=True).collect()}
+    assert exact == {"a": 100, "b": 3, "c": 2}
+    assert approx["b"] == 3 and approx["c"] == 2 and abs(approx["a"] - 100) <= 3

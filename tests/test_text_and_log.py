@@ -92,3 +92,11 @@ def test_recent_and_reuse(spark):
     req = spark.createDataFrame([(10, "Q   one"), (11, "new text")], "request_id long, query_text string")
     out = {r.request_id: r for r in L.log_reuse(req, log, dataset_id="d").collect()}
     assert out[10].cache_hit and out[10].cached_id == 2 and not out[11].cache_hit
+
+
+def test_log_record_roundtrip(spark):
+    rec = L.log_record(spark, "Segment  Customers", {"cache_hit": False}, graph=[{"node_name": "eda", "dependencies": []}],
+                       node_summary={"eda": {"type": "dict", "duration_ms": 7, "status": "success"}}, record_id=5)
+    assert rec.first().query_text_normalized == "segment customers"
+    g = L.graph_view(rec).first()
+    assert (g.node_name, g.status, g.duration_ms) == ("eda", "success", 7)
