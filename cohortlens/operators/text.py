@@ -214,82 +214,125 @@ def _examples(spark: SparkSession) -> DataFrame:
     return df.withColumn("example", normalize_query(F.col("phrase")))
 
 
-_MODELS: dict = {}
+_PARAMS: dict = {}
 
 
-def fit_tfidf(spark: SparkSession, stop: list[str] = ENGLISH):
-    """Vocabulary + smooth idf, unit example vectors, class centroids.
+def model_params(spark: SparkSession, stop: list[str] = ENGLISH) -> dict:
+    """The fitted router as plain values.
 
-    All three are small (bounded by the fixed example phrases) and broadcast;
-    the fitted model is kept for the session.
-    """
+    Spark tokenises and counts terms per example phrase (one aggregation; the
+    result is bounded by the fixed phrases, ~200 rows). The smooth idf
+    ``ln((1+n)/(1+df)) + 1``, L2 normalisation and class centroids are then
+    parameter arithmetic over those counts."""
 
     key = (spark.sparkContext.applicationId, tuple(stop))
-    if key not in _MODELS:
-        _MODELS[key] = _fit_tfidf(spark, stop)
-    return _MODELS[key]
+    if key in _PARAMS:
+        return _PARAMS[key]
+    ex = _examples(spark)
+    rows = ex.select("cat_order", "category", "ex_idx", "example", F.explode_outer(terms(F.col("example"), stop)).alias("term")) \
+        .groupBy("cat_order", "category", "ex_idx", "example", "term").agg(F.count(F.lit(1)).alias("tf")).collect()
+    exs: dict = {}
+    for r in rows:
+        e = exs.setdefault((r["category"], r["ex_idx"]), {"example": r["example"], "order": r["cat_order"], "tf": {}})
+        if r["term"] is not None:
+            e["tf"][r["term"]] = float(r["tf"])
+    n = float(len(exs))
+    df: dict = {}
+    for e in exs.values():
+        for t in e["tf"]:
+            df[t] = df.get(t, 0) + 1
+    idf = {t: math.log((1.0 + n) / (1.0 + d)) + 1.0 for t, d in df.items()}
+    cats: dict = {}
+    for (cat, _), e in exs.items():
+        w = {t: c * idf[t] for t, c in e["tf"].items()}
+        nrm = math.sqrt(sum(v * v for v in w.values())) or 1.0
+        e["terms"] = {t: v / nrm for t, v in w.items()}
+        c = cats.setdefault(cat, {"order": e["order"], "terms": {}, "n": 0})
+        c["n"] += 1
+        for t, v in e["terms"].items():
+            c["terms"][t] = c["terms"].get(t, 0.0) + v
+    for c in cats.values():
+        c["terms"] = {t: v / c["n"] for t, v in c["terms"].items()}
+        c["cn"] = math.sqrt(sum(v * v for v in c["terms"].values()))
+    out = {"idf": idf, "categories": sorted(cats.items(), key=lambda kv: kv[1]["order"]),
+           "examples": sorted(exs.items(), key=lambda kv: (kv[1]["order"], kv[0][1]))}
+    _PARAMS[key] = out
+    return out
 
 
-def _fit_tfidf(spark: SparkSession, stop: list[str]):
+def _lit_map(d: dict) -> Column:
+    if not d:
+        return F.create_map().cast("map<string,double>")
+    return F.create_map(*[x for k, v in sorted(d.items()) for x in (F.lit(k), F.lit(float(v)))])
 
-    ex = _examples(spark)
-    n = ex.count()
-    tf = ex.select("cat_order", "category", "ex_idx", "example", F.explode(terms(F.col("example"), stop)).alias("term")) \
-        .groupBy("cat_order", "category", "ex_idx", "example", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
-        "term", (F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf")
-    )
-    w = tf.join(F.broadcast(vocab), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy("category", "ex_idx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    exv = w.join(norms, ["category", "ex_idx"]).select("cat_order", "category", "ex_idx", "example", "term", (F.col("w") / F.col("nrm")).alias("w"))
-    sizes = ex.groupBy("category").agg(F.count(F.lit(1)).alias("n_ex"))
-    cen = exv.groupBy("cat_order", "category", "term").agg(F.sum("w").alias("s")).join(sizes, "category") \
-        .select("cat_order", "category", "term", (F.col("s") / F.col("n_ex")).alias("c"))
-    cnorm = cen.groupBy("category").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("cn"))
-    return vocab.cache(), exv.cache(), cen.join(cnorm, "category").cache(), ex
 
+def _with_unit(docs: DataFrame, id_col: str, norm_col: str, params: dict) -> DataFrame:
+    """Adds ``__u``: the unit TF-IDF vector of each text as
+    array<struct<term, w>> (vocabulary terms, first-occurrence order).
+
+    Each step is its own projected column, so the lambdas of later steps read
+    materialised values instead of re-running the regex or the norm per element."""
 
-def tfidf_vectors(docs: DataFrame, id_col: str, norm_col: str, vocab: DataFrame) -> DataFrame:
-    """Unit TF-IDF vectors of the request texts as (id, term, w) rows."""
+    idf = _lit_map(params["idf"])
+    s1 = docs.select(id_col, F.filter(terms(F.col(norm_col)), lambda t: F.map_contains_key(idf, t)).alias("__vt"))
+    vt = F.col("__vt")
+    s2 = s1.select(id_col, F.transform(F.array_distinct(vt), lambda t: F.struct(
+        t.alias("term"), (F.size(F.filter(vt, lambda x: x == t)).cast("double") * F.element_at(idf, t)).alias("w"))).alias("__wt"))
+    wt = F.col("__wt")
+    s3 = s2.select(id_col, "__wt", F.sqrt(F.aggregate(wt, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])).alias("__n"))
+    return s3.select(id_col, F.transform(wt, lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("__n")).alias("w"))).alias("__u"))
 
-    tf = docs.select(id_col, F.explode(terms(F.col(norm_col))).alias("term")).join(F.broadcast(vocab), "term") \
-        .groupBy(id_col, "term", "idf").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    w = tf.withColumn("w", F.col("tf") * F.col("idf"))
-    nrm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    return w.join(nrm, id_col).select(id_col, "term", (F.col("w") / F.col("nrm")).alias("w"))
 
+def _dot(unit: Column, m: dict) -> Column:
+    mm = _lit_map(m)
+    return F.aggregate(unit, F.lit(0.0), lambda acc, s: acc + s["w"] * F.coalesce(F.element_at(mm, s["term"]), F.lit(0.0)))
 
-def classify_semantic(docs: DataFrame, id_col: str, norm_col: str, model=None) -> DataFrame:
+
+def tfidf_vectors(docs: DataFrame, id_col: str, norm_col: str, params: dict | None = None) -> DataFrame:
+    """Unit TF-IDF vectors of the request texts as (id, term, w) rows —
+    narrow projections plus an explode (no join, no shuffle)."""
+
+    params = params or model_params(docs.sparkSession)
+    u = _with_unit(docs, id_col, norm_col, params)
+    return u.select(id_col, F.inline("__u")).select(id_col, "term", "w")
+
+
+def classify_semantic(docs: DataFrame, id_col: str, norm_col: str, params: dict | None = None) -> DataFrame:
     """Best class by cosine to the class centroid (strictly greater wins,
     class order breaks ties), score to 4 decimals, best example inside the
-    class; no positive score → ('descriptive', 0.0, '')."""
+    class; no positive score → ('descriptive', 0.0, '').
+
+    The model rides along as literal maps, so scoring is a chain of narrow
+    projections per text: no join, no shuffle, linear in the number of texts."""
 
     from cohortlens.functions.expr import round_half_up
 
-    spark = docs.sparkSession
-    vocab, exv, cen, ex = model or fit_tfidf(spark)
-    q = tfidf_vectors(docs, id_col, norm_col, vocab)
-    sc = q.join(F.broadcast(cen), "term").groupBy(id_col, "cat_order", "category", "cn").agg(F.sum(F.col("w") * F.col("c")).alias("dot")) \
-        .select(id_col, "cat_order", "category", (F.col("dot") / F.col("cn")).alias("score")).where(F.col("score") > 0)
-    best = sc.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("cat_order"), F.col("category"))).alias("b")) \
-        .select(id_col, (-F.col("b.neg")).alias("score"), F.col("b.category").alias("category"))
-    exs = q.join(F.broadcast(exv.select("category", "ex_idx", "term", F.col("w").alias("e"))), "term") \
-        .groupBy(id_col, "category", "ex_idx").agg(F.sum(F.col("w") * F.col("e")).alias("es"))
-    first_ex = ex.groupBy("category").agg(F.min(F.struct("ex_idx", "example")).alias("fx"))
-    best_ex = exs.groupBy(id_col, "category").agg(F.min(F.struct((-F.col("es")).alias("neg"), F.col("ex_idx"))).alias("be"))
-    names = ex.select("category", "ex_idx", "example")
-    out = best.join(best_ex, [id_col, "category"], "left") \
-        .join(F.broadcast(first_ex), "category", "left") \
-        .withColumn("ex_idx", F.when(F.col("be").isNotNull() & (F.col("be.neg") < 0), F.col("be.ex_idx")).otherwise(F.col("fx.ex_idx"))) \
-        .join(F.broadcast(names), ["category", "ex_idx"], "left") \
-        .select(id_col, "category", "score", F.col("example").alias("matched_example"))
-    allid = docs.select(id_col)
-    res = allid.join(out, id_col, "left")
-    return res.select(
+    params = params or model_params(docs.sparkSession)
+    staged = _with_unit(docs, id_col, norm_col, params)
+    u = F.col("__u")
+    scores = F.array(*[
+        F.struct((-(_dot(u, c["terms"]) / F.lit(c["cn"]))).alias("neg"), F.lit(c["order"]).alias("ord"), F.lit(cat).alias("category"))
+        for cat, c in params["categories"]
+    ])
+    staged = staged.select(id_col, "__u", scores.alias("__s"))
+    staged = staged.select(id_col, "__u", F.array_min(F.filter("__s", lambda x: x["neg"] < 0)).alias("__b"))
+    cands = F.array(*[
+        F.struct(F.lit(cat).alias("category"), (-_dot(u, e["terms"])).alias("neg"), F.lit(idx).alias("ex_idx"), F.lit(e["example"]).alias("example"))
+        for (cat, idx), e in params["examples"]
+    ])
+    staged = staged.select(id_col, "__b", cands.alias("__c"))
+    first = {}
+    for (cat, idx), e in params["examples"]:
+        first.setdefault(cat, e["example"])
+    first_map = F.create_map(*[x for k, v in first.items() for x in (F.lit(k), F.lit(v))])
+    bcat = F.col("__b.category")
+    best_ex = F.array_min(F.transform(F.filter("__c", lambda c: (c["category"] == bcat) & (c["neg"] < 0)),
+                                      lambda c: F.struct(c["neg"].alias("neg"), c["ex_idx"].alias("ex_idx"), c["example"].alias("example"))))
+    return staged.select(
         id_col,
-        F.coalesce("category", F.lit("descriptive")).alias("category"),
-        F.coalesce(round_half_up(F.col("score"), 4), F.lit(0.0)).alias("similarity_score"),
-        F.coalesce("matched_example", F.lit("")).alias("matched_example"),
+        F.coalesce(bcat, F.lit("descriptive")).alias("category"),
+        F.coalesce(round_half_up(-F.col("__b.neg"), 4), F.lit(0.0)).alias("similarity_score"),
+        F.when(bcat.isNull(), F.lit("")).otherwise(F.coalesce(best_ex["example"], F.element_at(first_map, bcat))).alias("matched_example"),
     )
 
 
@@ -323,11 +366,11 @@ def ambiguity(norm: Column, score: Column, matched: Column, unsupported: Column,
     )
 
 
-def build_context(requests: DataFrame, id_col: str, text_col: str, dataset_columns: list[str], model=None) -> DataFrame:
+def build_context(requests: DataFrame, id_col: str, text_col: str, dataset_columns: list[str], params: dict | None = None) -> DataFrame:
     """One routing record per request."""
 
     base = requests.select(id_col, F.col(text_col).alias("raw_query")).withColumn("normalized_query", normalize_query(F.col("raw_query")))
-    sem = classify_semantic(base, id_col, "normalized_query", model)
+    sem = classify_semantic(base, id_col, "normalized_query", params)
     df = base.join(sem, id_col, "left")
     n = F.col("normalized_query")
     df = df.select(

@@ -227,8 +227,7 @@ def infer_persona(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tfidf_vectors", TFIDF_CTE + f" SELECT request_id, term, {r4('w', 6)} AS weight FROM qv")
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = requests(spark, sf_dir).select("request_id", X.normalize_query(F.col("query_text")).alias("nq"))
-    vocab, _, _, _ = X.fit_tfidf(spark)
-    v = X.tfidf_vectors(r, "request_id", "nq", vocab)
+    v = X.tfidf_vectors(r, "request_id", "nq")
     return rounded(v.select("request_id", "term", F.col("w").alias("weight")), 6)
 
 
