@@ -39,7 +39,7 @@ def _lloyd_sql(k: int = 3, iters: int = 3) -> str:
             + f" FROM a{t} GROUP BY i) q ON p.i = q.i)"
         )
     sel = " UNION ALL ".join(
-        f"SELECT c.i AS cluster_label, {j} AS position, '{col}' AS feature, c.c{j} AS center, "
+        f"SELECT CAST(c.i AS INTEGER) AS cluster_label, {j} AS position, '{col}' AS feature, c.c{j} AS center, "
         f"(SELECT count(*) FROM a{iters} a WHERE a.i = c.i) AS customer_count FROM c{iters} c"
         for j, col in enumerate(MATRIX_COLS)
     )

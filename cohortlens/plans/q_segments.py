@@ -287,7 +287,7 @@ _KN = "CASE cluster " + " ".join(f"WHEN {cid} THEN '{key}'" for cid, _, _, _, ke
 @register(
     "persona_top_n",
     PERSONA_JOIN_CTE + f""", r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {_SV} DESC, CUST_ID) AS rank FROM wp)
-SELECT cluster, persona, rank, CUST_ID, recommended_product, {_KN} AS sort_key, {r4(_KV)} AS sort_value FROM r WHERE rank <= 10""",
+SELECT cluster, persona, CAST(rank AS INTEGER) AS rank, CUST_ID, recommended_product, {_KN} AS sort_key, {r4(_KV)} AS sort_value FROM r WHERE rank <= 10""",
 )
 def persona_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.persona_top_n(with_personas(spark, sf_dir), 10))
