@@ -71,8 +71,9 @@ def impute_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     for f in df.schema.fields:
         c = f.name
         if c in todo and med[c] is not None:
-            base = F.nanvl(F.col(c), F.lit(None).cast("double")) if c in float_cols else F.col(c)
-            out.append(F.coalesce(base, F.lit(med[c]).cast(f.dataType)).alias(c))
+            # like pandas, a filled integer column becomes floating (its median may be x.5)
+            base = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+            out.append(F.coalesce(base, F.lit(float(med[c]))).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)

@@ -142,3 +142,15 @@ def kmeans_labels(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
         return _MATERIALIZED[mk]
     res = segment(features(spark, sf_dir), algorithm="kmeans", params={"n_clusters": k})
     return materialize(res.labels, "kmeans_labels", (sf_dir, k))
+
+
+def persona_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted persona clustering (M15) of the profile, materialised once per session."""
+
+    from cohortlens.operators.personas import fit_personas
+    from cohortlens.session import _MATERIALIZED, materialize
+
+    mk = (spark.sparkContext.applicationId, "personas", (sf_dir,))
+    if mk in _MATERIALIZED:
+        return _MATERIALIZED[mk]
+    return materialize(fit_personas(profile(spark, sf_dir)), "personas", (sf_dir,))

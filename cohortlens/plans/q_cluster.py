@@ -10,7 +10,7 @@ from cohortlens.operators import cluster as C
 from cohortlens.operators import personas as P
 from cohortlens.operators.features import persona_features, to_matrix
 from cohortlens.operators.registry import segment
-from cohortlens.plans.common import FEATURE_NAMES, features, fixed_label, r4, rounded
+from cohortlens.plans.common import FEATURE_NAMES, features, fixed_label, persona_frame, r4, rounded
 from cohortlens.plans.q_segments import LAB_CTE, _MAT
 from cohortlens.plans.common import profile
 from cohortlens.plans.registry import register
@@ -98,7 +98,7 @@ def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persona path."""
 
-    wp = P.fit_personas(profile(spark, sf_dir))
+    wp = persona_frame(spark, sf_dir)
     return wp.select("CUST_ID", "cluster", "persona", "recommended_product")
 
 
@@ -106,7 +106,14 @@ def kmeans_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def persona_fit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M15 + A15 on the fitted persona clusters."""
 
-    return P.persona_summary(P.fit_personas(profile(spark, sf_dir)))
+    return P.persona_summary(persona_frame(spark, sf_dir))
+
+
+@register("persona_targets")
+def persona_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted personas, top 10 customers of every persona by its sort key."""
+
+    return rounded(P.persona_top_n(persona_frame(spark, sf_dir), 10))
 
 
 @register("segment_quality")

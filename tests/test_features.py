@@ -79,3 +79,15 @@ def test_exact_quantiles_refine_matches_numpy(spark):
             want = float(np.quantile(sub, p))
             assert math.isclose(refine[((k,), "v", p)], want, rel_tol=1e-12, abs_tol=1e-12)
             assert math.isclose(direct[((k,), "v", p)], want, rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_integer_column_imputation_becomes_float(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "n long")
+    out = impute_median(df, ["n"])
+    assert dict(out.dtypes)["n"] == "double"
+    assert sorted(r.n for r in out.collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]
+
+
+def test_all_null_column_stays_null(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
+    assert [r.a for r in impute_median(df).collect()] == [None, None]
