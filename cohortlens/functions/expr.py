@@ -1,4 +1,4 @@
-"""Column expressions (all JVM-side, codegen friendly, ANSI-safe).
+"""Column expressions (all JVM-side built-ins, ANSI-safe).
 
 Spark 4 runs with ANSI on: a bare ``/`` by zero raises. Every ratio here
 goes through ``try_divide``.

@@ -173,7 +173,7 @@ def boundary_metrics(matrix: DataFrame, cols: Sequence[str], centers: DataFrame,
 
     Centers of labels ≥ 0 only; fewer than two → empty. The k centers ride
     along as a literal array, so this is one narrow projection (no join, no
-    shuffle) evaluated by whole-stage codegen.
+    shuffle); the array lambdas are evaluated inside the same stage.
     """
 
     real = centers.where(F.col(LABEL) >= 0)

@@ -1,11 +1,10 @@
 """Request-text operators over a column of texts.
 
-Everything is a built-in column expression (regex, arrays, higher-order
-functions), so it runs inside whole-stage codegen over whole texts. The TF-IDF
-router (T1/T2) is a set of DataFrame joins against bounded tables: the
-vocabulary and the class centroids come from the fixed example phrases
-(a few hundred terms) and are broadcast; request vectors stay distributed,
-one ``groupBy(doc)`` for norms and one for dot products.
+Everything is a built-in JVM column expression (regex, arrays, higher-order
+functions) over whole texts; no Python runs per row. The TF-IDF router (T1/T2)
+is fitted from the fixed example phrases (a few hundred terms) and travels as
+literal maps, so scoring a text is a chain of narrow projections with no join
+and no shuffle.
 """
 
 from __future__ import annotations
