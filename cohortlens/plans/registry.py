@@ -38,4 +38,5 @@ def load_all() -> None:
         q_stream,
         q_explain,
         q_views,
+        q_embed,
     )
