@@ -48,6 +48,17 @@ def requests(conversations: DataFrame) -> DataFrame:
     )
 
 
+def wall_clock_utc(c: F.Column, dtype: str) -> F.Column:
+    """A naive (NTZ) event time as the instant whose UTC wall clock equals it,
+    so day windows align with the naive dates whatever the session zone
+    (zone-free: microseconds since the naive epoch → instant)."""
+
+    if dtype != "timestamp_ntz":
+        return c.cast("timestamp")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, c))
+
+
 def node_outcomes(events: DataFrame) -> DataFrame:
     """One node execution per event (K1 at volume)."""
 
@@ -58,7 +69,7 @@ def node_outcomes(events: DataFrame) -> DataFrame:
         node.alias("node_name"),
         F.when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("success")).alias("status"),
         F.floor(F.col("value").cast("decimal(18,2)")).cast("bigint").alias("duration_ms"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        wall_clock_utc(F.col("ts"), dict(events.dtypes)["ts"]).alias("ts"),
     )
 
 
