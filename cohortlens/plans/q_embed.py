@@ -75,3 +75,14 @@ SELECT """ + r4("avg(s)") + """ AS silhouette_sq_euclidean, (SELECT count(*) FRO
 def embedding_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = C.silhouette_sq(matrix(spark, sf_dir), COLS)
     return rounded(out.select("silhouette_sq_euclidean", F.col("cluster_count").cast("long").alias("cluster_count"), "customer_count"))
+
+
+@register("embedding_segments")
+def embedding_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 at 64 dimensions: k-means (k = number of given labels, 10 restarts)
+    on every embedding; the given label is kept beside the fitted one."""
+
+    m = matrix(spark, sf_dir)
+    k = m.select("cluster_label").distinct().count()
+    fit = C.kmeans_fit(m.select("vec_id", *COLS), COLS, max(k, 2), id_col="vec_id")
+    return m.select("vec_id", F.col("cluster_label").alias("given_label")).join(fit.labels, "vec_id")
