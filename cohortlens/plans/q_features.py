@@ -35,14 +35,15 @@ def feature_by_segment_df(feat: DataFrame) -> DataFrame:
     base = feat.groupBy(seg).agg(
         F.count(F.lit(1)).alias("n_customers"),
         F.avg("monthly_spend").alias("avg_monthly_spend"),
-    )
-    q = exact_quantiles(feat, ["monthly_spend", "credit_utilization_ratio"], [0.5], by=[seg])
-    rows = sorted({g for (g, _, _) in q})
-    med = feat.sparkSession.createDataFrame(
-        [(g[0], q[(g, "monthly_spend", 0.5)], q[(g, "credit_utilization_ratio", 0.5)]) for g in rows],
-        f"{seg} string, median_monthly_spend double, median_credit_utilization double",
-    )
-    return base.join(F.broadcast(med), seg, "left")
+    ).limit(100_001).collect()  # one row per segment (bounded, checked below)
+    if len(base) > 100_000:
+        raise ValueError("too many segments for per-segment medians")
+    biggest = max((r["n_customers"] for r in base), default=0)
+    q = exact_quantiles(feat, ["monthly_spend", "credit_utilization_ratio"], [0.5], by=[seg], max_group_rows=biggest)
+    rows = [(r[seg], r["n_customers"], r["avg_monthly_spend"], q.get(((r[seg],), "monthly_spend", 0.5)),
+             q.get(((r[seg],), "credit_utilization_ratio", 0.5))) for r in base]
+    return feat.sparkSession.createDataFrame(
+        rows, f"{seg} string, n_customers long, avg_monthly_spend double, median_monthly_spend double, median_credit_utilization double")
 
 
 @register(
