@@ -95,3 +95,15 @@ def test_persona_resolution_and_top_n(spark):
     assert P.assign_by_profile([[0, 5, 0, 0, 0, 0], [9, 0, 0, 0, 0, 0], [0, 0, 7, 0, 0, 0], [0, 0, 0, 0, 0, 0]],
                                ["BALANCE", "PURCHASES", "CASH_ADVANCE", "CREDIT_UTILIZATION", "PAYMENT_RATIO", "PURCHASES_FREQUENCY"]) == {0: 0, 1: 1, 2: 2, 3: 3}
     _ = F
+
+
+def test_kmeans_reproducible_across_reruns(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.7, (60, 2)) for c in (0.0, 4.0, 8.0)])
+    rows = [(f"C{i:04d}", float(a), float(b)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "CUST_ID string, f1 double, f2 double").repartition(5)
+    a = C.kmeans_fit(df, ["f1", "f2"], 3, n_init=3, rank_by="f1")
+    b = C.kmeans_fit(df.repartition(3), ["f1", "f2"], 3, n_init=3, rank_by="f1")
+    la = {r.CUST_ID: r.cluster_label for r in a.labels.collect()}
+    lb = {r.CUST_ID: r.cluster_label for r in b.labels.collect()}
+    assert la == lb and math.isclose(a.cost, b.cost, rel_tol=1e-9)
