@@ -292,7 +292,7 @@ def _lime_batch(x, cls, ids, fr, bins, n_samples, top_n, seed, alpha=1.0):
 
 def lime_explanations(matrix: DataFrame, cols: Sequence[str], forest: dict, bins: dict, id_col: str = "CUST_ID",
                       label_col: str = LABEL, n_samples: int = 500, top_n: int = catalog.TOP_N_FEATURES,
-                      seed: int = catalog.SEED) -> DataFrame:
+                      seed: int = catalog.SEED, chunk_rows: int = 512) -> DataFrame:
     """H3: per customer top-N local-surrogate weights for its own class."""
 
     import pandas as pd
@@ -309,7 +309,12 @@ def lime_explanations(matrix: DataFrame, cols: Sequence[str], forest: dict, bins
             x = pdf[names].to_numpy(dtype=float)
             cls = pdf[label_col].to_numpy(dtype=np.int64)
             ids = pdf[id_col].astype(str).tolist()
-            full = _lime_batch(x, cls, ids, state["forest"], state["bins"], n_samples, top_n, seed)
+            # bounded memory: rows × samples × features per slice, not per Arrow batch
+            step = max(1, chunk_rows)
+            full = np.vstack([
+                _lime_batch(x[i:i + step], cls[i:i + step], ids[i:i + step], state["forest"], state["bins"], n_samples, top_n, seed)
+                for i in range(0, len(ids), step)
+            ])
             out = [_contrib_rows(w, names, top_n, 6) for w in full]
             yield pd.DataFrame({id_col: ids, label_col: cls.astype("int32"),
                                 "weights": [[c["value"] for c in r] for r in out], "contributions": out})
