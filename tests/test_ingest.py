@@ -4,7 +4,9 @@ import os
 import tempfile
 
 from cohortlens import catalog
-from cohortlens.sources.ingest import ingest, synthetic_profile
+import pytest
+
+from cohortlens.sources.ingest import ingest, resolve_dataset, synthetic_profile
 
 HEADER = "CUST_ID,TENURE,PURCHASES,PURCHASES_TRX,CASH_ADVANCE,INSTALLMENTS_PURCHASES,ONEOFF_PURCHASES,BALANCE,CREDIT_LIMIT,PAYMENTS,MINIMUM_PAYMENTS,PRC_FULL_PAYMENT,CASH_ADVANCE_TRX"
 
@@ -27,6 +29,9 @@ def test_upload_cases(spark):
     assert ingest(spark, _write(d, "bin.csv", bytes([0, 1, 2, 3, 255, 255])), root).status == 400
     bad = ingest(spark, _write(d, "missing.csv", b"CUST_ID,BALANCE,PURCHASES\nC1,1,2\n"), root)
     assert bad.status == 422 and not os.path.exists(os.path.join(root, bad.dataset_id))
+    assert resolve_dataset(spark, root, r.dataset_id).endswith(r.dataset_id)
+    with pytest.raises(KeyError):
+        resolve_dataset(spark, root, bad.dataset_id)
 
 
 def test_generator_ranges(spark):
