@@ -69,23 +69,14 @@ def numeric_describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
             F.min(x).alias(f"lo{i}"),
             F.max(x).alias(f"hi{i}"),
         ]
-    wide = df.agg(*aggs)
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    entries = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col(f"n{i}").alias("count"),
-            F.col(f"a{i}").alias("mean"),
-            F.col(f"s{i}").alias("std"),
-            F.col(f"lo{i}").alias("min"),
-            F.lit(q.get(((), c, 0.25))).cast("double").alias("q25"),
-            F.lit(q.get(((), c, 0.5))).cast("double").alias("q50"),
-            F.lit(q.get(((), c, 0.75))).cast("double").alias("q75"),
-            F.col(f"hi{i}").alias("max"),
-        )
-        for i, c in enumerate(cols)
-    ]
-    return wide.select(F.inline(F.array(*entries)))
+    # the one-row aggregate is bounded by the column count; its counts bound the
+    # quantile groups, so the quantile job needs no statistics pass of its own
+    w = df.agg(*aggs).first()
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], max_group_rows=max((w[f"n{i}"] for i in range(len(cols))), default=0))
+    rows = [(c, w[f"n{i}"], w[f"a{i}"], w[f"s{i}"], w[f"lo{i}"], q.get(((), c, 0.25)), q.get(((), c, 0.5)), q.get(((), c, 0.75)), w[f"hi{i}"])
+            for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
