@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, language, quality, toxicity
+from cohortlens.llm import bpe, language, mixing, quality, simhash, toxicity
 from cohortlens.llm.common import fold, read_table
 
 #: The vocabulary file that the BPE query uses.
@@ -21,6 +21,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "found.lang_pred", "found.score")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY))
@@ -44,10 +49,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score_texts(docs.select("doc_id", "text"), model), 0.5)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.with_components(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_language_id": op3_language_id,
+    "op5_mixing": op5_mixing,
     "op6_bpe": op6_bpe,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
+    "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.SQL}
