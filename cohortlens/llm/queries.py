@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, language, mixing, quality, sharding, simhash, toxicity
+from cohortlens.llm import bpe, language, merkle, mixing, quality, sharding, simhash, toxicity
 from cohortlens.llm.common import fold, read_table
 
 #: The vocabulary file that the BPE query uses.
@@ -42,6 +42,10 @@ def _judged(scored: DataFrame, bar: float) -> DataFrame:
     return scored.select("doc_id", held, "score", (F.col("score") >= bar).cast("int").alias("predicted"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
@@ -64,8 +68,9 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_mixing": op5_mixing,
     "op6_bpe": op6_bpe,
+    "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op5_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.SQL, "op7_fingerprints": merkle.SQL}
