@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, language, merkle, mixing, quality, sharding, simhash, toxicity
+from cohortlens.llm import bpe, language, merkle, mixing, quality, sharding, simhash, toxicity, urls
 from cohortlens.llm.common import fold, read_table
 
 #: The vocabulary file that the BPE query uses.
@@ -18,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language.train(docs)
@@ -65,6 +69,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op5_mixing": op5_mixing,
     "op6_bpe": op6_bpe,
@@ -73,4 +78,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op5_mixing": mixing.SQL, "op7_fingerprints": merkle.SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": urls.SQL, "op5_mixing": mixing.SQL, "op7_fingerprints": merkle.SQL}
