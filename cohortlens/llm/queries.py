@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, language, merkle, mixing, quality, sharding, simhash, toxicity, urls
+from cohortlens.llm import bpe, language, merkle, mixing, quality, sharding, simhash, topk, toxicity, urls
 from cohortlens.llm.common import fold, read_table
 
 #: The vocabulary file that the BPE query uses.
@@ -30,6 +30,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "found.lang_pred", "found.score")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(read_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
@@ -71,6 +76,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
+    "op4_topk": op4_topk,
     "op5_mixing": op5_mixing,
     "op6_bpe": op6_bpe,
     "op7_fingerprints": op7_fingerprints,
@@ -78,4 +84,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op2_url_filter": urls.SQL, "op5_mixing": mixing.SQL, "op7_fingerprints": merkle.SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": urls.SQL, "op4_topk": topk.SQL, "op5_mixing": mixing.SQL, "op7_fingerprints": merkle.SQL}

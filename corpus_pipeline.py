@@ -12,11 +12,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, language, toxicity
-from cohortlens.llm.common import read_table, save
+from cohortlens.llm import bpe, language, mixing, simhash, toxicity
+from cohortlens.llm.common import free_name, read_table, save
 from cohortlens.llm.queries import VOCABULARY
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text is rejected as toxic from this score on, and as of no clear language below the other.
 TOXIC_FROM = 0.5
 LANGUAGE_FROM = 0.5
@@ -25,27 +24,47 @@ LANGUAGE_FROM = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: rows scored TOXIC_FROM or more go."""
 
+    score = free_name(docs, "score")
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score_texts(docs.select(*COLUMNS), model, into="score_").filter(F.col("score_") < TOXIC_FROM).select(*COLUMNS)
+    return toxicity.score_texts(docs, model, into=score).filter(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: rows without a letter, or with no language clearly ahead, go."""
+    """Operator 3: rows without a letter, or with no language clearly ahead, go.
+    Without any learned language only rows without a letter can be told, and go."""
 
-    found = language.identify_texts(docs.select(*COLUMNS), language.train(docs), into="found_")
-    return found.filter((F.col("found_.lang_pred") != "und") & (F.col("found_.score") >= LANGUAGE_FROM)).select(*COLUMNS)
+    found = free_name(docs, "found")
+    model = language.train(docs)
+    if model is None:
+        return docs.filter(F.regexp_like(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"\p{L}")))
+    clear = (F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= LANGUAGE_FROM)
+    return language.identify_texts(docs, model, into=found).filter(clear).drop(found)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of each group of linked fingerprints the smallest doc_id stays."""
+
+    return simhash.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: each document as often as the mix takes it."""
+
+    return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: the ids of each text, checked by decoding them."""
 
-    coded = bpe.round_trip(docs.select(*COLUMNS), public_tokenizers.path(VOCABULARY), into="digest_")
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), into="digest_")
     return coded.select("doc_id", "source", "digest_.*")
 
 
 STAGES = [
     ("toxicity", drop_toxic),
     ("language_id", drop_unclear_language),
+    ("simhash", drop_near_duplicates),
+    ("mixing", mix_sources),
     ("bpe", encode),
 ]
 
