@@ -3,12 +3,12 @@
 All operators read the log table; JSON columns are parsed with ``from_json``
 (malformed → NULL → skipped). Latest-per-key uses ``max_by`` aggregation
 (partial aggregation, so a hot key costs one buffer per map task), never a
-window partitioned by the key.
+window over all rows of a key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens import catalog
@@ -82,21 +82,24 @@ def latest_per_key(log: DataFrame) -> DataFrame:
     )
 
 
-def log_reuse(requests: DataFrame, log: DataFrame, text_col: str = "query_text", dataset_id: str | None = None) -> DataFrame:
-    """L1: exact-key result reuse on (normalised text, dataset); adds
-    ``cache_hit`` and the reused row's id and time."""
-
-    from cohortlens.operators.text import normalize_log_key
-    from cohortlens.sources.querylog import DATASET_ID
-
-    latest = latest_per_key(log)
-    req = requests.select("*", normalize_log_key(F.col(text_col)).alias("query_text_normalized"),
-                          F.lit(dataset_id or DATASET_ID).alias("dataset_id"))
-    j = req.join(latest, ["query_text_normalized", "dataset_id"], "left")
-    return j.select(
-        *requests.columns, "query_text_normalized",
-        F.col("latest_id").isNotNull().alias("cache_hit"), F.col("latest_id").alias("cached_id"),
-        F.col("latest_created_at").alias("cached_created_at"),
+def log_reuse(log: DataFrame, key: str = "query_text_normalized") -> DataFrame:
+    """L1: every row looks up the log as it stood before the row was stored, by
+    exact key (normalised text, dataset): the latest earlier row by (created_at,
+    id), else a miss.
+
+    Rows of a key are ordered day by day, so a popular text is a group per day and
+    not one group; the day's first row looks at the last row of the key's previous
+    day (one small row per key and day)."""
+
+    rows = log.select("id", key, "dataset_id", "created_at", F.md5(F.col(key).cast("binary")).alias("digest"), F.substring("created_at", 1, 10).alias("day"))
+    place = F.struct("created_at", "id")
+    inside = Window.partitionBy("digest", "dataset_id", "day").orderBy("created_at", "id")
+    days = rows.groupBy("digest", "dataset_id", "day").agg(F.max(place).alias("last"))
+    days = days.withColumn("before", F.lag("last").over(Window.partitionBy("digest", "dataset_id").orderBy("day"))).drop("last")
+    found = rows.withColumn("earlier", F.lag(place).over(inside)).join(days, ["digest", "dataset_id", "day"])
+    hit = F.coalesce("earlier", "before")
+    return found.select(
+        F.col("id").alias("request_id"), key, hit.isNotNull().alias("cache_hit"), hit["id"].alias("cached_id"), hit["created_at"].alias("cached_created_at"),
     )
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import catalog
@@ -265,7 +265,7 @@ def _lit_map(d: dict) -> Column:
     return F.create_map(*[x for k, v in sorted(d.items()) for x in (F.lit(k), F.lit(float(v)))])
 
 
-def _with_unit(docs: DataFrame, id_col: str, norm_col: str, params: dict) -> DataFrame:
+def _with_unit(docs: DataFrame, id_col: str, norm_col: str, params: dict, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``__u``: the unit TF-IDF vector of each text as
     array<struct<term, w>> (vocabulary terms, first-occurrence order).
 
@@ -273,13 +273,13 @@ def _with_unit(docs: DataFrame, id_col: str, norm_col: str, params: dict) -> Dat
     materialised values instead of re-running the regex or the norm per element."""
 
     idf = _lit_map(params["idf"])
-    s1 = docs.select(id_col, F.filter(terms(F.col(norm_col)), lambda t: F.map_contains_key(idf, t)).alias("__vt"))
+    s1 = docs.select(id_col, *keep, F.filter(terms(F.col(norm_col)), lambda t: F.map_contains_key(idf, t)).alias("__vt"))
     vt = F.col("__vt")
-    s2 = s1.select(id_col, F.transform(F.array_distinct(vt), lambda t: F.struct(
+    s2 = s1.select(id_col, *keep, F.transform(F.array_distinct(vt), lambda t: F.struct(
         t.alias("term"), (F.size(F.filter(vt, lambda x: x == t)).cast("double") * F.element_at(idf, t)).alias("w"))).alias("__wt"))
     wt = F.col("__wt")
-    s3 = s2.select(id_col, "__wt", F.sqrt(F.aggregate(wt, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])).alias("__n"))
-    return s3.select(id_col, F.transform(wt, lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("__n")).alias("w"))).alias("__u"))
+    s3 = s2.select(id_col, *keep, "__wt", F.sqrt(F.aggregate(wt, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])).alias("__n"))
+    return s3.select(id_col, *keep, F.transform(wt, lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("__n")).alias("w"))).alias("__u"))
 
 
 def _dot(unit: Column, m: dict) -> Column:
@@ -296,10 +296,10 @@ def tfidf_vectors(docs: DataFrame, id_col: str, norm_col: str, params: dict | No
     return u.select(id_col, F.inline("__u")).select(id_col, "term", "w")
 
 
-def classify_semantic(docs: DataFrame, id_col: str, norm_col: str, params: dict | None = None) -> DataFrame:
+def classify_semantic(docs: DataFrame, id_col: str, norm_col: str, params: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Best class by cosine to the class centroid (strictly greater wins,
     class order breaks ties), score to 4 decimals, best example inside the
-    class; no positive score → ('descriptive', 0.0, '').
+    class; ``keep`` carries columns through; no positive score → ('descriptive', 0.0, '').
 
     The model rides along as literal maps, so scoring is a chain of narrow
     projections per text: no join, no shuffle, linear in the number of texts."""
@@ -307,19 +307,19 @@ def classify_semantic(docs: DataFrame, id_col: str, norm_col: str, params: dict
     from cohortlens.functions.expr import round_half_up
 
     params = params or model_params(docs.sparkSession)
-    staged = _with_unit(docs, id_col, norm_col, params)
+    staged = _with_unit(docs, id_col, norm_col, params, keep)
     u = F.col("__u")
     scores = F.array(*[
         F.struct((-(_dot(u, c["terms"]) / F.lit(c["cn"]))).alias("neg"), F.lit(c["order"]).alias("ord"), F.lit(cat).alias("category"))
         for cat, c in params["categories"]
     ])
-    staged = staged.select(id_col, "__u", scores.alias("__s"))
-    staged = staged.select(id_col, "__u", F.array_min(F.filter("__s", lambda x: x["neg"] < 0)).alias("__b"))
+    staged = staged.select(id_col, *keep, "__u", scores.alias("__s"))
+    staged = staged.select(id_col, *keep, "__u", F.array_min(F.filter("__s", lambda x: x["neg"] < 0)).alias("__b"))
     cands = F.array(*[
         F.struct(F.lit(cat).alias("category"), (-_dot(u, e["terms"])).alias("neg"), F.lit(idx).alias("ex_idx"), F.lit(e["example"]).alias("example"))
         for (cat, idx), e in params["examples"]
     ])
-    staged = staged.select(id_col, "__b", cands.alias("__c"))
+    staged = staged.select(id_col, *keep, "__b", cands.alias("__c"))
     first = {}
     for (cat, idx), e in params["examples"]:
         first.setdefault(cat, e["example"])
@@ -329,6 +329,7 @@ def classify_semantic(docs: DataFrame, id_col: str, norm_col: str, params: dict
                                       lambda c: F.struct(c["neg"].alias("neg"), c["ex_idx"].alias("ex_idx"), c["example"].alias("example"))))
     return staged.select(
         id_col,
+        *keep,
         F.coalesce(bcat, F.lit("descriptive")).alias("category"),
         F.coalesce(round_half_up(-F.col("__b.neg"), 4), F.lit(0.0)).alias("similarity_score"),
         F.when(bcat.isNull(), F.lit("")).otherwise(F.coalesce(best_ex["example"], F.element_at(first_map, bcat))).alias("matched_example"),
@@ -369,8 +370,7 @@ def build_context(requests: DataFrame, id_col: str, text_col: str, dataset_colum
     """One routing record per request."""
 
     base = requests.select(id_col, F.col(text_col).alias("raw_query")).withColumn("normalized_query", normalize_query(F.col("raw_query")))
-    sem = classify_semantic(base, id_col, "normalized_query", params)
-    df = base.join(sem, id_col, "left")
+    df = classify_semantic(base, id_col, "normalized_query", params, keep=("raw_query", "normalized_query"))
     n = F.col("normalized_query")
     df = df.select(
         "*",
@@ -395,5 +395,3 @@ def build_context(requests: DataFrame, id_col: str, text_col: str, dataset_colum
         ambiguity(n, F.col("similarity_score"), F.col("matched_example"), F.col("unsupported_filters"), F.col("n_clusters")).alias("clarification"),
     )
 
-
-_ = (math, Window)

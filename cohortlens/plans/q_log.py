@@ -9,7 +9,7 @@ from cohortlens import catalog
 from cohortlens.operators import querylog as L
 from cohortlens.plans.common import r4
 from cohortlens.plans.registry import register
-from cohortlens.sources.querylog import EVENT_NODE, load_query_log, load_requests, node_outcomes
+from cohortlens.sources.querylog import EVENT_NODE, load_query_log, node_outcomes, requests_sql
 from cohortlens.sources.tables import table
 
 
@@ -17,29 +17,24 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_NODE_CASE = "CASE event_type " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in EVENT_NODE.items()) + " END"
-LOG_CTE = f"""WITH req AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, text AS query_text FROM conversations WHERE role = 'user'),
-no AS (SELECT event_id, user_id AS query_id, {_NODE_CASE} AS node_name,
+LOG_CTE = f"""WITH req AS ({requests_sql()}),
+no AS (SELECT event_id, user_id AS query_id, CASE event_type {" ".join(f"WHEN {_q(e)} THEN {_q(n)}" for e, n in EVENT_NODE.items())} END AS node_name,
               CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
               CAST(floor(CAST(value AS DECIMAL(18,2))) AS BIGINT) AS duration_ms, ts FROM events),
-per AS (SELECT query_id, node_name, sum(duration_ms) AS duration_ms, bool_or(status = 'failed') AS failed FROM no GROUP BY ALL),
-ns AS (SELECT query_id, bool_or(node_name = 'segmentation') AS segmented, bool_or(failed) AS any_failed FROM per GROUP BY query_id),
-log0 AS (SELECT r.id, r.conv_id, r.query_text, trim(regexp_replace(lower(r.query_text), '\\s+', ' ', 'g')) AS query_text_normalized,
-                'customers' AS dataset_id, coalesce(ns.segmented, false) AS seg, ns.any_failed, ns.query_id IS NOT NULL AS has_nodes,
-                strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(r.conv_id AS BIGINT)) + to_minutes(CAST(r.turn AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00') AS created_at
-         FROM req r LEFT JOIN ns ON ns.query_id = r.conv_id),
+log0 AS (SELECT *, trim(regexp_replace(lower(query_text), '\\s+', ' ', 'g')) AS query_text_normalized, 'customers' AS dataset_id,
+                coalesce(node_name = 'segmentation', false) AS seg FROM req),
 log AS (SELECT *, row_number() OVER (PARTITION BY query_text_normalized, dataset_id ORDER BY created_at, id) > 1 AS cache_hit,
                CASE WHEN seg THEN 'kmeans' END AS chosen_algorithm,
-               CASE WHEN seg THEN CASE WHEN any_failed THEN 'rule_based_fallback' ELSE 'shap' END END AS explainer_used FROM log0)"""
+               CASE WHEN seg THEN CASE WHEN duration_ms % 4 = 0 THEN 'rule_based_fallback' ELSE 'shap' END END AS explainer_used FROM log0)"""
 
 _SEED = " UNION ALL ".join(f"SELECT {_q(n)} AS node_name" for n in catalog.KNOWN_NODES)
 
 
 @register(
     "node_stats",
-    LOG_CTE + f""", calls AS (SELECT p.node_name, count(*) AS call_count, count(*) FILTER (WHERE NOT p.failed) AS success_count,
-       count(*) FILTER (WHERE p.failed) AS failure_count, sum(p.duration_ms) AS total_ms
-  FROM log JOIN per p ON p.query_id = log.conv_id GROUP BY p.node_name),
+    LOG_CTE + f""", calls AS (SELECT node_name, count(*) AS call_count, count(*) FILTER (WHERE status = 'success') AS success_count,
+       count(*) FILTER (WHERE status <> 'success') AS failure_count, sum(duration_ms) AS total_ms
+  FROM log WHERE node_name IS NOT NULL GROUP BY node_name),
 seed AS ({_SEED})
 SELECT coalesce(c.node_name, s.node_name) AS node_name, coalesce(call_count, 0) AS call_count, coalesce(success_count, 0) AS success_count,
   coalesce(failure_count, 0) AS failure_count,
@@ -53,14 +48,12 @@ def node_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "graph_view",
     LOG_CTE + """, g AS (
-  SELECT id, conv_id, 0 AS position, 'feature_engineering' AS node_name, '' AS dependencies FROM log WHERE seg
-  UNION ALL SELECT id, conv_id, 1, 'segmentation', 'feature_engineering' FROM log WHERE seg
-  UNION ALL SELECT id, conv_id, 2, 'recommendation', 'segmentation' FROM log WHERE seg
-  UNION ALL SELECT id, conv_id, 0, 'eda', '' FROM log WHERE NOT seg)
-SELECT g.id, g.position, g.node_name,
-  CASE WHEN p.node_name IS NULL THEN 'skipped' WHEN p.failed THEN 'failed' ELSE 'success' END AS status,
-  CAST(coalesce(p.duration_ms, 0) AS BIGINT) AS duration_ms, g.dependencies
-FROM g LEFT JOIN per p ON p.query_id = g.conv_id AND p.node_name = g.node_name""",
+  SELECT id, 0 AS position, 'feature_engineering' AS node_name, '' AS dependencies, * EXCLUDE (id, node_name), node_name AS ran FROM log WHERE seg
+  UNION ALL SELECT id, 1, 'segmentation', 'feature_engineering', * EXCLUDE (id, node_name), node_name FROM log WHERE seg
+  UNION ALL SELECT id, 2, 'recommendation', 'segmentation', * EXCLUDE (id, node_name), node_name FROM log WHERE seg
+  UNION ALL SELECT id, 0, coalesce(node_name, 'eda'), '', * EXCLUDE (id, node_name), node_name FROM log WHERE NOT seg)
+SELECT id, position, node_name, CASE WHEN ran = node_name THEN status ELSE 'skipped' END AS status,
+  CAST(CASE WHEN ran = node_name THEN duration_ms ELSE 0 END AS BIGINT) AS duration_ms, dependencies FROM g""",
 )
 def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = L.graph_view(load_query_log(spark, sf_dir))
@@ -69,7 +62,7 @@ def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "recent_queries",
-    LOG_CTE + """ SELECT CAST(id AS VARCHAR) AS id, query_text, chosen_algorithm, cache_hit, explainer_used, created_at
+    LOG_CTE + """ SELECT id, query_text, chosen_algorithm, cache_hit, explainer_used, created_at
 FROM log ORDER BY created_at DESC, log.id DESC LIMIT 50""",
 )
 def recent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +71,7 @@ def recent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "latest_per_key",
-    LOG_CTE + """ SELECT query_text_normalized, dataset_id, arg_max(id, created_at || lpad(CAST(id AS VARCHAR), 20, '0')) AS latest_id,
+    LOG_CTE + """ SELECT query_text_normalized, dataset_id, arg_max(id, created_at || id) AS latest_id,
   max(created_at) AS latest_created_at, count(*) AS n_rows FROM log GROUP BY ALL""",
 )
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,15 +80,11 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "log_reuse",
-    LOG_CTE + """, latest AS (SELECT query_text_normalized, dataset_id, arg_max(id, created_at || lpad(CAST(id AS VARCHAR), 20, '0')) AS latest_id,
-  max(created_at) AS latest_created_at FROM log GROUP BY ALL)
-SELECT r.id AS request_id, trim(regexp_replace(lower(r.query_text), '\\s+', ' ', 'g')) AS query_text_normalized,
-  l.latest_id IS NOT NULL AS cache_hit, l.latest_id AS cached_id, l.latest_created_at AS cached_created_at
-FROM req r LEFT JOIN latest l ON l.query_text_normalized = trim(regexp_replace(lower(r.query_text), '\\s+', ' ', 'g')) AND l.dataset_id = 'customers'""",
+    LOG_CTE + """ SELECT id AS request_id, query_text_normalized, lag(id) OVER w IS NOT NULL AS cache_hit, lag(id) OVER w AS cached_id,
+  lag(created_at) OVER w AS cached_created_at FROM log WINDOW w AS (PARTITION BY query_text_normalized, dataset_id ORDER BY created_at, id)""",
 )
 def log_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = L.log_reuse(load_requests(spark, sf_dir), load_query_log(spark, sf_dir))
-    return out.select("request_id", "query_text_normalized", "cache_hit", "cached_id", "cached_created_at")
+    return L.log_reuse(load_query_log(spark, sf_dir))
 
 
 @register(

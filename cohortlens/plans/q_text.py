@@ -11,7 +11,7 @@ from cohortlens.operators import text as X
 from cohortlens.operators.personas import persona_from_text
 from cohortlens.plans.common import r4, rounded
 from cohortlens.plans.registry import register
-from cohortlens.sources.querylog import load_requests
+from cohortlens.sources.querylog import load_requests, requests_sql
 
 DATASET_COLUMNS = catalog.REQUIRED_COLUMNS
 
@@ -55,10 +55,7 @@ _EX_VALUES = ", ".join(
     f"({ci}, {_q(cat)}, {j}, {_q(p)})" for ci, (cat, ps) in enumerate(catalog.INTENT_EXAMPLES.items()) for j, p in enumerate(ps)
 )
 
-REQ_CTE = (
-    "WITH req AS (SELECT conv_id * 1000 + turn AS request_id, text AS raw_query, "
-    + norm_sql("text") + " AS nq FROM conversations WHERE role = 'user')"
-)
+REQ_CTE = "WITH req AS (SELECT id AS request_id, query_text AS raw_query, " + norm_sql("query_text") + " AS nq FROM (" + requests_sql() + "))"
 
 TFIDF_CTE = REQ_CTE + f""",
 ex AS (SELECT * FROM (VALUES {_EX_VALUES}) AS t(cat_order, category, ex_idx, phrase)),
@@ -245,9 +242,7 @@ def _intent_sql() -> str:
 )
 def centroid_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = requests(spark, sf_dir).select("request_id", X.normalize_query(F.col("query_text")).alias("nq"))
-    sem = X.classify_semantic(r, "request_id", "nq")
-    j = r.join(sem, "request_id")
-    return j.select(
+    return X.classify_semantic(r, "request_id", "nq", keep=("nq",)).select(
         "request_id", "category", "similarity_score", "matched_example",
         X.infer_intent(F.col("nq"), F.col("similarity_score"), F.col("category")).alias("intent"),
     )
@@ -297,16 +292,16 @@ SELECT request_id, nq AS normalized_query, intent, category, similarity_score, m
   CASE workflow WHEN 'explanation_only' THEN '' WHEN 'full_workflow' THEN {_q('|'.join(catalog.STEPS_SEGMENTATION))}
        ELSE {_q('|'.join(catalog.STEPS_DESCRIPTIVE))} END AS steps,
   CASE intent WHEN 'segmentation' THEN {_q(seg_tools)}
-       WHEN 'explanation' THEN CASE WHEN regexp_matches(raw_query, '(?i)\bC\d{{4,}}\b') THEN {_q(catalog.TOOL_CUSTOMER_LOOKUP)}
+       WHEN 'explanation' THEN CASE WHEN regexp_matches(raw_query, '(?i)\\bC\\d{{4,}}\\b') THEN {_q(catalog.TOOL_CUSTOMER_LOOKUP)}
                                     ELSE {_q(catalog.TOOL_SEGMENT_EXPLAINER)} END
        ELSE {_q(catalog.TOOL_EDA)} END AS tools,
   n_clusters, CASE WHEN {contains_any_sql('nq', catalog.CHART_WORDS)} THEN 'chart' ELSE 'table' END AS output_format,
   {_entities_sql('nq')} AS entities, array_to_string(unsup, '|') AS unsupported_filters,
-  upper(nullif(regexp_extract(raw_query, '(?i)\b(C\d{{4,}})\b', 1), '')) AS customer_id, keyword_intent,
+  upper(nullif(regexp_extract(raw_query, '(?i)\\b(C\\d{{4,}})\\b', 1), '')) AS customer_id, keyword_intent,
   {_persona_sql('raw_query')} AS target_persona,
   CASE WHEN len(t) < 3 AND NOT sig THEN 'query_too_vague'
        WHEN len(unsup) > 0 AND NOT (sig OR n_clusters IS NOT NULL) THEN 'unsupported_filters_only'
-       WHEN NOT {overlap_sql('t', catalog.RULE_ENGINE_TIER_NAMES)} AND NOT regexp_matches(nq, '\d') AND {contains_any_sql('nq', catalog.THRESHOLD_PHRASES)}
+       WHEN NOT {overlap_sql('t', catalog.RULE_ENGINE_TIER_NAMES)} AND NOT regexp_matches(nq, '\\d') AND {contains_any_sql('nq', catalog.THRESHOLD_PHRASES)}
        THEN 'threshold_ambiguity' END AS clarification
 FROM c2"""
     )

@@ -48,9 +48,8 @@ def product_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "explanation_counts",
-    LOG_CTE + """, nn AS (SELECT query_id, count(*) AS n FROM per GROUP BY query_id)
-SELECT explainer_used, count(*) AS n_queries, CAST(sum(nn.n) AS BIGINT) AS customer_count, CAST(sum(3) AS BIGINT) AS segment_count
-FROM log JOIN nn ON nn.query_id = log.conv_id WHERE seg GROUP BY explainer_used""",
+    LOG_CTE + """ SELECT explainer_used, count(*) AS n_queries, CAST(sum(duration_ms) AS BIGINT) AS customer_count, CAST(sum(k) AS BIGINT) AS segment_count
+FROM log WHERE seg GROUP BY explainer_used""",
 )
 def explanation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explanation counts recorded in the log, per explainer."""

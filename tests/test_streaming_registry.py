@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import querylog as L
 from cohortlens.operators import registry as R
-from cohortlens.sources.querylog import node_outcomes, query_log
+from cohortlens.sources.querylog import load_query_log, node_outcomes
 from cohortlens.sources.tables import table
 from cohortlens.streaming import events as S
 
@@ -34,7 +34,7 @@ def test_stream_live_state_equals_batch_latest(spark):
 
 
 def test_append_log_partitioned(spark):
-    log = query_log(table(spark, SF, "conversations"), table(spark, SF, "events"))
+    log = load_query_log(spark, SF)
     path = os.path.join(tempfile.mkdtemp(prefix="cohortlens-log-"), "log")
     L.append_log(log, path)
     L.append_log(log, path)

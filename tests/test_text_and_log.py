@@ -89,9 +89,15 @@ def test_recent_and_reuse(spark):
     log = _log(spark, rows)
     rec = L.recent_queries(log, 20).collect()
     assert [r.id for r in rec] == ["3", "2", "1"] and rec[1].cache_hit is True and rec[1].explainer_used == "lime"
-    req = spark.createDataFrame([(10, "Q   one"), (11, "new text")], "request_id long, query_text string")
-    out = {r.request_id: r for r in L.log_reuse(req, log, dataset_id="d").collect()}
-    assert out[10].cache_hit and out[10].cached_id == 2 and not out[11].cache_hit
+    out = {r.request_id: r for r in L.log_reuse(log).collect()}
+    assert not out[1].cache_hit and not out[3].cache_hit
+    assert out[2].cache_hit and (out[2].cached_id, out[2].cached_created_at) == (1, "2024-01-01T00:00:00+00:00")
+
+
+def test_reuse_reaches_over_days(spark):
+    base = ("T", "t", "d", None, None, None, None, None)
+    log = _log(spark, [(i, *base, f"2024-01-{day:02d}T0{i}:00:00+00:00") for i, day in [(1, 1), (2, 1), (3, 4), (4, 9), (5, 9)]])
+    assert {r.request_id: r.cached_id for r in L.log_reuse(log).collect()} == {1: None, 2: 1, 3: 2, 4: 3, 5: 4}
 
 
 def test_log_record_roundtrip(spark):
@@ -100,3 +106,51 @@ def test_log_record_roundtrip(spark):
     assert rec.first().query_text_normalized == "segment customers"
     g = L.graph_view(rec).first()
     assert (g.node_name, g.status, g.duration_ms) == ("eda", "success", 7)
+
+
+#: Decision columns of the text queries: each must show at least two values.
+DECISIONS = {
+    "normalize_text": ["token_count", "has_digit"], "extract_ids": ["customer_id", "customer_id_normalized"], "extract_cluster_count": ["n_clusters"],
+    "unsupported_filters": ["requested", "unsupported"], "keyword_intent": ["keyword_intent", "entities", "output_format"],
+    "infer_persona": ["target_persona", "operational_assumption"], "centroid_intent": ["category", "similarity_score", "matched_example", "intent"],
+    "ambiguity": ["clarification"], "request_context": ["intent", "workflow", "steps", "tools", "n_clusters", "customer_id", "clarification", "target_persona", "unsupported_filters"],
+    "log_reuse": ["cache_hit", "cached_id"], "latest_per_key": ["n_rows"], "recent_queries": ["query_text", "created_at"], "explanation_counts": ["explainer_used"],
+    "tfidf_vectors": ["term", "weight"], "graph_view": ["status"], "cluster_recommendations": ["tier", "tags"], "tiers": ["tier"], "unique_tags": ["tag"],
+}
+
+
+def test_decisions_vary(spark):
+    import duckdb
+
+    from cohortlens.plans import registry
+    from cohortlens.sources.tables import TABLES
+
+    registry.load_all()
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    for name, columns in DECISIONS.items():
+        if name not in registry.ORACLES:
+            continue
+        rows = con.execute(registry.ORACLES[name])
+        at = [d[0] for d in rows.description]
+        rows = rows.fetchall()
+        for c in columns:
+            if c in at:
+                assert len({str(r[at.index(c)]) for r in rows}) >= 2, (name, c)
+    rows = con.execute(registry.ORACLES["request_context"]).fetchall()
+    assert any("C10" in str(r) for r in rows)
+    assert {"query_too_vague", "unsupported_filters_only", "threshold_ambiguity", None} <= {r[0] for r in con.execute("SELECT DISTINCT clarification FROM (" + registry.ORACLES["ambiguity"] + ")").fetchall()}
+
+
+def test_context_sql_reads_customer_id():
+    import duckdb
+
+    from cohortlens.plans.q_text import _context_sql
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations AS SELECT 1 AS conv_id, 1 AS turn, 'user' AS role, 'Why was customer C10002 placed in this segment?' AS text")
+    con.execute("CREATE TABLE customer (c_custkey BIGINT, c_mktsegment VARCHAR)")
+    con.execute("CREATE TABLE events (event_id BIGINT, user_id BIGINT, event_type VARCHAR, ts TIMESTAMP, value DOUBLE)")
+    got = con.execute("SELECT customer_id, tools FROM (" + _context_sql() + ")").fetchall()
+    assert got == [("C10002", "Single_Customer_Lookup")]
