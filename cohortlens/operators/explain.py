@@ -18,8 +18,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
@@ -29,26 +31,40 @@ from pyspark.sql import functions as F
 
 from cohortlens import catalog
 from cohortlens.functions.expr import feature_label, round_half_up
-from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.session import ensure_checkpoint_dir, materialize
 
 LABEL = "cluster_label"
-CONTRIB = "array<struct<feature:string,feature_label:string,value:double,direction:string>>"
+SPREAD_ROWS = 50_000
+LIME_SAMPLES = 5_000  # the usual number of perturbations; callers may lower it
+
+
+#: Why an explanation is of the kind it is.
+REASONS = ("as_requested", "one_segment", "small_segment", "out_of_time", "surrogate_error", "no_centers")
 
 
 class SurrogateError(ValueError):
-    pass
+    """The labels cannot carry a surrogate; ``code`` is one of REASONS."""
+
+    def __init__(self, code: str, detail: str):
+        super().__init__(f"{code}: {detail}")
+        self.code = code
 
 
 # ---------------------------------------------------------------- H1
+def check_segments(matrix: DataFrame, label_col: str = LABEL, least: int = catalog.MIN_SURROGATE_SAMPLES) -> None:
+    """At least two segments, each with ``least`` members: one aggregate row over all label sizes."""
+
+    sizes = matrix.where(F.col(label_col) >= 0).groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    r = sizes.agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", label_col)).alias("low")).first()
+    if r["k"] < 2:
+        raise SurrogateError("one_segment", f"{r['k']} segments")
+    if r["low"]["n"] < least:
+        raise SurrogateError("small_segment", f"label {r['low'][label_col]} has {r['low']['n']} rows, {least} are needed")
+
+
 def fit_surrogate(matrix: DataFrame, cols: Sequence[str], label_col: str = LABEL, trees: int = catalog.SURROGATE_TREES,
                   depth: int = catalog.SURROGATE_DEPTH, seed: int = catalog.SEED):
-    sizes = {r[0]: r[1] for r in matrix.where(F.col(label_col) >= 0).groupBy(label_col).count().limit(10_001).collect()}
-    if len(sizes) < 2:
-        raise SurrogateError(f"Surrogate requires at least 2 non-noise clusters, got {len(sizes)}")
-    small = {k: v for k, v in sizes.items() if v < catalog.MIN_SURROGATE_SAMPLES}
-    if small:
-        k = min(small)
-        raise SurrogateError(f"Cluster {k} has only {small[k]} members (minimum {catalog.MIN_SURROGATE_SAMPLES} required for surrogate)")
+    check_segments(matrix, label_col)
     train = VectorAssembler(inputCols=list(cols), outputCol="features").transform(
         matrix.where(F.col(label_col) >= 0).select(*[F.col(c).cast("double") for c in cols], F.col(label_col).cast("double").alias("label"))
     )
@@ -87,10 +103,11 @@ def forest_arrays(model, spark) -> dict:
 
 
 def _spread(df: DataFrame, id_col: str) -> DataFrame:
-    """CPU-heavy Python stages get one task per core at least: hash-partition
-    on the id (AQE would otherwise coalesce a small input into one task)."""
+    """CPU-heavy Python stages get one task per core at least, and a task for every
+    SPREAD_ROWS rows: hash-partition on the id (AQE would coalesce a small input)."""
 
-    n = max(df.sparkSession.sparkContext.defaultParallelism * 2, 1)
+    sc = df.sparkSession.sparkContext
+    n = max(sc.defaultParallelism * 2, df.count() // SPREAD_ROWS)
     return df.repartition(n, id_col)
 
 
@@ -187,13 +204,18 @@ def forest_proba(x: np.ndarray, forest: dict) -> np.ndarray:
     return out / feat.shape[0]
 
 
-def _contrib_rows(vals: np.ndarray, names: list[str], top_n: int, digits: int) -> list:
-    order = np.lexsort((np.arange(len(vals)), -np.abs(vals)))[:top_n]
-    return [
-        {"feature": names[i], "feature_label": catalog.FEATURE_LABELS.get(names[i], names[i].replace("_", " ")),
-         "value": float(round(float(vals[i]), digits)), "direction": "positive" if vals[i] > 0 else "negative"}
-        for i in order
-    ]
+def with_contributions(df: DataFrame, vector: str, names: Sequence[str], top_n: int, digits: int = 6) -> DataFrame:
+    """Add ``contributions``: the ``top_n`` entries of a vector column by size
+    (ties by position), ranked inside the row by built-in array functions."""
+
+    place = F.sequence(F.lit(0), F.lit(len(names) - 1))
+    entries = F.transform(place, lambda i: F.struct((-F.abs(F.get(F.col(vector), i))).alias("size"), i.alias("i"), F.get(F.col(vector), i).alias("v")))
+    top = F.slice(F.array_sort(entries), 1, top_n)
+    feature = lambda e: F.get(F.array(*map(F.lit, names)), e["i"])
+    shown = F.transform(top, lambda e: F.struct(
+        feature(e).alias("feature"), feature_label(feature(e), catalog.FEATURE_LABELS).alias("feature_label"),
+        round_half_up(e["v"], digits).alias("value"), F.when(e["v"] > 0, F.lit("positive")).otherwise(F.lit("negative")).alias("direction")))
+    return df.withColumn("contributions", shown)
 
 
 def shap_explanations(matrix: DataFrame, cols: Sequence[str], forest: dict, id_col: str = "CUST_ID", label_col: str = LABEL,
@@ -221,13 +243,12 @@ def shap_explanations(matrix: DataFrame, cols: Sequence[str], forest: dict, id_c
                 label_col: cls.astype("int32"),
                 "base_value": base,
                 "prediction": prob,
-                "shap": [list(map(float, r)) for r in phi],
-                "contributions": [_contrib_rows(r, names, top_n, 6) for r in phi],
+                "shap": list(phi),
             })
 
-    schema = f"{id_col} string, {label_col} int, base_value double, prediction double, shap array<double>, contributions {CONTRIB}"
+    schema = f"{id_col} string, {label_col} int, base_value double, prediction double, shap array<double>"
     src = _spread(matrix.where((F.col(label_col) >= 0) & (F.col(label_col) < forest["classes"])).select(id_col, label_col, *[F.col(c).cast("double") for c in names]), id_col)
-    return src.mapInPandas(run, schema)
+    return with_contributions(src.mapInPandas(run, schema), "shap", names, top_n)
 
 
 # ---------------------------------------------------------------- H3 LIME-style local surrogate
@@ -237,7 +258,7 @@ def quartile_bins(matrix: DataFrame, cols: Sequence[str]) -> dict:
     from cohortlens.functions.quantile import exact_quantiles
 
     q = exact_quantiles(matrix, cols, [0.25, 0.5, 0.75])
-    edges = {c: [q[((), c, p)] for p in (0.25, 0.5, 0.75)] for c in cols}
+    edges = {c: [q[c, p] for p in (0.25, 0.5, 0.75)] for c in cols}
     bexpr = {c: F.when(F.col(c) <= edges[c][0], 0).when(F.col(c) <= edges[c][1], 1).when(F.col(c) <= edges[c][2], 2).otherwise(3) for c in cols}
     stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), bexpr[c].alias("bin"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
     st = matrix.select(stacked.alias("s")).groupBy("s.f", "s.bin").agg(F.min("s.v").alias("lo"), F.max("s.v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
@@ -251,15 +272,28 @@ def quartile_bins(matrix: DataFrame, cols: Sequence[str]) -> dict:
     return {"edges": np.array([edges[c] for c in cols], dtype=float), "lo": lo, "hi": hi, "freq": freq}
 
 
+def hashed_uniform(ids: np.ndarray, samples: int, width: int, seed: int) -> np.ndarray:
+    """Uniform numbers that hang on (id, sample, place) alone: one mixed 64-bit
+    hash for each, whatever batch a row comes in."""
+
+    import pandas as pd
+
+    with np.errstate(over="ignore"):
+        h = pd.util.hash_array(np.asarray(ids, dtype=object), categorize=False)[:, None, None] + np.uint64(seed)
+        h = h + np.arange(samples, dtype=np.uint64)[None, :, None] * np.uint64(0x9E3779B97F4A7C15)
+        h = h + np.arange(width, dtype=np.uint64)[None, None, :] * np.uint64(0xD1B54A32D192ED03)
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ h >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
 def _lime_batch(x, cls, ids, fr, bins, n_samples, top_n, seed, alpha=1.0):
     """Vectorised over the batch: perturb, score once, batched weighted ridge."""
 
-    import xxhash
-
     b, p = x.shape
     edges, freq = bins["edges"], bins["freq"]
     own = np.stack([np.searchsorted(edges[f], x[:, f], side="left") for f in range(p)], axis=1)  # (b, p)
-    u = np.stack([np.random.default_rng(xxhash.xxh64_intdigest(i, seed=seed)).random((n_samples, 2 * p)) for i in ids])  # (b, s, 2p)
+    u = hashed_uniform(ids, n_samples, 2 * p, seed)  # (b, s, 2p)
     cdf = np.cumsum(freq, axis=1)  # (p, 4)
     draw = np.stack([np.minimum(np.searchsorted(cdf[f], u[:, :, f], side="right"), 3) for f in range(p)], axis=2)  # (b, s, p)
     draw[:, 0, :] = own
@@ -291,8 +325,8 @@ def _lime_batch(x, cls, ids, fr, bins, n_samples, top_n, seed, alpha=1.0):
 
 
 def lime_explanations(matrix: DataFrame, cols: Sequence[str], forest: dict, bins: dict, id_col: str = "CUST_ID",
-                      label_col: str = LABEL, n_samples: int = 500, top_n: int = catalog.TOP_N_FEATURES,
-                      seed: int = catalog.SEED, chunk_rows: int = 512) -> DataFrame:
+                      label_col: str = LABEL, n_samples: int = LIME_SAMPLES, top_n: int = catalog.TOP_N_FEATURES,
+                      seed: int = catalog.SEED, chunk_rows: int = 24) -> DataFrame:
     """H3: per customer top-N local-surrogate weights for its own class."""
 
     import pandas as pd
@@ -315,19 +349,20 @@ def lime_explanations(matrix: DataFrame, cols: Sequence[str], forest: dict, bins
                 _lime_batch(x[i:i + step], cls[i:i + step], ids[i:i + step], state["forest"], state["bins"], n_samples, top_n, seed)
                 for i in range(0, len(ids), step)
             ])
-            out = [_contrib_rows(w, names, top_n, 6) for w in full]
-            yield pd.DataFrame({id_col: ids, label_col: cls.astype("int32"),
-                                "weights": [[c["value"] for c in r] for r in out], "contributions": out})
+            yield pd.DataFrame({id_col: ids, label_col: cls.astype("int32"), "local": list(full)})
 
-    schema = f"{id_col} string, {label_col} int, weights array<double>, contributions {CONTRIB}"
+    schema = f"{id_col} string, {label_col} int, local array<double>"
     src = _spread(matrix.where((F.col(label_col) >= 0) & (F.col(label_col) < forest["classes"])).select(id_col, label_col, *[F.col(c).cast("double") for c in names]), id_col)
-    return src.mapInPandas(run, schema)
+    out = with_contributions(src.mapInPandas(run, schema), "local", names, top_n)
+    return out.withColumn("weights", F.transform("contributions", lambda c: c["value"])).drop("local")
 
 
 # ---------------------------------------------------------------- A17, W4, H7, H8
 def segment_importance(contribs: DataFrame, label_col: str = LABEL, top_n: int = catalog.TOP_N_FEATURES,
                        full_vector_col: str | None = "shap", cols: Sequence[str] | None = None) -> DataFrame:
-    """A17 + W4: mean |contribution| per (segment, feature), top-N per segment.
+    """A17 + W4 + H8: mean |contribution| per (segment, feature), top-N per
+    segment with the segment's summary; the contributions are read once (a
+    customer's first entry counts the customer).
 
     With the full SHAP vector every feature counts for every customer; with
     top-N contributions (LIME) the sum is divided by the customers of the
@@ -336,23 +371,26 @@ def segment_importance(contribs: DataFrame, label_col: str = LABEL, top_n: int =
     if full_vector_col and cols:
         names = F.array(*[F.lit(c) for c in cols])
         ex = contribs.select(label_col, F.posexplode(full_vector_col).alias("i", "v")).select(
-            label_col, F.element_at(names, F.col("i") + 1).alias("feature"), F.abs("v").alias("a"))
+            label_col, F.element_at(names, F.col("i") + 1).alias("feature"), F.abs("v").alias("a"), (F.col("i") == 0).cast("long").alias("one"))
     else:
-        ex = contribs.select(label_col, F.explode("contributions").alias("c")).select(label_col, F.col("c.feature").alias("feature"), F.abs("c.value").alias("a"))
-    n = contribs.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    agg = ex.groupBy(label_col, "feature").agg(F.sum("a").alias("s")).join(F.broadcast(n), label_col).withColumn("mean_abs", F.col("s") / F.col("n"))
-    w = Window.partitionBy(label_col).orderBy(F.desc("mean_abs"), F.asc("feature"))
+        ex = contribs.select(label_col, F.posexplode("contributions").alias("i", "c")).select(
+            label_col, F.col("c.feature").alias("feature"), F.abs("c.value").alias("a"), (F.col("i") == 0).cast("long").alias("one"))
+    agg = ex.groupBy(label_col, "feature").agg(F.sum("a").alias("s"), F.sum("one").alias("one"))
+    # all below works on one small row per segment and feature
+    own = Window.partitionBy(label_col)
+    agg = agg.withColumn("mean_abs", F.col("s") / F.sum("one").over(own))
+    w = own.orderBy(F.desc("mean_abs"), F.asc("feature"))
     top = agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-    return top.select(label_col, "rank", "feature", feature_label(F.col("feature"), catalog.FEATURE_LABELS).alias("feature_label"),
-                      round_half_up(F.col("mean_abs"), 6).alias("mean_abs"))
+    top = top.withColumn("feature_label", feature_label(F.col("feature"), catalog.FEATURE_LABELS))
+    named = F.collect_list(F.when(F.col("rank") <= 3, F.col("feature_label"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    text = F.concat(F.lit("Segment "), F.col(label_col).cast("string"), F.lit(" is primarily defined by "), F.array_join(named, ", "), F.lit("."))
+    return top.select(label_col, "rank", "feature", "feature_label", round_half_up(F.col("mean_abs"), 6).alias("mean_abs"), text.alias("summary"))
 
 
 def segment_summaries(importance: DataFrame, label_col: str = LABEL) -> DataFrame:
     """H8: 'Segment k is primarily defined by a, b, c.'"""
 
-    top3 = importance.where(F.col("rank") <= 3).groupBy(label_col).agg(F.sort_array(F.collect_list(F.struct("rank", "feature_label"))).alias("t"))
-    return top3.select(label_col, F.concat(F.lit("Segment "), F.col(label_col).cast("string"), F.lit(" is primarily defined by "),
-                                           F.array_join(F.transform("t", lambda s: s["feature_label"]), ", "), F.lit(".")).alias("summary"))
+    return importance.where(F.col("rank") == 1).select(label_col, "summary")
 
 
 def contribution_sentences(expl: DataFrame, label_col: str = LABEL) -> DataFrame:
@@ -365,38 +403,78 @@ def contribution_sentences(expl: DataFrame, label_col: str = LABEL) -> DataFrame
     return expl.withColumn("explanation", s)
 
 
+@dataclass
+class Explanation:
+    """The frames of one explanation, the explainer that made them and the reason code."""
+
+    explainer: str
+    reason: str
+    detail: str
+    customers: DataFrame
+    segments: DataFrame
+    importance: DataFrame | None = None
+
+
+def within(spark, seconds: float, work: Callable):
+    """Run ``work`` in a job group of its own, which is cancelled when time is up."""
+
+    sc, group = spark.sparkContext, f"explain-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobGroup(group)
+
+    sc.setJobGroup(group, "explanation", interruptOnCancel=True)
+    timer = threading.Timer(seconds, stop)
+    timer.start()
+    try:
+        out = work()
+        if late.is_set():
+            raise SurrogateError("out_of_time", f"over {seconds:g} s")
+        return out
+    except SurrogateError:
+        raise
+    except Exception as err:  # noqa: BLE001 - the ladder's next step explains instead
+        code = "out_of_time" if late.is_set() else "surrogate_error"
+        raise SurrogateError(code, type(err).__name__) from err
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def explain(matrix: DataFrame, cols: Sequence[str], mode: str = "shap", centers: DataFrame | None = None,
-            boundary: DataFrame | None = None, id_col: str = "CUST_ID", label_col: str = LABEL) -> dict:
-    """H5 + H6: mode switch (invalid → shap) and fallback ladder to rule-based
-    explanations when the surrogate cannot be fitted; records which explainer
-    ran and why."""
+            boundary: DataFrame | None = None, id_col: str = "CUST_ID", label_col: str = LABEL, budget_s: float | None = None) -> Explanation:
+    """H5 + H6: explain every customer by ``mode`` (shap, lime or rule_based;
+    anything else means shap). A surrogate is fitted, executed and written inside
+    the time budget; when that fails, the rules on the centers explain, and
+    without centers the frames are empty. ``budget_s`` None sets no limit."""
 
     from cohortlens.operators import segments as S
 
-    mode = mode.strip().lower() if mode else "shap"
-    if mode not in ("shap", "lime", "rule_based"):
-        mode = "shap"
-    if mode == "rule_based":
-        if centers is None:
-            return {"explainer_used": "none", "explainer_reason": "no centers", "customers": None, "segments": None}
-        ex = S.rule_explanations(matrix, cols, centers, boundary, id_col)
-        return {"explainer_used": "rule_based", "explainer_reason": "mode set to rule_based", "customers": ex,
-                "segments": S.segment_summaries(ex)}
-    try:
-        _, forest = fit_surrogate(matrix, cols, label_col)
-        if mode == "shap":
-            con = shap_explanations(matrix, cols, forest, id_col, label_col)
-            imp = segment_importance(con, label_col, cols=cols)
-        else:
-            con = lime_explanations(matrix, cols, forest, quartile_bins(matrix, cols), id_col, label_col)
-            imp = segment_importance(con, label_col, full_vector_col=None)
-        ex = contribution_sentences(con.withColumnRenamed(id_col, "customer_id"), label_col)
-        ex = S.attach_boundary(ex.select("customer_id", label_col, "explanation", "contributions"), boundary)
-        return {"explainer_used": mode, "explainer_reason": f"{mode} surrogate-model explanation succeeded", "customers": ex,
-                "segments": segment_summaries(imp), "importance": imp}
-    except SurrogateError as err:
-        reason = f"rule_based_fallback: surrogate fit failure — {err}"
+    spark = matrix.sparkSession
+    asked = (mode or "").strip().lower()
+    asked = asked if asked in ("shap", "lime", "rule_based") else "shap"
+    code, detail = "as_requested", ""
+
+    def surrogate() -> tuple[DataFrame, DataFrame]:
+        forest = fit_surrogate(matrix, cols, label_col)[1]
+        if asked == "shap":
+            con = materialize(shap_explanations(matrix, cols, forest, id_col, label_col), "shap")
+            return con, materialize(segment_importance(con, label_col, cols=cols), "importance")
+        con = materialize(lime_explanations(matrix, cols, forest, quartile_bins(matrix, cols), id_col, label_col), "lime")
+        return con, materialize(segment_importance(con, label_col, full_vector_col=None), "importance")
+
+    if asked != "rule_based":
+        try:
+            con, imp = within(spark, budget_s, surrogate) if budget_s else surrogate()
+            ex = contribution_sentences(con.withColumnRenamed(id_col, "customer_id"), label_col)
+            ex = S.attach_boundary(ex.select("customer_id", label_col, "explanation", "contributions"), boundary)
+            return Explanation(asked, code, detail, ex, segment_summaries(imp, label_col), imp)
+        except SurrogateError as err:
+            code, detail = err.code, str(err)
     if centers is None:
-        return {"explainer_used": "rule_based_fallback", "explainer_reason": reason, "customers": None, "segments": None}
+        nobody = spark.createDataFrame([], f"customer_id string, {label_col} int, explanation string, nearest_alternate_cluster int, boundary_distance_ratio double")
+        return Explanation("none", "no_centers", detail, nobody, spark.createDataFrame([], f"{label_col} int, summary string"))
     ex = S.rule_explanations(matrix, cols, centers, boundary, id_col)
-    return {"explainer_used": "rule_based_fallback", "explainer_reason": reason, "customers": ex, "segments": S.segment_summaries(ex)}
+    return Explanation("rule_based", code, detail, ex, S.segment_summaries(ex))

@@ -1,10 +1,9 @@
-"""Algorithm registry and the segmentation entry point.
+"""Clustering algorithms by name and the segmentation entry point.
 
-A registry maps a name to ``fn(matrix, cols, params) -> labels DataFrame``
-plus metadata. Later registration replaces earlier; only ``active`` entries
-of type ``clustering`` are eligible. ``segment`` clamps parameters (M4, M7),
-fits, and falls back to k-means when the chosen algorithm fails or yields
-fewer than two real clusters (M8), recording why.
+An entry is a fit function, metadata and a table of parameter bounds; the bounds
+are data, read against the profile of the table at hand (rows, widest range).
+``segment`` clamps the request to them, runs the algorithm and reports one of the
+``REASONS`` codes; a request that cannot be served is served by k-means.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.ml.clustering import BisectingKMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,24 +21,41 @@ from cohortlens import catalog
 from cohortlens.operators import cluster as C
 from cohortlens.operators.features import feature_columns, to_matrix
 
-_REGISTRY: dict[str, dict[str, Any]] = {}
+#: Why a result was made the way it was.
+REASONS = ("as_requested", "not_active", "too_few_segments", "fit_error")
+DEFAULT = "kmeans"
 
 
-def register(name: str, fn: Callable, metadata: dict[str, Any]) -> None:
-    _REGISTRY[name] = {"fn": fn, "metadata": dict(metadata)}
+@dataclass(frozen=True)
+class Bound:
+    """A parameter's default and the range it is clamped to, given the table's rows."""
 
+    default: int
+    least: int
+    most: Callable[[int], int]
 
-def get(name: str) -> Callable | None:
-    e = _REGISTRY.get(name)
-    return e["fn"] if e else None
+    def clamp(self, value: Any, rows: int) -> int:
+        number = int(value) if str(value).lstrip("-").isdigit() else self.default
+        return max(self.least, min(number, self.most(rows)))
 
 
-def list_available() -> list[dict[str, Any]]:
-    return [{"name": n, "metadata": dict(e["metadata"])} for n, e in sorted(_REGISTRY.items())]
+BOUNDS: dict[str, dict[str, Bound]] = {
+    "kmeans": {
+        "n_clusters": Bound(3, 2, lambda rows: rows - 1),
+        "n_init": Bound(catalog.KMEANS_RESTARTS, 1, lambda rows: 100),
+        "random_state": Bound(catalog.SEED, 0, lambda rows: 2**31 - 1),
+    },
+    "bisecting_kmeans": {
+        "n_clusters": Bound(3, 2, lambda rows: rows - 1),
+        "random_state": Bound(catalog.SEED, 0, lambda rows: 2**31 - 1),
+    },
+}
 
 
-def active_clustering() -> list[str]:
-    return [e["name"] for e in list_available() if e["metadata"].get("type") == "clustering" and e["metadata"].get("status") == "active"]
+@dataclass
+class Entry:
+    fit: Callable | None
+    metadata: dict[str, Any]
 
 
 @dataclass
@@ -46,91 +64,87 @@ class SegmentationResult:
     algorithm: str
     parameters: dict[str, Any]
     reason: str
+    detail: str = ""
     centers: list[list[float]] | None = None
     inertia: float | None = None
     feature_columns: list[str] = field(default_factory=list)
 
 
-def _kmeans(matrix: DataFrame, cols: list[str], params: dict[str, Any]) -> tuple[DataFrame, list[list[float]], float]:
-    res = C.kmeans_fit(matrix, cols, params["n_clusters"], seed=params.get("random_state", catalog.SEED),
-                       n_init=params.get("n_init", catalog.KMEANS_RESTARTS), rank_by="monthly_spend")
-    return res.labels, res.centers, res.cost
+_ENTRIES: dict[str, Entry] = {}
+
 
+def register(name: str, fn: Callable | None, metadata: dict[str, Any]) -> None:
+    """Add or replace an algorithm; one without a function is known but not active."""
 
-def _density_unavailable(matrix: DataFrame, cols: list[str], params: dict[str, Any]):
-    # Exact density clustering needs every pair of points inside an
-    # eps-neighbourhood; a hot region makes that all pairs of a group. Not
-    # offered at scale (README, "Not built"); ``segment`` falls back to k-means.
-    raise NotImplementedError("density clustering is not available at scale")
+    status = metadata.get("status", "active") if fn else "unavailable"
+    _ENTRIES[name] = Entry(fn, {**metadata, "status": status})
 
 
-register("kmeans", _kmeans, {"type": "clustering", "algorithm": "KMeans", "status": "active",
-                             "parameters": {"n_clusters": 3, "random_state": catalog.SEED, "n_init": catalog.KMEANS_RESTARTS}})
-register("dbscan", _density_unavailable, {"type": "clustering", "algorithm": "DBSCAN", "status": "unavailable",
-                             "parameters": {"eps": catalog.DBSCAN_EPS, "min_samples": catalog.DBSCAN_MIN_SAMPLES}})
-register("hdbscan", _density_unavailable, {"type": "clustering", "algorithm": "HDBSCAN", "status": "unavailable",
-                                 "parameters": {"min_cluster_size": catalog.HIERARCHY_MIN_CLUSTER_SIZE, "min_samples": catalog.DBSCAN_MIN_SAMPLES}})
+def get(name: str) -> Callable | None:
+    return _ENTRIES[name].fit if name in _ENTRIES else None
 
 
-def sanitize(algorithm: str, params: dict[str, Any], row_count: int, requested_clusters: int, max_range: float) -> dict[str, Any]:
-    """M7: bounded, algorithm-specific parameters."""
+def list_available() -> list[dict[str, Any]]:
+    return [{"name": n, "metadata": dict(_ENTRIES[n].metadata)} for n in sorted(_ENTRIES)]
 
-    def as_int(v, d, lo, hi):
-        try:
-            x = int(v)
-        except (TypeError, ValueError):
-            x = d
-        return max(lo, min(x, hi))
 
-    def as_float(v, d, lo, hi):
-        try:
-            x = float(v)
-        except (TypeError, ValueError):
-            x = d
-        return max(lo, min(x, hi))
-
-    if algorithm == "kmeans":
-        return {"n_clusters": C.safe_cluster_count(row_count, params.get("n_clusters", requested_clusters)),
-                "random_state": catalog.SEED, "n_init": params.get("n_init", catalog.KMEANS_RESTARTS)}
-    if algorithm == "dbscan":
-        return {"eps": as_float(params.get("eps"), catalog.DBSCAN_EPS, 1e-4, max(max_range, 1e-4)),
-                "min_samples": as_int(params.get("min_samples"), catalog.DBSCAN_MIN_SAMPLES, 2, row_count)}
-    if algorithm == "hdbscan":
-        return {"min_cluster_size": as_int(params.get("min_cluster_size"), catalog.HIERARCHY_MIN_CLUSTER_SIZE, 2, row_count),
-                "min_samples": as_int(params.get("min_samples"), catalog.DBSCAN_MIN_SAMPLES, 2, row_count)}
-    raise ValueError(f"Unsupported clustering algorithm: {algorithm}")
-
-
-def segment(features: DataFrame, algorithm: str = "kmeans", params: dict[str, Any] | None = None,
+def active_clustering() -> list[str]:
+    return [n for n in sorted(_ENTRIES) if (_ENTRIES[n].metadata.get("type"), _ENTRIES[n].metadata["status"]) == ("clustering", "active")]
+
+
+def bounded(algorithm: str, params: dict[str, Any], rows: int) -> dict[str, int]:
+    """M4 / M7: every parameter of the algorithm, inside its bounds; others are dropped."""
+
+    if rows < 2:
+        raise ValueError("segmentation needs two rows or more")
+    table = BOUNDS.get(algorithm, BOUNDS[DEFAULT])
+    return {name: bound.clamp(params.get(name), rows) for name, bound in table.items()}
+
+
+def _kmeans(matrix: DataFrame, cols: list[str], params: dict[str, Any]):
+    res = C.kmeans_fit(matrix, cols, params["n_clusters"], seed=params["random_state"], n_init=params["n_init"], rank_by="monthly_spend")
+    return res.labels, res.centers, res.cost
+
+
+def _bisecting(matrix: DataFrame, cols: list[str], params: dict[str, Any]):
+    id_col = next(c for c in matrix.columns if c not in cols)
+    data = VectorAssembler(inputCols=cols, outputCol="v").transform(matrix)
+    model = BisectingKMeans(k=params["n_clusters"], seed=params["random_state"], featuresCol="v", predictionCol=C.LABEL).fit(data)
+    labels = model.transform(data).select(id_col, C.LABEL)
+    return labels, [list(map(float, c)) for c in model.clusterCenters()], float(model.summary.trainingCost)
+
+
+register("kmeans", _kmeans, {"type": "clustering", "algorithm": "KMeans"})
+register("bisecting_kmeans", _bisecting, {"type": "clustering", "algorithm": "BisectingKMeans"})
+# Exact density clustering needs all pairs of a neighbourhood (README, "Not built").
+register("dbscan", None, {"type": "clustering", "algorithm": "DBSCAN"})
+register("hdbscan", None, {"type": "clustering", "algorithm": "HDBSCAN"})
+
+
+def segment(features: DataFrame, algorithm: str = DEFAULT, params: dict[str, Any] | None = None,
             id_col: str = "CUST_ID", requested_clusters: int = 3) -> SegmentationResult:
-    """Cluster every feature (P2, P3) with ``algorithm``; fall back to k-means
-    on failure or on fewer than two non-noise clusters (M8)."""
+    """Cluster every feature (P2, P3) with ``algorithm`` (M8: else with k-means)."""
 
-    params = dict(params or {})
+    wanted = {"n_clusters": requested_clusters, **(params or {})}
     cols = feature_columns(features, id_col)
     matrix = to_matrix(features, id_col, cols)
-    prof = matrix.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in cols]).first()
-    n, max_range = int(prof["n"]), max(float(prof[c] or 0.0) for c in cols)
-    if algorithm not in active_clustering():
-        algorithm, reason = "kmeans", f"{algorithm} is not an active clustering algorithm"
-    else:
-        reason = f"{algorithm} selected"
-    chosen = sanitize(algorithm, params, n, requested_clusters, max_range)
-    try:
-        labels, centers, cost = get(algorithm)(matrix, cols, chosen)
-        if algorithm != "kmeans":
-            real = labels.where(F.col(C.LABEL) != -1).select(C.LABEL).distinct().limit(2).count()
-            if real < 2:
-                raise _TooFew(f"{algorithm} produced fewer than two usable clusters")
-    except Exception as err:  # noqa: BLE001 - fallback ladder records the reason
-        reason = f"Rule-based fallback selected KMeans: {err}" if isinstance(err, _TooFew) else \
-            f"Rule-based fallback selected KMeans after {algorithm} could not execute: {type(err).__name__}"
-        algorithm = "kmeans"
-        chosen = sanitize("kmeans", params, n, requested_clusters, max_range)
-        labels, centers, cost = get("kmeans")(matrix, cols, chosen)
-    return SegmentationResult(labels=labels, algorithm=algorithm, parameters=chosen, reason=reason,
-                              centers=centers, inertia=cost, feature_columns=cols)
-
-
-class _TooFew(Exception):
-    pass
+    rows = matrix.count()
+    reason, detail = "as_requested", ""
+    for name in dict.fromkeys((algorithm, DEFAULT)):
+        if name not in active_clustering():
+            reason, detail = "not_active", name
+            continue
+        chosen = bounded(name, wanted, rows)
+        try:
+            labels, centers, cost = get(name)(matrix, cols, chosen)
+            segments = labels.where(F.col(C.LABEL) >= 0).select(C.LABEL).distinct().limit(2).count()
+        except Exception as err:  # noqa: BLE001 - the next algorithm is tried, the cause is kept
+            if name == DEFAULT:
+                raise
+            reason, detail = "fit_error", f"{name}: {type(err).__name__}"
+            continue
+        if segments < 2 and name != DEFAULT:
+            reason, detail = "too_few_segments", name
+            continue
+        return SegmentationResult(labels, name, chosen, reason, detail, centers, cost, cols)
+    raise ValueError(f"no active clustering algorithm ({detail})")

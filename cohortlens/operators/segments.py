@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from cohortlens import catalog
 from cohortlens.functions.expr import euclidean, feature_label, round_half_up
-from cohortlens.functions.quantile import exact_quantiles
+from cohortlens.functions.quantile import quantiles_wide
 from cohortlens.operators.stats import tier_thresholds
 
 MAX_CLUSTERS = 10_000
@@ -58,32 +58,23 @@ PROFILE_MEDIANS = {
 
 
 def cluster_profile(labelled: DataFrame) -> DataFrame:
-    """A10 + A11 in one pass of quantile rounds: count, medians, q33 frequency."""
-
-    sizes = {r[LABEL]: r["customer_count"] for r in cluster_sizes(labelled).collect()}
-    _check_k(len(sizes))
-    biggest = max(sizes.values(), default=0)
-    med = exact_quantiles(labelled, list(PROFILE_MEDIANS), [0.5], by=[LABEL], max_group_rows=biggest)
-    q33 = exact_quantiles(labelled, ["transaction_frequency_per_month"], [catalog.TIER_LOW_QUANTILE], by=[LABEL], max_group_rows=biggest)
-    rows = []
-    for label in sorted(sizes):
-        g = (label,)
-        rows.append(
-            (int(label), int(sizes[label]), *[med.get((g, c, 0.5)) for c in PROFILE_MEDIANS],
-             q33.get((g, "transaction_frequency_per_month", catalog.TIER_LOW_QUANTILE)))
-        )
-    schema = f"{LABEL} int, customer_count long, " + ", ".join(f"{v} double" for v in PROFILE_MEDIANS.values()) + ", frequency_q33 double"
-    return labelled.sparkSession.createDataFrame(rows, schema)
+    """A10 + A11: count, medians and the lower frequency quantile of each label."""
+
+    wanted = {v: (c, 0.5) for c, v in PROFILE_MEDIANS.items()} | {"frequency_q33": ("transaction_frequency_per_month", catalog.TIER_LOW_QUANTILE)}
+    wide = quantiles_wide(labelled, wanted, by=[LABEL]).withColumnRenamed(LABEL, "label_")
+    sizes = cluster_sizes(labelled)
+    joined = sizes.join(wide, sizes[LABEL].eqNullSafe(wide["label_"]), "left")
+    return joined.select(F.col(LABEL).cast("int").alias(LABEL), "customer_count", *PROFILE_MEDIANS.values(), "frequency_q33")
 
 
 # ---------------------------------------------------------------- tiers, tags
-def tier_expr(thr: dict[str, float]) -> Column:
-    """R1 as a ``when`` chain over the cluster medians."""
+def tier_expr() -> Column:
+    """R1 as a ``when`` chain over the cluster medians and the threshold columns."""
 
     spend, freq = F.col("monthly_spend_median"), F.col("transaction_frequency_median")
     return (
-        F.when((spend >= F.lit(thr["spend_q67"])) & (freq >= F.lit(thr["frequency_q67"])), F.lit("priority"))
-        .when((spend <= F.lit(thr["spend_q33"])) | (freq <= F.lit(thr["frequency_q33"])), F.lit("dormant"))
+        F.when((spend >= F.col("spend_q67")) & (freq >= F.col("dataset_frequency_q67")), F.lit("priority"))
+        .when((spend <= F.col("spend_q33")) | (freq <= F.col("dataset_frequency_q33")), F.lit("dormant"))
         .otherwise(F.lit("regular"))
     )
 
@@ -116,15 +107,16 @@ def cluster_recommendations(labelled: DataFrame, features_all: DataFrame | None
     falling back to the rule message). Thresholds (A9) come from the whole
     feature table (``features_all``, default ``labelled``)."""
 
+    # one threshold row, joined to the per-cluster rows
     thr = tier_thresholds(features_all if features_all is not None else labelled)
-    prof = cluster_profile(labelled)
-    with_tier = prof.withColumn("tier", tier_expr(thr))
+    thr = thr.drop("credit_headroom_median").withColumnsRenamed({"frequency_q67": "dataset_frequency_q67", "frequency_q33": "dataset_frequency_q33"})
+    with_tier = cluster_profile(labelled).crossJoin(F.broadcast(thr)).withColumn("tier", tier_expr())
     rec = with_tier.withColumn("behavioral_products", tags_expr(F.col("tier"))).join(
         F.broadcast(bundles(labelled.sparkSession)), "tier"
     )
     rec = rec.withColumn("cross_sell", F.array_distinct(F.concat("tier_cross_sell", "behavioral_products")))
     if narratives is not None:
-        rec = rec.join(F.broadcast(narratives), LABEL, "left").withColumn("narrative", F.coalesce("narrative", "message"))
+        rec = rec.join(narratives, LABEL, "left").withColumn("narrative", F.coalesce("narrative", "message"))
     else:
         rec = rec.withColumn("narrative", F.col("message"))
     return rec.select(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.quantile import exact_quantiles
+from cohortlens.functions.quantile import quantile_table, quantiles_wide
 from cohortlens.operators.features import non_numeric_columns, numeric_columns
 
 
@@ -69,14 +69,14 @@ def numeric_describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
             F.min(x).alias(f"lo{i}"),
             F.max(x).alias(f"hi{i}"),
         ]
-    # the one-row aggregate is bounded by the column count; its counts bound the
-    # quantile groups, so the quantile job needs no statistics pass of its own
-    w = df.agg(*aggs).first()
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], max_group_rows=max((w[f"n{i}"] for i in range(len(cols))), default=0))
-    rows = [(c, w[f"n{i}"], w[f"a{i}"], w[f"s{i}"], w[f"lo{i}"], q.get(((), c, 0.25)), q.get(((), c, 0.5)), q.get(((), c, 0.75)), w[f"hi{i}"])
-            for i, c in enumerate(cols)]
-    return df.sparkSession.createDataFrame(
-        rows, "column_name string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
+    entries = [
+        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{a}{i}").alias(n) for a, n in (("n", "count"), ("a", "mean"), ("s", "std"), ("lo", "min"), ("hi", "max"))])
+        for i, c in enumerate(cols)
+    ]
+    moments = df.agg(*aggs).select(F.inline(F.array(*entries)))
+    quarters = quantile_table(df, cols, [0.25, 0.5, 0.75]).groupBy("column_name").agg(
+        *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    return moments.join(quarters, "column_name", "left").select("column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -266,18 +266,17 @@ def matrix_profile(matrix: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select("row_count", F.lit(len(cols)).alias("feature_count"), F.inline(F.array(*entries)))
 
 
-def tier_thresholds(features: DataFrame, high: float = 0.67, low: float = 0.33) -> dict[str, float]:
-    """Dataset-wide q67/q33 of spend and frequency, median headroom."""
+def tier_thresholds(features: DataFrame, high: float = 0.67, low: float = 0.33) -> DataFrame:
+    """One row with the dataset-wide upper and lower thresholds of spend and
+    frequency and the median headroom, from one quantile job."""
 
-    # one quantile job for all three columns (unused probabilities are free)
-    q = exact_quantiles(features, ["monthly_spend", "transaction_frequency_per_month", "credit_headroom"], [low, 0.5, high])
-    return {
-        "spend_q67": q[((), "monthly_spend", high)],
-        "spend_q33": q[((), "monthly_spend", low)],
-        "frequency_q67": q[((), "transaction_frequency_per_month", high)],
-        "frequency_q33": q[((), "transaction_frequency_per_month", low)],
-        "credit_headroom_median": q[((), "credit_headroom", 0.5)],
-    }
+    return quantiles_wide(features, {
+        "spend_q67": ("monthly_spend", high),
+        "spend_q33": ("monthly_spend", low),
+        "frequency_q67": ("transaction_frequency_per_month", high),
+        "frequency_q33": ("transaction_frequency_per_month", low),
+        "credit_headroom_median": ("credit_headroom", 0.5),
+    })
 
 
 def dataset_report(df: DataFrame) -> DataFrame:

@@ -45,22 +45,39 @@ def features(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> Da
     """The feature table (E1, E3-E14), materialised once per session."""
 
     from cohortlens import catalog
-    from cohortlens.session import _MATERIALIZED, materialize
+    from cohortlens.session import materialize, reuse
 
-    mk = (spark.sparkContext.applicationId, "features", (sf_dir, CARRY))
-    if mk in _MATERIALIZED:
-        full = _MATERIALIZED[mk]
-    else:
+    full = reuse(spark, "features", (sf_dir, CARRY))
+    if full is None:
         full = materialize(build_customer_features(profile(spark, sf_dir, CARRY), CARRY), "features", (sf_dir, CARRY))
     return full.select("CUST_ID", *keep, *catalog.FEATURE_COLUMNS)
 
 
 def fixed_label(id_col: str = "CUST_ID", k: int = 3) -> Column:
-    """Deterministic fixed labels for label-dependent oracles: id number mod k."""
+    """Deterministic fixed labels for the persona path: id number mod k."""
 
     return (F.substring(F.col(id_col), 2, 100).cast("bigint") % k).cast("int")
 
 
+#: Fixed cut points on the feature values: every customer's behavioural label.
+#: -1 is noise; 5 pays in full, 6 buys exactly once a month, 0 spends much and
+#: often, 1 relies on cash advances, 2 uses most of the limit, 3 buys little.
+#: The same text is read by Spark and by the SQL twin.
+BEHAVIOUR_LABEL = """CAST(CASE
+  WHEN TENURE = 6 AND monthly_spend < 90000 THEN -1
+  WHEN full_payment_ratio >= 0.9 AND oneoff_purchase_share >= 0.35 THEN 5
+  WHEN transaction_frequency_per_month = 1.0 THEN 6
+  WHEN monthly_spend >= 300000 AND transaction_frequency_per_month >= 1.2 THEN 0
+  WHEN cash_advance_ratio >= 0.3 THEN 1
+  WHEN credit_utilization_ratio >= 0.8 THEN 2
+  WHEN monthly_spend <= 150000 OR transaction_frequency_per_month <= 0.6 THEN 3
+  ELSE 4 END AS INT)"""
+
+
+def behaviour_label() -> Column:
+    return F.expr(BEHAVIOUR_LABEL)
+
+
 # ---- SQL side -------------------------------------------------------------
 
 FEATURES_SQL = (
@@ -130,27 +147,37 @@ def r4(expr: str, digits: int = R) -> str:
     return f"(floor(CAST({expr} AS DOUBLE) * {scale} + 0.5) / {scale} + 0.0)"
 
 
-def kmeans_labels(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
-    """The fitted k-means segments of the feature table (CUST_ID, cluster_label),
-    materialised once per session (M2 + M10)."""
+_FITS: dict = {}
+
+
+def kmeans_result(spark: SparkSession, sf_dir: str, k: int = 3):
+    """The fitted k-means segments of the feature table (M2 + M10), labels
+    materialised; fitted once per session and input."""
 
     from cohortlens.operators.registry import segment
-    from cohortlens.session import _MATERIALIZED, materialize
+    from cohortlens.session import input_state, materialize
+
+    key = (spark.sparkContext.applicationId, sf_dir, k, input_state(spark, sf_dir))
+    if key not in _FITS:
+        res = segment(features(spark, sf_dir), algorithm="kmeans", params={"n_clusters": k})
+        res.labels = materialize(res.labels, "kmeans_labels", (sf_dir, k))
+        _FITS[key] = res
+    return _FITS[key]
+
+
+def kmeans_labels(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """(CUST_ID, cluster_label) of the fitted k-means segments."""
 
-    mk = (spark.sparkContext.applicationId, "kmeans_labels", (sf_dir, k))
-    if mk in _MATERIALIZED:
-        return _MATERIALIZED[mk]
-    res = segment(features(spark, sf_dir), algorithm="kmeans", params={"n_clusters": k})
-    return materialize(res.labels, "kmeans_labels", (sf_dir, k))
+    return kmeans_result(spark, sf_dir, k).labels
 
 
 def persona_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted persona clustering (M15) of the profile, materialised once per session."""
 
     from cohortlens.operators.personas import fit_personas
-    from cohortlens.session import _MATERIALIZED, materialize
+    from cohortlens.session import materialize, reuse
 
-    mk = (spark.sparkContext.applicationId, "personas", (sf_dir,))
-    if mk in _MATERIALIZED:
-        return _MATERIALIZED[mk]
+    known = reuse(spark, "personas", (sf_dir,))
+    if known is not None:
+        return known
     return materialize(fit_personas(profile(spark, sf_dir)), "personas", (sf_dir,))

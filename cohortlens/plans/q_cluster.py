@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens import catalog
 from cohortlens.operators import cluster as C
 from cohortlens.operators import personas as P
-from cohortlens.operators.features import persona_features, to_matrix
-from cohortlens.operators.registry import segment
-from cohortlens.plans.common import FEATURE_NAMES, features, fixed_label, persona_frame, r4, rounded
-from cohortlens.plans.q_segments import LAB_CTE, _MAT
-from cohortlens.plans.common import profile
+from cohortlens.operators.features import to_matrix
+from cohortlens.plans.common import FEATURE_NAMES, features, kmeans_result, persona_frame, r4, rounded
+from cohortlens.plans.q_segments import LAB_CTE, _MAT, labelled_matrix
 from cohortlens.plans.registry import register
 
 MATRIX_COLS = ["TENURE", *FEATURE_NAMES]
@@ -80,7 +77,7 @@ SELECT """ + r4("avg(s)") + """ AS silhouette_sq_euclidean, (SELECT count(*) FRO
 
 @register("silhouette", _sil_sql())
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = to_matrix(features(spark, sf_dir)).withColumn(C.LABEL, fixed_label("CUST_ID", 3))
+    m = labelled_matrix(spark, sf_dir)
     out = C.silhouette_sq(m, MATRIX_COLS)
     return rounded(out.select("silhouette_sq_euclidean", F.col("cluster_count").cast("long").alias("cluster_count"), "customer_count"))
 
@@ -90,8 +87,7 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2 + M10: k=3 on all 12 unscaled features (10 restarts), canonical labels."""
 
-    res = segment(features(spark, sf_dir), algorithm="kmeans", params={"n_clusters": 3})
-    return res.labels
+    return kmeans_result(spark, sf_dir).labels
 
 
 @register("kmeans_personas")
@@ -121,10 +117,33 @@ def segment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9 + M11 + A12/A13 for the fitted k-means segments."""
 
     feat = features(spark, sf_dir)
-    res = segment(feat, algorithm="kmeans", params={"n_clusters": 3})
+    res = kmeans_result(spark, sf_dir)
     m = to_matrix(feat).join(res.labels, "CUST_ID")
     sil = C.silhouette_sq(m, MATRIX_COLS)
     return rounded(sil.select("*", F.lit(float(res.inertia)).alias("inertia"), F.lit(res.algorithm).alias("chosen_algorithm")))
 
 
-_ = (persona_features, catalog)
+# ---- invariants of the fitted models: each must hold for every customer -----------------------
+_ALL = "SELECT count(*) AS customers, count(*) AS holds FROM customer"
+
+
+@register("kmeans_nearest_center", _ALL)
+def kmeans_nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 / M9: every customer's label is that of the nearest returned center
+    (within rounding of the two distances), and no single restart was cheaper."""
+
+    res = kmeans_result(spark, sf_dir)
+    cols = res.feature_columns
+    m = to_matrix(features(spark, sf_dir)).join(res.labels, "CUST_ID")
+    vec = F.array(*[F.col(c).cast("double") for c in cols])
+    far = [C.euclidean(vec, F.array(*[F.lit(float(v)) for v in c])) for c in res.centers]
+    own = F.element_at(F.array(*far), F.col(C.LABEL) + 1)
+    return m.agg(F.count(F.lit(1)).alias("customers"), F.count_if(own <= F.least(*far) * (1 + 1e-9)).alias("holds"))
+
+
+@register("persona_counts_add_up", _ALL)
+def persona_counts_add_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M15 + A15: the fitted personas' customers add up to the table."""
+
+    s = P.persona_summary(persona_frame(spark, sf_dir)).agg(F.sum("customer_count").alias("holds"))
+    return s.crossJoin(persona_frame(spark, sf_dir).agg(F.count(F.lit(1)).alias("customers"))).select("customers", "holds")

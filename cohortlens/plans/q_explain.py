@@ -12,6 +12,7 @@ from cohortlens.operators import segments as S
 from cohortlens.operators.features import to_matrix
 from cohortlens.plans.common import FEATURE_NAMES, features, kmeans_labels, rounded
 from cohortlens.plans.registry import register
+from cohortlens.session import input_state
 
 COLS = ["TENURE", *FEATURE_NAMES]
 _FORESTS: dict = {}
@@ -22,16 +23,16 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forest(spark: SparkSession, sf_dir: str):
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, input_state(spark, sf_dir))
     if key not in _FORESTS:
         _FORESTS[key] = H.fit_surrogate(_matrix(spark, sf_dir), COLS)[1]
     return _FORESTS[key]
 
 
-def _flat(con: DataFrame, value_name: str) -> DataFrame:
+def _flat(con: DataFrame, value_name: str, *keep: str) -> DataFrame:
     top = F.transform("contributions", lambda c: F.concat_ws(":", c["feature"], c["direction"]))
     return con.select("CUST_ID", "cluster_label", F.array_join(top, "|").alias("top_features"),
-                      F.transform("contributions", lambda c: c["value"]).alias(value_name))
+                      F.transform("contributions", lambda c: c["value"]).alias(value_name), *keep)
 
 
 @register("surrogate_forest")
@@ -49,7 +50,16 @@ def shap_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H2 + W3: top-5 SHAP contributions of the own segment, every customer."""
 
     con = H.shap_explanations(_matrix(spark, sf_dir), COLS, _forest(spark, sf_dir))
-    return rounded(_flat(con, "shap_values").join(con.select("CUST_ID", "base_value", "prediction"), "CUST_ID"), 6)
+    return rounded(_flat(con, "shap_values", "base_value", "prediction"), 6)
+
+
+@register("shap_additivity", "SELECT count(*) AS customers, count(*) AS holds FROM customer")
+def shap_additivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2: base value plus contributions equals the forest's probability, every customer."""
+
+    con = H.shap_explanations(_matrix(spark, sf_dir), COLS, _forest(spark, sf_dir))
+    total = F.aggregate("shap", F.col("base_value"), lambda a, x: a + x)
+    return con.agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.abs(total - F.col("prediction")) < 1e-6).alias("holds"))
 
 
 @register("lime_top5")
@@ -66,8 +76,7 @@ def segment_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A17 + W4 + H8: mean |SHAP| per segment and feature, top 5, with summaries."""
 
     con = H.shap_explanations(_matrix(spark, sf_dir), COLS, _forest(spark, sf_dir))
-    imp = H.segment_importance(con, cols=COLS)
-    return imp.join(H.segment_summaries(imp), "cluster_label")
+    return H.segment_importance(con, cols=COLS)
 
 
 @register("customer_explanations")
@@ -79,5 +88,5 @@ def customer_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cen = S.explanation_centers(m, COLS)
     bnd = S.boundary_metrics(m, COLS, cen)
     out = H.explain(m, COLS, "shap", cen, bnd)
-    return out["customers"].select("customer_id", "cluster_label", "explanation", "nearest_alternate_cluster",
-                                   "boundary_distance_ratio").withColumn("explainer_used", F.lit(out["explainer_used"]))
+    return out.customers.select("customer_id", "cluster_label", "explanation", "nearest_alternate_cluster",
+                                "boundary_distance_ratio").withColumn("explainer_used", F.lit(out.explainer))

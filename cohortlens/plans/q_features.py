@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import catalog
-from cohortlens.functions.quantile import exact_quantiles
+from cohortlens.functions.quantile import quantile_table, quantiles_wide
 from cohortlens.operators.features import missing_required, persona_features
 from cohortlens.operators.scaling import standardize
 from cohortlens.plans.common import FEATURE_NAMES, FEATURES_CTE, PROFILE_SQL, features, r4, rounded
@@ -32,18 +32,11 @@ def feature_by_segment_df(feat: DataFrame) -> DataFrame:
     """
 
     seg = "c_mktsegment"
-    base = feat.groupBy(seg).agg(
-        F.count(F.lit(1)).alias("n_customers"),
-        F.avg("monthly_spend").alias("avg_monthly_spend"),
-    ).limit(100_001).collect()  # one row per segment (bounded, checked below)
-    if len(base) > 100_000:
-        raise ValueError("too many segments for per-segment medians")
-    biggest = max((r["n_customers"] for r in base), default=0)
-    q = exact_quantiles(feat, ["monthly_spend", "credit_utilization_ratio"], [0.5], by=[seg], max_group_rows=biggest)
-    rows = [(r[seg], r["n_customers"], r["avg_monthly_spend"], q.get(((r[seg],), "monthly_spend", 0.5)),
-             q.get(((r[seg],), "credit_utilization_ratio", 0.5))) for r in base]
-    return feat.sparkSession.createDataFrame(
-        rows, f"{seg} string, n_customers long, avg_monthly_spend double, median_monthly_spend double, median_credit_utilization double")
+    base = feat.groupBy(seg).agg(F.count(F.lit(1)).alias("n_customers"), F.avg("monthly_spend").alias("avg_monthly_spend"))
+    medians = {"median_monthly_spend": ("monthly_spend", 0.5), "median_credit_utilization": ("credit_utilization_ratio", 0.5)}
+    wide = quantiles_wide(feat, medians, by=[seg]).withColumnRenamed(seg, "segment_")
+    joined = base.join(wide, base[seg].eqNullSafe(wide["segment_"]), "left")
+    return joined.select(seg, "n_customers", "avg_monthly_spend", *medians)
 
 
 @register(
@@ -75,22 +68,24 @@ _PROFILE_NUMERIC = catalog.REQUIRED_COLUMNS[1:]
 )
 def impute_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     prof = profile(spark, sf_dir)
-    q = exact_quantiles(prof, _PROFILE_NUMERIC, [0.5])
-    rows = [(c, q[((), c, 0.5)]) for c in _PROFILE_NUMERIC]
-    return rounded(spark.createDataFrame(rows, "column_name string, median_value double"))
+    return rounded(quantile_table(prof, _PROFILE_NUMERIC, [0.5]).select("column_name", F.col("quantile").alias("median_value")))
 
 
 # -- required_columns_ok: P4 over the derived profile ---------------------------
 @register(
     "required_columns_ok",
-    "SELECT 18 AS n_required, 0 AS n_missing, '' AS missing_columns",
+    "WITH " + PROFILE_SQL + " " + " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS column_name, true AS present, count({c}) AS filled_rows FROM profile" for i, c in enumerate(catalog.REQUIRED_COLUMNS)),
 )
 def required_columns_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each required column, whether the profile has it and how many rows fill it."""
+
     prof = profile(spark, sf_dir)
-    miss = missing_required(prof)
-    return spark.createDataFrame(
-        [(len(catalog.REQUIRED_COLUMNS), len(miss), ",".join(miss))], "n_required int, n_missing int, missing_columns string"
-    )
+    missing = missing_required(prof)
+    entries = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(c not in missing).alias("present"),
+                        (F.lit(0).cast("long") if c in missing else F.col(f"n{i}")).alias("filled_rows")) for i, c in enumerate(catalog.REQUIRED_COLUMNS)]
+    counts = prof.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(catalog.REQUIRED_COLUMNS) if c not in missing])
+    return counts.select(F.inline(F.array(*entries)))
 
 
 # -- persona_features: E2 + E15-E17 ---------------------------------------------

@@ -1,8 +1,8 @@
 """Segment queries over fixed labels.
 
-Label-dependent oracles use a deterministic label on both sides: the customer
-number modulo 3 (segment path) or 4 (persona path). Every customer is kept;
-the modulo only assigns labels.
+Label-dependent oracles use a deterministic label on both sides: fixed cut points
+on the feature values (segment path, some customers noise), or the customer
+number modulo 4 (persona path). Every customer is kept.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from cohortlens import catalog
 from cohortlens.operators import personas as P
 from cohortlens.operators import segments as S
 from cohortlens.operators.features import persona_features, to_matrix
-from cohortlens.plans.common import FEATURE_NAMES, FEATURES_CTE, features, fixed_label, r4, rounded
+from cohortlens.plans.common import BEHAVIOUR_LABEL, FEATURE_NAMES, FEATURES_CTE, behaviour_label, features, fixed_label, r4, rounded
 from cohortlens.plans.q_features import PERSONA_CTE
 from cohortlens.plans.common import profile
 from cohortlens.plans.registry import register
@@ -24,14 +24,15 @@ LAB = "cluster_label"
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).withColumn(LAB, fixed_label("CUST_ID", 3))
+    return features(spark, sf_dir).withColumn(LAB, behaviour_label())
 
 
 def labelled_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_matrix(features(spark, sf_dir)).withColumn(LAB, fixed_label("CUST_ID", 3))
+    f = features(spark, sf_dir)
+    return to_matrix(f).join(f.select("CUST_ID", behaviour_label().alias(LAB)), "CUST_ID")
 
 
-LAB_CTE = FEATURES_CTE + ", lab AS (SELECT *, CAST(CAST(substr(CUST_ID, 2) AS BIGINT) % 3 AS INTEGER) AS cluster_label FROM feat)"
+LAB_CTE = FEATURES_CTE + f", lab AS (SELECT *, {BEHAVIOUR_LABEL} AS cluster_label FROM feat)"
 
 # ---- SQL fragments --------------------------------------------------------------
 _F = [f"CAST({c} AS DOUBLE)" for c in MATRIX_COLS]

@@ -123,9 +123,7 @@ def correlation_long(spark: SparkSession, sf_dir: str) -> DataFrame:
        {r4('median(credit_headroom)')} AS credit_headroom_median FROM feat""",
 )
 def tier_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = stats.tier_thresholds(features(spark, sf_dir))
-    names = ["spend_q67", "spend_q33", "frequency_q67", "frequency_q33", "credit_headroom_median"]
-    return rounded(spark.createDataFrame([tuple(t[n] for n in names)], ", ".join(f"{n} double" for n in names)))
+    return rounded(stats.tier_thresholds(features(spark, sf_dir)))
 
 
 # -- matrix_profile (A8) and feature_summary (A7) ---------------------------------

@@ -27,15 +27,13 @@ def explanation_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J7 + W8: explanations ⟕ customer recommendations ⟕ tiers, '' defaults,
     first 25 customers by id (TakeOrderedAndProject)."""
 
-    ex = _rules(spark, sf_dir).select("customer_id", "cluster_label", "explanation")
-    lab = labelled(spark, sf_dir)
-    recs = S.customer_recommendations(lab, S.cluster_recommendations(lab)).drop("cluster_label")
-    j = ex.join(recs, "customer_id", "left")
-    return j.select(
+    first = _rules(spark, sf_dir).select("customer_id", "cluster_label", "explanation").orderBy("customer_id").limit(25)
+    recs = S.cluster_recommendations(labelled(spark, sf_dir)).select("cluster_label", "tier", "message", "behavioral_products")
+    return first.join(recs, "cluster_label", "left").select(
         "customer_id", "cluster_label", "explanation", F.coalesce("tier", F.lit("")).alias("tier"),
-        F.coalesce("primary_recommendation", F.lit("")).alias("primary_recommendation"),
+        F.coalesce("message", F.lit("")).alias("primary_recommendation"),
         F.coalesce(F.array_join("behavioral_products", "|"), F.lit("")).alias("behavioral_products"),
-    ).orderBy("customer_id").limit(25)
+    )
 
 
 @register("product_catalog", RECS_CTE + " SELECT DISTINCT unnest(cross_sell) AS product FROM recs")

@@ -37,8 +37,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster the setting names a shared folder and is used as is. Only when
-    it is unset (local tests) a fresh scratch folder is created and registered.
+    The setting names a folder that driver and executors share and is used as is.
+    Where it is unset, only a ``local[...]`` master (one process, as in tests) gets
+    a scratch folder; anything else is an error, as executors would write to their
+    own disks.
     """
 
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,30 +51,75 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 _MATERIALIZED: dict[tuple, object] = {}
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def input_state(spark: SparkSession, folder: str) -> str:
+    """What the files under ``folder`` are now (names, sizes, times): derived
+    tables are only reused while this stays the same."""
+
+    import hashlib
+
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen, queue = [], [path]
+    while queue:
+        for st in fs.listStatus(queue.pop()):
+            if st.isDirectory():
+                queue.append(st.getPath())
+            else:
+                seen.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
 
 
 def materialize(df, name: str, key: tuple | None = None):
     """Write ``df`` as a parquet table under the shared checkpoint folder and
     read it back: cuts lineage, survives executor loss, and keeps column
-    pruning and predicate pushdown (unlike an RDD checkpoint). With ``key``,
-    the table is reused for the rest of the session."""
+    pruning and predicate pushdown (unlike an RDD checkpoint). With ``key``
+    (its first entry the input folder), the table is reused for the rest of the
+    session while the input files stay the same."""
 
     import uuid
 
     spark = df.sparkSession
-    memo_key = (spark.sparkContext.applicationId, name, key) if key is not None else None
+    app = spark.sparkContext.applicationId
+    memo_key = (app, name, key, input_state(spark, key[0])) if key is not None else None
     if memo_key is not None and memo_key in _MATERIALIZED:
         return _MATERIALIZED[memo_key]
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/cohortlens-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    out = spark.read.parquet(path)
+    _WRITTEN.setdefault(app, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
     if memo_key is not None:
         _MATERIALIZED[memo_key] = out
     return out
+
+
+def reuse(spark: SparkSession, name: str, key: tuple):
+    """The table that ``materialize`` keeps under ``key``, if the input is still the same."""
+
+    return _MATERIALIZED.get((spark.sparkContext.applicationId, name, key, input_state(spark, key[0])))
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the tables this session wrote; call it before the session ends."""
+
+    app = spark.sparkContext.applicationId
+    jvm = spark.sparkContext._jvm
+    paths = _WRITTEN.pop(app, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for k in [k for k in _MATERIALIZED if k[0] == app]:
+        del _MATERIALIZED[k]
+    return len(paths)

@@ -56,9 +56,13 @@ def ingest(spark: SparkSession, src: str, root: str, filename: str | None = None
         feats = build_customer_features(spark.read.parquet(f"{staging}/raw"))
         feats.write.mode("error").parquet(f"{staging}/features")
     except Exception as err:  # noqa: BLE001 - feature failure → 422, nothing published
+        fs, staged, _ = _fs(spark, staging)
+        fs.delete(staged, True)
         return IngestResult(False, 422, f"feature engineering failed: {type(err).__name__}", dataset_id)
-    fs, src_p, jvm = _fs(spark, staging)
-    fs.rename(src_p, jvm.org.apache.hadoop.fs.Path(final))
+    fs, staged, jvm = _fs(spark, staging)
+    if not fs.rename(staged, jvm.org.apache.hadoop.fs.Path(final)):
+        fs.delete(staged, True)
+        return IngestResult(False, 500, "the dataset could not be published", dataset_id)
     raw = spark.read.parquet(f"{final}/raw")
     preview = rows.orderBy("__row").limit(5).drop("__row")
     return IngestResult(True, 200, "ingested", dataset_id, raw.count(), len(cols), cols, final, preview)

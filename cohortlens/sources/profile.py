@@ -10,7 +10,8 @@ Plan shape (what we want at scale):
 * one aggregation per ``o_custkey`` computes every order- and line-level
   measure in a single pass, map-side combined, so a hot customer collapses to
   one row per map task before the shuffle;
-* ``customer`` joins the per-customer aggregate (1:1 on the key).
+* ``customer`` joins the per-customer aggregate (1:1 on the key); a customer
+  without orders stays, with zeros.
 
 Money is summed as ``decimal(18,2)`` and cast to double only at the end, which
 makes the sums exact and order independent (identical in DuckDB).
@@ -27,7 +28,9 @@ MONEY = "decimal(18,2)"
 
 
 def _share(cnt, n):
-    return F.try_divide(cnt.cast("double"), n.cast("double"))
+    """A share of a customer's orders; 0 for a customer without any."""
+
+    return F.coalesce(F.try_divide(cnt.cast("double"), n.cast("double")), F.lit(0.0))
 
 
 def customer_profile(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -62,29 +65,30 @@ def customer_profile(customer: DataFrame, orders: DataFrame, lineitem: DataFrame
         F.sum(F.coalesce(F.col("minpay"), zero)).alias("minpay"),
     )
     c = customer.select("c_custkey", "c_nationkey", "c_acctbal", *keep)
-    j = c.join(agg, c.c_custkey == agg.o_custkey, "inner")
+    j = c.join(agg, c.c_custkey == agg.o_custkey, "left")
+    none = F.lit(0)
     n = F.col("n")
     key = F.col("c_custkey")
     return j.select(
         F.concat(F.lit("C"), (F.lit(10000) + key).cast("string")).alias("CUST_ID"),
         F.col("c_acctbal").cast("double").alias("BALANCE"),
         _share(F.col("n_not_p"), n).alias("BALANCE_FREQUENCY"),
-        F.col("purchases").cast("double").alias("PURCHASES"),
-        F.col("oneoff").cast("double").alias("ONEOFF_PURCHASES"),
-        F.col("inst").cast("double").alias("INSTALLMENTS_PURCHASES"),
-        F.col("cash").cast("double").alias("CASH_ADVANCE"),
+        F.coalesce(F.col("purchases"), none).cast("double").alias("PURCHASES"),
+        F.coalesce(F.col("oneoff"), none).cast("double").alias("ONEOFF_PURCHASES"),
+        F.coalesce(F.col("inst"), none).cast("double").alias("INSTALLMENTS_PURCHASES"),
+        F.coalesce(F.col("cash"), none).cast("double").alias("CASH_ADVANCE"),
         _share(F.col("n_purchase"), n).alias("PURCHASES_FREQUENCY"),
         _share(F.col("n_oneoff"), n).alias("ONEOFF_PURCHASES_FREQUENCY"),
         _share(F.col("n_inst"), n).alias("PURCHASES_INSTALLMENTS_FREQUENCY"),
         _share(F.col("n_cash"), n).alias("CASH_ADVANCE_FREQUENCY"),
-        F.col("n_cash").cast("bigint").alias("CASH_ADVANCE_TRX"),
-        F.col("n_purchase").cast("bigint").alias("PURCHASES_TRX"),
+        F.coalesce("n_cash", none).cast("bigint").alias("CASH_ADVANCE_TRX"),
+        F.coalesce("n_purchase", none).cast("bigint").alias("PURCHASES_TRX"),
         F.when(key % 97 == 0, F.lit(None).cast("double"))
         .otherwise((F.lit(2000) + F.lit(500) * F.col("c_nationkey")).cast("double"))
         .alias("CREDIT_LIMIT"),
-        F.col("paid").cast("double").alias("PAYMENTS"),
+        F.coalesce(F.col("paid"), none).cast("double").alias("PAYMENTS"),
         F.when(key % 29 == 0, F.lit(None).cast("double"))
-        .otherwise(F.col("minpay").cast("double") / F.lit(20.0))
+        .otherwise(F.coalesce(F.col("minpay"), none).cast("double") / F.lit(20.0))
         .alias("MINIMUM_PAYMENTS"),
         _share(F.col("n_f"), n).alias("PRC_FULL_PAYMENT"),
         (F.lit(6) + key % 7).cast("bigint").alias("TENURE"),
@@ -126,22 +130,22 @@ per_cust AS (
 profile AS (
   SELECT 'C' || CAST(10000 + c_custkey AS VARCHAR) AS CUST_ID,
          CAST(c_acctbal AS DOUBLE) AS BALANCE,
-         n_not_p::DOUBLE / n AS BALANCE_FREQUENCY,
-         CAST(purchases AS DOUBLE) AS PURCHASES,
-         CAST(oneoff AS DOUBLE) AS ONEOFF_PURCHASES,
-         CAST(inst AS DOUBLE) AS INSTALLMENTS_PURCHASES,
-         CAST(cash AS DOUBLE) AS CASH_ADVANCE,
-         n_purchase::DOUBLE / n AS PURCHASES_FREQUENCY,
-         n_oneoff::DOUBLE / n AS ONEOFF_PURCHASES_FREQUENCY,
-         n_inst::DOUBLE / n AS PURCHASES_INSTALLMENTS_FREQUENCY,
-         n_cash::DOUBLE / n AS CASH_ADVANCE_FREQUENCY,
-         CAST(n_cash AS BIGINT) AS CASH_ADVANCE_TRX,
-         CAST(n_purchase AS BIGINT) AS PURCHASES_TRX,
+         coalesce(n_not_p::DOUBLE / n, 0.0) AS BALANCE_FREQUENCY,
+         CAST(coalesce(purchases, 0) AS DOUBLE) AS PURCHASES,
+         CAST(coalesce(oneoff, 0) AS DOUBLE) AS ONEOFF_PURCHASES,
+         CAST(coalesce(inst, 0) AS DOUBLE) AS INSTALLMENTS_PURCHASES,
+         CAST(coalesce(cash, 0) AS DOUBLE) AS CASH_ADVANCE,
+         coalesce(n_purchase::DOUBLE / n, 0.0) AS PURCHASES_FREQUENCY,
+         coalesce(n_oneoff::DOUBLE / n, 0.0) AS ONEOFF_PURCHASES_FREQUENCY,
+         coalesce(n_inst::DOUBLE / n, 0.0) AS PURCHASES_INSTALLMENTS_FREQUENCY,
+         coalesce(n_cash::DOUBLE / n, 0.0) AS CASH_ADVANCE_FREQUENCY,
+         CAST(coalesce(n_cash, 0) AS BIGINT) AS CASH_ADVANCE_TRX,
+         CAST(coalesce(n_purchase, 0) AS BIGINT) AS PURCHASES_TRX,
          CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE CAST(2000 + 500 * c_nationkey AS DOUBLE) END AS CREDIT_LIMIT,
-         CAST(paid AS DOUBLE) AS PAYMENTS,
-         CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE CAST(minpay AS DOUBLE) / 20.0 END AS MINIMUM_PAYMENTS,
-         n_f::DOUBLE / n AS PRC_FULL_PAYMENT,
+         CAST(coalesce(paid, 0) AS DOUBLE) AS PAYMENTS,
+         CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE CAST(coalesce(minpay, 0) AS DOUBLE) / 20.0 END AS MINIMUM_PAYMENTS,
+         coalesce(n_f::DOUBLE / n, 0.0) AS PRC_FULL_PAYMENT,
          CAST(6 + c_custkey % 7 AS BIGINT) AS TENURE
-  FROM customer JOIN per_cust ON c_custkey = o_custkey
+  FROM customer LEFT JOIN per_cust ON c_custkey = o_custkey
 )
 """

@@ -46,7 +46,30 @@ def test_fallback_to_rules_for_single_cluster(spark):
     pdf = pd.DataFrame({"CUST_ID": [f"C{i}" for i in range(30)], "f1": rng.normal(5, 1, 30), "f2": rng.normal(3, 1, 30),
                         "cluster_label": [0] * 30})
     df = spark.createDataFrame(pdf)
-    out = H.explain(df, ["f1", "f2"], mode="shap", centers=S.explanation_centers(df, ["f1", "f2"]))
-    assert out["explainer_used"] == "rule_based_fallback" and "surrogate fit failure" in out["explainer_reason"]
-    assert out["customers"].count() == 30
-    assert H.explain(df, ["f1", "f2"], mode="nonsense")["explainer_used"] == "rule_based_fallback"
+    centers = S.explanation_centers(df, ["f1", "f2"])
+    out = H.explain(df, ["f1", "f2"], mode="shap", centers=centers)
+    assert (out.explainer, out.reason) == ("rule_based", "one_segment")
+    assert out.customers.count() == 30
+    out = H.explain(df, ["f1", "f2"], mode="nonsense")
+    assert (out.explainer, out.reason) == ("none", "no_centers") and out.customers.count() == out.segments.count() == 0
+    assert H.explain(df, ["f1", "f2"], mode="Rule_Based ", centers=centers).reason == "as_requested"
+
+
+def test_small_segment_and_time_budget(spark, split_df):
+    from pyspark.sql import functions as F
+
+    few = split_df.withColumn("cluster_label", F.when(F.col("CUST_ID") < "C00003", 7).otherwise(F.col("cluster_label")))
+    centers = S.explanation_centers(split_df, COLS)
+    assert H.explain(few, COLS, centers=S.explanation_centers(few, COLS)).reason == "small_segment"
+    late = H.explain(split_df, COLS, centers=centers, budget_s=0.2)
+    assert (late.explainer, late.reason) == ("rule_based", "out_of_time") and late.customers.count() == 60
+    in_time = H.explain(split_df, COLS, centers=centers, budget_s=300)
+    assert (in_time.explainer, in_time.reason) == ("shap", "as_requested") and in_time.customers.count() == 60
+    assert in_time.segments.count() == 2
+
+
+def test_perturbations_hang_on_the_row_alone():
+    ids = [f"C{i}" for i in range(50)]
+    whole, part = H.hashed_uniform(ids, 40, 6, 1), H.hashed_uniform(ids[10:13], 40, 6, 1)
+    assert (whole[10:13] == part).all() and abs(whole.mean() - 0.5) < 0.01 and 0 <= whole.min() and whole.max() < 1
+    assert len(np.unique(whole)) == whole.size

@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cohortlens.functions.quantile import exact_quantiles
+from cohortlens.functions.quantile import exact_quantiles, quantile_table
 from cohortlens.operators.features import build_customer_features, engineer_features, impute_median, persona_features
 
 UPLOAD_ROWS = [  # valid upload fixture rows (CUST_ID, TENURE, PURCHASES, PURCHASES_TRX, CASH_ADVANCE,
@@ -64,23 +65,26 @@ def test_persona_ratios(spark):
     assert math.isclose(out["B"].INSTALLMENT_RATIO, 50.0 / 1e-5)
 
 
-def test_exact_quantiles_refine_matches_numpy(spark):
-    rng = np.random.default_rng(7)
-    vals = np.concatenate([rng.normal(size=3000), np.full(1500, 2.5), rng.exponential(size=500)])
-    g = np.arange(len(vals)) % 3
-    pdf = pd.DataFrame({"g": g, "v": vals})
-    df = spark.createDataFrame(pdf)
+def test_quantiles_match_numpy_in_every_group(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(v)) for v in rng.normal(size=30_000)] + [(None, float(i)) for i in range(5)] + [("hot", 7.0)] * 9000 + [("hot", 8.0), ("one", 3.0)]
+    rows += [("inf", v) for v in (float("-inf"), 1.0, 2.0, float("inf"), float("inf"))] + [("none", None), ("nan", float("nan")), ("nan", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
     probs = [0.0, 0.25, 0.33, 0.5, 0.67, 1.0]
-    refine = exact_quantiles(df, ["v"], probs, by=["g"], direct_limit=0, bins=16)
-    direct = exact_quantiles(df, ["v"], probs, by=["g"])
-    for k in range(3):
-        sub = vals[g == k]
+    got = {(r.g, r.p): r.quantile for r in quantile_table(df, ["v"], probs, ["g"]).collect()}
+    for g in ("a", None, "hot", "one", "nan"):
+        vals = [v for k, v in rows if k == g and v is not None and not np.isnan(v)]
         for p in probs:
-            want = float(np.quantile(sub, p))
-            assert math.isclose(refine[((k,), "v", p)], want, rel_tol=1e-12, abs_tol=1e-12)
-            assert math.isclose(direct[((k,), "v", p)], want, rel_tol=1e-12, abs_tol=1e-12)
+            assert got[g, p] == pytest.approx(np.quantile(vals, p)), (g, p)
+    assert got["inf", 0.0] == float("-inf") and got["inf", 0.5] == 2.0 and got["inf", 1.0] == float("inf")
+    assert all(got["none", p] is None for p in probs)
 
 
+def test_quantiles_of_empty_and_null_columns(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
+    assert exact_quantiles(df, ["a", "b"], [0.5]) == {("a", 0.5): None, ("b", 0.5): 1.5}
+    assert exact_quantiles(df.limit(0), ["b"], [0.5]) == {("b", 0.5): None}
+
 def test_integer_column_imputation_becomes_float(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "n long")
     out = impute_median(df, ["n"])

@@ -29,6 +29,7 @@ def test_upload_cases(spark):
     assert ingest(spark, _write(d, "bin.csv", bytes([0, 1, 2, 3, 255, 255])), root).status == 400
     bad = ingest(spark, _write(d, "missing.csv", b"CUST_ID,BALANCE,PURCHASES\nC1,1,2\n"), root)
     assert bad.status == 422 and not os.path.exists(os.path.join(root, bad.dataset_id))
+    assert os.listdir(os.path.join(root, "_staging")) == []
     assert resolve_dataset(spark, root, r.dataset_id).endswith(r.dataset_id)
     with pytest.raises(KeyError):
         resolve_dataset(spark, root, bad.dataset_id)

@@ -40,3 +40,36 @@ def test_top_n_per_persona_limits_before_shuffle(spark):
     df = P.attach_personas(spark.createDataFrame(rows, "CUST_ID string, cluster int, PURCHASES double, BALANCE double, CASH_ADVANCE double, BALANCE_FREQUENCY double"))
     plan = _plan(P.persona_top_n(df, 5))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_explanations_run_once(spark):
+    from cohortlens.plans import registry
+
+    registry.load_all()
+    for name in ("shap_top5", "lime_top5", "segment_importance"):
+        assert _plan(registry.QUERIES[name](spark, SF)).count("MapInPandas") == 1, name
+    for name in ("centroid_intent", "ambiguity", "request_context"):
+        plan = _plan(registry.QUERIES[name](spark, SF))
+        assert "Exchange" not in plan and "Join" not in plan, name
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+
+    from cohortlens.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())

@@ -44,11 +44,60 @@ def test_append_log_partitioned(spark):
 
 def test_registry_and_fallback(spark):
     names = {e["name"]: e["metadata"]["status"] for e in R.list_available()}
-    assert names["kmeans"] == "active" and names["dbscan"] == "unavailable"
-    assert R.sanitize("dbscan", {"eps": "x", "min_samples": 1}, 100, 3, 50.0) == {"eps": 0.5, "min_samples": 2}
-    assert R.sanitize("kmeans", {"n_clusters": 500}, 10, 3, 1.0)["n_clusters"] == 9
+    assert names["kmeans"] == names["bisecting_kmeans"] == "active" and names["dbscan"] == "unavailable"
+    assert R.bounded("kmeans", {"n_clusters": 500, "n_init": "x"}, 10) == {"n_clusters": 9, "n_init": 10, "random_state": 42}
+    assert R.bounded("bisecting_kmeans", {"n_clusters": -3, "eps": 1}, 100)["n_clusters"] == 2
     rows = [(f"C{i:03d}", float(i % 5), float((i * 7) % 11)) for i in range(60)]
     df = spark.createDataFrame(rows, "CUST_ID string, a double, b double")
     res = R.segment(df, algorithm="dbscan", params={"n_clusters": 2})
-    assert res.algorithm == "kmeans" and "not an active" in res.reason
+    assert (res.algorithm, res.reason, res.detail) == ("kmeans", "not_active", "dbscan")
     assert res.labels.select("cluster_label").distinct().count() == 2
+    res = R.segment(df, algorithm="bisecting_kmeans", params={"n_clusters": 2})
+    assert (res.algorithm, res.reason) == ("bisecting_kmeans", "as_requested")
+
+    def broken(matrix, cols, params):
+        raise RuntimeError("no")
+
+    def single(matrix, cols, params):
+        from pyspark.sql import functions as F
+
+        return matrix.select("CUST_ID", F.lit(0).alias("cluster_label")), [], 0.0
+
+    for fn, reason in ((broken, "fit_error"), (single, "too_few_segments")):
+        R.register("own", fn, {"type": "clustering"})
+        res = R.segment(df, algorithm="own", params={"n_clusters": 3})
+        assert (res.algorithm, res.reason) == ("kmeans", reason)
+    R.register("own", None, {"type": "clustering"})
+
+
+def test_live_state_loses_no_event_over_files(spark, tmp_path):
+    events = table(spark, SF, "events")
+    events.repartition(4, "event_id").write.parquet(str(tmp_path / "events"))
+    src = S.event_stream(spark, str(tmp_path / "events"), max_files_per_trigger=1)
+    got = S.run_available(S.live_state_stream(src), "t_files", "update", keys=["day", "query_id", "node_name"])
+    assert sum(r["n_events"] for r in got.collect()) == events.count()
+
+
+def test_stream_run_resumes_under_its_id(spark, tmp_path):
+    import uuid
+
+    run = uuid.uuid4().hex
+    events = table(spark, SF, "events")
+    half = events.where("event_id % 2 = 0")
+    half.write.parquet(str(tmp_path / "e"))
+    stats = lambda: S.node_stats_stream(S.event_stream(spark, str(tmp_path / "e")))
+    total = lambda df: sum(r["call_count"] for r in df.collect())
+    assert total(S.run_available(stats(), "t_resume", "complete", run_id=run)) == half.count()
+    events.where("event_id % 2 = 1").write.mode("append").parquet(str(tmp_path / "e"))
+    assert total(S.run_available(stats(), "t_resume", "complete", run_id=run)) == events.count()
+
+
+def test_rows_of_sources_are_kept(spark):
+    from cohortlens.sources.profile import load_profile
+    from cohortlens.sources.querylog import load_requests
+
+    for sf in ("0.001", "0.01", "0.1"):
+        folder = f"/root/testdata/sf{sf}"
+        assert load_profile(spark, folder).count() == table(spark, folder, "customer").count()
+        want = table(spark, folder, "customer").count() + table(spark, folder, "events").count() + table(spark, folder, "conversations").where("role = 'user'").count()
+        assert load_requests(spark, folder).select("request_id").distinct().count() == want
