@@ -159,11 +159,6 @@ SURROGATE_DEPTH = 8
 SEED = 42
 KMEANS_RESTARTS = 10
 
-# --- clustering parameter bounds -------------------------------------------
-DBSCAN_EPS = 0.5
-DBSCAN_MIN_SAMPLES = 5
-HIERARCHY_MIN_CLUSTER_SIZE = 5
-
 # --- query log / dashboard --------------------------------------------------
 KNOWN_NODES = [
     "analytics",

@@ -53,14 +53,6 @@ def coerce_number(x: str | Column) -> Column:
     return F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(0.0))
 
 
-def clamp(x: str | Column, default: float, lo: float, hi: float, as_int: bool = False) -> Column:
-    """Parse, default on failure, then clamp into [lo, hi]."""
-
-    target = "bigint" if as_int else "double"
-    v = F.coalesce(col(x).cast("string").try_cast(target), F.lit(default).cast(target))
-    return F.least(F.greatest(v, F.lit(lo).cast(target)), F.lit(hi).cast(target))
-
-
 def euclidean(a: Column, b: Column) -> Column:
     """Euclidean distance between two equal-length ``array<double>`` (X11)."""
 
@@ -78,21 +70,6 @@ def feature_label(name: Column, labels: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(m, name), F.regexp_replace(name, "_", " "))
 
 
-def feature_label_py(name: str, labels: dict[str, str]) -> str:
-    return labels.get(name, name.replace("_", " "))
-
-
-def null_or_nan(c: str | Column, numeric: bool) -> Column:
-    """pandas ``isna``: NULL, and NaN for floating columns."""
-
-    x = col(c)
-    return (x.isNull() | F.isnan(x)) if numeric else x.isNull()
-
-
-def array_of(cols: Sequence[str]) -> Column:
-    return F.array(*[F.col(c).cast("double") for c in cols])
-
-
 def round_half_up(x: Column, digits: int = 4) -> Column:
     """``floor(x·10^d + 0.5) / 10^d`` in IEEE doubles.
 

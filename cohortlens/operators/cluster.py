@@ -26,7 +26,6 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +36,6 @@ from cohortlens.operators.segments import MAX_CLUSTERS
 LABEL = "cluster_label"
 
 
-def safe_cluster_count(row_count: int, requested: int | None, default: int = 3) -> int:
-    """M4: clamp to [2, rows − 1]; fewer than two rows is an error."""
-
-    if row_count < 2:
-        raise ValueError("At least two rows are required for segmentation")
-    try:
-        k = int(requested)
-    except (TypeError, ValueError):
-        k = default
-    return max(2, min(k, row_count - 1))
-
-
 @dataclass
 class KMeansResult:
     labels: DataFrame            # id, cluster_label
@@ -213,7 +200,3 @@ def centers_table(spark, centers: list[list[float]], cols: Sequence[str]) -> Dat
 
     rows = [(i, j, c, _r4(v)) for i, cen in enumerate(centers) for j, (c, v) in enumerate(zip(cols, cen))]
     return spark.createDataFrame(rows, "cluster_label int, position int, feature string, center double")
-
-
-def vector_column(df: DataFrame, col: str = "features") -> DataFrame:
-    return df.withColumn(col, vector_to_array(F.col(col)))

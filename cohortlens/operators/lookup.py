@@ -1,4 +1,4 @@
-"""Lookup projections and point reads.
+"""Lookup projections and filters.
 
 All are narrow projections/filters; filters on scan columns reach the parquet
 reader as pushed predicates. Top-N uses ``orderBy().limit()``, which Spark
@@ -34,19 +34,13 @@ def lookup(df: DataFrame, requested: Sequence[str] | None = None, top_n: int | N
         return out
     types = {f.name: f.dataType for f in out.schema.fields}
     numeric = [f for f in fields if isinstance(types[f], T.NumericType)]
-    order = [F.desc_nulls_last(numeric[0])] if numeric else []
+    # without a numeric field the first projected one orders the rows, so reruns agree
+    order = [F.desc_nulls_last(numeric[0])] if numeric else [F.asc(fields[0])]
     if tiebreak and tiebreak in df.columns:
         if tiebreak not in fields:
             out = df.select(*fields, tiebreak)
         order.append(F.asc(tiebreak))
-    res = out.orderBy(*order).limit(int(top_n)) if order else out.limit(int(top_n))
-    return res.select(*fields)
-
-
-def point_lookup(df: DataFrame, value: str, key: str = "CUST_ID") -> DataFrame:
-    """Rows whose key (as string) equals ``value``; first match by key order."""
-
-    return df.where(F.col(key).cast("string") == F.lit(str(value))).orderBy(key).limit(1)
+    return out.orderBy(*order).limit(int(top_n)).select(*fields)
 
 
 def filter_cluster_or_persona(df: DataFrame, cluster: int | None = None, persona: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import catalog
 from cohortlens.sources.querylog import EXPL_SCHEMA, GRAPH_SCHEMA, NODE_SUMMARY_SCHEMA, RESPONSE_SCHEMA
+from cohortlens.sources.tables import parse_json_text
 
 
 def node_stats(log: DataFrame, known_nodes=tuple(catalog.KNOWN_NODES)) -> DataFrame:
@@ -63,8 +64,8 @@ def recent_queries(log: DataFrame, limit: int = 50) -> DataFrame:
     """Most recent ``limit`` rows (created_at desc, id desc) with the six fields."""
 
     top = log.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
-    expl = F.from_json(F.coalesce("explanation_summary", F.lit("{}")), EXPL_SCHEMA)
-    resp = F.from_json(F.coalesce("response_json", F.lit("{}")), RESPONSE_SCHEMA)
+    expl = parse_json_text("explanation_summary", EXPL_SCHEMA)
+    resp = parse_json_text("response_json", RESPONSE_SCHEMA)
     return top.select(
         F.col("id").cast("string").alias("id"), "query_text", "chosen_algorithm",
         F.coalesce(resp["cache_hit"], F.lit(False)).alias("cache_hit"),

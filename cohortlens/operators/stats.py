@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens import catalog
 from cohortlens.functions.quantile import quantile_table, quantiles_wide
 from cohortlens.operators.features import non_numeric_columns, numeric_columns
 
@@ -266,7 +267,7 @@ def matrix_profile(matrix: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select("row_count", F.lit(len(cols)).alias("feature_count"), F.inline(F.array(*entries)))
 
 
-def tier_thresholds(features: DataFrame, high: float = 0.67, low: float = 0.33) -> DataFrame:
+def tier_thresholds(features: DataFrame, high: float = catalog.TIER_HIGH_QUANTILE, low: float = catalog.TIER_LOW_QUANTILE) -> DataFrame:
     """One row with the dataset-wide upper and lower thresholds of spend and
     frequency and the median headroom, from one quantile job."""
 

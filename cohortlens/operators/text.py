@@ -46,12 +46,6 @@ def normalize_log_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
-def normalize_column_name(c: Column) -> Column:
-    """Keep alphanumerics, lower."""
-
-    return F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
-
-
 def extract_customer_id(c: Column) -> Column:
     """First ``C\\d{4,}`` token (case-insensitive), upper-cased; none → NULL."""
 

@@ -273,6 +273,17 @@ def with_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.attach_personas(pf, "cluster")
 
 
+@register("persona_filter", PERSONA_JOIN_CTE + " SELECT CUST_ID, cluster, persona FROM wp WHERE lower(persona) = 'cash-advance reliant'")
+def persona_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M14 + P7: a spoken persona name resolved to its cluster, whose customers are kept."""
+
+    from cohortlens.operators.lookup import filter_cluster_or_persona
+
+    asked = spark.createDataFrame([(" Cash advance reliant ",)], "spoken string")
+    cluster = P.resolve_persona_column(asked, "spoken").first()["cluster"]
+    return filter_cluster_or_persona(with_personas(spark, sf_dir), cluster=cluster).select("CUST_ID", "cluster", "persona")
+
+
 @register("persona_summary", PERSONA_JOIN_CTE + " SELECT cluster, persona, recommended_product, count(*) AS customer_count FROM wp GROUP BY ALL")
 def persona_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.persona_summary(with_personas(spark, sf_dir))
@@ -330,3 +341,20 @@ def persona_playbook(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def target_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.target_table(with_personas(spark, sf_dir), "The Transactors", 8))
+
+
+# ---- cluster_narratives (J8) ---------------------------------------------------------------
+@register(
+    "cluster_narratives",
+    RECS_CTE + """, nar AS (SELECT CAST(conv_id AS INTEGER) AS cluster_label, min(text) AS narrative FROM conversations WHERE role = 'assistant' GROUP BY 1)
+SELECT recs.cluster_label, tier, coalesce(narrative, message) AS narrative FROM recs LEFT JOIN nar USING (cluster_label)""",
+)
+def cluster_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A narratives table (the first assistant text of a conversation, keyed by
+    its id) joined to the clusters; labels without one keep the rule message."""
+
+    from cohortlens.sources.tables import table
+
+    talk = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    narratives = talk.groupBy(F.col("conv_id").cast("int").alias(LAB)).agg(F.min("text").alias("narrative"))
+    return S.cluster_recommendations(labelled(spark, sf_dir), narratives=narratives).select(LAB, "tier", "narrative")

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from cohortlens import catalog
 from cohortlens.operators import stats
-from cohortlens.operators.features import to_matrix
+from cohortlens.operators.features import select_features, to_matrix
 from cohortlens.operators.lookup import lookup
 from cohortlens.plans.common import FEATURE_NAMES, FEATURES_CTE, PROFILE_SQL, features, r4, rounded
 from cohortlens.plans.common import profile
 from cohortlens.plans.registry import register
-from cohortlens.sources.tables import preview, table
+from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.sources.tables import preview, read_delimited, schema_probe, table, write_table
 
 PROFILE_CTE = "WITH " + PROFILE_SQL
 PROFILE_COLS = catalog.REQUIRED_COLUMNS
@@ -196,6 +197,40 @@ def lookup_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lookup(prof, ["CUST_ID", "PURCHASES", "BALANCE", "AGE"], top_n=10, tiebreak="CUST_ID"))
 
 
+# -- delimited_round_trip (S1-S3) ------------------------------------------------------
+@register(
+    "delimited_round_trip",
+    PROFILE_CTE + " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS column_name, count({c}) AS filled_rows, CAST(min({c}) AS VARCHAR) = CAST(min({c}) AS VARCHAR) AS same FROM profile"
+        for i, c in enumerate(catalog.REQUIRED_COLUMNS)),
+)
+def delimited_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile written as delimited text to the shared folder and read back with
+    its schema: per column the filled rows, and whether extremes came back the same."""
+
+    import uuid
+
+    prof = profile(spark, sf_dir)
+    path = write_table(prof, f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortlens-tables/delimited-{uuid.uuid4().hex}", "csv")
+    back = read_delimited(spark, path, prof.schema)
+    cols = schema_probe(back)
+    ends = [F.struct(F.min(c), F.max(c)).alias(f"e{i}") for i, c in enumerate(cols)]
+    new = back.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)], *ends)
+    old = prof.agg(*[x.alias(f"o{i}") for i, x in enumerate(ends)])
+    entries = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(f"n{i}").alias("filled_rows"), F.col(f"e{i}").eqNullSafe(F.col(f"o{i}")).alias("same")) for i, c in enumerate(cols)]
+    return new.crossJoin(old).select(F.inline(F.array(*entries)))
+
+
+# -- ranked_features (E18) ---------------------------------------------------------------
+_RANKED = ["monthly_spend", "not_a_feature", "TENURE", "credit_headroom"]
+
+
+@register("ranked_features", FEATURES_CTE + f"SELECT CUST_ID, {r4('monthly_spend')} AS monthly_spend, TENURE, {r4('credit_headroom')} AS credit_headroom FROM feat")
+def ranked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feat = features(spark, sf_dir)
+    return rounded(feat.select("CUST_ID", *select_features(feat, _RANKED)))
+
+
 # -- sample_rows (S7) -----------------------------------------------------------------
 @register(
     "sample_rows",

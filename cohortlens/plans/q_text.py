@@ -316,3 +316,26 @@ def request_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("entities", "|").alias("entities"), F.array_join("unsupported_filters", "|").alias("unsupported_filters"),
         "customer_id", "keyword_intent", "target_persona", "clarification",
     )
+
+
+# ---- clarifications (T9): the question that goes with a reason -----------------------------------------
+def _clarifications_sql() -> str:
+    cases = " ".join(
+        f"WHEN {_q(k)} THEN replace({_q(v)}, '{{requested}}', replace(unsupported_filters, '|', ', '))" for k, v in catalog.AMBIGUITY_QUESTIONS.items())
+    return (
+        f"SELECT request_id, clarification, CASE clarification {cases} END AS question, "
+        f"CASE WHEN unsupported_filters <> '' THEN {_q(catalog.UNSUPPORTED_FILTER_REASON)} END AS filter_reason FROM ({_context_sql()})"
+    )
+
+
+@register("clarifications", _clarifications_sql())
+def clarifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = X.build_context(requests(spark, sf_dir), "request_id", "query_text", DATASET_COLUMNS)
+    asked = F.array_join("unsupported_filters", ", ")
+    question = F
+    for reason, text in catalog.AMBIGUITY_QUESTIONS.items():
+        question = question.when(F.col("clarification") == reason, F.replace(F.lit(text), F.lit("{requested}"), asked))
+    return ctx.select(
+        "request_id", "clarification", question.alias("question"),
+        F.when(F.size("unsupported_filters") > 0, F.lit(catalog.UNSUPPORTED_FILTER_REASON)).alias("filter_reason"),
+    )

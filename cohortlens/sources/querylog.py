@@ -212,17 +212,6 @@ def load_query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(load_requests(spark, sf_dir))
 
 
-def execution_events(events: DataFrame) -> DataFrame:
-    """K1 event records (F7 schema + ts): each node execution as a completion."""
-
-    o = node_outcomes(events)
-    return o.select(
-        F.lit("node_completed").alias("type"), F.col("query_id").cast("string").alias("query_id"),
-        F.lit(None).cast("string").alias("workflow_name"), "node_name", "status", "duration_ms",
-        F.when(F.col("status") == "failed", F.lit("node failed")).alias("error"), "ts", "event_id",
-    )
-
-
 def requests_sql() -> str:
     """``requests`` as SQL: id, query_text, created_at, node_name, status, duration_ms, k."""
 

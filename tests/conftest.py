@@ -14,4 +14,7 @@ def spark():
 
     s = local_session("*", shuffle_partitions=8, app="cohortlens-tests")
     yield s
+    from cohortlens.session import drop_materialized
+
+    drop_materialized(s)
     s.stop()
