@@ -1,12 +1,11 @@
 """Clustering (M2-M4, M8-M10, M15-M17) and segment quality.
 
-* K-means is MLlib ``KMeans`` (distributed Lloyd iterations, k-means||
-  initialisation). The input is hash-partitioned on the customer id into a
-  fixed number of partitions and persisted once for all restarts: MLlib's
-  result depends on the partitioning, and a fixed hash layout makes restarts
-  and reruns reproducible. ``n_init`` seeds are tried; the lowest training
-  cost wins. Labels are then renumbered canonically (center of a ranking
-  feature, descending), because MLlib's label numbers are arbitrary.
+* K-means runs Lloyd's iterations for all restarts together: one job per
+  iteration reads the table once, every task assigns its rows to the centers of
+  all restarts with numpy and sends one partial sum for each restart and cluster.
+  Seeding is k-means++ on a bounded sample by id hash (the same rows whatever the
+  partitioning). The restart with the lowest cost wins; labels are numbered by the
+  center of a ranking feature, descending.
 * ``kmeans_step`` is one explicit Lloyd iteration (assignment by a literal
   k-center array, means by a k-group aggregate) used as the SQL-checkable
   core of the algorithm.
@@ -23,15 +22,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import catalog
 from cohortlens.functions.expr import euclidean, round_half_up
 from cohortlens.operators.segments import MAX_CLUSTERS
+from cohortlens.session import materialize
 
 LABEL = "cluster_label"
 
@@ -45,12 +44,46 @@ class KMeansResult:
     costs: dict[int, float]
 
 
-def _prepared(matrix: DataFrame, id_col: str, cols: Sequence[str], partitions: int | None) -> DataFrame:
-    n = partitions or int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vec = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep").transform(
-        matrix.select(id_col, *[F.col(c).cast("double") for c in cols])
-    )
-    return vec.select(id_col, "features").repartition(n, id_col).sortWithinPartitions(id_col)
+def plus_plus(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ seeding: each next center is drawn by squared distance to the nearest one."""
+
+    rng = np.random.default_rng(seed)
+    picked = [points[rng.integers(len(points))]]
+    near = ((points - picked[0]) ** 2).sum(axis=1)
+    while len(picked) < k:
+        total = near.sum()
+        at = rng.choice(len(points), p=near / total) if total > 0 else rng.integers(len(points))
+        picked.append(points[at])
+        near = np.minimum(near, ((points - picked[-1]) ** 2).sum(axis=1))
+    return np.array(picked)
+
+
+def lloyd_pass(data: DataFrame, cols: list[str], centers: dict[int, np.ndarray]) -> dict[tuple[int, int], tuple[int, float, np.ndarray]]:
+    """(rows, cost, sums) of each restart and cluster, from one pass over the data.
+
+    The driver gets one row for each restart and cluster."""
+
+    names = [f"s{j}" for j in range(len(cols))]
+    mean = np.mean([c.mean(axis=0) for c in centers.values()], axis=0)  # sums are taken about it, for precision
+
+    def partial(batches):
+        sums: dict[tuple[int, int], list] = {}
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype=float)
+            for restart, c in centers.items():
+                d = np.stack([((x - row) ** 2).sum(axis=1) for row in c], axis=1)
+                own = d.argmin(axis=1)
+                for i in np.unique(own):
+                    mine = own == i
+                    got = sums.setdefault((restart, int(i)), [0, 0.0, np.zeros(len(cols))])
+                    got[0] += int(mine.sum())
+                    got[1] += float(d[mine, i].sum())
+                    got[2] += (x[mine] - mean).sum(axis=0)
+        yield pd.DataFrame([(r, i, n, cost, *v) for (r, i), (n, cost, v) in sums.items()], columns=["restart", "cluster", "n", "cost", *names])
+
+    schema = "restart int, cluster int, n bigint, cost double, " + ", ".join(f"{s} double" for s in names)
+    total = data.mapInPandas(partial, schema).groupBy("restart", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)])
+    return {(r["restart"], r["cluster"]): (r["n"], r["cost"], np.array([r[s] for s in names]) + r["n"] * mean) for r in total.collect()}
 
 
 def kmeans_fit(
@@ -63,47 +96,40 @@ def kmeans_fit(
     max_iter: int = 300,
     tol: float = 1e-4,
     rank_by: str | None = None,
-    partitions: int | None = None,
-    parallel_restarts: int = 16,
+    seeding_rows: int = 5_000,
 ) -> KMeansResult:
-    """M2/M3: best of ``n_init`` MLlib fits (seeds seed…seed+n_init−1), labels
-    renumbered by the ``rank_by`` center (default: first column) descending.
-
-    ``tol`` is relative, as in the reference: convergence when centers move
-    less than tol × mean feature variance (squared); MLlib takes an absolute
-    per-center shift, so it gets sqrt(tol × mean variance).
-    """
-
-    var = matrix.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    mean_var = sum(float(var[c] or 0.0) for c in cols) / max(len(cols), 1)
-    abs_tol = max((tol * mean_var) ** 0.5, 1e-12)
-
-    # Persisted blocks lost with an executor are recomputed from the
-    # deterministic lineage (hash repartition + sort), so restarts stay stable.
-    data = _prepared(matrix, id_col, cols, partitions).persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()
-
-    def fit(s: int):
-        model = KMeans(k=k, seed=s, maxIter=max_iter, tol=abs_tol, featuresCol="features", predictionCol="prediction").fit(data)
-        return s, float(model.summary.trainingCost), model
-
-    # Restarts are independent: submit them as concurrent Spark jobs (each fit
-    # is a chain of small, latency-bound jobs) and keep the cheapest.
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(max_workers=max(1, min(n_init, parallel_restarts))) as pool:
-        fits = list(pool.map(fit, range(seed, seed + n_init)))
-    costs = {s: c for s, c, _ in fits}
-    s, cost, model = min(fits, key=lambda t: (t[1], t[0]))
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    ri = list(cols).index(rank_by) if rank_by in cols else 0
-    order = sorted(range(len(centers)), key=lambda i: (-centers[i][ri], i))
-    relabel = {old: new for new, old in enumerate(order)}
-    mapping = F.create_map(*[x for old, new in relabel.items() for x in (F.lit(old), F.lit(new))])
-    labels = model.transform(data).select(id_col, F.element_at(mapping, F.col("prediction")).cast("int").alias(LABEL))
-    # restarts are done: release the cache; labels recompute the deterministic input on demand
-    data.unpersist()
-    return KMeansResult(labels=labels, centers=[centers[i] for i in order], cost=cost, seed=s, costs=costs)
+    """M2/M3: best of ``n_init`` restarts (seeds seed…seed+n_init−1), labels
+    numbered by the ``rank_by`` center (default: first column) descending. A
+    restart has converged when its centers move by less than ``tol`` × the mean
+    feature variance (squared, all centers). ``seeding_rows`` bounds the sample
+    that seeds are drawn from; every row takes part in the iterations."""
+
+    cols = list(cols)
+    data = materialize(matrix.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols]), "kmeans-input")
+    var = data.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
+    bar = max(tol * sum(float(var[c] or 0.0) for c in cols) / max(len(cols), 1), 1e-24)
+    sample = data.orderBy(F.xxhash64(id_col), id_col).limit(seeding_rows).collect()
+    points = np.array([[r[c] for c in cols] for r in sample], dtype=float)
+    centers = {s: plus_plus(points, k, s) for s in range(seed, seed + n_init)}
+    moving, costs = dict(centers), {}
+    for _ in range(max_iter):
+        found = lloyd_pass(data, cols, moving)
+        for s in list(moving):
+            new = np.array([found[s, i][2] / found[s, i][0] if (s, i) in found else moving[s][i] for i in range(k)])
+            still = ((new - moving[s]) ** 2).sum() > bar
+            centers[s] = moving[s] = new
+            if not still:
+                del moving[s]
+        if not moving:
+            break
+    found = lloyd_pass(data, cols, centers)
+    for s in centers:
+        costs[s] = sum(v[1] for (r, _), v in found.items() if r == s)
+    s = min(costs, key=lambda x: (costs[x], x))
+    ri = cols.index(rank_by) if rank_by in cols else 0
+    best = [list(map(float, c)) for c in sorted(centers[s].tolist(), key=lambda c: (-c[ri], c))]
+    labels = assign_nearest(data, cols, best).select(id_col, LABEL)
+    return KMeansResult(labels=labels, centers=best, cost=costs[s], seed=s, costs=costs)
 
 
 def assign_nearest(matrix: DataFrame, cols: Sequence[str], centers: list[list[float]], out: str = LABEL) -> DataFrame:

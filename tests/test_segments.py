@@ -107,3 +107,17 @@ def test_kmeans_reproducible_across_reruns(spark):
     la = {r.CUST_ID: r.cluster_label for r in a.labels.collect()}
     lb = {r.CUST_ID: r.cluster_label for r in b.labels.collect()}
     assert la == lb and math.isclose(a.cost, b.cost, rel_tol=1e-9)
+
+
+def test_lloyd_pass_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3)) * [1.0, 10.0, 0.1] + 1000.0
+    df = spark.createDataFrame([(f"C{i}", *map(float, r)) for i, r in enumerate(x)], "CUST_ID string, a double, b double, c double").repartition(7)
+    centers = {s: C.plus_plus(x, 4, s) for s in (1, 2)}
+    got = C.lloyd_pass(df, ["a", "b", "c"], centers)
+    for s, c in centers.items():
+        d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
+        own = d.argmin(axis=1)
+        for i in range(4):
+            n, cost, sums = got[s, i]
+            assert n == (own == i).sum() and np.isclose(cost, d[own == i, i].sum()) and np.allclose(sums, x[own == i].sum(axis=0))
