@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,14 @@ from cohortlens.llm.common import fold, read_table
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where the public tokenizers' package keeps a vocabulary file."""
+
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(read_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -42,7 +49,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY))
+    coded = bpe.round_trip(docs, vocabulary_path())
     return coded.select("doc_id", "digest.n_tokens", "digest.ids_sha256", "digest.decoded_sha256")
 
 

@@ -8,13 +8,12 @@ Parquet to the shared folder and read again.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import bpe, language, mixing, simhash, toxicity
 from cohortlens.llm.common import free_name, read_table, save
-from cohortlens.llm.queries import VOCABULARY
+from cohortlens.llm.queries import vocabulary_path
 
 #: A text is rejected as toxic from this score on, and as of no clear language below the other.
 TOXIC_FROM = 0.5
@@ -56,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: the ids of each text, checked by decoding them."""
 
-    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), into="digest_")
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), vocabulary_path(), into="digest_")
     return coded.select("doc_id", "source", "digest_.*")
 
 
