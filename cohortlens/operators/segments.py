@@ -208,18 +208,22 @@ def borderline_customers(boundary: DataFrame, threshold: float = catalog.BOUNDAR
 
 # ---------------------------------------------------------------- rule explanations
 def rule_explanations(matrix: DataFrame, cols: Sequence[str], centers: DataFrame, boundary: DataFrame | None = None,
-                      id_col: str = "CUST_ID", top_k: int = 2) -> DataFrame:
+                      id_col: str = "CUST_ID", top_k: int = 2, measure: bool = False) -> DataFrame:
     """H4: the ``top_k`` features farthest from the own center, high/low by the
     sign of (value − center), sentence, and the borderline suffix (J4: left
     join on the customer; absent → unchanged). Labels without a center are
-    skipped. Ties on distance → lower feature index."""
+    skipped. Ties on distance → lower feature index. With ``measure`` the boundary
+    metrics are those of the same row and centers, and no join is needed."""
 
     lit_centers, rows = centers_literal(centers.where(F.col(LABEL) >= 0))
     labels = [r[0] for r in rows]
     names = F.array(*[F.lit(c) for c in cols])
     vec = F.array(*[F.col(c).cast("double") for c in cols])
     center = F.filter(lit_centers, lambda s: s["label"] == F.col(LABEL))[0]["center"]
-    base = matrix.where(F.col(LABEL).isin(labels)).select(F.col(id_col).alias("customer_id"), LABEL, vec.alias("v"), center.alias("c"))
+    near = F.transform(lit_centers, lambda c: F.struct(euclidean(vec, c["center"]).alias("d"), c["label"].alias("label")))
+    measure = measure and len(labels) > 1
+    base = matrix.where(F.col(LABEL).isin(labels)).select(
+        F.col(id_col).alias("customer_id"), LABEL, vec.alias("v"), center.alias("c"), *([near.alias("ds")] if measure else []))
     idx = F.sequence(F.lit(0), F.lit(len(cols) - 1))
     items = F.transform(
         idx,
@@ -233,13 +237,20 @@ def rule_explanations(matrix: DataFrame, cols: Sequence[str], centers: DataFrame
                           .when(a["fi"] < b["fi"], -1).when(a["fi"] > b["fi"], 1).otherwise(0))
     top = F.slice(ranked, 1, top_k)
     reasons = F.transform(top, lambda s: F.concat_ws(" ", s["direction"], feature_label(F.element_at(names, s["fi"] + 1), catalog.FEATURE_LABELS)))
-    df = base.select("customer_id", LABEL, reasons.alias("reasons"))
+    df = base.select("customer_id", LABEL, reasons.alias("reasons"), *(["ds"] if measure else []))
     sentence = F.concat(
         F.lit("Assigned to Segment "), F.col(LABEL).cast("string"), F.lit(" primarily due to "), F.element_at("reasons", 1),
         F.when(F.size("reasons") > 1, F.concat(F.lit(" and "), F.element_at("reasons", 2), F.lit("."))).otherwise(F.lit(".")),
     )
     df = df.withColumn("explanation", sentence)
-    return attach_boundary(df, boundary)
+    if not measure:
+        return attach_boundary(df, boundary)
+    own = F.filter("ds", lambda x: x["label"] == F.col(LABEL))[0]["d"]
+    alt = F.array_min(F.filter("ds", lambda x: x["label"] != F.col(LABEL)))
+    df = df.withColumns({"own_": own, "alt_": alt}).drop("ds")
+    ratio = F.when(F.col("alt_.d") > 0, F.try_divide(F.col("own_"), F.col("alt_.d"))).otherwise(F.lit(1.0))
+    df = df.withColumns({"nearest_alternate_cluster": F.col("alt_.label"), "boundary_distance_ratio": round_half_up(ratio, 4)}).drop("own_", "alt_")
+    return df.withColumn("explanation", F.concat("explanation", _suffix()))
 
 
 def attach_boundary(expl: DataFrame, boundary: DataFrame | None) -> DataFrame:
@@ -251,9 +262,14 @@ def attach_boundary(expl: DataFrame, boundary: DataFrame | None) -> DataFrame:
                            F.lit(None).cast("double").alias("boundary_distance_ratio"))
     b = boundary.select("customer_id", "nearest_alternate_cluster", round_half_up(F.col("boundary_distance_ratio"), 4).alias("boundary_distance_ratio"))
     j = expl.join(b, "customer_id", "left")
-    suffix = F.when(F.col("boundary_distance_ratio").isNotNull(),
-                    borderline_suffix(F.col("boundary_distance_ratio"), F.col(LABEL), F.col("nearest_alternate_cluster"))).otherwise(F.lit(""))
-    return j.withColumn("explanation", F.concat(F.col("explanation"), suffix))
+    return j.withColumn("explanation", F.concat("explanation", _suffix()))
+
+
+def _suffix() -> Column:
+    """The borderline sentence of a row with a boundary ratio."""
+
+    ratio = F.col("boundary_distance_ratio")
+    return F.when(ratio.isNotNull(), borderline_suffix(ratio, F.col(LABEL), F.col("nearest_alternate_cluster"))).otherwise(F.lit(""))
 
 
 def segment_summaries(expl: DataFrame, first_customers: int = 2) -> DataFrame:

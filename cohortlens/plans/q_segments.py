@@ -28,8 +28,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir)
-    return to_matrix(f).join(f.select("CUST_ID", behaviour_label().alias(LAB)), "CUST_ID")
+    f = features(spark, sf_dir).withColumn(LAB, behaviour_label())
+    matrix = to_matrix(f, cols=[*MATRIX_COLS, LAB])
+    return matrix.withColumn(LAB, F.col(LAB).cast("int"))
 
 
 LAB_CTE = FEATURES_CTE + f", lab AS (SELECT *, {BEHAVIOUR_LABEL} AS cluster_label FROM feat)"
@@ -239,8 +240,7 @@ RULE_CTE = _rule_sql()
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = labelled_matrix(spark, sf_dir)
     cen = S.explanation_centers(m, MATRIX_COLS)
-    bnd = S.boundary_metrics(m, MATRIX_COLS, cen)
-    return S.rule_explanations(m, MATRIX_COLS, cen, bnd)
+    return S.rule_explanations(m, MATRIX_COLS, cen, measure=True)
 
 
 @register("rule_explanations", RULE_CTE + " SELECT customer_id, cluster_label, explanation, nearest_alternate_cluster, boundary_distance_ratio FROM expl")
