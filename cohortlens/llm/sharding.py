@@ -84,13 +84,16 @@ def propagate(state: DataFrame, quota: list[int], turn: int) -> tuple[DataFrame,
     hubs = save(hubs.select("hub", "t", "keep"), "shard-hubs")
     asked = join_skewed(state, hubs, "hub", "t")
     to = F.when(F.array_contains("keep", F.col("shard")), F.col("shard")).otherwise(F.element_at("keep", (F.pmod(F.col("h"), F.size("keep")) + 1).cast("int")))
-    asked = save(asked.withColumn("to", to).drop("keep", "t"), "shard-asked")
+    asked = save(asked.withColumn("to", to).drop("keep"), "shard-asked")
     movers = asked.filter("to <> shard")
     n = movers.count()
     if n == 0:
         return state, 0
-    # Documents of a hub ask next to each other, so a quota cuts through few hubs.
-    movers = movers.withColumn("turn_", hash32(F.col("hub"), F.lit(turn)))
+    # Documents of a hub ask next to each other, so a quota cuts through few hubs; a
+    # hub takes a stretch of the hash range as wide as its share of all rows, so the
+    # slices that are ranked stay even.
+    stretch = F.floor(F.col("h") * (F.col("t") / F.lit(max(1, sum(quota)))))
+    movers = movers.withColumn("turn_", F.pmod(hash32(F.col("hub"), F.lit(turn)) + stretch, F.lit(2**32)))
     ranked = ranked_in_groups(movers, ["to"], ["turn_", "hub", "h", "doc_id"], None, rows=n)
     moved = ranked.withColumn("shard", F.when(F.col("rank") < pick(room, F.col("to")), F.col("to")).otherwise(F.col("shard")))
     columns = state.columns
