@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: A key holding at least 1/HOT_SHARE of all rows counts as hot, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 256
+#: A table counted to have at most this many narrow rows may be broadcast.
+SMALL_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,6 +78,15 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, n_col: str, *, how:
     return near.select(*rest.columns).unionByName(rest)
 
 
+def join_small(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Join a saved table with one row per ``key``: broadcast if it is counted to
+    have at most SMALL_ROWS rows, else by a shuffle whose hot partitions the
+    adaptive skew join splits."""
+
+    few = right.count() <= SMALL_ROWS
+    return left.join(F.broadcast(right) if few else right.hint("shuffle_merge"), key)
+
+
 def ranked_in_groups(df: DataFrame, groups: list[str], order: list[str], weight: str | None, *, rows: int, into: int = 4096) -> DataFrame:
     """Add ``rank`` (gapless from 0 in each group) and, with ``weight``, ``before``
     (the weights of the earlier rows), without one task holding a whole group.
