@@ -24,9 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import Remembered, fold, hash32, save
+from cohortlens.llm.common import fold, hash32, save
 
-WORDS = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*").findall
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 LENGTHS = (5, 4, 3, 2, 1)
 PENALTY = 0.75
 FIRM = 20
@@ -96,43 +96,54 @@ class Identifier:
     """Scores words, remembering a bounded number of unseen ones."""
 
     def __init__(self, names, prior, known, by_length):
-        self.names, self.prior, self.by_length = names, prior, by_length
-        self.fixed, self.base = {w: i for i, w in enumerate(known)}, np.array([*known.values()], dtype=np.float32).reshape(len(known), len(names))
+        self.names, self.prior = names, prior
+        centred = lambda table: (m := np.array([*table.values()], dtype=np.float32).reshape(len(table), len(names))) - m.mean(axis=1, keepdims=True)
+        self.fixed, self.base = {w: i for i, w in enumerate(known)}, centred(known)
+        self.grams = {n: ({g: i for i, g in enumerate(t)}, centred(t)) for n, t in by_length.items()}
         self.restart()
 
     def restart(self) -> None:
-        self.rows = Remembered(self.add)
-        self.rows.update(self.fixed)
-        self.new: list[np.ndarray] = []
+        self.place, self.rows = dict(self.fixed), self.base
 
-    def add(self, word: str) -> int:
-        self.new.append(self.unseen(word))
-        return len(self.base) + len(self.new) - 1
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """A row for each unseen word: the mean over its longest known n-grams."""
 
-    def unseen(self, word: str) -> np.ndarray:
-        weight = 1.0
+        out = np.zeros((len(words), len(self.names)), dtype=np.float32)
+        left, weight = range(len(words)), 1.0
         for n in LENGTHS:
-            table = self.by_length[n]
-            hits = [row for g in marked_grams(word, n) if (row := table.get(g)) is not None]
-            if hits:
-                mean = sum(hits) / len(hits)
-                return (weight * (mean - mean.mean())).astype(np.float32)
-            weight *= PENALTY
-        return np.zeros(len(self.names), dtype=np.float32)
+            at, table = self.grams[n]
+            get, found, sizes, owners, still = at.get, [], [], [], []
+            for j in left:
+                marked = f"<{words[j]}>"
+                hits = [i for k in range(len(marked) - n + 1) if (i := get(marked[k : k + n])) is not None]
+                if hits:
+                    found += hits
+                    sizes.append(len(hits))
+                    owners.append(j)
+                else:
+                    still.append(j)
+            if owners:
+                starts = np.cumsum(sizes) - sizes
+                out[owners] = weight * np.add.reduceat(table[found], starts, axis=0) / np.array(sizes, dtype=np.float32)[:, None]
+            left, weight = still, weight * PENALTY
+        return out
 
     def identify(self, texts: list[str]) -> list[tuple[str, float]]:
         """For some whole texts: language and score."""
 
-        if len(self.rows) > len(self.fixed) + 300_000:
+        if len(self.place) > len(self.fixed) + 300_000:
             self.restart()
-        at = [np.fromiter(map(self.rows.__getitem__, w := WORDS(t.lower())), dtype=np.int64, count=len(w)) for t in texts]
-        rows = np.concatenate([self.base - self.base.mean(axis=1, keepdims=True), np.array(self.new, dtype=np.float32).reshape(-1, len(self.names))])
+        split = [WORDS(t.lower()) for t in texts]
+        if new := list(set().union(*split).difference(self.place)):
+            self.place.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            self.rows = np.concatenate([self.rows, self.unseen(new)])
         out = []
-        for a in at:
-            if not len(a):
+        for words in split:
+            if not words:
                 out.append(("und", 0.0))
                 continue
-            total = self.prior + rows[a].sum(axis=0, dtype=np.float64) * min(1.0, FIRM / len(a))
+            at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+            total = self.prior + self.rows[at].sum(axis=0, dtype=np.float64) * min(1.0, FIRM / len(at))
             best = int(np.argmax(total))
             out.append((self.names[best], float(1.0 / np.exp(total - total[best]).sum())))
         return out
