@@ -22,10 +22,10 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import join_skewed, save
+from cohortlens.llm.common import free_name, join_skewed, save
 
 SEED = 42
 TILE = 2048
@@ -162,34 +162,44 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): rows has each document's doc_id and fingerprint ``fp``;
-    groups has for each distinct ``fp`` the smallest doc_id of its component
-    (``component_id``) and the number ``n`` of its rows. Both are saved tables."""
-
-    rows = save(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), shingle).select("doc_id", "fp"), "simhash-rows")
-    nodes = save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    """(rows, groups): rows has each document's doc_id, ``text_hash`` and fingerprint
+    ``fp``; groups has for each distinct ``fp`` the ``root`` of its component, the
+    doc_id (``component_id``) and ``text_hash`` of that component's least row (null
+    ids last), and the number ``n`` of the rows of ``fp``. Both are saved tables."""
+
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), text_hash(F.col("text")).alias("text_hash"))
+    rows = save(fingerprints(told, shingle).select("doc_id", "text_hash", "fp"), "simhash-rows")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = save(rows.groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     root = components(links(nodes, radius), "simhash-links")
     # Only linked fingerprints are in ``root``; the others stand alone.
     rooted = nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows, save(rooted.join(least, "root").select("fp", "component_id", "n"), "simhash-groups")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    groups = rooted.join(least, "root").select("fp", "root", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("text_hash"), "n")
+    return rows, save(groups, "simhash-groups")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
 
 
 def with_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``."""
 
     rows, groups = near_duplicates(docs, shingle, radius)
-    return join_skewed(rows, groups, "fp", "n").select("doc_id", "fp", "component_id")
+    return join_skewed(rows.select("doc_id", "fp"), groups.select("fp", "component_id", "n"), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest; of several
-    such rows with one doc_id a single one stays."""
+    """One row of ``docs`` for each component: the least by doc_id (null ids last)
+    and text hash; of rows that repeat both a single one stays."""
 
     rows, groups = near_duplicates(docs, shingle, radius)
-    kept = groups.select(F.col("component_id").alias("keep_")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["keep_"]), "left_semi")
+    kept = groups.filter("fp = root").select(F.col("component_id").alias("keep_"), F.col("text_hash").alias("keep_hash_"))
+    digest = free_name(docs, "hash_")
+    whole = docs.withColumn(digest, text_hash(F.col("text")))
+    out = whole.join(kept, whole["doc_id"].cast("long").eqNullSafe(kept["keep_"]) & (whole[digest] == kept["keep_hash_"]), "left_semi")
     # ids are unique in a corpus; only where they are not must rows meet again
-    if rows.groupBy("doc_id").count().filter("count > 1").head(1):
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    if rows.groupBy("doc_id", "text_hash").count().filter("count > 1").head(1):
+        out = out.dropDuplicates(["doc_id", digest])
+    return out.drop(digest)

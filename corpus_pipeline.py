@@ -41,7 +41,7 @@ def drop_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each group of linked fingerprints the smallest doc_id stays."""
+    """Operator 10: of each group of linked fingerprints the row with the smallest doc_id stays."""
 
     return simhash.one_of_each(docs)
 

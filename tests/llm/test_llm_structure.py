@@ -293,6 +293,15 @@ def test_simhash_edge_cases(spark, edge_docs, no_docs):
     assert simhash.with_components(no_docs).count() == 0 and simhash.one_of_each(no_docs).count() == 0
 
 
+def test_simhash_keeps_a_row_of_each_group_under_null_and_repeated_ids(spark):
+    words = [" ".join(f"{k}{i}" for i in range(40)) for k in ("red", "green", "blue", "grey", "pink")]
+    # three unlike texts without an id; id 1 with two unlike texts; id 2 a copy of the second of these
+    rows = [(None, words[0]), (None, words[1]), (None, words[2]), (1, words[3]), (1, words[4]), (2, words[4]), (None, words[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(None, words[0]), (None, words[1]), (None, words[2]), (1, words[3]), (1, words[4])], key=str)
+
+
 # shared helpers
 
 
