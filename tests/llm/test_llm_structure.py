@@ -1,5 +1,6 @@
 """Sharding, URL filter, top-k, mixing, fingerprints, SimHash: SQL twins, brute force, edge cases."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -174,6 +175,18 @@ def test_mixing_against_plain_targets(spark, edge_docs, no_docs):
     assert mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_mixing_fills_up_behind_a_giant_document(spark):
+    # a's target is 900 of its 1,100 words; its giant of 500 comes after about four fifths of the small ones
+    def place(i):
+        return int(hashlib.md5(f"{i}:17".encode()).hexdigest()[:8], 16) / 2**32
+
+    giant = min(range(1000, 1200), key=lambda i: abs(place(i) - 0.8))
+    rows = [*[(i, "w " * (1 + i % 3), "a") for i in range(300)], (giant, "w " * 500, "a"), *[(2000 + i, "w " * 10, "b") for i in range(10)]]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(1, 1)).collect()
+    assert {r["target"] for r in got if r["source"] == "a"} == {900}
+    assert [r["doc_id"] for r in got if not r["shards"]] == [giant]
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quota = {"0a": 1000, "0b": 1, "0c": 333, "0d": 50, "1": 7}
     leaves = mixing.split_quotas(spark.createDataFrame(list(quota.items()), "skey string, blocks bigint"), 4).collect()
