@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, language, merkle, mixing, quality, sharding, simhash, topk, toxicity, urls
+from cohortlens.llm import align, bpe, hardneg, language, merkle, mixing, quality, sharding, simhash, tokencount, topk, toxicity, urls
 from cohortlens.llm.common import fold, read_table
 
-#: The vocabulary file that the BPE query uses.
+#: The vocabulary file that the BPE query uses, and the model that is aligned with it.
 VOCABULARY = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -80,6 +81,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    vectors = hardneg.labelled_vectors(rows)
+    return hardneg.mine(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return tokencount.count_tokens(docs, vocabulary_path()).select("doc_id", size, "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_statistics(read_table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path(PIECE_MODEL))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
@@ -91,5 +109,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
+    "op13_token_alignment": op13_token_alignment,
 }
-ORACLES: dict[str, str] = {"op2_url_filter": urls.SQL, "op4_topk": topk.SQL, "op5_mixing": mixing.SQL, "op7_fingerprints": merkle.SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": urls.SQL, "op4_topk": topk.SQL, "op5_mixing": mixing.SQL, "op7_fingerprints": merkle.SQL, "op11_hard_negatives": hardneg.SQL}
