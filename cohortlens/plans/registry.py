@@ -39,4 +39,5 @@ def load_all() -> None:
         q_explain,
         q_views,
         q_embed,
+        q_density,
     )

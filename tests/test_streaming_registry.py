@@ -44,14 +44,25 @@ def test_append_log_partitioned(spark):
 
 def test_registry_and_fallback(spark):
     names = {e["name"]: e["metadata"]["status"] for e in R.list_available()}
-    assert names["kmeans"] == names["bisecting_kmeans"] == "active" and names["dbscan"] == "unavailable"
+    assert names["kmeans"] == names["bisecting_kmeans"] == names["dbscan"] == names["hdbscan"] == "active"
     assert R.bounded("kmeans", {"n_clusters": 500, "n_init": "x"}, 10) == {"n_clusters": 9, "n_init": 10, "random_state": 42}
     assert R.bounded("bisecting_kmeans", {"n_clusters": -3, "eps": 1}, 100)["n_clusters"] == 2
+    assert R.bounded("dbscan", {"eps": "1e9", "min_samples": 1}, 10, 7.5) == {"eps": 7.5, "min_samples": 2}
+    assert R.bounded("hdbscan", {"cut_distance": "nan", "min_samples": 99, "min_cluster_size": "x"}, 10, 7.5) == {"min_cluster_size": 5, "min_samples": 10, "cut_distance": 0.5}
+    assert R.bounded("dbscan", {"eps": 0}, 10, 0.0)["eps"] == 0.0001
     rows = [(f"C{i:03d}", float(i % 5), float((i * 7) % 11)) for i in range(60)]
     df = spark.createDataFrame(rows, "CUST_ID string, a double, b double")
     res = R.segment(df, algorithm="dbscan", params={"n_clusters": 2})
-    assert (res.algorithm, res.reason, res.detail) == ("kmeans", "not_active", "dbscan")
+    assert (res.algorithm, res.reason, res.detail) == ("kmeans", "too_few_segments", "dbscan")  # eps 0.5: noise only
     assert res.labels.select("cluster_label").distinct().count() == 2
+    two = df.unionByName(df.selectExpr("concat('D', CUST_ID) AS CUST_ID", "a + 100 AS a", "b"))
+    for name, params in (("dbscan", {"eps": 1.5}), ("hdbscan", {"cut_distance": 1.5})):
+        res = R.segment(two, algorithm=name, params=params)
+        assert (res.algorithm, res.reason, res.centers, res.inertia) == (name, "as_requested", None, None)
+        found = {(r[0][0], r[1]) for r in res.labels.select("CUST_ID", "cluster_label").collect()}
+        assert {("C", 0), ("D", 1)} <= found <= {("C", 0), ("D", 1), ("C", -1), ("D", -1)}
+    R.register("off", None, {"type": "clustering"})
+    assert R.segment(df, algorithm="off", params={"n_clusters": 2}).reason == "not_active"
     res = R.segment(df, algorithm="bisecting_kmeans", params={"n_clusters": 2})
     assert (res.algorithm, res.reason) == ("bisecting_kmeans", "as_requested")
 
