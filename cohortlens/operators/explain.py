@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import catalog
 from cohortlens.functions.expr import feature_label, round_half_up
-from cohortlens.session import ensure_checkpoint_dir, materialize
+from cohortlens.session import ensure_checkpoint_dir, materialize, remember
 
 LABEL = "cluster_label"
 SPREAD_ROWS = 50_000
@@ -77,6 +77,7 @@ def forest_arrays(model, spark) -> dict:
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortlens-models/forest-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
+    remember(spark, path)
     rows = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.impurityStats", "nodeData.leftChild", "nodeData.rightChild",
         "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",

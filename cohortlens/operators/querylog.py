@@ -118,6 +118,27 @@ def append_log(rows: DataFrame, path: str, partition_by: str = "created_date") -
         return f"{type(err).__name__}: {err}"
 
 
+def log_explanation(path: str, explanation, query_text: str, dataset_id: str = "customers", record_id: int | None = None) -> str | None:
+    """Append the record of an explanation that ran: its explainer and reason
+    code, and how many customers and segments its frames explain."""
+
+    customers = explanation.customers
+    summary = {
+        "explainer_used": explanation.explainer, "explainer_reason": explanation.reason,
+        "customer_count": customers.count(), "segment_count": explanation.segments.count(),
+    }
+    row = log_record(customers.sparkSession, query_text, {"cache_hit": False}, explanation_summary=summary, dataset_id=dataset_id, record_id=record_id)
+    return append_log(row, path)
+
+
+def explanation_counts(log: DataFrame) -> DataFrame:
+    """What the log says about its explanations, per explainer and reason."""
+
+    e = log.select(F.from_json("explanation_summary", EXPL_SCHEMA).alias("e")).where(F.col("e").isNotNull())
+    return e.groupBy(F.col("e.explainer_used").alias("explainer_used"), F.col("e.explainer_reason").alias("explainer_reason")).agg(
+        F.count(F.lit(1)).alias("n_queries"), F.sum("e.customer_count").alias("customer_count"), F.sum("e.segment_count").alias("segment_count"))
+
+
 def live_node_state(events: DataFrame) -> DataFrame:
     """K2 (batch replay): latest status per (query, node) by (ts, event id)."""
 

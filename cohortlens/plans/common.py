@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.expr import round_half_up  # noqa: F401
 from cohortlens.operators.features import build_customer_features
+from cohortlens.session import on_drop
 from cohortlens.sources.profile import PROFILE_SQL, load_profile
 
 R = 4  # decimals for doubles in registered query outputs
@@ -148,6 +149,7 @@ def r4(expr: str, digits: int = R) -> str:
 
 
 _FITS: dict = {}
+on_drop(_FITS.clear)
 
 
 def kmeans_result(spark: SparkSession, sf_dir: str, k: int = 3):

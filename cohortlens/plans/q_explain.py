@@ -12,10 +12,11 @@ from cohortlens.operators import segments as S
 from cohortlens.operators.features import to_matrix
 from cohortlens.plans.common import FEATURE_NAMES, features, kmeans_labels, rounded
 from cohortlens.plans.registry import register
-from cohortlens.session import input_state
+from cohortlens.session import input_state, on_drop
 
 COLS = ["TENURE", *FEATURE_NAMES]
 _FORESTS: dict = {}
+on_drop(_FORESTS.clear)
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,7 @@ no AS (SELECT event_id, user_id AS query_id, CASE event_type {" ".join(f"WHEN {_
 log0 AS (SELECT *, trim(regexp_replace(lower(query_text), '\\s+', ' ', 'g')) AS query_text_normalized, 'customers' AS dataset_id,
                 coalesce(node_name = 'segmentation', false) AS seg FROM req),
 log AS (SELECT *, row_number() OVER (PARTITION BY query_text_normalized, dataset_id ORDER BY created_at, id) > 1 AS cache_hit,
-               CASE WHEN seg THEN 'kmeans' END AS chosen_algorithm,
-               CASE WHEN seg THEN CASE WHEN duration_ms % 4 = 0 THEN 'rule_based_fallback' ELSE 'shap' END END AS explainer_used FROM log0)"""
+               CASE WHEN seg THEN 'kmeans' END AS chosen_algorithm, CAST(NULL AS VARCHAR) AS explainer_used FROM log0)"""
 
 _SEED = " UNION ALL ".join(f"SELECT {_q(n)} AS node_name" for n in catalog.KNOWN_NODES)
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expr import round_half_up
+from cohortlens.operators import explain as H
 from cohortlens.operators import personas as P
+from cohortlens.operators import querylog as L
 from cohortlens.operators import segments as S
 from cohortlens.plans.common import r4
-from cohortlens.plans.q_log import LOG_CTE
-from cohortlens.plans.q_segments import LAB_CTE, PERSONA_JOIN_CTE, RECS_CTE, RULE_CTE, _rules, labelled, with_personas
+from cohortlens.plans.q_segments import LAB_CTE, MATRIX_COLS, PERSONA_JOIN_CTE, RECS_CTE, RULE_CTE, _rules, labelled, labelled_matrix, with_personas
 from cohortlens.plans.registry import register
-from cohortlens.sources.querylog import EXPL_SCHEMA, load_query_log
+from cohortlens.session import ensure_checkpoint_dir, remember
 
 PANEL_CTE = RULE_CTE + RECS_CTE[len(LAB_CTE):]
 
@@ -46,17 +49,31 @@ def product_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "explanation_counts",
-    LOG_CTE + """ SELECT explainer_used, count(*) AS n_queries, CAST(sum(duration_ms) AS BIGINT) AS customer_count, CAST(sum(k) AS BIGINT) AS segment_count
-FROM log WHERE seg GROUP BY explainer_used""",
+    LAB_CTE + """, own AS (SELECT * FROM lab WHERE cluster_label >= 0), low AS (SELECT min(cluster_label) AS l FROM own)
+SELECT 'rule_based' AS explainer_used, 'as_requested' AS explainer_reason, CAST(1 AS BIGINT) AS n_queries, count(*) AS customer_count, count(DISTINCT cluster_label) AS segment_count FROM own
+UNION ALL SELECT 'rule_based', 'one_segment', 1, count(*), 1 FROM own, low WHERE cluster_label = l
+UNION ALL SELECT 'none', 'no_centers', 1, 0, 0""",
 )
 def explanation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explanation counts recorded in the log, per explainer."""
-
-    e = load_query_log(spark, sf_dir).select(F.from_json("explanation_summary", EXPL_SCHEMA).alias("e")).where(F.col("e").isNotNull())
-    return e.groupBy(F.col("e.explainer_used").alias("explainer_used")).agg(
-        F.count(F.lit(1)).alias("n_queries"), F.sum("e.customer_count").alias("customer_count"),
-        F.sum("e.segment_count").alias("segment_count"),
-    )
+    """A21 + L2 + H6: three explanations run (rules on all segments, a surrogate asked
+    for one segment alone, rules without centers), each appended to a log with its
+    real counts; the log is read back."""
+
+    m = labelled_matrix(spark, sf_dir)
+    lowest = m.where("cluster_label >= 0").agg(F.min("cluster_label")).first()[0]
+    one = m.where(F.col("cluster_label") == lowest)
+    runs = {
+        "explain all segments": H.explain(m, MATRIX_COLS, "rule_based", S.explanation_centers(m, MATRIX_COLS)),
+        "explain one segment": H.explain(one, MATRIX_COLS, "shap", S.explanation_centers(one, MATRIX_COLS)),
+        "explain without centers": H.explain(m, MATRIX_COLS, "rule_based"),
+    }
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortlens-tables/explanation-log-{uuid.uuid4().hex}"
+    remember(spark, path)
+    for i, (text, explanation) in enumerate(runs.items()):
+        failed = L.log_explanation(path, explanation, text, record_id=i)
+        if failed:
+            raise RuntimeError(failed)
+    return L.explanation_counts(spark.read.parquet(path))
 
 
 @register(

@@ -60,6 +60,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 _MATERIALIZED: dict[tuple, object] = {}
 _WRITTEN: dict[str, list[str]] = {}
+_ON_DROP: list = []
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """``drop_materialized`` deletes ``path`` too."""
+
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
+def on_drop(forget) -> None:
+    """Call ``forget`` when the session's tables are dropped: for what is kept in memory about them."""
+
+    _ON_DROP.append(forget)
 
 
 def input_state(spark: SparkSession, folder: str) -> str:
@@ -98,7 +111,7 @@ def materialize(df, name: str, key: tuple | None = None):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/cohortlens-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.setdefault(app, []).append(path)
+    remember(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     if memo_key is not None:
         _MATERIALIZED[memo_key] = out
@@ -122,4 +135,6 @@ def drop_materialized(spark: SparkSession) -> int:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     for k in [k for k in _MATERIALIZED if k[0] == app]:
         del _MATERIALIZED[k]
+    for forget in _ON_DROP:
+        forget()
     return len(paths)

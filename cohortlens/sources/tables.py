@@ -64,6 +64,16 @@ def schema_probe(df: DataFrame) -> list[str]:
     return list(df.schema.names)
 
 
+def probe_path(spark: SparkSession, path: str) -> list[str]:
+    """The column names of a delimited file with a header, read from its head
+    alone; a path that cannot be read has no columns."""
+
+    try:
+        return list(spark.read.option("header", True).csv(path).columns)
+    except Exception:  # noqa: BLE001 - missing, unreadable or not a file: no columns
+        return []
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: Sequence[str] = ()) -> str:
     """S3: persist a table (overwrite by default)."""
 
