@@ -3,23 +3,24 @@
 Every source's share of all words follows its weight, but no target exceeds
 ``most`` times the source's own words; what a capped source leaves is reshared by
 weight. A source gives whole documents: all of them for each full pass that fits
-its target, then a permuted prefix of one more pass, then up to ``fills`` single
-documents that best fit what is still missing, then (``whole``) prefixes of the
-unused documents that still fit, until none does. These document copies, permuted
-and cut into blocks of equal count, are the source's exact block quota. A binary
-tree over the output shards splits all quotas at once: at every node the left
-half's blocks are a multivariate-hypergeometric draw, so shard sizes stay equal and
-every source stays whole. A shard's blocks are the next ones of each source's
-permutation (disjoint by construction) and are shuffled inside the shard.
+its target, then permuted prefixes: of the documents not yet taken that fit into
+what is missing, as many as fit in permuted order, again and again until none does.
+So a source misses its target by less than its smallest unused document with words.
+These document copies, permuted and cut into blocks of equal count, are the source's
+exact block quota. A binary tree over the output shards splits all quotas at once: at
+every node the left half's blocks are a multivariate-hypergeometric draw, so shard
+sizes stay equal and every source stays whole. A shard's blocks are the next ones of
+each source's permutation (disjoint by construction) and are shuffled inside the shard.
 
 All of it is DataFrame and SQL functions. Only (id, source, size, hash) rows are
 moved; slices of a source are ranked apart, so a hot source fills no single task.
-The tables of sources and of tree nodes have one row a source (and node).
+The tables of sources and of tree nodes have one row a source (and node); a draw over
+many sources is split into draws over groups of sources first, so no row holds them all.
 
 Defined cases: a null text has no words, a null source is a source (the last);
 documents without words take 0 whatever their copies; with no words at all every
 target is 0. Rows sharing an id are ranked as separate documents. An empty table
-gives an empty mix. Draws hang on ids and a seed alone, so reruns agree.
+gives an empty mix. Draws hang on ids, texts and a seed alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ WEIGHTS = (5, 2, 1)
 SEED = 17
 
 
-def order_hash(doc_id: Column, seed: int = SEED) -> Column:
-    """An even hash of the id in [0, 2^32) that any SQL engine with MD5 can repeat."""
+def order_hash(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """An even hash of id and text in [0, 2^32) that any SQL engine with MD5 can
+    repeat; texts of one hot id spread."""
 
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}:"), digest)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
@@ -48,7 +51,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
         F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("skey"),
-        words.alias("size"), order_hash(F.col("doc_id")).alias("h"),
+        words.alias("size"), order_hash(F.col("doc_id"), F.col("text").cast("string")).alias("h"),
     )
 
 
@@ -79,36 +82,22 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return own.select("skey", "source_size", "docs", "target", "passes", (F.col("quota") - F.col("passes") * F.col("source_size")).alias("rest"))
 
 
-def chosen(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, fills: int = 3, whole: bool = True) -> DataFrame:
-    """Each document with its rank in its source's permutation and its ``copies`` in the mix.
-    Without ``whole`` a source's choice ends with the ``fills``, as the SQL does."""
+def chosen(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
+    """Each document with its rank in its source's permutation and its ``copies`` in the mix."""
 
     rows = save(sized(docs), "mix-rows")
     sources = save(targets(rows, weights, most), "mix-sources")
     order = ["h", "id_", "size", "text_hash"]
-    ranked = ranked_in_groups(rows.withColumn("id_", F.coalesce("doc_id", F.lit(-1))), ["skey"], order, "size", rows=rows.count())
-    ranked = ranked.select("doc_id", "text_hash", "skey", "size", "h", "rank", "before")
-    inside = F.col("before") + F.col("size") <= F.col("rest")
-    placed = save(join_small(ranked, sources, "skey").withColumn("in_prefix", inside).drop("before", "docs"), "mix-placed")
-    in_prefix = F.col("in_prefix")
-    state = save(placed.groupBy("skey").agg(
-        (F.first("rest") - F.coalesce(F.sum(F.when(in_prefix, F.col("size"))), F.lit(0))).alias("missing"),
-        F.array().cast("array<bigint>").alias("extra"),
-    ), "mix-state")
-    for _ in range(fills):
-        fit = (~in_prefix) & (F.col("size") > 0) & (F.col("size") <= F.col("missing")) & ~F.array_contains("extra", F.col("rank"))
-        best = F.max(F.when(fit, F.struct("size", (-F.col("rank")).alias("r")))).alias("best")
-        state = join_small(placed, state, "skey").groupBy("skey").agg(best, F.first("missing").alias("missing"), F.first("extra").alias("extra"))
-        state = save(state.select("skey", (F.col("missing") - F.coalesce("best.size", F.lit(0))).alias("missing"), F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array(-F.col("best.r")))).alias("extra")), "mix-state")
-    once_more = in_prefix | F.array_contains("extra", F.col("rank"))
-    out = join_small(placed, state, "skey").withColumn("more", once_more)
-    if whole:
-        fitting = out.filter((~F.col("more")) & (F.col("size") > 0) & (F.col("size") <= F.col("missing")))
-        got = prefixes(fitting.select("skey", F.col("rank").alias("doc"), "h", "size", "missing"))
-        if got is not None:
-            got = got.select("skey", F.col("doc").alias("rank"), F.lit(True).alias("late"))
-            out = out.join(got, ["skey", "rank"], "left").withColumn("more", F.col("more") | F.coalesce("late", F.lit(False)))
-    out = out.withColumn("copies", (F.col("passes") + F.col("more").cast("long")).cast("int"))
+    ranked = ranked_in_groups(rows.withColumn("id_", F.coalesce("doc_id", F.lit(-1))), ["skey"], order, None, rows=rows.count())
+    ranked = ranked.select("doc_id", "text_hash", "skey", "size", "h", "rank")
+    placed = save(join_small(ranked, sources, "skey").drop("docs"), "mix-placed")
+    fitting = placed.filter((F.col("size") > 0) & (F.col("size") <= F.col("rest")))
+    taken = prefixes(fitting.select("skey", F.col("rank").alias("doc"), "h", "size", F.col("rest").alias("missing")))
+    if taken is None:
+        more = placed.withColumn("late", F.lit(False))
+    else:
+        more = placed.join(taken.select("skey", F.col("doc").alias("rank"), F.lit(True).alias("late")), ["skey", "rank"], "left")
+    out = more.withColumn("copies", (F.col("passes") + F.coalesce("late", F.lit(False)).cast("long")).cast("int"))
     return out.select("doc_id", "text_hash", "skey", "rank", "size", "source_size", "target", "copies")
 
 
@@ -131,15 +120,15 @@ def prefixes(fitting: DataFrame) -> DataFrame | None:
     return got
 
 
-def split_quotas(quotas: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
-    """(skey, shard, from_block, to_block): the tree's leaves, each with the next
-    blocks of every source's permutation. ``quotas`` has (skey, blocks)."""
+#: A draw is over at most about GROUP sources or FAN groups of them.
+GROUP, FAN = 128, 256
 
-    node = quotas.select(F.lit(0).alias("node"), "skey", F.col("blocks").cast("long").alias("n"))
-    for level in range(levels):
-        # One row a node; its array has one entry a source.
-        gathered = node.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("skey", "n"))).alias("q"), F.sum("n").alias("total"))
-        draw = f"""aggregate(q, named_struct('left', total, 'm', total div 2, 'out', cast(array() as array<bigint>)), (s, x) -> aggregate(array(
+
+def _drawn(gathered: DataFrame, level: int, seed: int) -> DataFrame:
+    """(node, q: skey and n, l: what the left half gets) of one draw of ``m`` blocks
+    without replacement from ``q``, whose blocks are ``total``."""
+
+    draw = f"""aggregate(q, named_struct('left', total, 'm', m, 'out', cast(array() as array<bigint>)), (s, x) -> aggregate(array(
             named_struct('mu', double(s.m) * x.n / greatest(s.left, 1),
                          'sd', sqrt(double(s.m) * x.n / greatest(s.left, 1) * (1 - double(x.n) / greatest(s.left, 1)) * (s.left - s.m) / greatest(s.left - 1, 1)),
                          'u', (pmod(xxhash64(x.skey, node, {level}, {seed}), 9007199254740992) + 0.5D) / 9007199254740992D)), s, (t, d) ->
@@ -151,20 +140,50 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
                 'w', a.w * (x.n - k) * (s.m - k) / ((k + 1.0D) * greatest(s.left - x.n - s.m + k + 1, 1)), 'sum', a.sum + a.w,
                 'got', if(a.sum < bar, k, a.got)), a -> a.got)), t3, (t4, got) ->
             named_struct('left', s.left - x.n, 'm', s.m - got, 'out', concat(s.out, array(got)))))))), s -> s.out)"""
-        drawn = gathered.select("node", F.explode(F.arrays_zip(F.col("q").alias("q"), F.expr(draw).alias("l"))).alias("e"))
-        n, left = F.col("e.q.n"), F.col("e.l")
-        node = drawn.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("e.q.skey").alias("skey"), left.alias("n")), F.struct((F.col("node") * 2 + 1).alias("node"), F.col("e.q.skey").alias("skey"), (n - left).alias("n")))).alias("c")).select("c.*")
+    return gathered.select("node", F.explode(F.arrays_zip(F.col("q").alias("q"), F.expr(draw).alias("l"))).alias("e")).select("node", "e.q", "e.l")
+
+
+def split_quotas(quotas: DataFrame, levels: int, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """(skey, shard, from_block, to_block): the tree's leaves, each with the next
+    blocks of every source's permutation. ``quotas`` has (skey, blocks)."""
+
+    sources, depth = quotas.count(), 0
+    while sources > group * FAN**depth:
+        depth += 1
+
+    def prefix(i: int) -> Column:
+        """The group of a source i levels down: the first bytes of its hash."""
+
+        return F.shiftright(hash32(F.col("skey"), F.lit(seed + 2)), 32 - 8 * i) if i else F.lit(0).cast("long")
+
+    def gathered(parts: DataFrame, *keys: str) -> DataFrame:
+        return parts.groupBy("node", *keys).agg(F.sort_array(F.collect_list(F.struct("skey", "n"))).alias("q"), F.sum("n").alias("total"))
+
+    node = quotas.select(F.lit(0).alias("node"), "skey", F.col("blocks").cast("long").alias("n"))
+    for level in range(levels):
+        if not depth:
+            drawn = _drawn(gathered(node).withColumn("m", F.expr("total div 2")), level, seed)
+        else:
+            node = save(node, "mix-nodes")
+            half = node.groupBy("node").agg(F.sum("n").alias("t")).select("node", F.lit(0).cast("long").alias("g"), F.expr("t div 2").alias("m"))
+            for i in range(1, depth + 1):
+                inner = node.groupBy("node", prefix(i - 1).alias("g"), prefix(i).cast("string").alias("skey")).agg(F.sum("n").alias("n"))
+                found = _drawn(gathered(inner, "g").join(half, ["node", "g"]), level, seed)
+                half = save(found.select("node", F.col("q.skey").cast("long").alias("g"), F.col("l").alias("m")), "mix-halves")
+            drawn = _drawn(gathered(node.withColumn("g", prefix(depth)), "g").join(half, ["node", "g"]), level, seed)
+        n, left = F.col("q.n"), F.col("l")
+        node = drawn.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("q.skey").alias("skey"), left.alias("n")), F.struct((F.col("node") * 2 + 1).alias("node"), F.col("q.skey").alias("skey"), (n - left).alias("n")))).alias("c")).select("c.*")
     past = Window.partitionBy("skey").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(past), F.lit(0))
     return node.select("skey", F.col("node").alias("shard"), start.alias("from_block"), (start + F.col("n")).alias("to_block"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, fills: int = 3, levels: int = 5, blocks: int = 1 << 14, whole: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, levels: int = 5, blocks: int = 1 << 14) -> DataFrame:
     """Each document once, with ``shards``: the output shard of each of its copies
     (2^levels shards; empty for a document left out), and ``places``: the copy's
     sort key inside its shard. About ``blocks`` blocks in all are dealt."""
 
-    plan = save(chosen(docs, weights, most, fills, whole), "mix-plan")
+    plan = save(chosen(docs, weights, most), "mix-plan")
     copies = plan.agg(F.sum("copies")).first()[0] or 0
     each = max(1, copies // blocks)
     units = plan.filter("copies > 0").select("skey", F.col("rank").alias("doc"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
@@ -203,10 +222,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     return out.drop(copies)
 
 
-#: The words taken, in SQL (its fills match sources that are not null; the draw of shards does not change the words).
+#: The words taken, in SQL (the draw of shards does not change the words). ``p`` repeats the prefix passes.
 SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':17'), 1, 8))::BIGINT AS h FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':17:' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS h FROM documents),
 s0 AS (SELECT source, sum(size)::HUGEINT AS z, ([5, 2, 1])[1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT]::HUGEINT AS w FROM d GROUP BY source),
 s1 AS (SELECT *, sum(z) OVER () AS t, sum(w) OVER () AS ws,
     coalesce(sum(3 * z) OVER r, 0) AS c, coalesce(sum(w) OVER r, 0) AS v FROM s0
@@ -215,17 +234,13 @@ s2 AS (SELECT source, z, w, t, ws, (t - c) * w >= 3 * z * (ws - v) AS capped FRO
 s3 AS (SELECT *, coalesce(sum(CASE WHEN capped THEN 3 * z END) OVER (), 0) AS c, coalesce(sum(CASE WHEN capped THEN w END) OVER (), 0) AS v FROM s2),
 s4 AS (SELECT source, z::BIGINT AS source_size, CASE WHEN capped THEN (3 * z)::DOUBLE ELSE (w * (t - c))::DOUBLE / (ws - v)::DOUBLE END AS target FROM s3),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes, floor(target)::BIGINT - CASE WHEN source_size > 0 THEN (floor(target)::BIGINT // source_size) * source_size ELSE 0 END AS rest FROM s4),
-r AS (SELECT d.*, s.source_size, s.target, s.passes, s.rest, row_number() OVER o - 1 AS rank, sum(d.size) OVER o AS upto
-    FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
-    WINDOW o AS (PARTITION BY d.source ORDER BY h, coalesce(doc_id, -1), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-p AS (SELECT *, upto <= rest AS pre FROM r),
-m0 AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (pre), 0) AS missing FROM p GROUP BY source),
-f1 AS (SELECT source, arg_max(rank, size * 1000000000000::HUGEINT - rank) AS rank, arg_max(size, size * 1000000000000::HUGEINT - rank) AS size FROM p JOIN m0 m USING (source) WHERE NOT pre AND size > 0 AND size <= missing GROUP BY source),
-m1 AS (SELECT m0.source, missing - coalesce(f1.size, 0) AS missing FROM m0 LEFT JOIN f1 ON m0.source = f1.source),
-f2 AS (SELECT p.source, arg_max(p.rank, p.size * 1000000000000::HUGEINT - p.rank) AS rank, arg_max(p.size, p.size * 1000000000000::HUGEINT - p.rank) AS size FROM p JOIN m1 m USING (source) ANTI JOIN f1 ON p.source = f1.source AND p.rank = f1.rank WHERE NOT pre AND size > 0 AND size <= missing GROUP BY p.source),
-m2 AS (SELECT m1.source, missing - coalesce(f2.size, 0) AS missing FROM m1 LEFT JOIN f2 ON m1.source = f2.source),
-f3 AS (SELECT p.source, arg_max(p.rank, p.size * 1000000000000::HUGEINT - p.rank) AS rank FROM p JOIN m2 m USING (source) ANTI JOIN f1 ON p.source = f1.source AND p.rank = f1.rank ANTI JOIN f2 ON p.source = f2.source AND p.rank = f2.rank WHERE NOT pre AND size > 0 AND size <= missing GROUP BY p.source),
-f AS (SELECT source, rank FROM f1 UNION ALL SELECT source, rank FROM f2 UNION ALL SELECT source, rank FROM f3)
-SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN pre OR f.rank IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p LEFT JOIN f ON p.source = f.source AND p.rank = f.rank
+r AS (SELECT d.*, s.source_size, s.target, s.passes, s.rest, row_number() OVER (PARTITION BY d.source ORDER BY h, coalesce(doc_id, -1), d.size) AS rank
+    FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+p AS (SELECT source, rank, size, rest AS missing, FALSE AS taken FROM r WHERE size > 0
+  UNION ALL
+  SELECT source, rank, size, (missing - coalesce(sum(CASE WHEN upto <= missing THEN size END) OVER (PARTITION BY source), 0))::BIGINT, upto <= missing
+  FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM p WHERE NOT taken AND size <= missing)),
+f AS (SELECT source, rank FROM p WHERE taken)
+SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN f.rank IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r LEFT JOIN f ON r.source IS NOT DISTINCT FROM f.source AND r.rank = f.rank
 """
