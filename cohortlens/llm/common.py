@@ -132,10 +132,12 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, rows: int) -> DataFrame:
-    """(text, y): at most ``rows`` labelled documents outside fold 0, those with the
+    """(id_, text, y): at most ``rows`` labelled documents outside fold 0, those with the
     smallest id hash, so the choice does not depend on partitioning. Null labels
-    and null ids take no part; an id labelled twice takes its larger label. The
-    sample is drawn on ids alone; its ids (at most ``rows``) are then broadcast."""
+    and null ids take no part; an id labelled twice takes its larger label, and of
+    an id's rows the text with the smallest hash stands for all, so an id that many
+    rows share adds one row. The sample is drawn on ids alone; its ids (at most
+    ``rows``) are then broadcast."""
 
     ids = docs.select(F.col("doc_id").cast("long").alias("id_")).filter(fold(F.col("id_"), folds) != 0).distinct()
     marks = (
@@ -145,7 +147,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: in
     chosen = marks.join(ids, "id_", "left_semi").orderBy(hash32(F.col("id_"), F.lit(11)), "id_").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("id_"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "id_", "inner")
-    return found.select("id_", "text", "y")
+    one = found.groupBy("id_", "y").agg(F.min(F.struct(hash32(F.col("text")).alias("h"), "text")).alias("t"))
+    return one.select("id_", "t.text", "y")
 
 
 class Remembered(dict):
