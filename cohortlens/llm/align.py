@@ -41,7 +41,7 @@ from cohortlens.llm.bpe import PIECES, ForcedCutBpe, byte_alphabet
 from cohortlens.llm.common import join_skewed, save
 
 #: Characters of texts that are taken together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 #: The pattern matcher of side A's library cannot hold longer runs of white space.
 LONG_RUN = regex.compile(r"\s{20000}")
 #: No token of a sentencepiece model has this id, and a pair of ids fits a long.
@@ -64,14 +64,14 @@ class ByteLevel:
         for data, i in ranks.items():
             self.bytes[i] = data
         self.library = tiktoken.Encoding("a", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-        self.plain, self.other = {**spec, "added_tokens": []}, None
+        self.content, self.other = content, None
 
     def encode(self, texts: list[str]) -> list:
         return [self._long(t) if len(t) >= 20000 and LONG_RUN.search(t) else self.library.encode_ordinary(t) for t in texts]
 
     def _long(self, text: str) -> list[int]:
         if self.other is None:
-            self.other = ForcedCutBpe(json.dumps(self.plain).encode())
+            self.other = ForcedCutBpe(json.dumps({**json.loads(self.content), "added_tokens": []}).encode())
         return self.other.encode(text).tolist()
 
 
