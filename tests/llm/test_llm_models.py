@@ -178,3 +178,18 @@ def test_quality_scores_are_the_softmax_of_mean_vectors(spark):
         out = bias + (sums[at] * times[:, None]).sum(axis=0) / max(times.sum(), 1)
         p = np.exp(out - out.max())
         assert r["s_"] == pytest.approx(p[1] / p.sum(), abs=1e-4)
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """An id on a third of all rows adds one row, whatever its texts; both classifiers learn from such a table."""
+
+    from cohortlens.llm.common import labelled_sample
+
+    rows = [(i if i % 3 else 1, f"text {i} of many words") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(900)], "doc_id bigint, quality int, toxic int")
+    got = labelled_sample(docs, labels, "quality", folds=5, rows=200).collect()
+    assert len(got) == len({r["id_"] for r in got}) == 200
+    every = labelled_sample(docs, labels, "quality", folds=5, rows=5000).collect()
+    assert 1 in {r["id_"] for r in every} and len(every) == len({r["id_"] for r in every}) < 601
+    assert quality.train(docs, labels, rows=50) is not None and toxicity.train(docs, labels, rows=50) is not None

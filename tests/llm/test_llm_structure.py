@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -132,6 +133,48 @@ def test_topk_refuses_inexact_scores(spark):
         topk.top_k(big, big)
 
 
+# sharding in pairs
+
+
+def test_admitted_moves_keep_room():
+    rng = random.Random(5)
+    for _ in range(200):
+        k = rng.randint(2, 7)
+        asks = {(i, j): rng.randint(0, 9) for i in range(k) for j in range(k) if i != j}
+        room = [rng.choice([0, 0, 3]) for _ in range(k)]
+        got = sharding.admitted(asks, room)
+        gain = [sum(n for (_, b), n in got.items() if b == s) - sum(n for (a, _), n in got.items() if a == s) for s in range(k)]
+        assert all(g <= r for g, r in zip(gain, room)) and all(0 < n <= asks[p] for p, n in got.items())
+        left = {p: n - got.get(p, 0) for p, n in asks.items()}
+        free = [r - g for g, r in zip(gain, room)]
+        # Nothing more can move: no shard that is asked for has room, and those asking form no cycle.
+        assert not any(n and free[j] for (_, j), n in left.items())
+        onward = {i: {j for (a, j), n in left.items() if a == i and n} for i in range(k)}
+        while ends := [i for i, js in onward.items() if not js]:
+            for e in ends:
+                del onward[e]
+                for js in onward.values():
+                    js.discard(e)
+        assert not onward
+
+
+@pytest.mark.parametrize("alone", [0, 5])
+def test_sharding_of_pairs_settles(spark, alone):
+    """All rows in pairs, or 5 % of them unlinked: hardly any pair stays cut, and counts are even."""
+
+    n = 4000
+    rows = [(i, f"alone {i}" if i % 100 < alone else f"pair {i // 100} {(i % 100 - alone) // 2}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = dict(rows)
+    placed = {r["doc_id"]: r["shard"] for r in sharding.assign(docs).collect()}
+    sizes, by = Counter(placed.values()), defaultdict(list)
+    for i, s in placed.items():
+        by[texts[i]].append(s)
+    assert set(sizes.values()) == {n // 40}
+    pairs = [v for v in by.values() if len(v) > 1]
+    assert len(pairs) > n * 0.45 and sum(len(set(v)) > 1 for v in pairs) < 0.02 * len(pairs)
+
+
 # mixing
 
 
@@ -175,16 +218,65 @@ def test_mixing_against_plain_targets(spark, edge_docs, no_docs):
     assert mixing.mixed_documents(no_docs).count() == 0
 
 
-def test_mixing_fills_up_behind_a_giant_document(spark):
-    # a's target is 900 of its 1,100 words; its giant of 500 comes after about four fifths of the small ones
-    def place(i):
-        return int(hashlib.md5(f"{i}:17".encode()).hexdigest()[:8], 16) / 2**32
+def permuted(doc_id, text):
+    """The place of a document in its source's permutation, from 0 to 1."""
+
+    digest = hashlib.md5(text.encode()).hexdigest()
+    return int(hashlib.md5(f"{doc_id}:17:{digest}".encode()).hexdigest()[:8], 16) / 2**32
 
-    giant = min(range(1000, 1200), key=lambda i: abs(place(i) - 0.8))
+
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.8])
+def test_mixing_fills_up_around_a_giant_document(spark, share):
+    """Wherever a giant stands in the permutation, its source misses the target by less than any unused document."""
+
+    giant = min(range(1000, 1200), key=lambda i: abs(permuted(i, "w " * 500) - share))
     rows = [*[(i, "w " * (1 + i % 3), "a") for i in range(300)], (giant, "w " * 500, "a"), *[(2000 + i, "w " * 10, "b") for i in range(10)]]
+    got = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(1, 1)).collect() if r["source"] == "a"]
+    assert {r["target"] for r in got} == {900}
+    unused = [r["size"] for r in got if not r["shards"]]
+    assert 0 <= 900 - sum(r["size"] * len(r["shards"]) for r in got) < min(unused)
+
+
+def plain_mix(sizes, rest):
+    """The documents (sizes in permuted order) that repeated prefixes take for ``rest`` words."""
+
+    taken = set()
+    while fit := [i for i, z in enumerate(sizes) if i not in taken and 0 < z <= rest]:
+        for i in fit:
+            if sizes[i] > rest:
+                break
+            taken.add(i)
+            rest -= sizes[i]
+    return taken
+
+
+def test_mixing_of_a_hot_id_equals_a_plain_mixer(spark):
+    """A third of all rows share one id, another third have none."""
+
+    rows = [(i if i % 3 == 0 else 7 if i % 3 == 1 else None, f"t{i} " + "w " * (i * i % 97), "a" if i % 4 else "b") for i in range(600)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(1, 1)).collect()
-    assert {r["target"] for r in got if r["source"] == "a"} == {900}
-    assert [r["doc_id"] for r in got if not r["shards"]] == [giant]
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    want = plain_targets(sizes, (1, 1))
+    expected = Counter()
+    for s in "ab":
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: permuted("" if r[0] is None else r[0], r[1]))
+        passes, rest = divmod(int(want[s]), sizes[s])
+        taken = plain_mix([len(t.split()) for _, t, _ in own], rest)
+        expected.update((i, len(t.split()), passes + (k in taken)) for k, (i, t, _) in enumerate(own))
+    assert Counter((r["doc_id"], r["size"], len(r["shards"])) for r in got) == expected
+
+
+def test_many_sources_are_split_in_groups(spark):
+    """Groups of sources, two levels deep, keep quotas and shard sizes as a flat draw does."""
+
+    quota = {f"0s{i:04d}": 1 + i % 5 for i in range(700)} | {"0hot": 900}
+    leaves = mixing.split_quotas(spark.createDataFrame(list(quota.items()), "skey string, blocks bigint"), 2, group=2).collect()
+    per_shard, by = Counter(), Counter()
+    for r in leaves:
+        per_shard[r["shard"]] += r["to_block"] - r["from_block"]
+        by[r["skey"]] += r["to_block"] - r["from_block"]
+    assert by == Counter(quota) and max(per_shard.values()) - min(per_shard.values()) <= 1
+    assert all(180 < r["to_block"] - r["from_block"] < 270 for r in leaves if r["skey"] == "0hot")
 
 
 def test_splitting_tree_keeps_quotas(spark):
