@@ -1,13 +1,18 @@
 """URL filter: a path-template tree for each host, judged by labelled purity.
 
 Rules label the urls they fit; a url without a rule is judged by its template.
-Each host's paths form a tree of three levels (first segment, second, all the
-rest). Digits become ``#``, and a child that holds under 1/``RARE`` of its node's
-urls is generalised into ``*``, so a node keeps ``RARE`` children at most. First
-level branches of a host whose subtrees are distributed alike (shares rounded to
-quarters) are merged. A merged template's share of blocked labels is smoothed
-towards that of the same template on all hosts, and that towards the share of
-all labels; a template is rejected from one half on.
+Each host's paths form a tree, one level a segment, as deep as its paths; digit runs
+become ``#``. A child stays a branch of its own if ``SUPPORT`` urls or more go through
+it, or if it has at least 1/``SHARE`` of its node's urls and its segment occurs in
+``SUPPORT`` urls of all hosts at that level; the others are variable and become ``*``.
+From the third level on a node of fewer than ``SUPPORT`` urls is not divided further:
+the rest of its paths are ``*``, so there are as many rounds as levels that so many
+urls share. Of a host's first-level branches those with ``ENOUGH`` labels each, equal
+labelled purity (in quarters) and alike subtrees (leaf shares in quarters, of which one
+at least names more than wildcards) are merged and pool their labels leaf by leaf.
+A leaf's share of blocked labels is smoothed towards that of the same template on all
+hosts, that towards its branch's, and that towards the share of all labels; a template
+is rejected from one half on.
 
 Only DataFrame functions are used. Urls are counted by (host, shape) first; all
 tree work runs on these counts. A host with a third of all urls is a hot key:
@@ -34,7 +39,7 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-RARE = 16
+SUPPORT, SHARE, ENOUGH = 8, 16, 8
 SMOOTH = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,32 +65,52 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def shapes(path: Column) -> list[Column]:
-    """The three levels of a path, digit runs as ``#``."""
+def segments(path: Column) -> Column:
+    """The segments of a path (one at least), digit runs as ``#``."""
 
-    body = F.regexp_replace(path, r"^/", "")
-    parts = F.split(body, "/", -1)
-    tail = F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), "/")
-    levels = [parts[0], F.when(F.size(parts) > 1, F.get(parts, 1)).otherwise(F.lit("<none>")), F.when(F.size(parts) > 2, tail).otherwise(F.lit("<none>"))]
-    return [F.regexp_replace(x, "[0-9]+", "#") for x in levels]
+    return F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), "[0-9]+", "#"), "/", -1)
 
 
 def key(*columns: str) -> Column:
     return F.concat_ws("\x01", *columns)
 
 
-def generalised(counts: DataFrame, node: list[str], child: str, into: str) -> DataFrame:
-    """Add ``into``: the child, or ``*`` where it is rare among its node's urls."""
-
-    counts = counts.withColumn("node", key(*node))
-    kids = save(counts.groupBy("node", child).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")), "url-kids")
-    totals = save(kids.groupBy("node").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kids"), F.sum("rows").alias("rows")), "url-totals")
-    common = join_skewed(kids.select("node", child, "n"), totals.select("node", "total", "kids"), "node", "kids").filter(F.col("n") * RARE >= F.col("total"))
-    keep = common.groupBy("node").agg(F.collect_set(child).alias("keep"))  # RARE entries at most
-    known = save(totals.select("node", "rows").join(keep, "node", "left"), "url-nodes")
-    found = join_skewed(counts, known, "node", "rows")
-    name = F.when(F.array_contains("keep", F.col(child)), F.col(child)).otherwise(F.lit("*"))
-    return save(found.withColumn(into, F.coalesce(name, F.lit("*"))).drop("node", "keep", "rows"), "url-level")
+def next_level(active: DataFrame, level: int) -> DataFrame:
+    """``active`` (with node and parts) one segment further: the new node, and whether
+    its path ends there (``ended``)."""
+
+    active = active.withColumn("seg", F.get("parts", F.lit(level))).withColumn("kid", key("node", "seg"))
+    kids = save(active.groupBy("kid", "node", "seg").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")), "url-kids")
+    nodes = save(kids.groupBy("node").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kids")), "url-nodes")
+    common = save(kids.groupBy("seg").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("places")), "url-segments")
+    told = save(join_skewed(kids, nodes, "node", "kids").drop("kids"), "url-told")
+    told = join_skewed(told, common, "seg", "places")
+    own = (F.col("n") >= SUPPORT) | ((F.col("n") * SHARE >= F.col("total")) & (F.col("seen") >= SUPPORT))
+    small = F.lit(level >= 2) & (F.col("total") < SUPPORT)
+    told = save(told.select("kid", "rows", F.when(own, F.col("seg")).otherwise(F.lit("*")).alias("name"), small.alias("small")), "url-names")
+    found = join_skewed(active, told, "kid", "rows")
+    left = F.size("parts") - F.lit(level)
+    node = F.when(F.col("small"), F.concat("node", F.repeat(F.lit("\x01*"), left))).otherwise(key("node", "name"))
+    return save(found.withColumn("ended", F.col("small") | (left == 1)).withColumn("node", node).drop("kid", "seg", "name", "small", "rows"), "url-level")
+
+
+def templates(counts: DataFrame) -> DataFrame:
+    """``counts`` (place, host, parts, n, ...) with each path's template: its first-level
+    branch ``g`` and the ``rest``."""
+
+    active, level, leaves = counts.withColumn("node", F.col("host")), 0, None
+    while True:
+        found = next_level(active, level)
+        done = found.filter("ended").drop("ended")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        active, level = found.filter("NOT ended").drop("ended"), level + 1
+        if not active.head(1):
+            break
+    inside = F.substring("node", F.length("host") + 2, F.length("node"))
+    at = F.instr(inside, "\x01")
+    g = F.when(at > 0, F.substring(inside, F.lit(1), at - 1)).otherwise(inside)
+    rest = F.when(at > 0, F.substring(inside, at + 1, F.length(inside))).otherwise(F.lit(""))
+    return save(leaves.select("place", "host", "n", "free", "block", "known", g.alias("g"), F.when(at > 0, F.concat(F.lit("/"), rest)).otherwise(rest).alias("rest")), "url-templates")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -94,38 +119,39 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    s1, s2, s3 = shapes(F.col("path"))
-    rows = save(rows.select("*", rule.alias("rule"), verdict.alias("ruled"), s1.alias("s1"), s2.alias("s2"), s3.alias("s3")).withColumn("place", key("host", "s1", "s2", "s3")), "url-rows")
-    counts = rows.groupBy("place", "host", "s1", "s2", "s3").agg(
+    place = F.concat_ws("\x01", "host", F.array_join("parts", "\x01"))
+    rows = save(rows.select("*", rule.alias("rule"), verdict.alias("ruled"), segments(F.col("path")).alias("parts")).withColumn("place", place), "url-rows")
+    counts = rows.groupBy("place", "host", "parts").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("rule").isNull()).alias("free"),
         F.count_if(F.col("ruled") == "block").alias("block"), F.count("ruled").alias("known"),
     )
-    counts = save(counts, "url-counts")
-    counts = generalised(counts, ["host"], "s1", "g1")
-    counts = generalised(counts, ["host", "g1"], "s2", "g2")
-    counts = generalised(counts, ["host", "g1", "g2"], "s3", "g3")
-    counts = counts.withColumn("rest", key("g2", "g3"))
+    counts = templates(save(counts, "url-counts"))
+    leaves = save(counts.groupBy("host", "g", "rest").agg(F.sum("n").alias("n"), F.sum("block").alias("block"), F.sum("known").alias("known")).withColumn("branch", key("host", "g")), "url-leaves")
+    total = save(leaves.groupBy("branch").agg(F.sum("n").alias("total"), F.sum("block").alias("bb"), F.sum("known").alias("bk"), F.count(F.lit(1)).alias("rows")), "url-branches")
     # A branch's shares by quarters: entries under one eighth drop out, so eight at most are gathered.
-    leaves = save(counts.groupBy("host", "g1", "rest").agg(F.sum("n").alias("n"), F.sum("block").alias("block"), F.sum("known").alias("known")).withColumn("branch", key("host", "g1")), "url-leaves")
-    total = save(leaves.groupBy("branch").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows")), "url-branches")
-    quarters = F.expr("(8 * n + total) div (2 * total)")
-    shares = join_skewed(leaves.select("branch", "rest", "n"), total, "branch", "rows").withColumn("q", quarters)
+    shares = join_skewed(leaves.select("branch", "rest", "n"), total.select("branch", "total", "rows"), "branch", "rows").withColumn("q", F.expr("(8 * n + total) div (2 * total)"))
     sign = F.array_join(F.sort_array(F.collect_list(F.when(F.col("q") > 0, F.concat_ws("=", "rest", F.col("q").cast("string"))))), "\x02")
-    signs = save(shares.groupBy("branch").agg(sign.alias("sign"), F.count(F.lit(1)).alias("rows")), "url-signs")
-    merged = join_skewed(leaves, signs, "branch", "rows").withColumn("merged", key("host", "sign", "rest")).withColumn("template", key("g1", "rest"))
-    merged = save(merged.select("host", "g1", "rest", "block", "known", "merged", "template"), "url-merged")
+    names = F.max(((F.col("q") > 0) & (F.regexp_replace("rest", "[*/\x01]", "") != "")).cast("int"))
+    signs = shares.groupBy("branch").agg(sign.alias("sign"), names.alias("names")).join(total, "branch")
+    alike = (F.col("names") == 1) & (F.col("bk") >= ENOUGH)
+    quarter = F.expr("(8 * bb + bk) div greatest(2 * bk, 1)").cast("string")
+    signs = save(signs.select("branch", "bb", "bk", "rows", F.when(alike, F.concat_ws("=", F.lit("m"), quarter, "sign")).alias("sign")), "url-signs")
+    merged = join_skewed(leaves, signs, "branch", "rows")
+    merged = merged.withColumn("merged", F.when(F.col("sign").isNotNull(), key("host", "sign", "rest")).otherwise(F.concat(F.lit("o\x01"), key("host", "g", "rest")))).withColumn("template", key("g", "rest"))
+    merged = save(merged.select("host", "g", "rest", "block", "known", "bb", "bk", "merged", "template"), "url-merged")
     all_ = merged.agg(F.sum("block"), F.sum("known")).first()
     overall = ((all_[0] or 0) + 1.0) / ((all_[1] or 0) + 2.0)
 
-    def labels_of(group: str) -> DataFrame:
-        return merged.groupBy(group).agg(F.sum("block").alias("b"), F.sum("known").alias("k"), F.count(F.lit(1)).alias("group_rows"))
+    def labels_of(group: str, b: str, k: str) -> DataFrame:
+        return save(merged.groupBy(group).agg(F.sum("block").alias(b), F.sum("known").alias(k), F.count(F.lit(1)).alias("group_rows")), f"url-{group}")
 
-    prior = (F.col("b") + SMOOTH * F.lit(overall)) / (F.col("k") + SMOOTH)
-    priors = save(labels_of("template").select("template", "group_rows", prior.alias("prior")), "url-priors")
-    purity = save(labels_of("merged"), "url-purity")
-    told = join_skewed(merged.select("host", "g1", "rest", "merged", "template"), priors, "template", "group_rows").drop("group_rows")
-    told = save(join_skewed(told, purity, "merged", "group_rows").withColumn("bad", (F.col("b") + SMOOTH * F.col("prior")) / (F.col("k") + SMOOTH)).withColumn("leaf", key("host", "g1", "rest")).select("leaf", "bad"), "url-told")
-    places = counts.withColumn("leaf", key("host", "g1", "rest"))
+    told = save(join_skewed(merged.select("host", "g", "rest", "bb", "bk", "merged", "template"), labels_of("template", "tb", "tk"), "template", "group_rows").drop("group_rows"), "url-priors")
+    told = join_skewed(told, labels_of("merged", "b", "k"), "merged", "group_rows").drop("group_rows")
+    base = (F.col("bb") + SMOOTH * F.lit(overall)) / (F.col("bk") + SMOOTH)
+    prior = (F.col("tb") + SMOOTH * base) / (F.col("tk") + SMOOTH)
+    bad = (F.col("b") + SMOOTH * prior) / (F.col("k") + SMOOTH)
+    told = save(told.select(key("host", "g", "rest").alias("leaf"), bad.alias("bad")), "url-purity")
+    places = counts.withColumn("leaf", key("host", "g", "rest"))
     per_leaf = places.groupBy("leaf").agg(F.count(F.lit(1)).alias("leaf_rows"))
     told = save(told.join(per_leaf, "leaf"), "url-judged")
     verdicts = save(join_skewed(places.select("leaf", "place", "free").filter("free > 0"), told, "leaf", "leaf_rows").select("place", "free", F.when(F.col("bad") >= 0.5, F.lit("block")).otherwise(F.lit("allow")).alias("found")), "url-verdicts")
@@ -139,31 +165,33 @@ _WHEN = "\n".join("WHEN (host = '{0}' OR ends_with(host, '.{0}')) AND starts_wit
 _VERDICT = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for h, p, v in RULES)
 
 
-def _level(source: str, node: str, child: str, into: str) -> str:
-    return f"""(SELECT * EXCLUDE (kid_n, node_n), CASE WHEN kid_n * {RARE} >= node_n THEN {child} ELSE '*' END AS {into} FROM
-        (SELECT *, sum(n) OVER (PARTITION BY {node}, {child}) AS kid_n, sum(n) OVER (PARTITION BY {node}) AS node_n FROM {source}))"""
-
-
+_D = "::DOUBLE"
 SQL = rf"""
-WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*', 0) AS raw, rest FROM u),
 p AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM h),
-r AS (SELECT *, CASE {_WHEN} END AS rule, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM p),
-s AS (SELECT page_id, host, path, rule, CASE rule {_VERDICT} END AS ruled,
-    regexp_replace(parts[1], '[0-9]+', '#', 'g') AS s1,
-    CASE WHEN len(parts) > 1 THEN regexp_replace(parts[2], '[0-9]+', '#', 'g') ELSE '<none>' END AS s2,
-    CASE WHEN len(parts) > 2 THEN regexp_replace(array_to_string(parts[3:], '/'), '[0-9]+', '#', 'g') ELSE '<none>' END AS s3 FROM r),
-c AS (SELECT host, s1, s2, s3, count(*) AS n, count(*) FILTER (ruled = 'block') AS block, count(ruled) AS known FROM s GROUP BY ALL),
-l1 AS {_level('c', 'host', 's1', 'g1')},
-l2 AS {_level('l1', 'host, g1', 's2', 'g2')},
-l3 AS {_level('l2', 'host, g1, g2', 's3', 'g3')},
-t AS (SELECT host, g1, g2 || chr(1) || g3 AS rest, sum(n) AS n, sum(block) AS block, sum(known) AS known FROM l3 GROUP BY ALL),
-q AS (SELECT *, ((8 * n + sum(n) OVER b) // (2 * sum(n) OVER b)) AS q FROM t WINDOW b AS (PARTITION BY host, g1)),
-g AS (SELECT host, g1, coalesce(array_to_string(list_sort(list(rest || '=' || q::BIGINT) FILTER (q > 0)), chr(2)), '') AS sign FROM q GROUP BY ALL),
-m AS (SELECT t.*, sign FROM t JOIN g USING (host, g1)),
+r AS (SELECT *, CASE {_WHEN} END AS rule, string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') AS parts FROM p),
+s AS (SELECT page_id, host, path, rule, CASE rule {_VERDICT} END AS ruled, parts FROM r),
+c AS (SELECT host, parts, count(*) AS n, count(*) FILTER (ruled = 'block') AS block, count(ruled) AS known FROM s GROUP BY ALL),
+t AS (SELECT host, parts, n, block, known, 0::BIGINT AS i, '' AS node FROM c
+  UNION ALL
+  SELECT host, parts, n, block, known, CASE WHEN small THEN len(parts) ELSE i + 1 END,
+    CASE WHEN small THEN node || repeat(chr(1) || '*', len(parts) - i)
+         ELSE node || chr(1) || CASE WHEN kid >= {SUPPORT} OR (kid * {SHARE} >= total AND seen >= {SUPPORT}) THEN parts[i + 1] ELSE '*' END END
+  FROM (SELECT *, i >= 2 AND total < {SUPPORT} AS small FROM
+    (SELECT *, sum(n) OVER (PARTITION BY host, node) AS total, sum(n) OVER (PARTITION BY host, node, parts[i + 1]) AS kid, sum(n) OVER (PARTITION BY parts[i + 1]) AS seen
+     FROM t WHERE i < len(parts)))),
+l AS (SELECT host, parts, n, block, known, string_split(substr(node, 2), chr(1))[1] AS g,
+    CASE WHEN len(string_split(substr(node, 2), chr(1))) > 1 THEN '/' || array_to_string(string_split(substr(node, 2), chr(1))[2:], chr(1)) ELSE '' END AS rest FROM t WHERE i = len(parts)),
+f AS (SELECT host, g, rest, sum(n) AS n, sum(block) AS block, sum(known) AS known FROM l GROUP BY ALL),
+q AS (SELECT *, ((8 * n + sum(n) OVER b) // (2 * sum(n) OVER b)) AS q FROM f WINDOW b AS (PARTITION BY host, g)),
+g AS (SELECT host, g, sum(block) AS bb, sum(known) AS bk,
+    coalesce(array_to_string(list_sort(list(rest || '=' || q::BIGINT) FILTER (q > 0)), chr(2)), '') AS sign,
+    bool_or(q > 0 AND replace(replace(replace(rest, '*', ''), '/', ''), chr(1), '') <> '') AS names FROM q GROUP BY ALL),
+m AS (SELECT f.*, bb, bk, CASE WHEN names AND bk >= {ENOUGH} THEN 'm=' || ((8 * bb + bk) // greatest(2 * bk, 1))::BIGINT || '=' || sign ELSE 'o' || chr(1) || f.g END AS sign FROM f JOIN g USING (host, g)),
 z AS (SELECT *, sum(block) OVER x AS mb, sum(known) OVER x AS mk, sum(block) OVER y AS tb, sum(known) OVER y AS tk, sum(block) OVER () AS ab, sum(known) OVER () AS ak FROM m
-    WINDOW x AS (PARTITION BY host, sign, rest), y AS (PARTITION BY g1, rest)),
-f AS (SELECT host, g1, rest, (mb + {SMOOTH} * ((tb + {SMOOTH} * ((ab + 1.0::DOUBLE) / (ak + 2.0::DOUBLE))) / (tk + {SMOOTH}))) / (mk + {SMOOTH}) AS bad FROM z)
+    WINDOW x AS (PARTITION BY host, sign, rest), y AS (PARTITION BY g, rest)),
+v AS (SELECT host, g, rest, (mb + {SMOOTH} * ((tb + {SMOOTH} * ((bb + {SMOOTH} * ((ab + 1.0{_D}) / (ak + 2.0{_D}))) / (bk + {SMOOTH}))) / (tk + {SMOOTH}))) / (mk + {SMOOTH}) AS bad FROM z)
 SELECT page_id, s.host, path, rule, coalesce(ruled, CASE WHEN bad >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM s JOIN l3 USING (host, s1, s2, s3) JOIN f ON f.host = l3.host AND f.g1 = l3.g1 AND f.rest = l3.g2 || chr(1) || l3.g3
+FROM s JOIN l ON s.host = l.host AND s.parts = l.parts JOIN v ON v.host = l.host AND v.g = l.g AND v.rest = l.rest
 """
