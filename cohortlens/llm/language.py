@@ -149,6 +149,19 @@ class Identifier:
         return out
 
 
+def without_prior(model):
+    """The model without the languages' shares of the corpus and without the marks of a
+    word's ends as single characters, which any script has: a score then rests on the
+    text's own words and letters, and a text of which none is known has the same score
+    for all languages."""
+
+    if model is None:
+        return None
+    names, prior, known, by_length = model
+    letters = {g: v for g, v in by_length[1].items() if g not in ("<", ">")}
+    return names, np.zeros_like(prior), known, {**by_length, 1: letters}
+
+
 def identify_texts(docs: DataFrame, model, text: str = "text", into: str = "found") -> DataFrame:
     """Add ``into``: struct(lang_pred, score) of each whole text."""
 

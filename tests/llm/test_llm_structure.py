@@ -104,6 +104,47 @@ def test_urls_empty(spark):
     assert urls.judge(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def judged(spark, parity, pages, rules=None):
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(pages)], PAGES)
+    if rules is None:
+        assert parity(urls.judge(df), ORACLES["op2_url_filter"], pages=df.select("page_id", "url")) == len(pages)
+    return {r["page_id"]: r["verdict"] for r in urls.judge(df, rules or urls.RULES).collect()}
+
+
+def test_url_sections_of_a_large_host_stay_apart(spark, parity):
+    """Twenty even sections of distinct pages, one of them ruled out: only that one is blocked."""
+
+    slug = lambda i: "p" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10]
+    section = lambda k: "es" if k == 0 else "s" + "abcdefghijklmnopqrst"[k]
+    pages = [f"http://big.net/{section(k)}/{slug(i)}" for k in range(20) for i in range(60)]
+    pages += [f"http://fine.com/{section(k)}/{slug(i)}" for k in range(1, 10) for i in range(20)]
+    got = judged(spark, parity, pages)
+    assert {got[i] for i in range(60)} == {"block"} and {got[i] for i in range(60, 1200)} == {"allow"}
+
+
+def test_url_templates_below_the_second_level(spark, parity):
+    """/a/b/<slug>/spam and /a/b/<slug>/review are templates of their own, on any host."""
+
+    slug = lambda i: "q" + "abcdefghijklmnopqrstuvwxyz"[i % 26] + "xyzuvw"[i // 26]
+    rules = (("bad.org", "/", "block"), ("good.org", "/", "allow"))
+    pages = [f"http://bad.org/a/b/{slug(i)}/spam" for i in range(60)] + [f"http://good.org/a/b/{slug(i)}/review" for i in range(60)]
+    pages += [f"http://other.net/a/b/{slug(i)}/{'spam' if i % 2 else 'review'}" for i in range(80)]
+    got = judged(spark, parity, pages, rules)
+    assert all(got[120 + i] == ("block" if i % 2 else "allow") for i in range(80))
+    deep = ["http://deep.com/" + "/".join("abcdefgh"[: 1 + i % 8]) + f"/{'yz'[i % 2]}" for i in range(160)] + ["http://x.net/" + "/".join(f"s{'abc'[i % 3]}" for i in range(40))]
+    judged(spark, parity, deep)
+
+
+def test_url_branches_of_unlike_purity_are_not_merged(spark, parity):
+    """Two sections with the same pages, one blocked and one allowed, and a third without labels like neither's pages."""
+
+    rules = (("host.org", "/bad/", "block"), ("host.org", "/good/", "allow"))
+    pages = [f"http://host.org/{k}/list/{i % 7}" for k in ("bad", "good", "new") for i in range(30)]
+    got = judged(spark, parity, pages, rules)
+    assert {got[i] for i in range(30)} == {"block"} and {got[i] for i in range(30, 60)} == {"allow"}
+
+
+
 # top-k
 
 
