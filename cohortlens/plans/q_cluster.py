@@ -130,7 +130,7 @@ _ALL = "SELECT count(*) AS customers, count(*) AS holds FROM customer"
 @register("kmeans_nearest_center", _ALL)
 def kmeans_nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2 / M9: every customer's label is that of the nearest returned center
-    (within rounding of the two distances), and no single restart was cheaper."""
+    (within rounding of the two distances)."""
 
     res = kmeans_result(spark, sf_dir)
     cols = res.feature_columns
