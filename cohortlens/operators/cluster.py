@@ -3,9 +3,10 @@
 * K-means runs Lloyd's iterations for all restarts together: one job per
   iteration reads the table once, every task assigns its rows to the centers of
   all restarts with numpy and sends one partial sum for each restart and cluster.
-  Seeding is k-means++ on a bounded sample by id hash (the same rows whatever the
-  partitioning). The restart with the lowest cost wins; labels are numbered by the
-  center of a ranking feature, descending.
+  Seeding is k-means|| over all rows (Bahmani et al., 2012): a few passes draw
+  candidates by squared distance, a pass weighs them, weighted k-means++ reduces
+  them. Draws hang on row hashes, not on the partitioning. The restart with the
+  lowest cost wins; labels are numbered by the center of a ranking feature, descending.
 * ``kmeans_step`` is one explicit Lloyd iteration (assignment by a literal
   k-center array, means by a k-group aggregate) used as the SQL-checkable
   core of the algorithm.
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens import catalog
@@ -42,22 +43,82 @@ class KMeansResult:
     cost: float
     seed: int
     costs: dict[int, float]
+    converged: bool = True       # False: a restart still moved after max_iter iterations
 
 
-def plus_plus(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ seeding: each next center is drawn by squared distance to the nearest one."""
+def plus_plus(points: np.ndarray, k: int, seed: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """k-means++ seeding of (weighted) points: each next center is drawn by weight
+    times squared distance to the nearest one."""
 
     rng = np.random.default_rng(seed)
-    picked = [points[rng.integers(len(points))]]
+    weights = np.ones(len(points)) if weights is None else weights
+    picked = [points[rng.choice(len(points), p=weights / weights.sum())]]
     near = ((points - picked[0]) ** 2).sum(axis=1)
     while len(picked) < k:
-        total = near.sum()
-        at = rng.choice(len(points), p=near / total) if total > 0 else rng.integers(len(points))
+        pull = near * weights
+        at = rng.choice(len(points), p=pull / pull.sum()) if pull.sum() > 0 else rng.integers(len(points))
         picked.append(points[at])
         near = np.minimum(near, ((points - picked[-1]) ** 2).sum(axis=1))
     return np.array(picked)
 
 
+def draw_far_rows(data: DataFrame, id_col: str, cols: list[str], near: dict[int, np.ndarray], take: int, turn: int) -> dict[int, np.ndarray]:
+    """For each restart, ``take`` rows drawn without replacement, with chances by
+    squared distance to the nearest of the points in ``near`` (evenly, if there are
+    none): the rows with the least ``-log(u) / distance²``, u a hash of the row, the
+    restart and the turn. Every task sends its ``take`` least for each restart."""
+
+    names = {s: f"hash_{s}" for s in near}
+
+    def least(batches):
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype=float)
+            for s, points in near.items():
+                u = ((pdf[names[s]].to_numpy(dtype=np.int64).view(np.uint64) >> np.uint64(11)) + 0.5) / 2.0**53
+                far = np.ones(len(x)) if not len(points) else np.min([((x - c) ** 2).sum(axis=1) for c in points], axis=0)
+                on = far > 0
+                key, rows = -np.log(u[on]) / far[on], x[on]
+                if s in kept:
+                    key, rows = np.concatenate([kept[s][0], key]), np.concatenate([kept[s][1], rows])
+                best = np.argsort(key, kind="stable")[:take]
+                kept[s] = key[best], rows[best]
+        yield pd.DataFrame([(s, k, list(r)) for s, (key, rows) in kept.items() for k, r in zip(key, rows)], columns=["restart", "key", "point"])
+
+    hashed = data.select(*cols, *[F.xxhash64(id_col, *cols, F.lit(s), F.lit(turn)).alias(n) for s, n in names.items()])
+    order = Window.partitionBy("restart").orderBy("key", "point")
+    drawn = hashed.mapInPandas(least, "restart int, key double, point array<double>").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= take)
+    found: dict[int, list] = {s: [] for s in near}
+    for r in sorted(drawn.collect(), key=lambda r: (r["restart"], r["rank"])):
+        found[r["restart"]].append(r["point"])
+    return {s: np.array(v, dtype=float).reshape(-1, len(cols)) for s, v in found.items()}
+
+
+def seed_centers(data: DataFrame, id_col: str, cols: list[str], k: int, seeds: Sequence[int], rounds: int = 4) -> dict[int, np.ndarray]:
+    """k-means|| for several restarts together. One even draw, then ``rounds`` passes
+    that add 2k candidates each: the driver holds at most 2k·rounds + 1 points a
+    restart, whatever the table's size. Every row is then counted for its nearest
+    candidate, and weighted k-means++ with a few weighted Lloyd steps leaves k."""
+
+    near = draw_far_rows(data, id_col, cols, {s: np.zeros((0, len(cols))) for s in seeds}, 1, 0)
+    if not all(len(points) for points in near.values()):
+        raise ValueError("no rows to cluster")
+    for turn in range(1, rounds + 1):
+        more = draw_far_rows(data, id_col, cols, near, 2 * k, turn)
+        near = {s: np.concatenate([near[s], more[s]]) for s in near}
+    counted = lloyd_pass(data, cols, near)
+    out = {}
+    for s, points in near.items():
+        weights = np.array([counted[s, i][0] if (s, i) in counted else 0 for i in range(len(points))], dtype=float)
+        centers = plus_plus(points, k, s, weights)
+        for _ in range(10):
+            own = np.argmin([((points - c) ** 2).sum(axis=1) for c in centers], axis=0)
+            held = [weights[own == i].sum() for i in range(k)]
+            centers = np.array([np.average(points[own == i], axis=0, weights=weights[own == i]) if held[i] > 0 else centers[i] for i in range(k)])
+        out[s] = centers
+    return out
+
+
 def lloyd_pass(data: DataFrame, cols: list[str], centers: dict[int, np.ndarray]) -> dict[tuple[int, int], tuple[int, float, np.ndarray]]:
     """(rows, cost, sums) of each restart and cluster, from one pass over the data.
 
@@ -96,21 +157,19 @@ def kmeans_fit(
     max_iter: int = 300,
     tol: float = 1e-4,
     rank_by: str | None = None,
-    seeding_rows: int = 5_000,
 ) -> KMeansResult:
     """M2/M3: best of ``n_init`` restarts (seeds seed…seed+n_init−1), labels
     numbered by the ``rank_by`` center (default: first column) descending. A
     restart has converged when its centers move by less than ``tol`` × the mean
-    feature variance (squared, all centers). ``seeding_rows`` bounds the sample
-    that seeds are drawn from; every row takes part in the iterations."""
+    feature variance (squared, all centers); ``converged`` says whether all did
+    within ``max_iter`` iterations. Every row takes part in seeding and iterations;
+    a table without rows is an error."""
 
     cols = list(cols)
     data = materialize(matrix.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols]), "kmeans-input")
     var = data.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
     bar = max(tol * sum(float(var[c] or 0.0) for c in cols) / max(len(cols), 1), 1e-24)
-    sample = data.orderBy(F.xxhash64(id_col), id_col).limit(seeding_rows).collect()
-    points = np.array([[r[c] for c in cols] for r in sample], dtype=float)
-    centers = {s: plus_plus(points, k, s) for s in range(seed, seed + n_init)}
+    centers = seed_centers(data, id_col, cols, k, range(seed, seed + n_init))
     moving, costs = dict(centers), {}
     for _ in range(max_iter):
         found = lloyd_pass(data, cols, moving)
@@ -129,7 +188,7 @@ def kmeans_fit(
     ri = cols.index(rank_by) if rank_by in cols else 0
     best = [list(map(float, c)) for c in sorted(centers[s].tolist(), key=lambda c: (-c[ri], c))]
     labels = assign_nearest(data, cols, best).select(id_col, LABEL)
-    return KMeansResult(labels=labels, centers=best, cost=costs[s], seed=s, costs=costs)
+    return KMeansResult(labels=labels, centers=best, cost=costs[s], seed=s, costs=costs, converged=not moving)
 
 
 def assign_nearest(matrix: DataFrame, cols: Sequence[str], centers: list[list[float]], out: str = LABEL) -> DataFrame:

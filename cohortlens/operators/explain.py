@@ -2,12 +2,12 @@
 
 * H1: MLlib ``RandomForestClassifier`` (50 trees, depth 8, seed 42) learns the
   cluster labels (noise excluded; ≥ 2 labels with ≥ 5 members each).
-* H2: exact path-dependent TreeSHAP (Lundberg et al., 2018, Algorithm 2) on the
-  saved forest. The node table (bounded: trees × 2^(depth+1) rows) is read
-  from the saved model, broadcast once, and every Arrow batch of customers is
-  explained in ``mapInPandas`` — the recursion walks each tree once per batch
-  with numpy vectors over the batch's rows (hot/cold child per row = 0/1 "one
-  fraction"), so per-row work is vectorised, never per-row Python.
+* H2: exact path-dependent SHAP values (Lundberg et al., 2018) of the saved
+  forest. The node table (bounded: trees × 2^(depth+1) rows) is read from the
+  saved model and broadcast once. A task prepares, for each leaf, the features on
+  its path and their Shapley share for every pattern of "the row is inside the
+  path's interval of this feature"; a row then needs one bit pattern and one table
+  row a leaf, in numpy over the Arrow batch (``mapInPandas``).
 * H3: LIME-style local surrogate per customer: seeded perturbations drawn from
   the training quartile bins, forest scored in numpy, kernel-weighted ridge on
   bin-membership indicators; seed per row from the customer id.
@@ -35,6 +35,7 @@ from cohortlens.session import ensure_checkpoint_dir, materialize, remember
 
 LABEL = "cluster_label"
 SPREAD_ROWS = 50_000
+TABLE_FEATURES = 9  # a leaf's share table has 2^features rows; longer paths are worked out row by row
 LIME_SAMPLES = 5_000  # the usual number of perturbations; callers may lower it
 
 
@@ -112,78 +113,103 @@ def _spread(df: DataFrame, id_col: str) -> DataFrame:
     return df.repartition(n, id_col)
 
 
-# ---------------------------------------------------------------- H2 TreeSHAP (vectorised over rows)
-def _unwound_sum(w, o, z, depth, i):
-    one, zero = o[i], z[i]
-    nz = one != 0
-    safe = np.where(nz, one, 1.0)
-    nxt = w[depth].copy()
-    tot_a = np.zeros_like(nxt)
-    tot_b = np.zeros_like(nxt)
-    for j in range(depth - 1, -1, -1):
-        tmp = nxt / ((j + 1) * safe)
-        tot_a += tmp
-        nxt = w[j] - tmp * zero * (depth - j)
-        tot_b += w[j] / (zero * (depth - j)) if zero != 0 else 0.0
-    return np.where(nz, tot_a, tot_b) * (depth + 1)
-
-
-def _unwind(d, z, o, w, depth, k):
-    one, zero = o[k], z[k]
-    nz = one != 0
-    safe = np.where(nz, one, 1.0)
-    w = w.copy()
-    nxt = w[depth].copy()
-    for j in range(depth - 1, -1, -1):
-        tmp = w[j].copy()
-        a = nxt * (depth + 1) / ((j + 1) * safe)
-        b = w[j] * (depth + 1) / (zero * (depth - j)) if zero != 0 else np.zeros_like(tmp)
-        w[j] = np.where(nz, a, b)
-        nxt = np.where(nz, tmp - w[j] * zero * (depth - j) / (depth + 1), nxt)
-    return d[:k] + d[k + 1:], z[:k] + z[k + 1:], np.delete(o, k, axis=0), w[:depth]
-
-
-def tree_shap(x: np.ndarray, cls: np.ndarray, forest: dict) -> tuple[np.ndarray, np.ndarray]:
+# ---------------------------------------------------------------- H2 TreeSHAP by path tables
+@dataclass
+class TreePaths:
+    """The leaves of one tree, prepared once: the features on each leaf's path, the
+    interval the path leaves to each, and the Shapley share of each feature for every
+    pattern of "row inside the interval" bits. Unused slots of a short path have
+    feature 0, an open interval, weight 0 and share 0."""
+
+    feature: np.ndarray   # (leaves, slots)
+    low: np.ndarray       # (leaves, slots); the interval is low < x <= high
+    high: np.ndarray
+    power: np.ndarray     # (leaves, slots); value of a slot's bit
+    absent: np.ndarray    # (leaves, slots); cover share that follows the path without the feature
+    value: np.ndarray     # (leaves, classes)
+    reach: np.ndarray     # (leaves,); share of the training rows
+    offset: np.ndarray | None  # (leaves,); first row of a leaf in ``shares``
+    shares: np.ndarray | None  # (sum of 2^path length, slots)
+
+
+def shapley_shares(absent: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Each feature's Shapley value in the game ``prod(inside if known else absent)``
+    of a leaf, for arrays of shape (games, features). The average over coalition
+    sizes is the integral over t of ``prod over the others of ((1-t) absent + t
+    inside)``, a polynomial, which Gauss points integrate exactly; all terms are
+    positive, so nothing cancels."""
+
+    games, width = inside.shape
+    total = np.zeros((games, width))
+    points, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
+    for t, w in zip((points + 1) / 2, weights / 2):
+        mixed = (1 - t) * absent + t * inside
+        before, after = np.ones((games, width)), np.ones((games, width))
+        for j in range(1, width):
+            before[:, j] = before[:, j - 1] * mixed[:, j - 1]
+            after[:, width - 1 - j] = after[:, width - j] * mixed[:, width - j]
+        total += w * before * after
+    return total * (inside - absent)
+
+
+def path_tables(forest: dict, widest: int = TABLE_FEATURES) -> list[TreePaths]:
+    """The leaves of every tree with their share tables. A path of d different
+    features has 2^d patterns; trees with a path of more than ``widest`` features keep
+    no table, their shares are worked out from the rows' patterns."""
+
+    out = []
+    for ft, th, lc, rc, cv, val in zip(*(forest[k] for k in ("feature", "threshold", "left", "right", "cover", "value"))):
+        leaves, open_paths = [], [(0, {})]
+        while open_paths:
+            node, seen = open_paths.pop()
+            if lc[node] < 0:
+                leaves.append((node, seen))
+                continue
+            lo, hi, share = seen.get(ft[node], (-np.inf, np.inf, 1.0))
+            for child, bounds in ((lc[node], (lo, min(hi, th[node]))), (rc[node], (max(lo, th[node]), hi))):
+                open_paths.append((child, {**seen, ft[node]: (*bounds, share * cv[child] / cv[node])}))
+        n, width = len(leaves), max(1, max(len(seen) for _, seen in leaves))
+        t = TreePaths(
+            feature=np.zeros((n, width), dtype=np.int64), low=np.full((n, width), -np.inf), high=np.full((n, width), np.inf),
+            power=np.zeros((n, width), dtype=np.int64), absent=np.ones((n, width)), value=np.array([val[node] for node, _ in leaves]),
+            reach=np.array([cv[node] / cv[0] for node, _ in leaves]), offset=None, shares=None)
+        for i, (_, seen) in enumerate(leaves):
+            for j, (f, (lo, hi, share)) in enumerate(seen.items()):
+                t.feature[i, j], t.low[i, j], t.high[i, j], t.absent[i, j], t.power[i, j] = f, lo, hi, share, 1 << j
+        if width <= widest:
+            sizes = np.array([1 << len(seen) for _, seen in leaves])
+            t.offset = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            leaf = np.repeat(np.arange(n), sizes)
+            pattern = np.arange(sizes.sum()) - t.offset[leaf]
+            inside = np.where(t.power[leaf] > 0, pattern[:, None] & t.power[leaf] > 0, True).astype(float)
+            t.shares = shapley_shares(t.absent[leaf], inside)
+        out.append(t)
+    return out
+
+
+def tree_shap(x: np.ndarray, cls: np.ndarray, tables: list[TreePaths], chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """SHAP values of the own-class probability for a batch of rows.
 
-    Returns (phi (rows × features), expected value (rows,)), averaged over trees."""
-
-    b, p = x.shape
-    phi = np.zeros((b, p))
-    base = np.zeros(b)
-    feat, thr, left, right, cover, value = (forest[k] for k in ("feature", "threshold", "left", "right", "cover", "value"))
-    trees = feat.shape[0]
-    for t in range(trees):
-        ft, th, lc, rc, cv, val = feat[t], thr[t], left[t], right[t], cover[t], value[t]
-
-        def recurse(node, d, z, o, w, pz, po, pi):
-            depth = len(d)
-            d = d + [pi]
-            z = z + [pz]
-            o = np.vstack([o, po[None, :]])
-            w = np.vstack([w, np.full((1, b), 1.0 if depth == 0 else 0.0)])
-            for i in range(depth - 1, -1, -1):
-                w[i + 1] += po * w[i] * (i + 1) / (depth + 1)
-                w[i] = pz * w[i] * (depth - i) / (depth + 1)
-            if lc[node] < 0:
-                v = val[node][cls]
-                for i in range(1, depth + 1):
-                    phi[:, d[i]] += _unwound_sum(w, o, z, depth, i) * (o[i] - z[i]) * v
-                return
-            f = ft[node]
-            goes_left = (x[:, f] <= th[node]).astype(float)
-            iz, io = 1.0, np.ones(b)
-            if f in d:
-                k = d.index(f)
-                iz, io = z[k], o[k].copy()
-                d, z, o, w = _unwind(d, z, o, w, depth, k)
-            recurse(lc[node], d, z, o, w, cv[lc[node]] / cv[node] * iz, io * goes_left, f)
-            recurse(rc[node], d, z, o, w, cv[rc[node]] / cv[node] * iz, io * (1.0 - goes_left), f)
-
-        recurse(0, [], [], np.zeros((0, b)), np.zeros((0, b)), 1.0, np.ones(b), -1)
-        leaves = (lc < 0) & (cv > 0)
-        base += ((cv[leaves] / cv[0])[:, None] * val[leaves][:, cls]).sum(0)
-    return phi / trees, base / trees
+    Returns (phi (rows × features), expected value (rows,)), averaged over trees.
+    ``chunk`` rows are worked on at a time, which bounds the memory."""
+
+    phi, base = np.zeros(x.shape), np.zeros(len(x))
+    for t in tables:
+        n, width = t.feature.shape
+        to_feature = np.zeros((n * width, x.shape[1]))
+        to_feature[np.arange(n * width), t.feature.ravel()] = 1.0
+        base += (t.reach[:, None] * t.value).sum(axis=0)[cls]
+        for at in range(0, len(x), chunk):
+            v = x[at:at + chunk][:, t.feature.ravel()].reshape(-1, n, width)
+            inside = ((t.low == -np.inf) | ~(v <= t.low)) & ((t.high == np.inf) | (v <= t.high))
+            if t.shares is not None:
+                got = t.shares[t.offset + (inside * t.power).sum(axis=2)]
+            else:
+                absent = np.broadcast_to(t.absent, inside.shape).reshape(-1, width)
+                got = shapley_shares(absent, inside.reshape(-1, width).astype(float)).reshape(inside.shape)
+            got = got * t.value[:, cls[at:at + chunk]].T[:, :, None]
+            phi[at:at + chunk] += got.reshape(-1, n * width) @ to_feature
+    return phi / len(tables), base / len(tables)
 
 
 def forest_proba(x: np.ndarray, forest: dict) -> np.ndarray:
@@ -231,13 +257,14 @@ def shap_explanations(matrix: DataFrame, cols: Sequence[str], forest: dict, id_c
     names = list(cols)
 
     def run(batches):
-        fr = bc.value
+        fr, tables = bc.value, None
         for pdf in batches:
             if pdf.empty:
                 continue
+            tables = tables or path_tables(fr)
             x = pdf[names].to_numpy(dtype=float)
             cls = pdf[label_col].to_numpy(dtype=np.int64)
-            phi, base = tree_shap(x, cls, fr)
+            phi, base = tree_shap(x, cls, tables)
             prob = forest_proba(x, fr)[np.arange(len(cls)), cls]
             yield pd.DataFrame({
                 id_col: pdf[id_col].astype(str).values,
@@ -445,11 +472,13 @@ def within(spark, seconds: float, work: Callable):
 
 
 def explain(matrix: DataFrame, cols: Sequence[str], mode: str = "shap", centers: DataFrame | None = None,
-            boundary: DataFrame | None = None, id_col: str = "CUST_ID", label_col: str = LABEL, budget_s: float | None = None) -> Explanation:
+            boundary: DataFrame | None = None, id_col: str = "CUST_ID", label_col: str = LABEL, budget_s: float | None = None,
+            forest: dict | None = None) -> Explanation:
     """H5 + H6: explain every customer by ``mode`` (shap, lime or rule_based;
     anything else means shap). A surrogate is fitted, executed and written inside
     the time budget; when that fails, the rules on the centers explain, and
-    without centers the frames are empty. ``budget_s`` None sets no limit."""
+    without centers the frames are empty. ``budget_s`` None sets no limit; ``forest``
+    is a surrogate already fitted to these labels (``fit_surrogate``)."""
 
     from cohortlens.operators import segments as S
 
@@ -459,11 +488,11 @@ def explain(matrix: DataFrame, cols: Sequence[str], mode: str = "shap", centers:
     code, detail = "as_requested", ""
 
     def surrogate() -> tuple[DataFrame, DataFrame]:
-        forest = fit_surrogate(matrix, cols, label_col)[1]
+        fitted = forest or fit_surrogate(matrix, cols, label_col)[1]
         if asked == "shap":
-            con = materialize(shap_explanations(matrix, cols, forest, id_col, label_col), "shap")
+            con = materialize(shap_explanations(matrix, cols, fitted, id_col, label_col), "shap")
             return con, materialize(segment_importance(con, label_col, cols=cols), "importance")
-        con = materialize(lime_explanations(matrix, cols, forest, quartile_bins(matrix, cols), id_col, label_col), "lime")
+        con = materialize(lime_explanations(matrix, cols, fitted, quartile_bins(matrix, cols), id_col, label_col), "lime")
         return con, materialize(segment_importance(con, label_col, full_vector_col=None), "importance")
 
     if asked != "rule_based":

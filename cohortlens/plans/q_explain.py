@@ -12,7 +12,7 @@ from cohortlens.operators import segments as S
 from cohortlens.operators.features import to_matrix
 from cohortlens.plans.common import FEATURE_NAMES, features, kmeans_labels, rounded
 from cohortlens.plans.registry import register
-from cohortlens.session import input_state, on_drop
+from cohortlens.session import input_state, materialize, on_drop, reuse
 
 COLS = ["TENURE", *FEATURE_NAMES]
 _FORESTS: dict = {}
@@ -30,6 +30,15 @@ def _forest(spark: SparkSession, sf_dir: str):
     return _FORESTS[key]
 
 
+def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's contributions, worked out and written once per session and input."""
+
+    known = reuse(spark, "shap", (sf_dir,))
+    if known is not None:
+        return known
+    return materialize(H.shap_explanations(_matrix(spark, sf_dir), COLS, _forest(spark, sf_dir)), "shap", (sf_dir,))
+
+
 def _flat(con: DataFrame, value_name: str, *keep: str) -> DataFrame:
     top = F.transform("contributions", lambda c: F.concat_ws(":", c["feature"], c["direction"]))
     return con.select("CUST_ID", "cluster_label", F.array_join(top, "|").alias("top_features"),
@@ -50,7 +59,7 @@ def surrogate_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shap_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H2 + W3: top-5 SHAP contributions of the own segment, every customer."""
 
-    con = H.shap_explanations(_matrix(spark, sf_dir), COLS, _forest(spark, sf_dir))
+    con = _contributions(spark, sf_dir)
     return rounded(_flat(con, "shap_values", "base_value", "prediction"), 6)
 
 
@@ -58,7 +67,7 @@ def shap_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shap_additivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H2: base value plus contributions equals the forest's probability, every customer."""
 
-    con = H.shap_explanations(_matrix(spark, sf_dir), COLS, _forest(spark, sf_dir))
+    con = _contributions(spark, sf_dir)
     total = F.aggregate("shap", F.col("base_value"), lambda a, x: a + x)
     return con.agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.abs(total - F.col("prediction")) < 1e-6).alias("holds"))
 
@@ -76,7 +85,7 @@ def lime_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A17 + W4 + H8: mean |SHAP| per segment and feature, top 5, with summaries."""
 
-    con = H.shap_explanations(_matrix(spark, sf_dir), COLS, _forest(spark, sf_dir))
+    con = _contributions(spark, sf_dir)
     return H.segment_importance(con, cols=COLS)
 
 
@@ -88,6 +97,6 @@ def customer_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _matrix(spark, sf_dir)
     cen = S.explanation_centers(m, COLS)
     bnd = S.boundary_metrics(m, COLS, cen)
-    out = H.explain(m, COLS, "shap", cen, bnd)
+    out = H.explain(m, COLS, "shap", cen, bnd, forest=_forest(spark, sf_dir))
     return out.customers.select("customer_id", "cluster_label", "explanation", "nearest_alternate_cluster",
                                 "boundary_distance_ratio").withColumn("explainer_used", F.lit(out.explainer))

@@ -73,3 +73,68 @@ def test_perturbations_hang_on_the_row_alone():
     whole, part = H.hashed_uniform(ids, 40, 6, 1), H.hashed_uniform(ids[10:13], 40, 6, 1)
     assert (whole[10:13] == part).all() and abs(whole.mean() - 0.5) < 0.01 and 0 <= whole.min() and whole.max() < 1
     assert len(np.unique(whole)) == whole.size
+
+
+def _by_hand(x, cls, forest):
+    """SHAP values from the definition: all coalitions of features, one row and tree at a time."""
+
+    from itertools import combinations
+    from math import factorial
+
+    p, trees = x.shape[1], len(forest["feature"])
+    out = np.zeros(x.shape)
+
+    def expected(t, node, row, known, c):
+        left, right = forest["left"][t, node], forest["right"][t, node]
+        if left < 0:
+            return forest["value"][t, node, c]
+        f = forest["feature"][t, node]
+        if f in known:
+            return expected(t, left if row[f] <= forest["threshold"][t, node] else right, row, known, c)
+        share = forest["cover"][t, [left, right]] / forest["cover"][t, node]
+        return share[0] * expected(t, left, row, known, c) + share[1] * expected(t, right, row, known, c)
+
+    for r, (row, c) in enumerate(zip(x, cls)):
+        for t in range(trees):
+            for i in range(p):
+                others = [j for j in range(p) if j != i]
+                for size in range(p):
+                    w = factorial(size) * factorial(p - size - 1) / factorial(p)
+                    for s in combinations(others, size):
+                        out[r, i] += w * (expected(t, 0, row, {*s, i}, c) - expected(t, 0, row, set(s), c)) / trees
+    return out
+
+
+def _random_forest(rng, trees, depth, p, classes):
+    n = 2 ** (depth + 1)
+    f = {k: np.full((trees, n), -1) for k in ("feature", "left", "right")}
+    f |= {"threshold": np.zeros((trees, n)), "cover": np.zeros((trees, n)), "value": rng.dirichlet(np.ones(classes), (trees, n)), "classes": classes}
+    for t in range(trees):
+        todo, free = [(0, 0, 500)], 1
+        while todo:
+            node, level, cover = todo.pop()
+            f["cover"][t, node] = cover
+            if level == depth or cover < 4 or (level and rng.random() < 0.15):
+                continue
+            cut = int(rng.integers(1, cover))
+            f["feature"][t, node], f["threshold"][t, node] = rng.integers(p), rng.integers(-2, 3)
+            f["left"][t, node], f["right"][t, node] = free, free + 1
+            todo += [(free, level + 1, cut), (free + 1, level + 1, cover - cut)]
+            free += 2
+    return f
+
+
+def test_path_tables_give_the_shapley_values():
+    rng = np.random.default_rng(8)
+    forest = _random_forest(rng, 4, 6, 4, 3)
+    x = rng.integers(-3, 4, (25, 4)).astype(float)  # values on the thresholds too
+    x[0], x[1], x[2, 1] = np.inf, -np.inf, np.nan
+    cls = rng.integers(0, 3, 25)
+    tables = H.path_tables(forest)
+    phi, base = H.tree_shap(x, cls, tables, chunk=7)
+    assert np.allclose(phi, _by_hand(x, cls, forest), atol=1e-9)
+    assert np.allclose(base + phi.sum(axis=1), H.forest_proba(x, forest)[np.arange(25), cls], atol=1e-9)
+    untabled, _ = H.tree_shap(x, cls, H.path_tables(forest, widest=1))
+    assert np.allclose(untabled, phi, atol=1e-12)
+    leaf = {k: v[:, :1] for k, v in forest.items() if k != "classes"} | {"left": np.full((4, 1), -1)}
+    assert not H.tree_shap(x, cls, H.path_tables(leaf))[0].any()

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -121,3 +122,37 @@ def test_lloyd_pass_against_numpy(spark):
         for i in range(4):
             n, cost, sums = got[s, i]
             assert n == (own == i).sum() and np.isclose(cost, d[own == i, i].sum()) and np.allclose(sums, x[own == i].sum(axis=0))
+
+
+def _plain_kmeans(x, k, seed):
+    centers = C.plus_plus(x, k, seed)
+    for _ in range(100):
+        own = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centers = np.array([x[own == i].mean(axis=0) if (own == i).any() else centers[i] for i in range(k)])
+    return ((x - centers[own]) ** 2).sum()
+
+
+def test_seeding_draws_from_all_rows(spark):
+    """Eleven far groups of unlike sizes, the smallest 6 of 6,000 rows: the seeds find all of them,
+    and the fit costs no more than the best of ten plain k-means++ fits."""
+
+    rng = np.random.default_rng(11)
+    sizes = [3000, 1500, 700, 300, 200, 150, 80, 40, 15, 9, 6]
+    x = np.vstack([rng.normal((200.0 * i, -100.0 * (i % 3)), 1.0, (n, 2)) for i, n in enumerate(sizes)])
+    df = spark.createDataFrame([(f"C{i:05d}", *map(float, r)) for i, r in enumerate(x)], "CUST_ID string, a double, b double").repartition(6)
+    seeds = C.seed_centers(df, "CUST_ID", ["a", "b"], 11, [1, 2])
+    for centers in seeds.values():
+        assert set(np.round(centers[:, 0] / 200)) == set(range(11))
+    again = C.seed_centers(df.repartition(3), "CUST_ID", ["a", "b"], 11, [1, 2])
+    assert all(np.array_equal(seeds[s], again[s]) for s in seeds)
+    fit = C.kmeans_fit(df, ["a", "b"], 11, n_init=2)
+    assert fit.converged and fit.cost <= 1.01 * min(_plain_kmeans(x, 11, s) for s in range(10))
+    assert not C.kmeans_fit(df, ["a", "b"], 4, n_init=1, max_iter=1, tol=0).converged
+
+
+def test_seeding_of_few_different_rows(spark):
+    df = spark.createDataFrame([(f"C{i}", 1.0, float(i % 2)) for i in range(30)], "CUST_ID string, a double, b double")
+    fit = C.kmeans_fit(df, ["a", "b"], 4, n_init=2)
+    assert fit.cost == 0 and fit.labels.count() == 30
+    with pytest.raises(ValueError):
+        C.kmeans_fit(df.limit(0), ["a", "b"], 2)
