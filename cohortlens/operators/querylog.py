@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens import catalog
+from cohortlens.sources.logstore import lookup_digest, minute
 from cohortlens.sources.querylog import EXPL_SCHEMA, GRAPH_SCHEMA, NODE_SUMMARY_SCHEMA, RESPONSE_SCHEMA
 from cohortlens.sources.tables import parse_json_text
 
@@ -85,19 +86,26 @@ def latest_per_key(log: DataFrame) -> DataFrame:
 
 def log_reuse(log: DataFrame, key: str = "query_text_normalized") -> DataFrame:
     """L1: every row looks up the log as it stood before the row was stored, by
-    exact key (normalised text, dataset): the latest earlier row by (created_at,
-    id), else a miss.
-
-    Rows of a key are ordered day by day, so a popular text is a group per day and
-    not one group; the day's first row looks at the last row of the key's previous
-    day (one small row per key and day)."""
-
-    rows = log.select("id", key, "dataset_id", "created_at", F.md5(F.col(key).cast("binary")).alias("digest"), F.substring("created_at", 1, 10).alias("day"))
+    exact key (normalised text, dataset; null is a value like any other): the latest
+    earlier row by (created_at, id), else a miss.
+
+    Rows of a key are ordered minute by minute. A minute's first row looks at the last
+    row of the key's previous minute of that day or, in the day's first minute, of its
+    previous day: one small row per key and minute. So a popular text is a group per
+    minute, and 1,440 small rows a day. A stored log (``sources/logstore.py``) is bucketed
+    by the digest and the minute: its rows are not moved."""
+
+    stored = {"digest", "slice"} <= set(log.columns) and key == "query_text_normalized"
+    digest, slice_ = (F.col("digest"), F.col("slice")) if stored else (lookup_digest(key), minute())
+    rows = log.select("id", key, "created_at", digest.alias("digest"), slice_.alias("slice"))
     place = F.struct("created_at", "id")
-    inside = Window.partitionBy("digest", "dataset_id", "day").orderBy("created_at", "id")
-    days = rows.groupBy("digest", "dataset_id", "day").agg(F.max(place).alias("last"))
-    days = days.withColumn("before", F.lag("last").over(Window.partitionBy("digest", "dataset_id").orderBy("day"))).drop("last")
-    found = rows.withColumn("earlier", F.lag(place).over(inside)).join(days, ["digest", "dataset_id", "day"])
+    inside = Window.partitionBy("digest", "slice").orderBy("created_at", "id")
+    minutes = rows.groupBy("digest", "slice").agg(F.max(place).alias("last")).withColumn("day", F.substring("slice", 1, 10))
+    minutes = minutes.withColumn("in_day", F.lag("last").over(Window.partitionBy("digest", "day").orderBy("slice")))
+    days = minutes.groupBy("digest", "day").agg(F.max("last").alias("last"))
+    days = days.select("digest", "day", F.lag("last").over(Window.partitionBy("digest").orderBy("day")).alias("before_day"))
+    before = minutes.join(days, ["digest", "day"]).select("digest", "slice", F.coalesce("in_day", "before_day").alias("before"))
+    found = rows.withColumn("earlier", F.lag(place).over(inside)).join(before, ["digest", "slice"])
     hit = F.coalesce("earlier", "before")
     return found.select(
         F.col("id").alias("request_id"), key, hit.isNotNull().alias("cache_hit"), hit["id"].alias("cached_id"), hit["created_at"].alias("cached_created_at"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from cohortlens import catalog
 from cohortlens.operators import querylog as L
 from cohortlens.plans.common import r4
 from cohortlens.plans.registry import register
+from cohortlens.session import ensure_checkpoint_dir, remember
+from cohortlens.sources.logstore import LogStore
 from cohortlens.sources.querylog import EVENT_NODE, load_query_log, node_outcomes, requests_sql
 from cohortlens.sources.tables import table
 
@@ -77,15 +81,32 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.latest_per_key(load_query_log(spark, sf_dir)).drop("response_json")
 
 
-@register(
-    "log_reuse",
-    LOG_CTE + """ SELECT id AS request_id, query_text_normalized, lag(id) OVER w IS NOT NULL AS cache_hit, lag(id) OVER w AS cached_id,
-  lag(created_at) OVER w AS cached_created_at FROM log WINDOW w AS (PARTITION BY query_text_normalized, dataset_id ORDER BY created_at, id)""",
-)
+_REUSE = LOG_CTE + """ SELECT id AS request_id, query_text_normalized, lag(id) OVER w IS NOT NULL AS cache_hit, lag(id) OVER w AS cached_id,
+  lag(created_at) OVER w AS cached_created_at FROM log WINDOW w AS (PARTITION BY query_text_normalized, dataset_id ORDER BY created_at, id)"""
+
+
+@register("log_reuse", _REUSE)
 def log_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.log_reuse(load_query_log(spark, sf_dir))
 
 
+@register("log_reuse_stored", _REUSE)
+def log_reuse_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + S9 + L1: the log is appended to a bucketed table in two batches, the second
+    one twice, and every row looks up the stored log."""
+
+    log = load_query_log(spark, sf_dir)
+    run = uuid.uuid4().hex
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortlens-tables/log-{run}"
+    remember(spark, path)
+    store = LogStore(spark, f"query_log_{run}", path, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ran = F.col("node_outputs_summary").isNotNull()
+    store.append(log.where(~ran), run, "asked")
+    for _ in range(2):
+        store.append(log.where(ran), run, "ran")
+    return L.log_reuse(store.rows())
+
+
 @register(
     "live_node_state",
     LOG_CTE + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, node_name ORDER BY ts DESC, event_id DESC) AS rn,
