@@ -82,6 +82,26 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("silhouette_sq_euclidean", F.col("cluster_count").cast("long").alias("cluster_count"), "customer_count"))
 
 
+def _sampled_sql() -> str:
+    dist = "sqrt(0.0 + " + " + ".join(f"(m.f{j} - s.f{j}) * (m.f{j} - s.f{j})" for j in range(P_)) + ")"
+    return (
+        LAB_CTE + ", " + _MAT + f""", smp AS (SELECT * FROM mat ORDER BY md5(CUST_ID), CUST_ID LIMIT {C.SILHOUETTE_ROWS}),
+far AS (SELECT s.CUST_ID, s.cluster_label AS own, m.cluster_label AS cl, sum({dist}) AS far, count(*) AS n FROM smp s, mat m GROUP BY ALL),
+ab AS (SELECT CUST_ID, max(n) FILTER (WHERE cl = own) AS n, max(CASE WHEN n > 1 THEN far / (n - 1) END) FILTER (WHERE cl = own) AS a,
+              min(far / n) FILTER (WHERE cl <> own) AS b FROM far GROUP BY CUST_ID),
+sv AS (SELECT CASE WHEN n <= 1 THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END AS s FROM ab)
+SELECT """ + r4("avg(s)") + " AS silhouette_sampled, " + r4("stddev_samp(s) / sqrt(count(*)) * sqrt(1.0 - count(*) / CAST((SELECT count(*) FROM mat) AS DOUBLE))")
+        + """ AS standard_error, count(*) AS sampled_rows, (SELECT count(DISTINCT cluster_label) FROM mat) AS cluster_count, (SELECT count(*) FROM mat) AS row_count FROM sv"""
+    )
+
+
+@register("silhouette_sampled", _sampled_sql())
+def silhouette_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Euclidean silhouette of a fixed hash sample (the operator's feature) against every customer."""
+
+    return rounded(C.silhouette_sampled(labelled_matrix(spark, sf_dir), MATRIX_COLS))
+
+
 # ---- rows-only: real model fits ---------------------------------------------------------------
 @register("kmeans_segments")
 def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,3 +156,33 @@ def test_seeding_of_few_different_rows(spark):
     assert fit.cost == 0 and fit.labels.count() == 30
     with pytest.raises(ValueError):
         C.kmeans_fit(df.limit(0), ["a", "b"], 2)
+
+
+def _euclidean_silhouette(x, lab):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    out = []
+    for i, own in enumerate(lab):
+        n = (lab == own).sum()
+        a, b = d[i, lab == own].sum() / max(n - 1, 1), min(d[i, lab == k].mean() for k in set(lab) if k != own)
+        out.append(0.0 if n == 1 or max(a, b) == 0 else (b - a) / max(a, b))
+    return np.array(out)
+
+
+def test_silhouette_sampled(spark):
+    rng = np.random.default_rng(6)
+    lab = np.array([0] * 130 + [1] * 40 + [-1] * 29 + [7])  # one group holds most rows, one has a single row
+    x = rng.normal(size=(200, 3)) + lab[:, None]
+    x[100:110] = x[100]  # repeated rows
+    rows = [(f"C{i:03d}", *map(float, r), int(k), "a") for i, (r, k) in enumerate(zip(x, lab))]
+    df = spark.createDataFrame(rows, "CUST_ID string, a double, b double, c double, cluster_label int, x0 string").repartition(5)
+    want = _euclidean_silhouette(x, lab)
+    whole = C.silhouette_sampled(df, ["a", "b", "c"], sample_rows=500).first()
+    assert math.isclose(whole.silhouette_sampled, want.mean(), rel_tol=1e-9) and whole.standard_error == 0
+    assert (whole.sampled_rows, whole.cluster_count, whole.row_count) == (200, 4, 200)
+    some = C.silhouette_sampled(df, ["a", "b", "c"], sample_rows=60).first()
+    assert some.sampled_rows == 60 and 0 < some.standard_error < 0.1
+    assert abs(some.silhouette_sampled - want.mean()) < 4 * some.standard_error
+    again = C.silhouette_sampled(df.repartition(2), ["a", "b", "c"], sample_rows=60).first()
+    assert math.isclose(again.silhouette_sampled, some.silhouette_sampled, rel_tol=1e-12)
+    for none in (df.limit(0), df.where("cluster_label = 0")):
+        assert C.silhouette_sampled(none, ["a", "b", "c"]).first().silhouette_sampled is None
