@@ -99,7 +99,7 @@ def log_reuse_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = uuid.uuid4().hex
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortlens-tables/log-{run}"
     remember(spark, path)
-    store = LogStore(spark, f"query_log_{run}", path, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    store = LogStore(spark, f"query_log_{run}", path, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), period="month")
     ran = F.col("node_outputs_summary").isNotNull()
     store.append(log.where(~ran), run, "asked")
     for _ in range(2):

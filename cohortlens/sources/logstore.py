@@ -1,11 +1,12 @@
 """The query log as a bucketed table (S8, S9), so that lookups by text move no log rows.
 
-The table is partitioned by date and bucketed by (``digest``, ``slice``): the digest
+The table is partitioned by day or month and bucketed by (``digest``, ``slice``): the digest
 names the row's text and dataset, the slice is the minute it was stored in. A lookup
 that groups or joins by these two reads each bucket where it lies; a popular text is
 spread over the buckets by its minutes. The number of buckets is fixed when the table
-is made: a task reads one bucket of the dates asked for, so take one bucket for every
-few hundred MB of the dates usually read together.
+is made, like the length of a partition: an append writes one file for each bucket of each
+day or month it touches, and a task reads one bucket of those asked for, so take days
+for a log of many GB a day, and one bucket for every few hundred MB read together.
 
 A batch is appended once, whatever is retried: a marker file says that (run, batch) was
 begun, another that it is complete. A batch that was begun and not completed is
@@ -23,6 +24,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PERIODS = {"day": 10, "month": 7}  # leading characters of the ISO time
 COLUMNS = ("id", "query_text", "query_text_normalized", "dataset_id", "execution_graph_summary", "chosen_algorithm",
            "node_outputs_summary", "explanation_summary", "response_json", "created_at")
 
@@ -40,18 +42,19 @@ def minute() -> Column:
 class LogStore:
     """A bucketed log table under a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = 64, period: str = "day"):
         """Make the table or, where the folder holds one already, open it (with the
-        number of buckets that it was made with)."""
+        buckets and the period that it was made with)."""
 
-        self.spark, self.name, self.path, self.buckets = spark, name, path.rstrip("/"), buckets
+        self.spark, self.name, self.path, self.buckets, self.width = spark, name, path.rstrip("/"), buckets, PERIODS[period]
+        layout = f"{buckets}-{period}"
         made = self._made_with()
         if made is None:
-            self._touch("buckets", str(buckets))  # an empty file; its name is the number
-        elif made != buckets:
-            raise ValueError(f"the log under {path} has {made} buckets, not {buckets}")
-        fields = ", ".join(f"{c} string" for c in (*COLUMNS, "digest", "slice", "run", "batch", "created_date"))
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet PARTITIONED BY (created_date) "
+            self._touch("layout", layout)  # an empty file; its name is the layout
+        elif made != layout:
+            raise ValueError(f"the log under {path} was made as {made}, not {layout}")
+        fields = ", ".join(f"{c} string" for c in (*COLUMNS, "digest", "slice", "run", "batch", "period"))
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet PARTITIONED BY (period) "
                   f"CLUSTERED BY (digest, slice) SORTED BY (digest, slice, created_at, id) INTO {buckets} BUCKETS LOCATION '{self.path}/rows'")
         fs, p = self._file("..", "rows")
         fs.mkdirs(p)
@@ -69,9 +72,9 @@ class LogStore:
         fs, p = self._file(*parts)
         return fs.exists(p)
 
-    def _made_with(self) -> int | None:
-        fs, p = self._file("buckets")
-        return int(fs.listStatus(p)[0].getPath().getName()) if fs.exists(p) else None
+    def _made_with(self) -> str | None:
+        fs, p = self._file("layout")
+        return fs.listStatus(p)[0].getPath().getName() if fs.exists(p) else None
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -83,13 +86,13 @@ class LogStore:
         if self._marked("complete", mark):
             return False
         rows = log.select(*[F.col(c).cast("string").alias(c) for c in COLUMNS], lookup_digest().alias("digest"), minute().alias("slice"),
-                          F.lit(run).alias("run"), F.lit(batch).alias("batch"), F.substring("created_at", 1, 10).alias("created_date"))
+                          F.lit(run).alias("run"), F.lit(batch).alias("batch"), F.substring("created_at", 1, self.width).alias("period"))
         if self._marked("begun", mark):
             self.spark.catalog.refreshTable(self.name)
             there = self.rows().where((F.col("run") == run) & (F.col("batch") == batch)).select("id")
             rows = rows.join(there, "id", "left_anti").select(*rows.columns)
         self._touch("begun", mark)
-        # the table's own bucketing, so that a task writes one bucket and a bucket of a date is one file a batch
+        # the table's own bucketing, so that a task writes one bucket and a bucket of a period is one file a batch
         rows.repartition(self.buckets, "digest", "slice").write.insertInto(self.name)
         self._touch("complete", mark)
         return True

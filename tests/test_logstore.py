@@ -110,5 +110,15 @@ def test_reopened(spark, store):
     again = LogStore(spark, store.name, store.path, buckets=4)
     assert again.rows().count() == 120 and not again.append(_log(spark, rows), "run", "1")
     assert _got(L.log_reuse(again.rows())) == _earlier(rows)
-    with pytest.raises(ValueError):
-        LogStore(spark, "other", store.path, buckets=8)
+    for other in ({"buckets": 8}, {"buckets": 4, "period": "month"}):
+        with pytest.raises(ValueError):
+            LogStore(spark, "other", store.path, **other)
+
+
+def test_months(spark, tmp_path):
+    rows = _rows(150)
+    store = LogStore(spark, f"months_{tmp_path.name}", str(tmp_path / "log"), buckets=3, period="month")
+    store.append(_log(spark, rows), "run", "1")
+    assert {r.period for r in store.rows().select("period").distinct().collect()} == {r[3] and r[3][:7] for r in rows}
+    assert _got(L.log_reuse(store.rows())) == _earlier(rows)
+    spark.sql(f"DROP TABLE {store.name}")
