@@ -1,16 +1,19 @@
 """Request-text operators over a column of texts.
 
-Everything is a built-in JVM column expression (regex, arrays, higher-order
-functions) over whole texts; no Python runs per row. The TF-IDF router (T1/T2)
-is fitted from the fixed example phrases (a few hundred terms) and travels as
-literal maps, so scoring a text is a chain of narrow projections with no join
-and no shuffle.
+Built-in JVM column expressions (regex, arrays, higher-order functions) over whole
+texts, and one Arrow batch function for the TF-IDF router (T1/T2): it is fitted from
+the fixed example phrases (a few hundred terms), and the terms of a batch of texts,
+as integer codes, are multiplied with its weights at once. No join, no shuffle, and
+no Python for single rows.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,7 +196,7 @@ def terms(norm: Column, stop: list[str] = ENGLISH) -> Column:
     runs once per text. Use it directly inside ``explode`` (the generator's
     input is evaluated once per input row)."""
 
-    toks = F.filter(F.regexp_extract_all(norm, F.lit(TOKEN_RE), 0), lambda x: ~F.array_contains(F.lit(stop), x))
+    toks = F.filter(F.regexp_extract_all(norm, F.lit(TOKEN_RE), 0), lambda x: ~x.isin(stop))
     pairs = F.zip_with(toks, F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(toks, F.filter(pairs, lambda x: x.isNotNull()))
 
@@ -253,41 +256,82 @@ def model_params(spark: SparkSession, stop: list[str] = ENGLISH) -> dict:
     return out
 
 
-def _lit_map(d: dict) -> Column:
-    if not d:
-        return F.create_map().cast("map<string,double>")
-    return F.create_map(*[x for k, v in sorted(d.items()) for x in (F.lit(k), F.lit(float(v)))])
-
-
-def _with_unit(docs: DataFrame, id_col: str, norm_col: str, params: dict, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``__u``: the unit TF-IDF vector of each text as
-    array<struct<term, w>> (vocabulary terms, first-occurrence order).
-
-    Each step is its own projected column, so the lambdas of later steps read
-    materialised values instead of re-running the regex or the norm per element."""
-
-    idf = _lit_map(params["idf"])
-    s1 = docs.select(id_col, *keep, F.filter(terms(F.col(norm_col)), lambda t: F.map_contains_key(idf, t)).alias("__vt"))
-    vt = F.col("__vt")
-    s2 = s1.select(id_col, *keep, F.transform(F.array_distinct(vt), lambda t: F.struct(
-        t.alias("term"), (F.size(F.filter(vt, lambda x: x == t)).cast("double") * F.element_at(idf, t)).alias("w"))).alias("__wt"))
-    wt = F.col("__wt")
-    s3 = s2.select(id_col, *keep, "__wt", F.sqrt(F.aggregate(wt, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])).alias("__n"))
-    return s3.select(id_col, *keep, F.transform(wt, lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("__n")).alias("w"))).alias("__u"))
-
-
-def _dot(unit: Column, m: dict) -> Column:
-    mm = _lit_map(m)
-    return F.aggregate(unit, F.lit(0.0), lambda acc, s: acc + s["w"] * F.coalesce(F.element_at(mm, s["term"]), F.lit(0.0)))
+class Router:
+    """The fitted router as arrays, one row a vocabulary term: its idf, and its weight in
+    every class centroid (divided by the centroid's norm at the end) and every example.
+    About 200 terms by 40 columns, whatever the number of texts; a task gets it once."""
+
+    #: Texts scored at once: at most PIECE * terms * columns products (about 30 MB).
+    PIECE = 512
+
+    def __init__(self, params: dict):
+        self.vocabulary = sorted(params["idf"])
+        at = {t: i for i, t in enumerate(self.vocabulary)}
+        self.idf = np.array([params["idf"][t] for t in self.vocabulary])
+        self.categories = [cat for cat, _ in params["categories"]]
+        self.norms = np.array([c["cn"] for _, c in params["categories"]])
+        self.examples = [e["example"] for _, e in params["examples"]]
+        self.owner = np.array([self.categories.index(cat) for (cat, _), _ in params["examples"]])
+        self.weights = np.zeros((len(at), len(self.categories) + len(self.examples)))
+        for j, (_, c) in enumerate([*params["categories"], *params["examples"]]):
+            for t, v in c["terms"].items():
+                self.weights[at[t], j] = v
+
+    def unit(self, terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, code, w): the unit vectors of texts given by their vocabulary terms, text
+        by text in order of first occurrence. A null list has no terms."""
+
+        size = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+        code = pc.index_in(terms.flatten(), value_set=pa.array(self.vocabulary)).to_numpy(zero_copy_only=False)
+        key = np.repeat(np.arange(len(terms)), size) * len(self.vocabulary) + code
+        key, first, n = np.unique(key.astype(np.int64), return_index=True, return_counts=True)
+        order = np.argsort(first)
+        text, code = np.divmod(key[order], len(self.vocabulary))
+        w = n[order] * self.idf[code]
+        start = np.flatnonzero(np.diff(text, prepend=-1))
+        norm = np.sqrt(np.add.reduceat(w * w, start)) if len(w) else w
+        return text, code, w / np.repeat(norm, np.diff(start, append=len(w)))
+
+    def best(self, terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, score, example) of each text; class -1 where no class scores above 0."""
+
+        found, score, example = np.full(len(terms), -1), np.zeros(len(terms)), np.zeros(len(terms), dtype=np.int64)
+        for i in range(0, len(terms), self.PIECE):
+            text, code, w = self.unit(terms.slice(i, self.PIECE))
+            if not len(w):
+                continue
+            start = np.flatnonzero(np.diff(text, prepend=-1))
+            dots = np.add.reduceat(w[:, None] * self.weights[code], start, axis=0)
+            classes = dots[:, : len(self.categories)] / self.norms
+            one = classes.argmax(axis=1)
+            top = classes[np.arange(len(one)), one]
+            own = np.where(self.owner[None, :] == one[:, None], dots[:, len(self.categories) :], -1.0)
+            at = i + text[start]
+            found[at], score[at], example[at] = np.where(top > 0, one, -1), top, own.argmax(axis=1)
+        return found, score, example
+
+
+def _known_terms(norm: Column, params: dict) -> Column:
+    """The text's terms that the vocabulary holds (a hash set lookup each)."""
+
+    return F.filter(terms(norm), lambda t: t.isin(sorted(params["idf"])))
 
 
 def tfidf_vectors(docs: DataFrame, id_col: str, norm_col: str, params: dict | None = None) -> DataFrame:
-    """Unit TF-IDF vectors of the request texts as (id, term, w) rows —
-    narrow projections plus an explode (no join, no shuffle)."""
+    """Unit TF-IDF vectors of the request texts as (id, term, w) rows, in order of
+    first occurrence; narrow projections plus an explode (no join, no shuffle)."""
 
     params = params or model_params(docs.sparkSession)
-    u = _with_unit(docs, id_col, norm_col, params)
-    return u.select(id_col, F.inline("__u")).select(id_col, "term", "w")
+    router = Router(params)
+
+    @F.arrow_udf("array<struct<code:int,w:double>>")
+    def unit(found: pa.Array) -> pa.Array:
+        text, code, w = router.unit(found)
+        ends = np.searchsorted(text, np.arange(len(found) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(code.astype(np.int32)), pa.array(w)], ["code", "w"]))
+
+    vectors = docs.select(id_col, F.inline(unit(_known_terms(F.col(norm_col), params))))
+    return vectors.select(id_col, F.element_at(F.lit(router.vocabulary), F.col("code") + 1).alias("term"), "w")
 
 
 def classify_semantic(docs: DataFrame, id_col: str, norm_col: str, params: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -295,38 +339,27 @@ def classify_semantic(docs: DataFrame, id_col: str, norm_col: str, params: dict
     class order breaks ties), score to 4 decimals, best example inside the
     class; ``keep`` carries columns through; no positive score → ('descriptive', 0.0, '').
 
-    The model rides along as literal maps, so scoring is a chain of narrow
-    projections per text: no join, no shuffle, linear in the number of texts."""
+    Terms are found by built-in functions; an Arrow batch of them is coded and multiplied
+    with the router's weights at once. No join, no shuffle, linear in the texts."""
 
     from cohortlens.functions.expr import round_half_up
 
     params = params or model_params(docs.sparkSession)
-    staged = _with_unit(docs, id_col, norm_col, params, keep)
-    u = F.col("__u")
-    scores = F.array(*[
-        F.struct((-(_dot(u, c["terms"]) / F.lit(c["cn"]))).alias("neg"), F.lit(c["order"]).alias("ord"), F.lit(cat).alias("category"))
-        for cat, c in params["categories"]
-    ])
-    staged = staged.select(id_col, *keep, "__u", scores.alias("__s"))
-    staged = staged.select(id_col, *keep, "__u", F.array_min(F.filter("__s", lambda x: x["neg"] < 0)).alias("__b"))
-    cands = F.array(*[
-        F.struct(F.lit(cat).alias("category"), (-_dot(u, e["terms"])).alias("neg"), F.lit(idx).alias("ex_idx"), F.lit(e["example"]).alias("example"))
-        for (cat, idx), e in params["examples"]
-    ])
-    staged = staged.select(id_col, *keep, "__b", cands.alias("__c"))
-    first = {}
-    for (cat, idx), e in params["examples"]:
-        first.setdefault(cat, e["example"])
-    first_map = F.create_map(*[x for k, v in first.items() for x in (F.lit(k), F.lit(v))])
-    bcat = F.col("__b.category")
-    best_ex = F.array_min(F.transform(F.filter("__c", lambda c: (c["category"] == bcat) & (c["neg"] < 0)),
-                                      lambda c: F.struct(c["neg"].alias("neg"), c["ex_idx"].alias("ex_idx"), c["example"].alias("example"))))
-    return staged.select(
+    router = Router(params)
+
+    @F.arrow_udf("struct<class:int,score:double,example:int>")
+    def best(found: pa.Array) -> pa.Array:
+        cls, score, example = router.best(found)
+        return pa.StructArray.from_arrays([pa.array(cls.astype(np.int32)), pa.array(score), pa.array(example.astype(np.int32))], ["class", "score", "example"])
+
+    scored = docs.select(id_col, *keep, best(_known_terms(F.col(norm_col), params)).alias("__b"))
+    none = F.col("__b.class") < 0
+    return scored.select(
         id_col,
         *keep,
-        F.coalesce(bcat, F.lit("descriptive")).alias("category"),
-        F.coalesce(round_half_up(-F.col("__b.neg"), 4), F.lit(0.0)).alias("similarity_score"),
-        F.when(bcat.isNull(), F.lit("")).otherwise(F.coalesce(best_ex["example"], F.element_at(first_map, bcat))).alias("matched_example"),
+        F.when(none, F.lit("descriptive")).otherwise(F.element_at(F.lit(router.categories), F.col("__b.class") + 1)).alias("category"),
+        F.when(none, F.lit(0.0)).otherwise(round_half_up(F.col("__b.score"), 4)).alias("similarity_score"),
+        F.when(none, F.lit("")).otherwise(F.element_at(F.lit(router.examples), F.col("__b.example") + 1)).alias("matched_example"),
     )
 
 

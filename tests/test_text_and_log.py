@@ -154,3 +154,40 @@ def test_context_sql_reads_customer_id():
     con.execute("CREATE TABLE events (event_id BIGINT, user_id BIGINT, event_type VARCHAR, ts TIMESTAMP, value DOUBLE)")
     got = con.execute("SELECT customer_id, tools FROM (" + _context_sql() + ")").fetchall()
     assert got == [("C10002", "Single_Customer_Lookup")]
+
+
+def test_router_equals_dictionary_arithmetic(spark):
+    """The coded vectors against term-by-term sums in plain Python: odd texts, ties, none known."""
+
+    import math
+
+    params = X.model_params(spark)
+    phrases = [e["example"] for _, e in params["examples"]]
+    texts = ["", None, "zzz qqq", "segment", "segment segment customers", *phrases, " ".join(phrases), "explain summary segment " * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, q string").withColumn("nq", X.normalize_query(F.col("q")))
+    found = {r.rid: r.t or [] for r in df.select("rid", X.terms(F.col("nq")).alias("t")).collect()}
+    got = {r.rid: r for r in X.classify_semantic(df, "rid", "nq", keep=("q",)).collect()}
+    vectors = {}
+    for r in X.tfidf_vectors(df, "rid", "nq").collect():
+        vectors.setdefault(r.rid, {})[r.term] = r.w
+    assert len(got) == len(texts)
+    for rid, terms in found.items():
+        tf = {t: terms.count(t) * params["idf"][t] for t in terms if t in params["idf"]}
+        norm = math.sqrt(sum(v * v for v in tf.values()))
+        unit = {t: v / norm for t, v in tf.items()}
+        assert vectors.get(rid, {}).keys() == unit.keys() and all(abs(vectors[rid][t] - w) < 1e-12 for t, w in unit.items())
+        scores = [(sum(w * c["terms"].get(t, 0.0) for t, w in unit.items()) / c["cn"], cat) for cat, c in params["categories"]]
+        top = max(s for s, _ in scores)
+        row = got[rid]
+        if top <= 0:
+            assert (row.category, row.similarity_score, row.matched_example) == ("descriptive", 0.0, "")
+            continue
+        assert abs(row.similarity_score - top) <= 0.5001e-4 and dict((c, s) for s, c in scores)[row.category] >= top - 1e-12
+        own = {e["example"]: sum(w * e["terms"].get(t, 0.0) for t, w in unit.items()) for (cat, _), e in params["examples"] if cat == row.category}
+        assert own[row.matched_example] >= max(own.values()) - 1e-12
+    assert got[0].category == got[1].category == got[2].category == "descriptive"
+
+
+def test_router_on_an_empty_table(spark):
+    df = spark.createDataFrame([], "rid long, nq string")
+    assert X.classify_semantic(df, "rid", "nq").count() == 0 and X.tfidf_vectors(df, "rid", "nq").count() == 0
