@@ -347,6 +347,21 @@ def test_fingerprints_equal_sql(spark, edge_docs, no_docs, parity):
     assert one["near_next"] == 1.0
 
 
+def test_fingerprints_of_crowded_ids_equal_sql(spark, parity):
+    """A third of the rows have no id, a third one id, with few and with many copies; the
+    crowds stand first, in the middle, last, side by side and alone."""
+
+    def texts(n, kinds, seed):
+        return [f"Line {(i * seed) % kinds} of it. And more!\nThe end {(i * seed) % 5}" for i in range(n)]
+
+    null, one = [(None, t) for t in texts(60, 45, 7)], [(7, t) for t in texts(60, 3, 11)]
+    rest = [(i * 3, t) for i, t in enumerate(texts(60, 60, 1))]
+    side, last = one + [(8, t) for t in texts(30, 30, 1)], rest + [(10**6, t) for t in texts(40, 40, 3)]
+    for rows, bits in ((null + one + rest, 10), (null + one + rest, 1), (side, 10), (last, 1), (null[:9], 10)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert parity(merkle.fingerprints(docs, bits, run=4), ORACLES["op7_fingerprints"], documents=docs) == len(rows)
+
+
 def test_fingerprints_tell_equal_texts(edge_docs):
     rows = merkle.fingerprints(edge_docs).join(edge_docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "doc_id").collect()
     assert len({r["fingerprint"] for r in rows}) == len({r["t"] for r in rows}) == len({(r["fingerprint"], r["t"]) for r in rows})
