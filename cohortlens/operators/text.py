@@ -10,6 +10,7 @@ no Python for single rows.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,9 @@ def _arr(xs) -> Column:
 
 
 def _contains_any(text: Column, words) -> Column:
-    cond = F.lit(False)
-    for w in words:
-        cond = cond | (F.instr(text, w) > 0)
-    return cond
+    """Whether a text holds any of the words: one alternation instead of a test a word."""
+
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 # ---------------------------------------------------------------- X1-X7
@@ -77,17 +77,21 @@ def tokens(norm: Column) -> Column:
 
 
 # ---------------------------------------------------------------- T4-T7, T10-T12
+def _present(*hits: Column) -> Column:
+    """The non-null ones of some different values, in order. (``filter`` with a lambda
+    would interpret all its arguments row by row; this one is compiled with them.)"""
+
+    return F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))
+
+
 def entities(norm: Column) -> Column:
     """Entity tags by substring."""
 
-    return F.filter(
-        F.array(
-            F.when(_contains_any(norm, catalog.SEGMENTATION_KEYWORDS), F.lit("customer_clusters")),
-            F.when(_contains_any(norm, catalog.DESCRIPTIVE_KEYWORDS), F.lit("dataset_summary")),
-            F.when(F.instr(norm, "recommend") > 0, F.lit("recommendations")),
-            F.when(_contains_any(norm, ["visual", "chart", "plot"]), F.lit("visualization")),
-        ),
-        lambda x: x.isNotNull(),
+    return _present(
+        F.when(_contains_any(norm, catalog.SEGMENTATION_KEYWORDS), F.lit("customer_clusters")),
+        F.when(_contains_any(norm, catalog.DESCRIPTIVE_KEYWORDS), F.lit("dataset_summary")),
+        F.when(F.instr(norm, "recommend") > 0, F.lit("recommendations")),
+        F.when(_contains_any(norm, ["visual", "chart", "plot"]), F.lit("visualization")),
     )
 
 
@@ -97,10 +101,19 @@ def output_format(norm: Column) -> Column:
     return F.when(_contains_any(norm, catalog.CHART_WORDS), F.lit("chart")).otherwise(F.lit("table"))
 
 
-def keyword_intent(norm: Column) -> Column:
-    """T4: explanation-only / eda-only / full workflow from token sets."""
+def with_normalized(docs: DataFrame, text_col: str, norm_col: str = "normalized_query", token_col: str = "tokens_") -> DataFrame:
+    """Add the normalised text and its tokens as columns, each worked out once a row.
+    An expression over ``normalize_query`` repeats it wherever it is used; these columns
+    are projections of their own, which the optimiser does not merge into their users."""
+
+    return docs.withColumn(norm_col, normalize_query(F.col(text_col))).withColumn(token_col, tokens(F.col(norm_col)))
 
-    t = tokens(norm)
+
+def keyword_intent(norm: Column, t: Column | None = None) -> Column:
+    """T4: explanation-only / eda-only / full workflow from token sets; ``t``: the text's
+    tokens, where they are a column already."""
+
+    t = tokens(norm) if t is None else t
     ex = F.arrays_overlap(t, _arr(catalog.EXPLANATION_KEYWORDS))
     eda = F.arrays_overlap(t, _arr(catalog.EDA_KEYWORDS))
     ex, eda = F.coalesce(ex, F.lit(False)), F.coalesce(eda, F.lit(False))
@@ -162,8 +175,6 @@ def tools_for_intent(intent: Column, raw: Column) -> Column:
 def filter_support(columns: list[str]) -> dict[str, bool]:
     """Which filter domains a dataset supports (schema metadata, no job)."""
 
-    import re
-
     cols = [c.lower() for c in columns]
     out = {}
     for domain, _ in catalog.FILTER_DOMAINS:
@@ -172,19 +183,19 @@ def filter_support(columns: list[str]) -> dict[str, bool]:
     return out
 
 
-def unsupported_filters(norm: Column, columns: list[str]) -> Column:
+def unsupported_filters(norm: Column, columns: list[str], t: Column | None = None) -> Column:
     """Requested filter domains (token hits, domain order) that no column supports."""
 
     support = filter_support(columns)
-    t = tokens(norm)
+    t = tokens(norm) if t is None else t
     hits = [F.when(F.arrays_overlap(t, _arr(words)) & F.lit(not support[d]), F.lit(d)) for d, words in catalog.FILTER_DOMAINS]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return _present(*hits)
 
 
-def requested_filters(norm: Column) -> Column:
-    t = tokens(norm)
+def requested_filters(norm: Column, t: Column | None = None) -> Column:
+    t = tokens(norm) if t is None else t
     hits = [F.when(F.arrays_overlap(t, _arr(words)), F.lit(d)) for d, words in catalog.FILTER_DOMAINS]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return _present(*hits)
 
 
 # ---------------------------------------------------------------- T1 / T2 TF-IDF router
@@ -364,8 +375,8 @@ def classify_semantic(docs: DataFrame, id_col: str, norm_col: str, params: dict
 
 
 # ---------------------------------------------------------------- T9 ambiguity, T13 context
-def intent_signal(norm: Column, score: Column, matched: Column) -> Column:
-    t = tokens(norm)
+def intent_signal(norm: Column, score: Column, matched: Column, t: Column | None = None) -> Column:
+    t = tokens(norm) if t is None else t
     kw = F.coalesce(F.arrays_overlap(t, _arr(sorted(set(catalog.SEGMENTATION_KEYWORDS + catalog.BUSINESS_INTENT_KEYWORDS + catalog.DESCRIPTIVE_KEYWORDS)))), F.lit(False))
     phrase = _contains_any(norm, catalog.BUSINESS_INTENT_PHRASES)
     generic = _arr(catalog.GENERIC_INTENT_TOKENS)
@@ -375,12 +386,12 @@ def intent_signal(norm: Column, score: Column, matched: Column) -> Column:
     return kw | phrase | ((score >= F.lit(catalog.SEMANTIC_SIMILARITY_THRESHOLD)) & overlap)
 
 
-def ambiguity(norm: Column, score: Column, matched: Column, unsupported: Column, n_clusters: Column) -> Column:
+def ambiguity(norm: Column, score: Column, matched: Column, unsupported: Column, n_clusters: Column, t: Column | None = None) -> Column:
     """Clarification reason (query_too_vague / unsupported_filters_only /
     threshold_ambiguity) or NULL."""
 
-    t = tokens(norm)
-    sig = intent_signal(norm, score, matched)
+    t = tokens(norm) if t is None else t
+    sig = intent_signal(norm, score, matched, t)
     vague = (F.size(t) < 3) & ~sig
     resolvable = sig | n_clusters.isNotNull()
     unsup = (F.size(unsupported) > 0) & ~resolvable
@@ -396,18 +407,18 @@ def ambiguity(norm: Column, score: Column, matched: Column, unsupported: Column,
 def build_context(requests: DataFrame, id_col: str, text_col: str, dataset_columns: list[str], params: dict | None = None) -> DataFrame:
     """One routing record per request."""
 
-    base = requests.select(id_col, F.col(text_col).alias("raw_query")).withColumn("normalized_query", normalize_query(F.col("raw_query")))
-    df = classify_semantic(base, id_col, "normalized_query", params, keep=("raw_query", "normalized_query"))
-    n = F.col("normalized_query")
+    base = with_normalized(requests.select(id_col, F.col(text_col).alias("raw_query")), "raw_query")
+    df = classify_semantic(base, id_col, "normalized_query", params, keep=("raw_query", "normalized_query", "tokens_"))
+    n, t = F.col("normalized_query"), F.col("tokens_")
     df = df.select(
         "*",
         infer_intent(n, F.col("similarity_score"), F.col("category")).alias("intent"),
         entities(n).alias("entities"),
         extract_cluster_count(n).alias("n_clusters"),
         output_format(n).alias("output_format"),
-        unsupported_filters(n, dataset_columns).alias("unsupported_filters"),
+        unsupported_filters(n, dataset_columns, t).alias("unsupported_filters"),
         extract_customer_id(F.col("raw_query")).alias("customer_id"),
-        keyword_intent(n).alias("keyword_intent"),
+        keyword_intent(n, t).alias("keyword_intent"),
         subjective_assumption(F.col("raw_query")).alias("operational_assumption"),
     )
     wf, steps = fallback_workflow(F.col("intent"), F.col("keyword_intent"))
@@ -419,6 +430,6 @@ def build_context(requests: DataFrame, id_col: str, text_col: str, dataset_colum
         steps.alias("steps"),
         tools_for_intent(F.col("intent"), F.col("raw_query")).alias("tools"),
         persona_from_text(F.col("raw_query")).alias("target_persona"),
-        ambiguity(n, F.col("similarity_score"), F.col("matched_example"), F.col("unsupported_filters"), F.col("n_clusters")).alias("clarification"),
-    )
+        ambiguity(n, F.col("similarity_score"), F.col("matched_example"), F.col("unsupported_filters"), F.col("n_clusters"), t).alias("clarification"),
+    ).drop("tokens_")
 

@@ -120,11 +120,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(len({tokens_sql('nq')}) AS INTEGER) AS token_count, regexp_matches(nq, '\\d') AS has_digit FROM req""",
 )
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = requests(spark, sf_dir)
-    n = X.normalize_query(F.col("query_text"))
+    r = X.with_normalized(requests(spark, sf_dir), "query_text", "nq")
+    n = F.col("nq")
     return r.select(
         "request_id", n.alias("normalized_query"), X.normalize_log_key(F.col("query_text")).alias("log_key"),
-        F.size(X.tokens(n)).alias("token_count"), X.has_digit(n).alias("has_digit"),
+        F.size("tokens_").alias("token_count"), X.has_digit(n).alias("has_digit"),
     )
 
 
@@ -156,11 +156,11 @@ def extract_cluster_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT request_id, array_to_string({requested_sql('t')}, '|') AS requested, array_to_string({unsupported_sql('t')}, '|') AS unsupported FROM tk""",
 )
 def unsupported_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = requests(spark, sf_dir)
-    n = X.normalize_query(F.col("query_text"))
+    r = X.with_normalized(requests(spark, sf_dir), "query_text", "nq")
+    n, t = F.col("nq"), F.col("tokens_")
     return r.select(
-        "request_id", F.array_join(X.requested_filters(n), "|").alias("requested"),
-        F.array_join(X.unsupported_filters(n, DATASET_COLUMNS), "|").alias("unsupported"),
+        "request_id", F.array_join(X.requested_filters(n, t), "|").alias("requested"),
+        F.array_join(X.unsupported_filters(n, DATASET_COLUMNS, t), "|").alias("unsupported"),
     )
 
 
@@ -187,10 +187,10 @@ SELECT request_id, {_kw_sql('t')} AS keyword_intent, {_entities_sql('nq')} AS en
   CASE WHEN {contains_any_sql('nq', catalog.CHART_WORDS)} THEN 'chart' ELSE 'table' END AS output_format FROM tk""",
 )
 def keyword_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = requests(spark, sf_dir)
-    n = X.normalize_query(F.col("query_text"))
+    r = X.with_normalized(requests(spark, sf_dir), "query_text", "nq")
+    n = F.col("nq")
     return r.select(
-        "request_id", X.keyword_intent(n).alias("keyword_intent"), F.array_join(X.entities(n), "|").alias("entities"),
+        "request_id", X.keyword_intent(n, F.col("tokens_")).alias("keyword_intent"), F.array_join(X.entities(n), "|").alias("entities"),
         X.output_format(n).alias("output_format"),
     )
 

@@ -191,3 +191,20 @@ def test_router_equals_dictionary_arithmetic(spark):
 def test_router_on_an_empty_table(spark):
     df = spark.createDataFrame([], "rid long, nq string")
     assert X.classify_semantic(df, "rid", "nq").count() == 0 and X.tfidf_vectors(df, "rid", "nq").count() == 0
+
+
+def test_texts_are_normalised_once(spark):
+    """The plan holds one normalisation a text, not one for each use of its tokens."""
+
+    texts = ["Show male customers aged 30 in Delhi!", "segment  customers", "recommend a chart: best customers", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "q string")
+    r = X.with_normalized(df, "q", "nq")
+    n, t = F.col("nq"), F.col("tokens_")
+    out = r.select(X.requested_filters(n, t).alias("f"), X.keyword_intent(n, t).alias("k"), X.entities(n).alias("e"), X.output_format(n).alias("o"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("regexp_replace(") <= 4
+    got = [tuple(x) for x in out.collect()]
+    n = X.normalize_query(F.col("q"))
+    old = df.select(X.requested_filters(n), X.keyword_intent(n), X.entities(n), X.output_format(n)).collect()
+    assert got == [tuple(x) for x in old]
+    assert got[0][0] == ["age", "city/location", "gender"] and got[2][2:] == (["recommendations", "visualization"], "chart")
+    assert got[3] == ([], "full_workflow", [], "table")
