@@ -65,7 +65,8 @@ def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "recent_queries",
-    LOG_CTE + """ SELECT id, query_text, chosen_algorithm, cache_hit, explainer_used, created_at
+    LOG_CTE + """ SELECT id, query_text, chosen_algorithm, cache_hit,
+  CASE WHEN seg THEN CASE WHEN duration_ms % 4 = 0 THEN 'rule_based_fallback' ELSE 'shap' END END AS explainer_used, created_at
 FROM log ORDER BY created_at DESC, log.id DESC LIMIT 50""",
 )
 def recent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

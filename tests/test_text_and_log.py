@@ -208,3 +208,11 @@ def test_texts_are_normalised_once(spark):
     assert got == [tuple(x) for x in old]
     assert got[0][0] == ["age", "city/location", "gender"] and got[2][2:] == (["recommendations", "visualization"], "chart")
     assert got[3] == ([], "full_workflow", [], "table")
+
+
+def test_recent_queries_name_the_recorded_explainer(spark):
+    from cohortlens.sources.querylog import query_log
+
+    rows = [(f"e{i}", "t", f"2024-01-01T00:00:0{i}+00:00", node, "success", ms, 3) for i, (node, ms) in enumerate([("segmentation", 8), ("segmentation", 9), ("eda", 8), (None, None)])]
+    req = spark.createDataFrame(rows, "request_id string, query_text string, created_at string, node_name string, status string, duration_ms long, k long")
+    assert [r.explainer_used for r in L.recent_queries(query_log(req)).collect()] == [None, None, "shap", "rule_based_fallback"]
