@@ -79,7 +79,7 @@ def train(docs: DataFrame, *, folds: int = 3, held_out: int = 1, docs_each: int
             totals[at[r["lang"]]] = r["n"]
         best = counts.groupBy("item").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
         out = {}
-        for r in best.orderBy(F.desc("n"), "item").limit(most).collect():
+        for r in best.orderBy(F.desc("n"), "item").limit(most).toLocalIterator():  # rows are not kept beside the table
             own = np.full(len(names), 0.5)
             for k, n in r["by"].items():
                 own[at[k]] += n
