@@ -191,44 +191,108 @@ def tree_shap(x: np.ndarray, cls: np.ndarray, tables: list[TreePaths], chunk: in
     """SHAP values of the own-class probability for a batch of rows.
 
     Returns (phi (rows × features), expected value (rows,)), averaged over trees.
-    ``chunk`` rows are worked on at a time, which bounds the memory."""
+    ``chunk`` rows are worked on at a time, which bounds the memory. All trees ask
+    about few different intervals of a feature (its split points are the forest's), so
+    each is tested once for a row and a leaf's pattern is read from these tests. Rows
+    of one class share the leaves' values, so a leaf gives a row one line of a table."""
 
-    phi, base = np.zeros(x.shape), np.zeros(len(x))
+    p = x.shape[1]
+    tests, asked = {}, []
     for t in tables:
-        n, width = t.feature.shape
-        to_feature = np.zeros((n * width, x.shape[1]))
-        to_feature[np.arange(n * width), t.feature.ravel()] = 1.0
-        base += (t.reach[:, None] * t.value).sum(axis=0)[cls]
-        for at in range(0, len(x), chunk):
-            v = x[at:at + chunk][:, t.feature.ravel()].reshape(-1, n, width)
-            inside = ((t.low == -np.inf) | ~(v <= t.low)) & ((t.high == np.inf) | (v <= t.high))
-            if t.shares is not None:
-                got = t.shares[t.offset + (inside * t.power).sum(axis=2)]
-            else:
-                absent = np.broadcast_to(t.absent, inside.shape).reshape(-1, width)
-                got = shapley_shares(absent, inside.reshape(-1, width).astype(float)).reshape(inside.shape)
-            got = got * t.value[:, cls[at:at + chunk]].T[:, :, None]
-            phi[at:at + chunk] += got.reshape(-1, n * width) @ to_feature
+        used = t.power > 0
+        own = np.full(t.feature.shape, -1)  # an unused slot asks the last test, which nothing passes
+        own[used] = [tests.setdefault(key, len(tests)) for key in zip(t.feature[used].tolist(), t.low[used].tolist(), t.high[used].tolist())]
+        asked.append(own)
+    feature, low, high = (np.array([key[i] for key in tests], dtype=kind)[:, None] for i, kind in enumerate((np.int64, float, float)))
+    phi, base = np.zeros(x.shape), np.zeros(len(x))
+    for c in np.unique(cls):
+        rows = np.flatnonzero(cls == c)
+        parts = [rows[at:at + chunk] for at in range(0, len(rows), chunk)]
+        passed = []
+        for part in parts:
+            v = x[part].T[feature[:, 0]]
+            inside = ((low == -np.inf) | ~(v <= low)) & ((high == np.inf) | (v <= high))
+            passed.append(np.concatenate([inside, np.zeros((1, len(part)), dtype=bool)]))
+        for t, own in zip(tables, asked):
+            n, width = t.feature.shape
+            base[rows] += (t.reach * t.value[:, c]).sum()
+            if t.shares is None:
+                to_feature = np.zeros((n * width, p))
+                to_feature[np.arange(n * width), t.feature.ravel()] = 1.0
+                for part, tested in zip(parts, passed):
+                    inside = np.where((t.power > 0)[:, :, None], tested[own], True).transpose(2, 0, 1).reshape(-1, width).astype(float)
+                    absent = np.broadcast_to(t.absent, (len(part), n, width)).reshape(-1, width)
+                    got = shapley_shares(absent, inside).reshape(len(part), n, width) * t.value[:, c][None, :, None]
+                    phi[part] += got.reshape(len(part), -1) @ to_feature
+                continue
+            leaf = np.repeat(np.arange(n), np.diff(t.offset, append=len(t.shares)))
+            lines = np.zeros((len(t.shares), p))
+            for j in range(width):
+                lines[np.arange(len(leaf)), t.feature[leaf, j]] += t.shares[:, j] * t.value[leaf, c]
+            for part, tested in zip(parts, passed):
+                pattern = np.zeros((n, len(part)), dtype=np.uint16 if width <= 16 else np.int64)
+                for j in range(width):
+                    pattern |= tested[own[:, j]].astype(pattern.dtype) << pattern.dtype.type(j)
+                phi[part] += lines[pattern + t.offset[:, None]].sum(axis=0)
     return phi / len(tables), base / len(tables)
 
 
+def _word_bits(flags: np.ndarray) -> np.ndarray:
+    """Flags as bits, 64 to a word."""
+
+    packed = np.packbits(flags)
+    return np.concatenate([packed, np.zeros(-len(packed) % 8, dtype=np.uint8)]).view(np.uint64)
+
+
+def forest_leaves(columns: Sequence[np.ndarray], forest: dict):
+    """Each tree's leaf of every row, tree by tree; ``columns`` are the features.
+
+    Rows are bits: a split's outcome for 64 rows is one word, worked out once for all
+    nodes that ask the same (feature, threshold), and a node sends its rows to its
+    children by two word operations. A level's right turns make one bit plane; the
+    planes of a tree, read together, number a row's leaf."""
+
+    n, right_of = len(columns[0]), {}
+    for feat, thr, left, right in zip(*(forest[k] for k in ("feature", "threshold", "left", "right"))):
+        planes: list = []
+        leaf_of: dict[int, int] = {}
+        paths = [(0, None, 0, 0)]  # node, its rows (none: all), level, turns taken
+        while paths:
+            node, rows, level, code = paths.pop()
+            if feat[node] < 0:
+                leaf_of[code] = node
+                continue
+            test = int(feat[node]), float(thr[node])
+            if test not in right_of:
+                right_of[test] = _word_bits(~(columns[test[0]] <= test[1]))  # a NaN turns right
+            turned = right_of[test] if rows is None else rows & right_of[test]
+            if level == len(planes):
+                planes.append(turned.copy())
+            else:
+                planes[level] |= turned
+            stay = None if feat[left[node]] < 0 else ~turned if rows is None else rows ^ turned
+            paths += [(left[node], stay, level + 1, code), (right[node], turned, level + 1, code | 1 << level)]
+        kind = np.uint8 if len(planes) <= 8 else np.uint16 if len(planes) <= 16 else np.uint32
+        codes = np.zeros(n, dtype=kind)
+        for level, plane in enumerate(planes):
+            turns = np.unpackbits(plane.view(np.uint8), count=n)
+            codes |= np.left_shift(turns, level, dtype=kind)
+        if len(planes) <= 16:
+            table = np.zeros(1 << len(planes), dtype=np.int64)
+            table[list(leaf_of)] = list(leaf_of.values())
+            yield table[codes]
+        else:
+            known = np.array(sorted(leaf_of))
+            yield np.array([leaf_of[c] for c in known.tolist()])[np.searchsorted(known, codes)]
+
+
 def forest_proba(x: np.ndarray, forest: dict) -> np.ndarray:
     """Average of per-tree leaf class distributions (MLlib's probability)."""
 
-    feat, thr, left, right, value = (forest[k] for k in ("feature", "threshold", "left", "right", "value"))
-    out = np.zeros((x.shape[0], value.shape[2]))
-    rows = np.arange(x.shape[0])
-    for t in range(feat.shape[0]):
-        node = np.zeros(x.shape[0], dtype=np.int64)
-        for _ in range(64):
-            f = feat[t][node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            go_left = x[rows, np.where(inner, f, 0)] <= thr[t][node]
-            node = np.where(inner, np.where(go_left, left[t][node], right[t][node]), node)
-        out += value[t][node]
-    return out / feat.shape[0]
+    out = np.zeros((x.shape[0], forest["value"].shape[2]))
+    for value, leaf in zip(forest["value"], forest_leaves([np.ascontiguousarray(c) for c in x.T], forest)):
+        out += value[leaf]
+    return out / len(forest["feature"])
 
 
 def with_contributions(df: DataFrame, vector: str, names: Sequence[str], top_n: int, digits: int = 6) -> DataFrame:
@@ -300,55 +364,69 @@ def quartile_bins(matrix: DataFrame, cols: Sequence[str]) -> dict:
     return {"edges": np.array([edges[c] for c in cols], dtype=float), "lo": lo, "hi": hi, "freq": freq}
 
 
-def hashed_uniform(ids: np.ndarray, samples: int, width: int, seed: int) -> np.ndarray:
-    """Uniform numbers that hang on (id, sample, place) alone: one mixed 64-bit
-    hash for each, whatever batch a row comes in."""
-
+def _row_hash(ids: np.ndarray, samples: int, seed: int) -> np.ndarray:
     import pandas as pd
 
     with np.errstate(over="ignore"):
-        h = pd.util.hash_array(np.asarray(ids, dtype=object), categorize=False)[:, None, None] + np.uint64(seed)
-        h = h + np.arange(samples, dtype=np.uint64)[None, :, None] * np.uint64(0x9E3779B97F4A7C15)
-        h = h + np.arange(width, dtype=np.uint64)[None, None, :] * np.uint64(0xD1B54A32D192ED03)
+        h = pd.util.hash_array(np.asarray(ids, dtype=object), categorize=False)[:, None] + np.uint64(seed)
+        return h + np.arange(samples, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _uniform(h: np.ndarray, place: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = h + np.uint64(place) * np.uint64(0xD1B54A32D192ED03)
         h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return ((h ^ h >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
+def hashed_uniform(ids: np.ndarray, samples: int, width: int, seed: int) -> np.ndarray:
+    """Uniform numbers that hang on (id, sample, place) alone: one mixed 64-bit
+    hash for each, whatever batch a row comes in."""
+
+    h = _row_hash(ids, samples, seed)
+    return np.stack([_uniform(h, place) for place in range(width)], axis=2)
+
+
 def _lime_batch(x, cls, ids, fr, bins, n_samples, top_n, seed, alpha=1.0):
-    """Vectorised over the batch: perturb, score once, batched weighted ridge."""
+    """Vectorised over the batch, feature by feature: perturb, score once, batched weighted ridge."""
 
     b, p = x.shape
-    edges, freq = bins["edges"], bins["freq"]
-    own = np.stack([np.searchsorted(edges[f], x[:, f], side="left") for f in range(p)], axis=1)  # (b, p)
-    u = hashed_uniform(ids, n_samples, 2 * p, seed)  # (b, s, 2p)
-    cdf = np.cumsum(freq, axis=1)  # (p, 4)
-    draw = np.stack([np.minimum(np.searchsorted(cdf[f], u[:, :, f], side="right"), 3) for f in range(p)], axis=2)  # (b, s, p)
-    draw[:, 0, :] = own
-    fi = np.arange(p)[None, None, :]
-    lo, hi = bins["lo"][fi, draw], bins["hi"][fi, draw]
-    xs = lo + (hi - lo) * u[:, :, p:]
-    xs[:, 0, :] = x
-    z = (draw == own[:, None, :]).astype(float)
+    h = _row_hash(ids, n_samples, seed)
+    columns, z, off = [], np.empty((b, n_samples, p)), np.zeros((b, n_samples), dtype=np.int64)
+    for f in range(p):
+        own = np.searchsorted(bins["edges"][f], x[:, f], side="left")
+        cdf, lo = np.cumsum(bins["freq"][f]), bins["lo"][f]
+        u = _uniform(h, f)
+        draw = sum(((u >= cdf[i]).astype(np.int8) for i in range(1, 3)), (u >= cdf[0]).astype(np.int8))
+        draw[:, 0] = own
+        column = lo[draw] + (bins["hi"][f] - lo)[draw] * _uniform(h, p + f)
+        column[:, 0] = x[:, f]
+        columns.append(column.ravel())
+        same = draw == own[:, None]
+        z[:, :, f] = same
+        off += ~same
     width = 0.75 * np.sqrt(p)
-    dist2 = ((z - 1.0) ** 2).sum(2)
-    k = np.sqrt(np.exp(-dist2 / width ** 2))  # (b, s)
-    prob = forest_proba(xs.reshape(b * n_samples, p), fr).reshape(b, n_samples, -1)
-    y = np.take_along_axis(prob, cls[:, None, None].repeat(n_samples, 1), axis=2)[:, :, 0]
+    k = np.sqrt(np.exp(-np.arange(p + 1.0) / width ** 2))[off]  # (b, s), by the number of features moved
+    classes = fr["value"].shape[2]
+    y, one = np.zeros(b * n_samples), np.repeat(cls, n_samples)
+    for value, leaf in zip(fr["value"], forest_leaves(columns, fr)):
+        y += value.ravel()[leaf * classes + one]
+    y = (y / len(fr["feature"])).reshape(b, n_samples)
     ksum = k.sum(1, keepdims=True)
-    zc = z - (k[:, :, None] * z).sum(1, keepdims=True) / ksum[:, :, None]
+    zc = z - (k[:, None, :] @ z) / ksum[:, :, None]
     yc = y - (k * y).sum(1, keepdims=True) / ksum
+    weighted = zc * k[:, :, None]
+    gram, pull = weighted.transpose(0, 2, 1) @ zc, (weighted.transpose(0, 2, 1) @ yc[:, :, None])[:, :, 0]
 
-    def ridge(zm):
-        a = np.einsum("bsi,bs,bsj->bij", zm, k, zm) + alpha * np.eye(zm.shape[2])[None]
-        rhs = np.einsum("bsi,bs,bs->bi", zm, k, yc)
-        return np.linalg.solve(a, rhs[:, :, None])[:, :, 0]
+    def ridge(a, rhs):
+        return np.linalg.solve(a + alpha * np.eye(a.shape[2])[None], rhs[:, :, None])[:, :, 0]
 
-    coef = ridge(zc)
+    coef = ridge(gram, pull)
     keep = np.argsort(-np.abs(coef) + np.arange(p)[None, :] * 1e-15, axis=1, kind="stable")[:, :top_n]
-    coef2 = ridge(np.take_along_axis(zc, keep[:, None, :].repeat(n_samples, 1), axis=2))
+    rows = np.arange(b)[:, None]
     full = np.zeros((b, p))
-    np.put_along_axis(full, keep, coef2, axis=1)
+    full[rows, keep] = ridge(gram[rows[:, :, None], keep[:, :, None], keep[:, None, :]], pull[rows, keep])
     return full
 
 

@@ -138,3 +138,66 @@ def test_path_tables_give_the_shapley_values():
     assert np.allclose(untabled, phi, atol=1e-12)
     leaf = {k: v[:, :1] for k, v in forest.items() if k != "classes"} | {"left": np.full((4, 1), -1)}
     assert not H.tree_shap(x, cls, H.path_tables(leaf))[0].any()
+
+
+def random_forest(trees=6, depth=8, features=5, classes=3, seed=4):
+    rng = np.random.default_rng(seed)
+    n = 2 ** (depth + 1) - 1
+    f = {k: np.full((trees, n), -1) for k in ("feature", "left", "right")} | {"threshold": np.zeros((trees, n)), "cover": np.zeros((trees, n)), "value": rng.dirichlet(np.ones(classes), (trees, n)), "classes": classes}
+    cuts = np.sort(rng.normal(size=(features, 9)), axis=1)
+    for t in range(trees):
+        f["cover"][t, 0] = 1000.0
+        for i in range(2 ** depth - 1):
+            if f["cover"][t, i] > 0 and (i < 3 or rng.random() < 0.9) and t > 0:  # tree 0 is a leaf
+                j, share = rng.integers(features), rng.uniform(0.1, 0.9)
+                f["feature"][t, i], f["threshold"][t, i], f["left"][t, i], f["right"][t, i] = j, cuts[j, rng.integers(9)], 2 * i + 1, 2 * i + 2
+                f["cover"][t, 2 * i + 1], f["cover"][t, 2 * i + 2] = f["cover"][t, i] * share, f["cover"][t, i] * (1 - share)
+    return f
+
+
+def walked(x, f):
+    """Leaf of every row and tree, row by row."""
+
+    out = np.zeros((len(f["feature"]), len(x)), dtype=int)
+    for t in range(len(out)):
+        for r, row in enumerate(x):
+            at = 0
+            while f["feature"][t, at] >= 0:
+                at = f["left"][t, at] if row[f["feature"][t, at]] <= f["threshold"][t, at] else f["right"][t, at]
+            out[t, r] = at
+    return out
+
+
+@pytest.mark.parametrize("depth", [3, 8, 10])
+def test_leaves_by_bits(depth):
+    f = random_forest(depth=depth)
+    x = np.random.default_rng(1).normal(size=(131, 5))
+    x[5, 2], x[6, 0], x[7] = np.nan, np.inf, f["threshold"][1, 0]
+    leaves = walked(x, f)
+    assert (np.array(list(H.forest_leaves(list(x.T), f))) == leaves).all()
+    want = sum(v[leaf] for v, leaf in zip(f["value"], leaves)) / len(leaves)
+    assert np.allclose(H.forest_proba(x, f), want, atol=1e-15)
+
+
+def test_a_split_is_tested_once_for_a_batch(monkeypatch):
+    """The work on a batch is word operations: a (feature, threshold) is compared once, not once a node."""
+
+    f, tested = random_forest(), []
+    real = H._word_bits
+    monkeypatch.setattr(H, "_word_bits", lambda flags: tested.append(1) or real(flags))
+    list(H.forest_leaves(list(np.random.default_rng(1).normal(size=(64, 5)).T), f))
+    inner = f["feature"] >= 0
+    assert len(tested) == len(set(zip(f["feature"][inner].tolist(), f["threshold"][inner].tolist()))) < inner.sum()
+
+
+@pytest.mark.parametrize("widest", [9, 2])
+def test_shap_values_of_mixed_classes(widest):
+    f = random_forest()
+    x = np.random.default_rng(2).normal(size=(70, 5))
+    cls = np.random.default_rng(3).integers(0, 3, 70)
+    tables = H.path_tables(f, widest)
+    phi, base = H.tree_shap(x, cls, tables, chunk=16)
+    assert np.allclose(phi.sum(axis=1) + base, H.forest_proba(x, f)[np.arange(70), cls], atol=1e-12)
+    for c in range(3):
+        one, _ = H.tree_shap(x, np.full(70, c), tables)
+        assert np.allclose(one[cls == c], phi[cls == c], atol=1e-14)
