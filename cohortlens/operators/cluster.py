@@ -62,6 +62,34 @@ def plus_plus(points: np.ndarray, k: int, seed: int, weights: np.ndarray | None
     return np.array(picked)
 
 
+def centred(x: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``nearest`` needs of some rows, whatever the points: mean, rows about it, their squared lengths."""
+
+    x0 = np.ascontiguousarray(x - mean)
+    return mean, x0, np.einsum("ij,ij->i", x0, x0)
+
+
+def nearest(x: np.ndarray, points: np.ndarray, about: tuple | None = None) -> np.ndarray:
+    """The place of each row's nearest point (squared Euclidean, ties to the first): one
+    matrix product, and distances summed feature by feature for the rows whose two
+    nearest points it cannot tell apart."""
+
+    if len(points) == 1 or not len(x):
+        return np.zeros(len(x), dtype=np.int64)
+    mean, x0, length = about or centred(x, points.mean(axis=0))
+    p0 = points - mean
+    sizes = (p0 ** 2).sum(axis=1)
+    d = (-2 * p0) @ x0.T + sizes[:, None]  # (points, rows)
+    own = d.argmin(axis=0)
+    rows = np.arange(len(x))
+    least = d[own, rows]
+    d[own, rows] = np.inf
+    unsure = np.flatnonzero(~(d.min(axis=0) - least > 1e-9 * (length + sizes.max())))
+    if len(unsure):
+        own[unsure] = np.argmin([((x[unsure] - c) ** 2).sum(axis=1) for c in points], axis=0)
+    return own
+
+
 def draw_far_rows(data: DataFrame, id_col: str, cols: list[str], near: dict[int, np.ndarray], take: int, turn: int) -> dict[int, np.ndarray]:
     """For each restart, ``take`` rows drawn without replacement, with chances by
     squared distance to the nearest of the points in ``near`` (evenly, if there are
@@ -69,14 +97,16 @@ def draw_far_rows(data: DataFrame, id_col: str, cols: list[str], near: dict[int,
     restart and the turn. Every task sends its ``take`` least for each restart."""
 
     names = {s: f"hash_{s}" for s in near}
+    mean = np.mean([points.mean(axis=0) if len(points) else np.zeros(len(cols)) for points in near.values()], axis=0)
 
     def least(batches):
         kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
+            x = np.ascontiguousarray(pdf[cols].to_numpy(dtype=float))
+            about = centred(x, mean)
             for s, points in near.items():
                 u = ((pdf[names[s]].to_numpy(dtype=np.int64).view(np.uint64) >> np.uint64(11)) + 0.5) / 2.0**53
-                far = np.ones(len(x)) if not len(points) else np.min([((x - c) ** 2).sum(axis=1) for c in points], axis=0)
+                far = np.ones(len(x)) if not len(points) else ((x - points[nearest(x, points, about)]) ** 2).sum(axis=1)
                 on = far > 0
                 key, rows = -np.log(u[on]) / far[on], x[on]
                 if s in kept:
@@ -106,7 +136,7 @@ def seed_centers(data: DataFrame, id_col: str, cols: list[str], k: int, seeds: S
     for turn in range(1, rounds + 1):
         more = draw_far_rows(data, id_col, cols, near, 2 * k, turn)
         near = {s: np.concatenate([near[s], more[s]]) for s in near}
-    counted = lloyd_pass(data, cols, near)
+    counted = lloyd_pass(data, cols, near, costs=False)
     out = {}
     for s, points in near.items():
         weights = np.array([counted[s, i][0] if (s, i) in counted else 0 for i in range(len(points))], dtype=float)
@@ -119,10 +149,10 @@ def seed_centers(data: DataFrame, id_col: str, cols: list[str], k: int, seeds: S
     return out
 
 
-def lloyd_pass(data: DataFrame, cols: list[str], centers: dict[int, np.ndarray]) -> dict[tuple[int, int], tuple[int, float, np.ndarray]]:
+def lloyd_pass(data: DataFrame, cols: list[str], centers: dict[int, np.ndarray], costs: bool = True) -> dict[tuple[int, int], tuple[int, float, np.ndarray]]:
     """(rows, cost, sums) of each restart and cluster, from one pass over the data.
 
-    The driver gets one row for each restart and cluster."""
+    The driver gets one row for each restart and cluster. Without ``costs`` they are 0."""
 
     names = [f"s{j}" for j in range(len(cols))]
     mean = np.mean([c.mean(axis=0) for c in centers.values()], axis=0)  # sums are taken about it, for precision
@@ -130,16 +160,18 @@ def lloyd_pass(data: DataFrame, cols: list[str], centers: dict[int, np.ndarray])
     def partial(batches):
         sums: dict[tuple[int, int], list] = {}
         for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
+            x = np.ascontiguousarray(pdf[cols].to_numpy(dtype=float))
+            about = centred(x, mean)
             for restart, c in centers.items():
-                d = np.stack([((x - row) ** 2).sum(axis=1) for row in c], axis=1)
-                own = d.argmin(axis=1)
-                for i in np.unique(own):
-                    mine = own == i
+                own = nearest(x, c, about)
+                held = np.bincount(own, minlength=len(c))
+                far = np.bincount(own, weights=((x - c[own]) ** 2).sum(axis=1), minlength=len(c)) if costs else np.zeros(len(c))
+                total = (own[None, :] == np.arange(len(c))[:, None]).astype(float) @ about[1]
+                for i in np.flatnonzero(held):
                     got = sums.setdefault((restart, int(i)), [0, 0.0, np.zeros(len(cols))])
-                    got[0] += int(mine.sum())
-                    got[1] += float(d[mine, i].sum())
-                    got[2] += (x[mine] - mean).sum(axis=0)
+                    got[0] += int(held[i])
+                    got[1] += float(far[i])
+                    got[2] += total[i]
         yield pd.DataFrame([(r, i, n, cost, *v) for (r, i), (n, cost, v) in sums.items()], columns=["restart", "cluster", "n", "cost", *names])
 
     schema = "restart int, cluster int, n bigint, cost double, " + ", ".join(f"{s} double" for s in names)
@@ -172,7 +204,7 @@ def kmeans_fit(
     centers = seed_centers(data, id_col, cols, k, range(seed, seed + n_init))
     moving, costs = dict(centers), {}
     for _ in range(max_iter):
-        found = lloyd_pass(data, cols, moving)
+        found = lloyd_pass(data, cols, moving, costs=False)
         for s in list(moving):
             new = np.array([found[s, i][2] / found[s, i][0] if (s, i) in found else moving[s][i] for i in range(k)])
             still = ((new - moving[s]) ** 2).sum() > bar

@@ -186,3 +186,32 @@ def test_silhouette_sampled(spark):
     assert math.isclose(again.silhouette_sampled, some.silhouette_sampled, rel_tol=1e-12)
     for none in (df.limit(0), df.where("cluster_label = 0")):
         assert C.silhouette_sampled(none, ["a", "b", "c"]).first().silhouette_sampled is None
+
+
+def test_nearest_is_the_exact_one():
+    """Ties, near ties and far-off values are settled as the plain distances say."""
+
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(size=(7, 4)), rng.normal(size=(2, 4)) + 1e7])
+    points = np.concatenate([points, points[:3], points[:2] + 1e-12])
+    x = np.concatenate([rng.normal(size=(200, 4)), points, (points[:7] + points[1:8]) / 2, points[7:9] + rng.normal(size=(2, 4)), np.full((1, 4), np.nan)])
+    plain = np.argmin([((x - c) ** 2).sum(axis=1) for c in points], axis=0)
+    assert (C.nearest(x, points) == plain).all()
+    assert (C.nearest(x, points[:1]) == 0).all() and len(C.nearest(x[:0], points)) == 0
+
+
+def test_lloyd_pass_compares_rows_by_products(spark, monkeypatch):
+    """Well-parted rows are assigned without a distance loop over the centers, with the same sums and costs."""
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(40, 3)) + 20 * i for i in range(4)])
+    centers = {0: np.array([[20.0 * i] * 3 for i in range(4)]), 1: x[[0, 50, 90, 130]]}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    found = C.lloyd_pass(df, ["a", "b", "c"], centers)
+    for s, c in centers.items():
+        d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
+        own = d.argmin(axis=1)
+        for i in range(4):
+            n, cost, sums = found[s, i]
+            assert n == (own == i).sum() and np.isclose(cost, d[own == i, i].sum()) and np.allclose(sums, x[own == i].sum(axis=0))
+    assert all(v[1] == 0 for v in C.lloyd_pass(df, ["a", "b", "c"], centers, costs=False).values())
