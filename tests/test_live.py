@@ -163,3 +163,48 @@ def test_dropped_tables_are_forgotten(spark):
     for forget in session._ON_DROP:
         forget()
     assert not seen and not common._FITS
+
+
+def test_a_call_reads_and_writes_a_state_once():
+    """However many nodes and events a query has, a call reads each of its states once at most, and writes it once."""
+
+    calls, kept = [], {}
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            calls.append(f"get {self.name}")
+            return kept.get(self.name)
+
+        def update(self, v):
+            calls.append(f"put {self.name}")
+            kept[self.name] = v
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value(name)
+
+        def registerTimer(self, at):
+            calls.append(f"register {at}")
+
+        def deleteTimer(self, at):
+            calls.append(f"delete {at}")
+
+    def event(kind, number, at_us, node=None, status=None, nodes=None):
+        return {"type": kind, "event_id": number, "at_us": at_us, "node_name": node, "status": status, "nodes": nodes, "workflow_name": "w", "duration_ms": None, "error": None}
+
+    machine = live.ExecutionState(1000)
+    machine.init(Handle())
+    runs = [event("node_started", i, 5_000 + i, f"n{i % 40}") for i in range(400)]
+    out = list(machine.handleInputRows(("q",), iter([event("query_started", 0, 0, nodes=["n0", "z"]), *runs]), None))
+    assert calls == ["get query", "put query", "put nodes"] and len(out) == 41
+    assert [(r.position, r.node_name, r.status) for r in out[:2]] == [(0, "n0", "running"), (1, "z", "pending")]
+    calls.clear()
+    out = list(machine.handleInputRows(("q",), iter([event("node_completed", 500, 9_000, "n0", "failed"), event("query_completed", 501, 9_000_000, status="failed")]), None))
+    assert calls == ["get query", "get nodes", "put query", "put nodes", "put due", "register 10000"]
+    assert (out[0].status, out[0].query_status, out[0].started_us) == ("failed", "failed", 0)
+    calls.clear()
+    list(machine.handleInputRows(("q",), iter([event("query_completed", 502, 12_000_000, status="success")]), None))
+    assert calls == ["get query", "get nodes", "put query", "get due", "delete 10000", "put due", "register 13000"]
