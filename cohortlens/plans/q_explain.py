@@ -12,7 +12,7 @@ from cohortlens.operators import segments as S
 from cohortlens.operators.features import to_matrix
 from cohortlens.plans.common import FEATURE_NAMES, features, kmeans_labels, rounded
 from cohortlens.plans.registry import register
-from cohortlens.session import input_state, materialize, on_drop, reuse
+from cohortlens.session import input_state, on_drop
 
 COLS = ["TENURE", *FEATURE_NAMES]
 _FORESTS: dict = {}
@@ -31,12 +31,10 @@ def _forest(spark: SparkSession, sf_dir: str):
 
 
 def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer's contributions, worked out and written once per session and input."""
+    """Every customer's contributions, worked out where they are used: no copy of the
+    SHAP vectors is written."""
 
-    known = reuse(spark, "shap", (sf_dir,))
-    if known is not None:
-        return known
-    return materialize(H.shap_explanations(_matrix(spark, sf_dir), COLS, _forest(spark, sf_dir)), "shap", (sf_dir,))
+    return H.shap_explanations(_matrix(spark, sf_dir), COLS, _forest(spark, sf_dir))
 
 
 def _flat(con: DataFrame, value_name: str, *keep: str) -> DataFrame:
