@@ -1,12 +1,12 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 Side A is a byte-level BPE, side B a sentencepiece model that adds the space before a
-text, so A reads the text with that space. Each batch of whole texts becomes two
-tables, one of each side: a token's document, first byte and number. A pandas
-merge_asof on the first byte, keyed by document, finds for each token start the other
-side's covering token: once from A to B, once from B to A. Of two tokens that overlap,
-the one that starts later starts inside the other, so the union of both directions is
-all overlapping pairs; where both start together they are found twice and kept once.
+text, so A reads the text with that space. A batch of whole texts is one run of bytes,
+in which both sides' tokens lie without gaps, so each side has a table that names every
+byte's token. It gives for each token start the other side's covering token: once from
+A to B, once from B to A. Of two tokens that overlap, the one that starts later starts
+inside the other, so the union of both directions is all overlapping pairs; where both
+start together they are found twice and kept once.
 Bytes at which tokens of both sides end cut the tokens into groups.
 
 How many documents of the corpus hold a pair of ids linked is counted by batch first:
@@ -67,7 +67,7 @@ class ByteLevel:
         self.plain, self.other = {**spec, "added_tokens": []}, None
 
     def encode(self, texts: list[str]) -> list:
-        return [self._long(t) if len(t) >= 20000 and LONG_RUN.search(t) else self.library.encode_ordinary(t) for t in texts]
+        return [self._long(t) if len(t) >= 20000 and LONG_RUN.search(t) else self.library.encode_to_numpy(t, disallowed_special=()) for t in texts]
 
     def _long(self, text: str) -> list[int]:
         if self.other is None:
@@ -99,8 +99,10 @@ class Side:
     start: np.ndarray  # first byte, counted over the batch
     end: np.ndarray
 
-    def table(self, number: str) -> pd.DataFrame:
-        return pd.DataFrame({"at": self.start, "doc": self.doc, number: np.arange(len(self.ids))})
+    def of_bytes(self) -> np.ndarray:
+        """The token of each byte of the batch."""
+
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), self.end - self.start)
 
 
 @dataclass
@@ -124,38 +126,51 @@ class Aligner:
     def __init__(self, a: bytes, b: bytes):
         self.a, self.b = ByteLevel(a), Pieces(b)
         self.sizes = [np.array([len(x) for x in side.bytes], dtype=np.int64) for side in (self.a, self.b)]
+        self.bytes = []
+        for side in (self.a, self.b):
+            self.bytes.append(np.empty(len(side.bytes), dtype=object))
+            self.bytes[-1][:] = side.bytes
         widest = len(str(max(len(self.a.bytes), len(self.b.bytes))))
         shown = [str(i).encode() for i in range(max(len(self.a.bytes), len(self.b.bytes)))]
         self.digits = np.array(shown, dtype=f"S{widest + 1}").view(np.uint8).reshape(len(shown), widest + 1)
-        self.length = np.array([len(x) for x in shown])
-
-    def _side(self, ids: list, sizes: np.ndarray) -> Side:
-        each = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in ids]) if ids else np.zeros(0, np.int64)
-        end = np.cumsum(sizes[flat])
-        return Side(flat, np.repeat(np.arange(len(ids)), each), end - sizes[flat], end)
+        self.length = np.array([len(x) for x in shown], dtype=np.uint8)
 
     def align(self, texts: list[str | None]) -> Aligned:
         spaced = [" " + t if t else "" for t in texts]
         raw = [t.encode() for t in spaced]
-        a, b = self.a.encode(spaced), self.b.encode([t or "" for t in texts])
-        for i, data in enumerate(raw):
-            if not data or b"".join(map(self.a.bytes.__getitem__, a[i])) != data or b"".join(map(self.b.bytes.__getitem__, b[i])) != data:
-                a[i], b[i] = [], []
-        left, right = self._side(a, self.sizes[0]), self._side(b, self.sizes[1])
+        whole, found = np.array([len(r) > 0 for r in raw], dtype=bool), []
+        for ids, tokens in ((self.a.encode(spaced), self.bytes[0]), (self.b.encode([t or "" for t in texts]), self.bytes[1])):
+            each = np.array([len(x) for x in ids], dtype=np.int64)
+            flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in ids]) if ids else np.zeros(0, np.int64)
+            stops = np.cumsum(each).tolist()
+            joined, start = tokens[flat].tolist(), 0
+            for i, (data, stop) in enumerate(zip(raw, stops)):
+                if b"".join(joined[start:stop]) != data:
+                    whole[i] = False
+                start = stop
+            found.append((flat, each))
+        sides = []
+        for (flat, each), sizes in zip(found, self.sizes):
+            doc = np.repeat(np.arange(len(each)), each)
+            if not whole.all():
+                held = whole[doc]
+                flat, doc = flat[held], doc[held]
+            size = sizes[flat]
+            end = np.cumsum(size)
+            sides.append(Side(flat, doc, end - size, end))
+        left, right = sides
         if not len(left.ids):
             none = np.zeros(0, np.int64)
             return Aligned(len(texts), left, right, none, none, none, none, none, none)
-        a_table, b_table = left.table("i"), right.table("j")
-        covering_b = pd.merge_asof(a_table, b_table, on="at", by="doc")["j"].to_numpy(np.int64)
-        covering_a = pd.merge_asof(b_table, a_table, on="at", by="doc")["i"].to_numpy(np.int64)
-        only = left.start[covering_a] != right.start  # the other links are found from A already
-        link_a = np.concatenate([a_table["i"].to_numpy(), covering_a[only]])
-        link_b = np.concatenate([covering_b, b_table["j"].to_numpy()[only]])
-        ends = np.intersect1d(left.end, right.end, assume_unique=True)
-        group_a, group_b = np.searchsorted(ends, left.end), np.searchsorted(ends, right.end)
-        group_doc = left.doc[np.searchsorted(left.end, ends)]
-        return Aligned(len(texts), left, right, link_a, link_b, group_a, group_b, group_doc, ends)
+        a_at, b_at = left.of_bytes(), right.of_bytes()
+        covering_b, covering_a = b_at[left.start], a_at[right.start]
+        only = np.flatnonzero(left.start[covering_a] != right.start)  # the other links are found from A already
+        link_a = np.concatenate([np.arange(len(left.ids)), covering_a[only]])
+        link_b = np.concatenate([covering_b, only])
+        # Tokens that end where one of the other side does.
+        last_a, last_b = right.end[b_at[left.end - 1]] == left.end, left.end[a_at[right.end - 1]] == right.end
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        return Aligned(len(texts), left, right, link_a, link_b, group_a, group_b, left.doc[last_a], left.end[last_a])
 
     def group_texts(self, x: Aligned) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` of each text: the ids of its groups."""
@@ -163,17 +178,19 @@ class Aligner:
         n = len(x.a.ids) + len(x.b.ids)
         if not n:
             return [b""] * x.docs
-        at_a = np.arange(len(x.a.ids)) + np.searchsorted(x.group_b, x.group_a)
-        at_b = np.arange(len(x.b.ids)) + np.searchsorted(x.group_a, x.group_b, side="right")
-        ids, mark, doc = np.empty(n, np.int64), np.empty(n, np.uint8), np.empty(n, np.int64)
+        upto_a, in_b = np.cumsum(np.bincount(x.group_a)), np.bincount(x.group_b)
+        at_a = np.arange(len(x.a.ids)) + (np.cumsum(in_b) - in_b)[x.group_a]
+        at_b = np.arange(len(x.b.ids)) + upto_a[x.group_b]
+        ids, mark, sizes = np.empty(n, np.int64), np.empty(n, np.uint8), np.zeros(x.docs)
         for at, side, group, last in ((at_a, x.a, x.group_a, b"|"), (at_b, x.b, x.group_b, b";")):
-            ids[at], doc[at] = side.ids, side.doc
+            ids[at] = side.ids
+            sizes += np.bincount(side.doc, weights=self.length[side.ids], minlength=x.docs) + np.bincount(side.doc, minlength=x.docs)
             mark[at] = np.where(np.append(group[1:] == group[:-1], False), ord(","), ord(last))
         shown, length = self.digits[ids], self.length[ids]
         shown[np.arange(n), length] = mark
-        sizes = np.bincount(doc, weights=length + 1, minlength=x.docs).astype(np.int64)
+        sizes = sizes.astype(np.int64)
         stops = np.cumsum(sizes)
-        flat = shown[np.arange(shown.shape[1]) <= length[:, None]].tobytes()
+        flat = shown[np.arange(shown.shape[1], dtype=np.uint8) <= length[:, None]].tobytes()
         return [flat[i : max(i, j - 1)] for i, j in zip((stops - sizes).tolist(), stops.tolist())]
 
 

@@ -174,6 +174,22 @@ def test_alignment_of_whole_documents(spark, plain):
         assert got[i]["groups_sha256"] == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
 
 
+def test_a_batch_is_aligned_by_the_tokens_of_its_bytes(plain):
+    """Texts without tokens (null, empty, changed by side B) lie between others; ids come as arrays."""
+
+    aligner = align.Aligner(open(A, "rb").read(), open(B, "rb").read())
+    texts = ["plain words, and numbers 12345", None, "full\uff21width", "", "naïve café", "\u2581", "日本語 text", "x"]
+    assert all(isinstance(ids, np.ndarray) for ids in aligner.a.encode([" " + (t or "") for t in texts]))
+    x = aligner.align(texts)
+    for side in (x.a, x.b):
+        assert side.of_bytes().tolist() == [i for i, (low, high) in enumerate(zip(side.start, side.end)) for _ in range(low, high)]
+    assert aligner.group_texts(x) == [plain(t)[3].encode() for t in texts]
+    assert x.docs == len(texts) and sorted(set(x.a.doc)) == [i for i, t in enumerate(texts) if plain(t)[0]] != list(range(len(texts)))
+    first_a, first_b = (np.searchsorted(side.doc, np.arange(x.docs)) for side in (x.a, x.b))
+    found = sorted((x.a.doc[i], i - first_a[x.a.doc[i]], j - first_b[x.b.doc[j]]) for i, j in zip(x.link_a, x.link_b))
+    assert found == [(d, i, j) for d, t in enumerate(texts) for i, j in plain(t)[2]]
+
+
 def test_alignment_spans(edge_docs, no_docs, plain):
     out = align.align_texts(edge_docs, A, B, into="spans_").select("text", "spans_").collect()
     assert len(out) == edge_docs.count()
