@@ -23,10 +23,13 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import TOGETHER, text_groups
+
 #: How the byte-level pre-tokenizer splits a text (a fixed, public value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters and numbers that the installed ``regex`` module knows
@@ -45,8 +48,8 @@ NEWER = (
 PIECES_NEWER = PIECES.replace(r"[^\s\p{L}\p{N}]", rf"(?:[{NEWER}]|[^\s\p{{L}}\p{{N}}])").replace(r" ?\p{L}+", rf" ?(?:(?![{NEWER}])\p{{L}})+").replace(r" ?\p{N}+", rf" ?(?:(?![{NEWER}])\p{{N}})+")
 #: Fragments up to this many bytes are merged side by side in numpy, longer ones one by one with a heap.
 SHORT = 48
-#: Texts are taken together up to about so many characters.
-TOGETHER = 4_000_000
+#: Pieces that a worker remembers in each of two generations.
+REMEMBERED = 100_000
 NONE = np.int64(1) << 40
 
 
@@ -61,7 +64,7 @@ def byte_alphabet() -> dict[str, int]:
 class ForcedCutBpe:
     """Encoder and decoder of one vocabulary file (its content, as bytes)."""
 
-    def __init__(self, content: bytes, remember: int = 200_000):
+    def __init__(self, content: bytes, remember: int = REMEMBERED):
         spec = json.loads(content)
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
@@ -234,6 +237,11 @@ class ForcedCutBpe:
         for parts in found:
             yield array("I", chain.from_iterable(map(known, chain.from_iterable(parts))))
 
+    def forget(self) -> None:
+        """Drop the remembered pieces."""
+
+        self.known, self.before = {}, {}
+
     def decode(self, ids) -> str:
         """The text of ids, special tokens included; bytes that form no character become U+FFFD."""
 
@@ -268,9 +276,13 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", into: str = "id
     vocabulary = _vocabulary(docs, path)
 
     @F.pandas_udf("array<bigint>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = encoder(vocabulary.value)
-        return pd.Series([np.asarray(ids, dtype=np.int64) for ids in bpe.encode_many(texts)], dtype=object)
+        try:
+            for texts in batches:
+                yield pd.Series([np.asarray(ids, dtype=np.int64) for ids in bpe.encode_many(texts)], dtype=object)
+        finally:
+            bpe.forget()
 
     return docs.withColumn(into, run(F.col(text).cast("string")))
 
@@ -297,13 +309,19 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", into: str = "dige
 
     vocabulary = _vocabulary(docs, path)
 
-    @F.pandas_udf(DIGEST)
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(DIGEST)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = encoder(vocabulary.value)
-        rows = []
-        for ids in bpe.encode_many(texts):
-            little = np.asarray(ids, dtype="<u4").tobytes()
-            rows.append((len(ids), hashlib.sha256(little).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                sizes, coded, decoded = [], [], []
+                for ids in bpe.encode_many(t for group in text_groups(texts) for t in group):
+                    sizes.append(len(ids))
+                    coded.append(hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                columns = pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())
+                yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            bpe.forget()  # the worker goes on to other stages
 
     return docs.withColumn(into, run(F.col(text).cast("string")))

@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 256
 #: A table counted to have at most this many narrow rows may be broadcast.
 SMALL_ROWS = 100_000
+#: A Python worker turns texts into strings and words up to about so many bytes at a time.
+TOGETHER = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -151,6 +157,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: in
     return one.select("id_", "t.text", "y")
 
 
+def text_groups(texts: pa.Array) -> Iterator[list[str]]:
+    """Whole texts of an Arrow column in their order, null as empty: lists of about
+    TOGETHER bytes, or of one longer text, so that a worker never holds the strings
+    of a whole batch."""
+
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // TOGETHER, prepend=-1)).tolist()
+    for i, j in zip(starts, [*starts[1:], len(texts)]):
+        yield ["" if t is None else t for t in texts.slice(i, j - i).to_pylist()]
+
+
 class Remembered(dict):
     """A bounded memory of a function's results; it starts anew when full."""
 

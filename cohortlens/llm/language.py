@@ -20,16 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import fold, hash32, save
+from cohortlens.llm.common import fold, hash32, save, text_groups
 
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 LENGTHS = (5, 4, 3, 2, 1)
 PENALTY = 0.75
 FIRM = 20
+#: Unseen words that a worker remembers, and at most so many scores of theirs, one a language.
+REMEMBERED, SCORES = 100_000, 8_000_000
+#: Counts that a worker holds before it hands them on.
+COUNTS = 50_000
 
 
 def marked_grams(word: str, n: int) -> list[str]:
@@ -51,13 +56,19 @@ def train(docs: DataFrame, *, folds: int = 3, held_out: int = 1, docs_each: int
     bar = F.create_map(*[F.lit(x) for k in names for x in (k, share[k] * 2.0**32)])
     sample = rows.filter(F.col("lang").isin(names)).filter(hash32(F.col("doc_id"), F.lit(3)) <= bar[F.col("lang")])
 
+    def rows_of(counts):
+        return pd.DataFrame([(k, item, n) for (k, item), n in counts.items()], columns=["lang", "item", "n"])
+
     def words_of(batches):
         for batch in batches:
             counts: dict[tuple[str, str], int] = {}
             for lang, text in zip(batch["lang"], batch["text"]):
                 for w in WORDS(text.lower()):
                     counts[lang, w] = counts.get((lang, w), 0) + 1
-            yield pd.DataFrame([(k, w, n) for (k, w), n in counts.items()], columns=["lang", "item", "n"])
+                if len(counts) >= COUNTS:
+                    yield rows_of(counts)
+                    counts = {}
+            yield rows_of(counts)
 
     def grams_of(batches):
         for batch in batches:
@@ -66,7 +77,10 @@ def train(docs: DataFrame, *, folds: int = 3, held_out: int = 1, docs_each: int
                 for size in LENGTHS:
                     for g in marked_grams(word, size):
                         counts[lang, g] = counts.get((lang, g), 0) + n
-            yield pd.DataFrame([(k, g, n) for (k, g), n in counts.items()], columns=["lang", "item", "n"])
+                if len(counts) >= COUNTS:
+                    yield rows_of(counts)
+                    counts = {}
+            yield rows_of(counts)
 
     made = "lang string, item string, n bigint"
     seen = save(sample.select("lang", "text").mapInPandas(words_of, made).groupBy("lang", "item").agg(F.sum("n").alias("n")), "lang-words")
@@ -92,19 +106,44 @@ def train(docs: DataFrame, *, folds: int = 3, held_out: int = 1, docs_each: int
     return names, np.log(prior / prior.sum()), known, by_length
 
 
+def packed(model):
+    """The model as the executors get it: each table as the rows of its items and one
+    matrix of centred log frequencies."""
+
+    names, prior, known, by_length = model
+
+    def centred(table):
+        m = np.array([*table.values()], dtype=np.float32).reshape(len(table), len(names))
+        return {item: i for i, item in enumerate(table)}, m - m.mean(axis=1, keepdims=True)
+
+    return names, prior, centred(known), {n: centred(t) for n, t in by_length.items()}
+
+
 class Identifier:
-    """Scores words, remembering a bounded number of unseen ones."""
+    """Scores words with a packed model, remembering a bounded number of unseen ones."""
 
     def __init__(self, names, prior, known, by_length):
         self.names, self.prior = names, prior
-        centred = lambda table: (m := np.array([*table.values()], dtype=np.float32).reshape(len(table), len(names))) - m.mean(axis=1, keepdims=True)
-        self.fixed, self.base = {w: i for i, w in enumerate(known)}, centred(known)
-        self.grams = {n: ({g: i for i, g in enumerate(t)}, centred(t)) for n, t in by_length.items()}
+        self.fixed, self.base = known
+        self.grams = by_length
+        self.most = min(REMEMBERED, SCORES // len(names))
         self.restart()
 
     def restart(self) -> None:
         self.place, self.rows = dict(self.fixed), self.base
 
+    def remember(self, words: list[str]) -> None:
+        """Rows for more words; room for them grows by a quarter, so a row is copied a few times only."""
+
+        used = len(self.place)
+        need = used + len(words)
+        if need > len(self.rows):
+            rows = np.empty((max(need, len(self.rows) * 5 // 4), len(self.names)), dtype=np.float32)
+            rows[:used] = self.rows[:used]
+            self.rows = rows
+        self.rows[used:need] = self.unseen(words)
+        self.place.update(zip(words, range(used, need)))
+
     def unseen(self, words: list[str]) -> np.ndarray:
         """A row for each unseen word: the mean over its longest known n-grams."""
 
@@ -131,12 +170,11 @@ class Identifier:
     def identify(self, texts: list[str]) -> list[tuple[str, float]]:
         """For some whole texts: language and score."""
 
-        if len(self.place) > len(self.fixed) + 300_000:
+        if len(self.place) > len(self.fixed) + self.most:
             self.restart()
         split = [WORDS(t.lower()) for t in texts]
         if new := list(set().union(*split).difference(self.place)):
-            self.place.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.rows = np.concatenate([self.rows, self.unseen(new)])
+            self.remember(new)
         out = []
         for words in split:
             if not words:
@@ -167,19 +205,13 @@ def identify_texts(docs: DataFrame, model, text: str = "text", into: str = "foun
 
     if model is None:
         return docs.withColumn(into, F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(packed(model))
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         who = Identifier(*sent.value)
         for texts in batches:
-            texts, out = ["" if t is None else t for t in texts], []
-            start = chars = 0
-            for i, t in enumerate(texts):
-                chars += len(t)
-                if chars >= 4_000_000 or i + 1 == len(texts):
-                    out += who.identify(texts[start : i + 1])
-                    start, chars = i + 1, 0
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+            out = [x for group in text_groups(texts) for x in who.identify(group)]
+            yield pa.StructArray.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["lang_pred", "score"])
 
     return docs.withColumn(into, run(F.col(text).cast("string")))

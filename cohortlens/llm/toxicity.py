@@ -13,14 +13,16 @@ with no label at all every score is 0; repeated rows score alike; columns of
 """
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import Remembered, labelled_sample
+from cohortlens.llm.common import Remembered, labelled_sample, text_groups
 
 WORDS = re.compile(r"\w+").findall
 PAIR, SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -30,7 +32,13 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-HASHES = Remembered(_word_hash)
+HASHES = Remembered(_word_hash, 100_000)
+
+
+def forget() -> None:
+    """Drop the remembered hashes of this process."""
+
+    HASHES.clear()
 
 
 def buckets(text: str | None, bits: int) -> np.ndarray:
@@ -80,8 +88,12 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: in
     buckets; only these go to the driver."""
 
     @F.pandas_udf("array<int>")
-    def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(buckets(t, bits)).astype(np.int32) for t in texts], dtype=object)
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series([np.unique(buckets(t, bits)).astype(np.int32) for t in texts], dtype=object)
+        finally:
+            forget()
 
     sample = labelled_sample(docs, labels, label, folds=folds, rows=rows)
     got = sample.select("id_", "y", features("text").alias("at")).toArrow()
@@ -107,16 +119,20 @@ def score_texts(docs: DataFrame, model, text: str = "text", into: str = "score")
         return docs.withColumn(into, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at, weights, bias, bits = sent.value
         dense = np.zeros(1 << bits, dtype=np.float32)
         dense[at] = weights
-        out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            b = buckets(t, bits)
-            b = np.unique(b[dense[b] != 0])
-            out[i] = dense[b].sum(dtype=np.float64) + bias
-        return pd.Series(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))
+        try:
+            for texts in batches:
+                out = np.empty(len(texts))
+                for i, t in enumerate(t for group in text_groups(texts) for t in group):
+                    b = buckets(t, bits)
+                    b = np.unique(b[dense[b] != 0])
+                    out[i] = dense[b].sum(dtype=np.float64) + bias
+                yield pa.array(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))
+        finally:
+            forget()  # the worker goes on to other stages
 
     return docs.withColumn(into, run(F.col(text).cast("string")))

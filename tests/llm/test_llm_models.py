@@ -193,3 +193,69 @@ def test_sample_is_bounded_in_rows(spark):
     every = labelled_sample(docs, labels, "quality", folds=5, rows=5000).collect()
     assert 1 in {r["id_"] for r in every} and len(every) == len({r["id_"] for r in every}) < 601
     assert quality.train(docs, labels, rows=50) is not None and toxicity.train(docs, labels, rows=50) is not None
+
+
+def peak_mb(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    run()
+    try:
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_is_worked_in_small_groups():
+    """Words and pieces of a whole Arrow batch are never held at once, nor a stage's memory after its task."""
+
+    import pyarrow as pa
+
+    from cohortlens.llm.common import TOGETHER, text_groups
+
+    texts = pa.array([None, "", "é" * TOGETHER, *["ab " * 1000, None, ""] * 700])
+    groups = list(text_groups(texts))
+    assert [t for g in groups for t in g] == [t or "" for t in texts.to_pylist()]
+    assert all(sum(len(t.encode()) for t in g[:-1]) < TOGETHER for g in groups)
+    assert list(text_groups(texts[:0])) == [] and list(text_groups(pa.array([None, ""]))) == [["", ""]]
+
+    names = ["de", "en"]
+    who = language.Identifier(*language.packed((names, np.zeros(2), {"ab": np.array([0.0, 1.0])}, {n: {} for n in language.LENGTHS})))
+    batch = pa.array(["ab cd " * 500] * 1300)
+    assert peak_mb(lambda: [who.identify(g) for g in text_groups(batch)]) < 20
+
+
+def test_workers_forget(own, monkeypatch):
+    """What a worker remembers is bounded, and results do not hang on it."""
+
+    model = (["de", "en"], np.zeros(2), {"x": np.array([0.0, 1.0])}, {n: {"a" * n: np.array([1.0, 0.0])} for n in language.LENGTHS})
+    packed = language.packed(model)
+    monkeypatch.setattr(language, "REMEMBERED", 100)
+    texts = [" ".join("a" * (i % 7 + 1) + chr(98 + j) * (i % 50 + 1) for j in range(20)) for i in range(300)]
+    who, fresh = language.Identifier(*packed), language.Identifier(*packed)
+    for t in texts:
+        assert who.identify([t]) == language.Identifier(*packed).identify([t])
+        assert len(who.place) <= 1 + 100 + 20
+    assert fresh.identify(texts) == [language.Identifier(*packed).identify([t])[0] for t in texts]
+
+    ids = [list(x) for x in own.encode_many(texts)]
+    own.forget()
+    assert not own.known and not own.before and [list(x) for x in own.encode_many(texts)] == ids
+
+
+def test_stages_leave_nothing_in_the_worker(spark):
+    """After a stage its Python worker holds neither remembered pieces nor word hashes."""
+
+    path = public_tokenizers.path(VOCABULARY)
+    docs = spark.createDataFrame([(i, f"some words {i} here") for i in range(50)], "doc_id bigint, text string").coalesce(1)
+    model = (np.array([1], dtype=np.int32), np.array([0.5], dtype=np.float32), 0.0, 20)
+    assert toxicity.score_texts(bpe.round_trip(docs, path), model).count() == 50
+
+    def left(batches):
+        for batch in batches:
+            held = len(toxicity.HASHES) + sum(len(e.known) + len(e.before) for e in bpe._BUILT.values())
+            yield batch.assign(held=held)[["held"]]
+
+    toxicity.score_texts(docs, model, into="s_").collect()
+    bpe.round_trip(docs, path, into="d_").collect()
+    assert {r["held"] for r in docs.mapInPandas(left, "held bigint").collect()} == {0}
