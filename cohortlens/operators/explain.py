@@ -241,49 +241,104 @@ def _word_bits(flags: np.ndarray) -> np.ndarray:
     """Flags as bits, 64 to a word."""
 
     packed = np.packbits(flags)
-    return np.concatenate([packed, np.zeros(-len(packed) % 8, dtype=np.uint8)]).view(np.uint64)
+    if len(packed) % 8:
+        packed = np.concatenate([packed, np.zeros(-len(packed) % 8, dtype=np.uint8)])
+    return packed.view(np.uint64)
 
 
-def forest_leaves(columns: Sequence[np.ndarray], forest: dict):
-    """Each tree's leaf of every row, tree by tree; ``columns`` are the features.
+def forest_steps(forest: dict) -> tuple[list[tuple[int, float]], list[tuple[list, dict, int]]]:
+    """The forest's different tests (feature, threshold), and of each tree the order of
+    its word operations, its leaf by the turns taken, and its depth.
 
-    Rows are bits: a split's outcome for 64 rows is one word, worked out once for all
-    nodes that ask the same (feature, threshold), and a node sends its rows to its
-    children by two word operations. A level's right turns make one bit plane; the
-    planes of a tree, read together, number a row's leaf."""
+    A step is (test, the slot of the node's rows or -1 for all, level, whether the left
+    child is asked on, the right child's slot or -1). The left child takes its parent's
+    slot (slot 0 below the root), so few sets of rows are held at a time."""
 
-    n, right_of = len(columns[0]), {}
-    for feat, thr, left, right in zip(*(forest[k] for k in ("feature", "threshold", "left", "right"))):
-        planes: list = []
+    tests: dict[tuple[int, float], int] = {}
+    trees = []
+    for feat, thr, left, right in zip(*(forest[k].tolist() for k in ("feature", "threshold", "left", "right"))):
+        steps: list = []
         leaf_of: dict[int, int] = {}
-        paths = [(0, None, 0, 0)]  # node, its rows (none: all), level, turns taken
+        levels, free, slots = 0, [], 1
+        paths = [(0, -1, 0, 0)]  # node, slot of its rows, level, turns taken
         while paths:
             node, rows, level, code = paths.pop()
             if feat[node] < 0:
                 leaf_of[code] = node
                 continue
-            test = int(feat[node]), float(thr[node])
-            if test not in right_of:
-                right_of[test] = _word_bits(~(columns[test[0]] <= test[1]))  # a NaN turns right
-            turned = right_of[test] if rows is None else rows & right_of[test]
-            if level == len(planes):
-                planes.append(turned.copy())
+            levels = max(levels, level + 1)
+            stays, turns = feat[left[node]] >= 0, feat[right[node]] >= 0
+            own, other = max(rows, 0), -1
+            if turns:
+                if not free:
+                    free.append(slots)
+                    slots += 1
+                other = free.pop()
+            if not stays:
+                free.append(own)
+            test = tests.setdefault((feat[node], thr[node]), len(tests))
+            steps.append((test, rows, level, stays, other))
+            paths += [(left[node], own, level + 1, code), (right[node], other, level + 1, code | 1 << level)]
+        trees.append((steps, leaf_of, levels))
+    return list(tests), trees
+
+
+def leaf_codes(n: int, passed: Sequence[np.ndarray], trees: list[tuple[list, dict, int]]):
+    """Each tree's turns of ``n`` rows as one number a row, tree by tree; ``passed`` has
+    a word of bits for 64 rows, for each test.
+
+    A node sends its rows to its children by two word operations. A level's right
+    turns make one bit plane; the planes of a tree, read together, are the numbers."""
+
+    words = -(-n // 64)
+    planes = [np.empty(words, dtype=np.uint64) for _ in range(max(levels for _, _, levels in trees))]
+    held = [np.empty(words, dtype=np.uint64) for _ in range(len(planes) + 1)]  # the last is for rows that go no further
+    for steps, _, levels in trees:
+        for plane in planes[:levels]:
+            plane.fill(0)
+        for test, rows, level, stays, other in steps:
+            if rows < 0:
+                turned = passed[test]
+                if other >= 0:
+                    held[other][:] = turned
+                if stays:
+                    np.invert(turned, held[0])
             else:
-                planes[level] |= turned
-            stay = None if feat[left[node]] < 0 else ~turned if rows is None else rows ^ turned
-            paths += [(left[node], stay, level + 1, code), (right[node], turned, level + 1, code | 1 << level)]
-        kind = np.uint8 if len(planes) <= 8 else np.uint16 if len(planes) <= 16 else np.uint32
+                turned = np.bitwise_and(held[rows], passed[test], held[other])
+                if stays:
+                    np.bitwise_xor(held[rows], turned, held[rows])
+            np.bitwise_or(planes[level], turned, planes[level])
+        kind = np.uint8 if levels <= 8 else np.uint16 if levels <= 16 else np.uint32
         codes = np.zeros(n, dtype=kind)
-        for level, plane in enumerate(planes):
-            turns = np.unpackbits(plane.view(np.uint8), count=n)
-            codes |= np.left_shift(turns, level, dtype=kind)
-        if len(planes) <= 16:
-            table = np.zeros(1 << len(planes), dtype=np.int64)
-            table[list(leaf_of)] = list(leaf_of.values())
-            yield table[codes]
-        else:
-            known = np.array(sorted(leaf_of))
-            yield np.array([leaf_of[c] for c in known.tolist()])[np.searchsorted(known, codes)]
+        for plane in reversed(planes[:levels]):
+            codes += codes
+            codes |= np.unpackbits(plane.view(np.uint8), count=n)
+        yield codes
+
+
+def _leaf_table(leaf_of: dict, levels: int) -> np.ndarray:
+    table = np.zeros(1 << levels, dtype=np.int64)
+    table[list(leaf_of)] = list(leaf_of.values())
+    return table
+
+
+def _leaves(codes: np.ndarray, leaf_of: dict, levels: int) -> np.ndarray:
+    if levels <= 16:
+        return _leaf_table(leaf_of, levels)[codes]
+    known = np.array(sorted(leaf_of))
+    return np.array([leaf_of[c] for c in known.tolist()])[np.searchsorted(known, codes)]
+
+
+def forest_leaves(columns: Sequence[np.ndarray], forest: dict):
+    """Each tree's leaf of every row, tree by tree; ``columns`` are the features.
+
+    Rows are bits: a split's outcome for 64 rows is one word, worked out once for all
+    nodes that ask the same (feature, threshold)."""
+
+    n, (tests, trees) = len(columns[0]), forest_steps(forest)
+    passed = [_word_bits(~(columns[f] <= cut)) for f, cut in tests]  # a NaN turns right
+    for codes, (_, leaf_of, levels) in zip(leaf_codes(n, passed, trees), trees):
+        yield _leaves(codes, leaf_of, levels)
 
 
 def forest_proba(x: np.ndarray, forest: dict) -> np.ndarray:
@@ -372,12 +427,26 @@ def _row_hash(ids: np.ndarray, samples: int, seed: int) -> np.ndarray:
         return h + np.arange(samples, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _uniform(h: np.ndarray, place: int) -> np.ndarray:
+def _mixed(h: np.ndarray, place: int, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """The hash of a place up to its last step, which leaves the upper 31 bits as they are."""
+
     with np.errstate(over="ignore"):
-        h = h + np.uint64(place) * np.uint64(0xD1B54A32D192ED03)
-        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return ((h ^ h >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        np.add(h, np.uint64(place) * np.uint64(0xD1B54A32D192ED03), out=out)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(out, np.uint64(shift), out=spare)
+        np.bitwise_xor(out, spare, out=out)
+        np.multiply(out, np.uint64(factor), out=out)
+    return out
+
+
+def _unit(mixed: np.ndarray) -> np.ndarray:
+    """The number in [0, 1) that a mixed hash stands for."""
+
+    return ((mixed ^ mixed >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+def _uniform(h: np.ndarray, place: int) -> np.ndarray:
+    return _unit(_mixed(h, place, np.empty_like(h), np.empty_like(h)))
 
 
 def hashed_uniform(ids: np.ndarray, samples: int, width: int, seed: int) -> np.ndarray:
@@ -388,36 +457,122 @@ def hashed_uniform(ids: np.ndarray, samples: int, width: int, seed: int) -> np.n
     return np.stack([_uniform(h, place) for place in range(width)], axis=2)
 
 
-def _lime_batch(x, cls, ids, fr, bins, n_samples, top_n, seed, alpha=1.0):
-    """Vectorised over the batch, feature by feature: perturb, score once, batched weighted ridge."""
+@dataclass
+class LimeTables:
+    """What all rows of a forest and its bins share, prepared once a task."""
+
+    tests: list[tuple[int, float]]     # the forest's, see ``forest_steps``
+    trees: list[tuple[list, dict, int]]
+    places: list[int]                  # of each test's threshold among its feature's cuts
+    cuts: list[np.ndarray]             # a feature's thresholds, ascending
+    limits: list[np.ndarray]           # a feature's bin is the number of limits that its first hash reaches
+    draws: list[np.ndarray]            # (CELLS,); this bin times CELLS, by upper bits of the hash; -1: look closer
+    cells: list[np.ndarray]            # (bins x CELLS,); cuts below a value, by bin and upper bits; the kind's largest number: look closer
+
+
+CELL_BITS = 12
+CELLS = 1 << CELL_BITS
+
+
+def lime_tables(forest: dict, bins: dict) -> LimeTables:
+    """A perturbed value grows with its hash, so the upper bits of the hash tell, for
+    all but a few cells, how many of the forest's thresholds lie below the value."""
+
+    tests, trees = forest_steps(forest)
+    t = LimeTables(tests, trees, [], [], [], [], [])
+    hashes = np.arange(CELLS, dtype=np.uint64) << np.uint64(64 - CELL_BITS)
+    first, last = np.arange(CELLS) / CELLS, (np.arange(1, CELLS + 1) * 2.0 ** (53 - CELL_BITS) - 1) / 2.0**53
+    for f in range(len(bins["lo"])):
+        cuts = np.array(sorted({cut for at, cut in tests if at == f}))
+        kind = np.uint8 if len(cuts) < 255 else np.uint16 if len(cuts) < 65535 else np.uint32
+        low, wide = bins["lo"][f], bins["hi"][f] - bins["lo"][f]
+        with np.errstate(invalid="ignore"):
+            begin, end = (np.searchsorted(cuts, (low[:, None] + wide[:, None] * u).ravel()) for u in (first, last))
+        t.cuts.append(cuts)
+        t.cells.append(np.where(begin == end, begin, np.iinfo(kind).max).astype(kind))
+        reached = [np.ceil(c * 2.0**53) for c in np.cumsum(bins["freq"][f])[:3]]
+        t.limits.append(np.array([int(c) << 11 for c in reached if c < 2.0**53], dtype=np.uint64))
+        begin, end = (np.searchsorted(t.limits[f], h, side="right") for h in (hashes, hashes | np.uint64((1 << 64 - CELL_BITS) - 1)))
+        t.draws.append(np.where(begin == end, begin * CELLS, -1))
+    t.places = [int(np.searchsorted(t.cuts[f], cut)) for f, cut in tests]
+    return t
+
+
+def _perturbed(x, ids, bins, tables, n_samples, seed, block=4):
+    """The perturbations of a batch: of each feature the number of cuts below the value
+    (rows x samples), and whether the sample has the row's own bin (rows x features x samples)."""
+
+    b, p = x.shape
+    codes = [np.empty((b, n_samples), dtype=cells.dtype) for cells in tables.cells]
+    same = np.empty((b, p, n_samples), dtype=bool)
+    for at in range(0, b, block):
+        rows = slice(at, at + block)
+        h = _row_hash(ids[rows], n_samples, seed)
+        mixed, spare = np.empty_like(h), np.empty_like(h)
+        for f in range(p):
+            own = np.searchsorted(bins["edges"][f], x[rows, f], side="left")
+            _mixed(h, f, mixed, spare)
+            np.right_shift(mixed, np.uint64(64 - CELL_BITS), out=spare)
+            cell = tables.draws[f].take(spare.view(np.int64), mode="clip")
+            near = np.flatnonzero(cell < 0)
+            if len(near):
+                whole = mixed.ravel()[near]
+                cell.ravel()[near] = np.searchsorted(tables.limits[f], whole ^ whole >> np.uint64(31), side="right") * CELLS
+            cell[:, 0] = own * CELLS
+            np.equal(cell, own[:, None] * CELLS, out=same[rows, f])
+            _mixed(h, p + f, mixed, spare)
+            np.right_shift(mixed, np.uint64(64 - CELL_BITS), out=spare)
+            cell |= spare.view(np.int64)
+            code = tables.cells[f].take(cell, mode="clip")
+            near = np.flatnonzero(code == code.dtype.type(np.iinfo(code.dtype).max))
+            if len(near):
+                draw = cell.ravel()[near] >> CELL_BITS
+                lo = bins["lo"][f]
+                code.ravel()[near] = np.searchsorted(tables.cuts[f], lo[draw] + (bins["hi"][f] - lo)[draw] * _unit(mixed.ravel()[near]))
+            code[:, 0] = np.searchsorted(tables.cuts[f], x[rows, f])
+            codes[f][rows] = code
+    return codes, same
+
+
+def _own_class(cls, passed, forest, tables, n_samples, block=4):
+    """The forest's probability of each row's own class, for its samples."""
+
+    b = len(cls)
+    starts = [0, *(np.flatnonzero(np.diff(cls)) + 1), b]
+    runs = [(i, min(i + block, end)) for start, end in zip(starts, starts[1:]) for i in range(start, end, block)]  # rows of one class
+    y, got = np.zeros((b, n_samples)), np.empty((block, n_samples))
+    for codes, value, (_, leaf_of, levels) in zip(leaf_codes(b * n_samples, passed, tables.trees), forest["value"], tables.trees):
+        index, by_class = codes.reshape(b, n_samples), value.T
+        if levels <= 16:
+            by_class = by_class[:, _leaf_table(leaf_of, levels)]
+        else:
+            index = _leaves(codes, leaf_of, levels).reshape(b, n_samples)
+        by_class = np.ascontiguousarray(by_class)
+        for i, end in runs:
+            np.take(by_class[cls[i]], index[i:end], out=got[:end - i], mode="clip")
+            np.add(y[i:end], got[:end - i], out=y[i:end])
+    y /= len(forest["feature"])
+    return y
+
+
+def _lime_batch(x, cls, ids, fr, bins, n_samples, top_n, seed, alpha=1.0, tables=None):
+    """Vectorised over the batch, feature by feature: perturb, score once, weighted ridge."""
 
     b, p = x.shape
-    h = _row_hash(ids, n_samples, seed)
-    columns, z, off = [], np.empty((b, n_samples, p)), np.zeros((b, n_samples), dtype=np.int64)
-    for f in range(p):
-        own = np.searchsorted(bins["edges"][f], x[:, f], side="left")
-        cdf, lo = np.cumsum(bins["freq"][f]), bins["lo"][f]
-        u = _uniform(h, f)
-        draw = sum(((u >= cdf[i]).astype(np.int8) for i in range(1, 3)), (u >= cdf[0]).astype(np.int8))
-        draw[:, 0] = own
-        column = lo[draw] + (bins["hi"][f] - lo)[draw] * _uniform(h, p + f)
-        column[:, 0] = x[:, f]
-        columns.append(column.ravel())
-        same = draw == own[:, None]
-        z[:, :, f] = same
-        off += ~same
+    tables = tables or lime_tables(fr, bins)
+    codes, same = _perturbed(x, ids, bins, tables, n_samples, seed)
+    passed = [_word_bits(codes[f].ravel() > codes[f].dtype.type(place)) for (f, _), place in zip(tables.tests, tables.places)]
+    y = _own_class(cls, passed, fr, tables, n_samples)
     width = 0.75 * np.sqrt(p)
-    k = np.sqrt(np.exp(-np.arange(p + 1.0) / width ** 2))[off]  # (b, s), by the number of features moved
-    classes = fr["value"].shape[2]
-    y, one = np.zeros(b * n_samples), np.repeat(cls, n_samples)
-    for value, leaf in zip(fr["value"], forest_leaves(columns, fr)):
-        y += value.ravel()[leaf * classes + one]
-    y = (y / len(fr["feature"])).reshape(b, n_samples)
-    ksum = k.sum(1, keepdims=True)
-    zc = z - (k[:, None, :] @ z) / ksum[:, :, None]
-    yc = y - (k * y).sum(1, keepdims=True) / ksum
-    weighted = zc * k[:, :, None]
-    gram, pull = weighted.transpose(0, 2, 1) @ zc, (weighted.transpose(0, 2, 1) @ yc[:, :, None])[:, :, 0]
+    nearness = np.sqrt(np.exp(-np.arange(p + 1.0) / width ** 2))  # by the number of features moved
+    gram, pull = np.empty((b, p, p)), np.empty((b, p))
+    for r in range(b):
+        k = nearness[p - same[r].sum(axis=0, dtype=np.int64)]
+        ksum, z = k.sum(), same[r].astype(float)
+        z -= ((z @ k) / ksum)[:, None]
+        weighted = z * k
+        gram[r] = weighted @ z.T
+        pull[r] = weighted @ (y[r] - (k * y[r]).sum() / ksum)
 
     def ridge(a, rhs):
         return np.linalg.solve(a + alpha * np.eye(a.shape[2])[None], rhs[:, :, None])[:, :, 0]
@@ -442,17 +597,19 @@ def lime_explanations(matrix: DataFrame, cols: Sequence[str], forest: dict, bins
     names = list(cols)
 
     def run(batches):
-        state = bc.value
+        state, tables = bc.value, None
         for pdf in batches:
             if pdf.empty:
                 continue
+            tables = tables or lime_tables(state["forest"], state["bins"])
+            pdf = pdf.sort_values(label_col, kind="stable")  # rows of one class are scored together
             x = pdf[names].to_numpy(dtype=float)
             cls = pdf[label_col].to_numpy(dtype=np.int64)
             ids = pdf[id_col].astype(str).tolist()
             # bounded memory: rows × samples × features per slice, not per Arrow batch
             step = max(1, chunk_rows)
             full = np.vstack([
-                _lime_batch(x[i:i + step], cls[i:i + step], ids[i:i + step], state["forest"], state["bins"], n_samples, top_n, seed)
+                _lime_batch(x[i:i + step], cls[i:i + step], ids[i:i + step], state["forest"], state["bins"], n_samples, top_n, seed, tables=tables)
                 for i in range(0, len(ids), step)
             ])
             yield pd.DataFrame({id_col: ids, label_col: cls.astype("int32"), "local": list(full)})

@@ -201,3 +201,56 @@ def test_shap_values_of_mixed_classes(widest):
     for c in range(3):
         one, _ = H.tree_shap(x, np.full(70, c), tables)
         assert np.allclose(one[cls == c], phi[cls == c], atol=1e-14)
+
+
+def _lime_by_hand(x, cls, ids, f, bins, samples, top_n, seed):
+    """One row after another, from the numbers of ``hashed_uniform``, the forest walked node by node."""
+
+    p, out = x.shape[1], np.zeros(x.shape)
+    for r, row in enumerate(x):
+        u = H.hashed_uniform(ids[r:r + 1], samples, 2 * p, seed)[0]
+        own = np.array([np.searchsorted(bins["edges"][j], row[j]) for j in range(p)])
+        draw = np.array([(u[:, j, None] >= np.cumsum(bins["freq"][j])[None, :3]).sum(axis=1) for j in range(p)]).T
+        values = np.array([bins["lo"][j][draw[:, j]] + (bins["hi"][j] - bins["lo"][j])[draw[:, j]] * u[:, p + j] for j in range(p)]).T
+        draw[0], values[0] = own, row
+        y = np.mean([v[leaf][:, cls[r]] for v, leaf in zip(f["value"], walked(values, f))], axis=0)
+        z = (draw == own).astype(float)
+        k = np.sqrt(np.exp(-(1 - z).sum(axis=1) / (0.75 * np.sqrt(p)) ** 2))
+        z, y = z - k @ z / k.sum(), y - k @ y / k.sum()
+        fit = lambda at: np.linalg.solve((z[:, at] * k[:, None]).T @ z[:, at] + np.eye(len(at)), (z[:, at] * k[:, None]).T @ y)
+        keep = np.argsort(-np.abs(fit(list(range(p)))), kind="stable")[:top_n]
+        out[r, keep] = fit(list(keep))
+    return out
+
+
+def _bins(rng, p):
+    edges = np.sort(rng.normal(size=(p, 3)), axis=1)
+    span = np.concatenate([edges[:, :1] - 1, edges, edges[:, 2:] + 1], axis=1)
+    return {"edges": edges, "lo": span[:, :-1], "hi": span[:, 1:], "freq": np.tile([0.3, 0.2, 0.25, 0.25], (p, 1))}
+
+
+@pytest.mark.parametrize("depth", [3, 8, 10])
+def test_lime_of_mixed_classes_by_hand(depth):
+    f, rng = random_forest(depth=depth), np.random.default_rng(6)
+    x, cls, ids = rng.normal(size=(11, 5)), rng.integers(0, 3, 11), [f"C{i}" for i in range(11)]
+    bins = _bins(rng, 5)
+    bins["freq"][1], bins["hi"][1, 2] = [0.0, 0.0, 1.0, 0.0], bins["lo"][1, 2]  # one value for all
+    x[2, 0], x[3, 2], x[4, 3] = np.nan, np.inf, f["threshold"][1, 0]
+    got = H._lime_batch(x, cls, ids, f, bins, 203, 3, 42)
+    assert np.allclose(got, _lime_by_hand(x, cls, ids, f, bins, 203, 3, 42), atol=1e-10)
+    alone = np.vstack([H._lime_batch(x[i:i + 1], cls[i:i + 1], ids[i:i + 1], f, bins, 203, 3, 42) for i in range(11)])
+    assert np.allclose(got, alone, atol=1e-12)
+
+
+def test_lime_works_few_perturbed_values_out(monkeypatch):
+    """The forest is prepared once for all batches, and of a perturbed value only its place among the thresholds is
+    found: from a table, but for the few values near one."""
+
+    f, rng, worked, prepared = random_forest(), np.random.default_rng(6), [], []
+    bins, unit, steps = _bins(rng, 5), H._unit, H.forest_steps
+    monkeypatch.setattr(H, "_unit", lambda h: worked.append(h.size) or unit(h))
+    monkeypatch.setattr(H, "forest_steps", lambda f: prepared.append(1) or steps(f))
+    tables = H.lime_tables(f, bins)
+    for _ in range(3):
+        H._lime_batch(rng.normal(size=(8, 5)), np.zeros(8, dtype=int), [f"C{i}" for i in range(8)], f, bins, 1000, 3, 42, tables=tables)
+    assert len(prepared) == 1 and 0 < sum(worked) < 0.02 * 3 * 8 * 5 * 1000
