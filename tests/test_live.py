@@ -208,3 +208,61 @@ def test_a_call_reads_and_writes_a_state_once():
     calls.clear()
     list(machine.handleInputRows(("q",), iter([event("query_completed", 502, 12_000_000, status="success")]), None))
     assert calls == ["get query", "get nodes", "put query", "get due", "delete 10000", "put due", "register 13000"]
+
+
+def test_packed_state_asks_the_store_once():
+    """The values of a query are read together and cleared together, a changed one is written once, and the states of a call leave as one row."""
+
+    import json
+
+    calls, kept = [], {}
+
+    class Map:
+        def iterator(self):
+            calls.append("read")
+            return iter([((k,), v) for k, v in kept.items()])
+
+        def updateValue(self, k, v):
+            calls.append(f"put {k[0]}")
+            kept[k[0]] = v
+
+        def clear(self):
+            calls.append("clear")
+            kept.clear()
+
+    class Handle:
+        def getMapState(self, name, keys, values):
+            return Map()
+
+        def registerTimer(self, at):
+            calls.append(f"register {at}")
+
+        def deleteTimer(self, at):
+            calls.append(f"delete {at}")
+
+    def event(kind, number, at_us, node=None, status=None, nodes=None):
+        return {"event": json.dumps({"type": kind, "event_id": number, "at_us": at_us, "node_name": node, "status": status, "nodes": nodes, "workflow_name": "w", "duration_ms": None, "error": 'a "b"\n'})}
+
+    machine = live.PackedState(live.ExecutionState(1000))
+    machine.init(Handle())
+    whole = [event("query_started", 0, 0, nodes=["n0", "z"]), *[event("node_started", i, 5_000 + i, f"n{i % 40}") for i in range(400)], event("query_completed", 501, 9_000_000, status="failed")]
+    (out,) = machine.handleInputRows(("q",), iter(whole), None)
+    assert calls == ["read", "register 10000", "put query", "put nodes", "put due"]
+    assert (out.query_id, out.workflow_name, out.query_status, out.started_us) == ("q", "w", "failed", 0) and len(json.loads(out.nodes)) == 41
+    calls.clear()
+    (out,) = machine.handleInputRows(("q",), iter([event("node_completed", 500, 9_000, "n0", "failed"), event("query_completed", 502, 12_000_000, status="success")]), None)
+    assert calls == ["read", "delete 10000", "register 13000", "put query", "put nodes", "put due"]
+    assert out.query_status == "success" and json.loads(out.nodes)[0] == {"position": 0, "node_name": "n0", "status": "failed", "duration_ms": None, "error": 'a "b"\n'}
+    calls.clear()
+    assert not list(machine.handleExpiredTimer(("q",), None, None)) and calls == ["clear"] and not kept
+
+
+def test_texts_pass_the_state_machine_whole(spark):
+    odd = ['say "x"\n\t\\', "é雪 ", "", "null", "{[,]}"]
+    rows = [(0, "query_started", "q\"1'", "2024-01-01 00:00:00", odd[0], odd, None, None, None, None)]
+    rows += [(i + 1, "node_completed", "q\"1'", f"2024-01-01 00:00:0{i}", None, None, n, odd[-i - 1], 2**62 + i, n) for i, n in enumerate(odd)]
+    rows += [(9, "node_started", "late", "2024-01-01 00:00:09", None, None, "n", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("ts timestamp", "ts string")).withColumn("ts", F.to_timestamp("ts"))
+    got = {(r["query_id"], r["node_name"]): tuple(r)[1:] for r in run(live.live_execution(live.read_events(spark, live.write_events(df)))).select(*[c.split()[0] for c in live.STATE_COLUMNS.split(", ")]).collect()}
+    want = {("q\"1'", n): (i, n, odd[-i - 1], 2**62 + i, n, odd[0], "running", 1_704_067_200_000_000) for i, n in enumerate(odd)}
+    assert got == want | {("late", "n"): (None, "n", "running", None, None, None, "running", None)}
